@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfrank.functions.text import ColumnOrName, _c
 
 DEFAULT_SEED = 42
-NULL_MARK = "\u0000"
+NULL_MARK = "\u0001"
 
 
 def row_key(cols: Sequence[ColumnOrName]) -> Column:

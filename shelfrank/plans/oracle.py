@@ -103,7 +103,7 @@ def ranked(src: str, q: str, key: str, score: str = "score", name: str = "ranked
 )"""
 
 
-def metric_stats(src_ranked: str, q: str, ks=(1, 5, 10), gain: str = "linear", rel: str = "relevant") -> str:
+def metric_stats(src_ranked: str, q: str, ks=(1, 5, 10), gain: str = "linear", rel: str = "relevant", p: str = "") -> str:
     """CTE ``stats``: per query counts, first positive rank, DCG/IDCG per k."""
     g = (lambda r: f"cast({r} as double)") if gain == "linear" else (lambda r: f"(pow(2.0, {r}) - 1.0)")
     ideal_ctes = []
@@ -112,30 +112,30 @@ def metric_stats(src_ranked: str, q: str, ks=(1, 5, 10), gain: str = "linear", r
     for k in ks:
         ideal_ctes.append(
             f"""
-ideal{k} as (
+{p}ideal{k} as (
   select {q}, sum({g(rel)} / log2(irk + 1)) as idcg
   from (select {q}, {rel}, row_number() over (partition by {q} order by {rel} desc) as irk
         from {src_ranked} where rk <= {k}) t
   group by {q}
 )"""
         )
-        ideal_joins.append(f"left join ideal{k} on ideal{k}.{q} = base.{q}")
-        ideal_cols.append(f"ideal{k}.idcg as idcg{k}")
+        ideal_joins.append(f"left join {p}ideal{k} on {p}ideal{k}.{q} = {p}base.{q}")
+        ideal_cols.append(f"{p}ideal{k}.idcg as idcg{k}")
     dcg_cols = ",\n         ".join(
         f"sum(case when rk <= {k} then {g(rel)} / log2(rk + 1) else 0.0 end) as dcg{k}" for k in ks
     )
     return (
         ",".join(ideal_ctes)
         + f""",
-base as (
+{p}base as (
   select {q}, cast(count(*) as bigint) as num_products, cast(sum({rel}) as bigint) as num_positives,
          min(case when {rel} = 1 then rk end) as first_pos,
          {dcg_cols}
   from {src_ranked} group by {q}
 ),
-stats as (
-  select base.*, {", ".join(ideal_cols)}
-  from base {" ".join(ideal_joins)}
+{p}stats as (
+  select {p}base.*, {", ".join(ideal_cols)}
+  from {p}base {" ".join(ideal_joins)}
 )"""
     )
 
@@ -166,15 +166,117 @@ select cast(count(*) as bigint) as num_queries_total,
 from pq"""
 
 
-def per_query_cte(src: str, q: str, key: str, ks=(1, 5, 10), gain: str = "linear") -> str:
-    """CTEs ``ranked``, ``stats`` and ``pq`` over candidate table ``src``."""
+def per_query_cte(src: str, q: str, key: str, ks=(1, 5, 10), gain: str = "linear", p: str = "") -> str:
+    """CTEs ``<p>ranked``, ``<p>stats`` and ``<p>pq`` over candidate table ``src``."""
     return (
-        ranked(src, q, key)
+        ranked(src, q, key, name=f"{p}ranked")
         + ","
-        + metric_stats("ranked", q, ks, gain)
+        + metric_stats(f"{p}ranked", q, ks, gain, p=p)
         + f""",
-pq as (
+{p}pq as (
   select {q}, num_products, num_positives, first_pos, {", ".join(metric_select(ks))}
-  from stats
+  from {p}stats
 )"""
     )
+
+
+# --- query split (seeded md5 order) ------------------------------------------------
+
+SPLITS = (
+    JUDGED
+    + r""",
+qsplit as (
+  select OriginalQuery, rn, n,
+         case when rn <= floor(n * 0.8::DOUBLE) then 'train'
+              when rn <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) then 'val'
+              else 'test' end as split
+  from (select OriginalQuery,
+               row_number() over (order by md5('42:' || OriginalQuery), OriginalQuery) as rn,
+               cast(count(*) over () as double) as n
+        from (select distinct OriginalQuery from judged) d) r
+),
+judged_split as (select j.*, s.split from judged j join qsplit s on s.OriginalQuery = j.OriginalQuery)"""
+)
+
+
+# --- hashing encoder -----------------------------------------------------------------
+
+
+def hash_vectors(name: str, src_sql: str, dim: int = 64) -> str:
+    """CTEs ``<name>`` (text, b, c) sparse counts and ``<name>_sq`` (text, sq)
+    for the distinct non-null ``text`` values of ``src_sql``."""
+    return rf"""
+{name}_t as (select distinct text from ({src_sql}) s where text is not null),
+{name}_tok as (select text, unnest(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) as t from {name}_t),
+{name} as (select text, cast(('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} as integer) as b, count(*) as c
+           from {name}_tok where t <> '' group by text, b),
+{name}_sq as (select x.text, coalesce(sum(v.c * v.c), 0) as sq
+              from {name}_t x left join {name} v on v.text = x.text group by x.text)"""
+
+
+def cosine_scores(name: str, pairs: str, qv: str, pv: str) -> str:
+    """CTE ``<name>``: every row of ``pairs`` (which has text columns qt, pt) plus
+    ``score`` = dot / (sqrt(|q|^2) * sqrt(|p|^2)), 0 for a zero vector."""
+    return rf"""
+{name}_dot as (
+  select x.qt, x.pt, sum(a.c * b.c) as d
+  from (select distinct qt, pt from {pairs}) x
+  join {qv} a on a.text = x.qt
+  join {pv} b on b.text = x.pt and a.b = b.b
+  group by x.qt, x.pt
+),
+{name} as (
+  select p.*, case when sqrt(qs.sq) * sqrt(ps.sq) > 0
+                   then cast(coalesce(dd.d, 0) as double) / (sqrt(qs.sq) * sqrt(ps.sq)) else 0.0 end as score
+  from {pairs} p
+  join {qv}_sq qs on qs.text = p.qt
+  join {pv}_sq ps on ps.text = p.pt
+  left join {name}_dot dd on dd.qt = p.qt and dd.pt = p.pt
+)"""
+
+
+def text_scored(src: str = "judged", dim: int = 64, name: str = "scored") -> str:
+    """CTEs scoring every row of ``src`` (OriginalQuery, product_text) with the
+    hashing encoder; result CTE ``<name>`` has all columns of src + qt, pt, score."""
+    return (
+        f"""
+{name}_pairs as (select *, 'query: ' || OriginalQuery as qt, 'passage: ' || product_text as pt from {src}),"""
+        + hash_vectors(f"{name}_qv", f"select qt as text from {name}_pairs", dim)
+        + ","
+        + hash_vectors(f"{name}_pv", f"select pt as text from {name}_pairs", dim)
+        + ","
+        + cosine_scores(name, f"{name}_pairs", f"{name}_qv", f"{name}_pv")
+    )
+
+
+def catalog_search(k: int, dim: int = 64, catalog: str = "catalog", name: str = "hits") -> str:
+    """CTE ``<name>`` (query, product_id, score, rk) — every distinct judged query
+    against every product of ``catalog``, top k by score desc then product_id."""
+    return (
+        f"""
+{name}_q as (select distinct OriginalQuery as query, 'query: ' || OriginalQuery as qt from judged),
+{name}_c as (select *, 'passage: ' || product_text as pt from {catalog}),
+{name}_pairs as (select q.query, q.qt, c.product_id, c.pt from {name}_q q cross join {name}_c c),"""
+        + hash_vectors(f"{name}_qv", f"select qt as text from {name}_q", dim)
+        + ","
+        + hash_vectors(f"{name}_pv", f"select pt as text from {name}_c", dim)
+        + ","
+        + cosine_scores(f"{name}_s", f"{name}_pairs", f"{name}_qv", f"{name}_pv")
+        + f""",
+{name} as (
+  select query, product_id, score, rk from (
+    select query, product_id, score,
+           row_number() over (partition by query order by (score is null or isnan(score)), score desc, product_id) as rk
+    from {name}_s) t
+  where rk <= {k}
+)"""
+    )
+
+
+# Stand-alone tails, so a query can combine fragments without repeating CTEs.
+CATALOG_PART = CATALOG[len(JUDGED):]  # starts with ",\ncatalog as (...)"
+SPLITS_PART = SPLITS[len(JUDGED):]  # ",\nqsplit ..., judged_split ..."
+
+
+def with_(*parts: str) -> str:
+    return "with " + "".join(parts)

@@ -1,25 +1,984 @@
-"""The registered queries (one per operator group of the inventory)."""
+"""The registered queries: one per operator group of the inventory.
+
+Each query reads the base tables through the adapters, so its work grows with
+them. Each oracle re-derives the same result in DuckDB SQL from the base
+tables. Doubles are rounded to 6 digits on both sides (sums and means have no
+fixed order).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfrank.operators.metrics import evaluate
+from shelfrank.functions.keys import row_key
+from shelfrank.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, parse_keywords, product_text, relevance_label
+from shelfrank.functions.vectors import hashing_counts, l2_normalize, tokens
+from shelfrank.operators.dedup import distinct_values
+from shelfrank.operators.encode import distinct_texts
+from shelfrank.operators.labels import keyword_hits, language_rows, positives, with_block_flags, with_label, with_product_text
+from shelfrank.operators.metrics import evaluate, language_distribution, metrics_long, per_query_metrics, query_stats
+from shelfrank.operators.ranking import best_rank, first_groups, rank_candidates, ranked_relevances, ranking_examples
+from shelfrank.operators.sampling import exact_sample, global_rank, preview, seeded_first_groups
+from shelfrank.operators.search import safe_catalog, search_report
+from shelfrank.operators.splits import restrict_to
 from shelfrank.plans import oracle as O
+from shelfrank.plans.build import (
+    catalog_df,
+    catalog_vectors,
+    default_encoder,
+    impressions_df,
+    judged_df,
+    query_vectors,
+    scored_text_candidates,
+    split_df,
+)
 from shelfrank.plans.registry import register, round_doubles
-from shelfrank.sources.adapters import judged_vec
+from shelfrank.sources.adapters import judge_responses, judged_vec
 
 KS = (1, 5, 10)
+Q = "OriginalQuery"
+
+# --- parameters of the registered queries (the features under test) ---------------------
+REGEX_KEYWORDS = ["bolt", "r.ng"]  # B8 keyword tagging (regular expressions)
+BLOCK_TEXT = parse_keywords("anvil,bolt")  # B9
+BLOCK_TYPE = parse_keywords("promo,group 1")  # B10
+BLOCK_ALL = parse_keywords("a,e,i,o,u")  # hits every product -> fallback
+SAMPLE_ROWS = 200_000  # C5 language sample size
+FIRST_N = 100  # C6 max_queries
+SAMPLED_QUERIES = 200  # C7 API evaluation cap
+SEARCH_K = 100  # G2
+SAFE_K = 10  # G3
+REPORT_K = 5  # A11 / judge input
+TRAIN_BATCH = 256  # I2/I3
+TRAIN_EPOCHS = 2
+HIST_BINS = 50
+
+
+def _sql_list(items) -> str:
+    return ", ".join("'" + s.replace("'", "''") + "'" for s in items)
+
+
+# =====================================================================================
+# 2.1 / 2.2  sources, projections, filters
+# =====================================================================================
+
+
+@register("scan_impressions", "A1", O.with_(O.IMPRESSIONS) + "\nselect * from impressions")
+def scan_impressions(spark: SparkSession, sf: str) -> DataFrame:
+    return impressions_df(spark, sf)
+
+
+@register(
+    "relevance_label",
+    "B1 B3",
+    O.with_(O.IMPRESSIONS)
+    + """
+select OriginalQuery, product_id, UniqueSelects,
+       cast(case when UniqueSelects > 0 then 1 else 0 end as integer) as relevant
+from impressions""",
+)
+def q_relevance_label(spark, sf):
+    return impressions_df(spark, sf).select(Q, "product_id", "UniqueSelects", relevance_label("UniqueSelects").alias("relevant"))
+
+
+_VARIANT_SQL = {
+    "judged": O.strip("coalesce(ProductName,'') || ' ' || coalesce(BrandName,'') || ' ' || coalesce(Level4_ProductGroup,'') || ' ' || coalesce(ProductType,'')"),
+    "explore": "coalesce(ProductName,'') || ' ' || coalesce(BrandName,'') || ' ' || coalesce(Level4_ProductGroup,'') || ' ' || coalesce(ProductType,'')",
+    "catalog": O.strip("coalesce(ProductName,'') || ' ' || coalesce(BrandName,'') || ' ' || coalesce(ProductType,'') || ' ' || coalesce(Level4_ProductGroup,'')"),
+    "search": "case when coalesce(ProductName, BrandName, Level4_ProductGroup, ProductType) is null then 'UNKNOWN_PRODUCT' "
+    "else concat_ws(' ', ProductName, BrandName, coalesce(Level4_ProductGroup, ProductType)) end",
+    "search_safe": "case when coalesce(ProductName, BrandName, ProductType, Level4_ProductGroup) is null then 'UNKNOWN_PRODUCT' "
+    "else concat_ws(' ', ProductName, BrandName, ProductType, Level4_ProductGroup) end",
+}
+
+
+@register(
+    "product_text_variants",
+    "B2",
+    O.with_(O.IMPRESSIONS)
+    + "\nselect product_id, OriginalQuery, "
+    + ", ".join(f"{sql} as text_{v}" for v, sql in _VARIANT_SQL.items())
+    + " from impressions",
+)
+def q_product_text_variants(spark, sf):
+    df = impressions_df(spark, sf)
+    return df.select("product_id", Q, *[product_text(v).alias(f"text_{v}") for v in _VARIANT_SQL])
+
+
+@register("judged_table", "B1 B2 B3 B4", O.with_(O.JUDGED) + "\nselect * from judged")
+def q_judged_table(spark, sf):
+    return judged_df(spark, sf)
+
+
+@register(
+    "training_pairs",
+    "B5 B7 I1",
+    O.with_(O.JUDGED, O.SPLITS_PART)
+    + """
+select 'query: ' || OriginalQuery as query_text, 'passage: ' || product_text as product_text
+from judged_split where split = 'train' and relevant = 1""",
+)
+def q_training_pairs(spark, sf):
+    from shelfrank.operators.training import training_pairs
+
+    return training_pairs(split_df(spark, sf)).select("query_text", "product_text")
+
+
+_ROWKEY_SQL = "concat_ws(':', coalesce(cast(product_id as varchar), chr(1)), coalesce(OriginalQuery, chr(1)))"
+
+
+@register(
+    "language_sample",
+    "B6 C5",
+    O.with_(O.IMPRESSIONS)
+    + f"""
+select * exclude (k_) from (
+  select i.*, cast(case when UniqueSelects > 0 then 1 else 0 end as integer) as relevant,
+         {_VARIANT_SQL['explore']} as product_text, {_ROWKEY_SQL} as k_
+  from impressions i where PageLanguage = 'de') s
+order by md5('42:' || k_), k_
+limit {SAMPLE_ROWS}""",
+)
+def q_language_sample(spark, sf):
+    df = with_product_text(with_label(impressions_df(spark, sf)), "explore")
+    de = language_rows(df, "de")
+    return exact_sample(de, SAMPLE_ROWS, ["product_id", Q])
+
+
+@register(
+    "keyword_hits",
+    "B8",
+    O.with_(O.JUDGED, O.CATALOG_PART)
+    + "\nselect product_id, product_text, ProductType, Level4_ProductGroup from catalog where "
+    + " or ".join(f"regexp_matches(lower(product_text), '{k}')" for k in REGEX_KEYWORDS),
+)
+def q_keyword_hits(spark, sf):
+    return keyword_hits(catalog_df(spark, sf), REGEX_KEYWORDS).select(
+        "product_id", "product_text", "ProductType", "Level4_ProductGroup"
+    )
+
+
+def _blocked_sql(text_kws, type_kws) -> str:
+    terms = [f"contains(lower(coalesce(product_text,'')), '{k}')" for k in text_kws]
+    for k in type_kws:
+        terms.append(f"contains(lower(coalesce(ProductType,'')), '{k}')")
+        terms.append(f"contains(lower(coalesce(Level4_ProductGroup,'')), '{k}')")
+    return "(" + " or ".join(terms) + ")" if terms else "false"
+
+
+@register(
+    "blocklist_filter",
+    "B9 B10 B11",
+    O.with_(O.JUDGED, O.CATALOG_PART)
+    + f"\nselect product_id, {_blocked_sql(BLOCK_TEXT, [])} as blocked_text, "
+    + f"{_blocked_sql([], BLOCK_TYPE)} as blocked_type, {_blocked_sql(BLOCK_TEXT, BLOCK_TYPE)} as blocked from catalog",
+)
+def q_blocklist_filter(spark, sf):
+    c = catalog_df(spark, sf)
+    c = with_block_flags(c, BLOCK_TEXT, [], out="blocked_text")
+    c = with_block_flags(c, [], BLOCK_TYPE, out="blocked_type")
+    c = with_block_flags(c, BLOCK_TEXT, BLOCK_TYPE, out="blocked")
+    return c.select("product_id", "blocked_text", "blocked_type", "blocked")
+
+
+_SLUG_SQL = r"regexp_replace(OriginalQuery, '[^\p{L}\p{N}_-]', '', 'g')"
+
+
+@register(
+    "query_slug",
+    "B12 K6",
+    O.with_(O.JUDGED)
+    + f"""
+select OriginalQuery, slug, judge_slug,
+       'judge_' || judge_slug || '__' || slug || '__vs__' || slug || '.json' as judge_file
+from (select OriginalQuery,
+             coalesce(nullif({_SLUG_SQL}, ''), 'query') as slug,
+             case when OriginalQuery is null or OriginalQuery = '' then 'no_query'
+                  else substr({_SLUG_SQL}, 1, 40) end as judge_slug
+      from (select distinct OriginalQuery from judged) d) s""",
+)
+def q_query_slug(spark, sf):
+    from shelfrank.functions.text import judge_slug, slug
+    from shelfrank.operators.judge import judgement_file_name, report_file_stem
+
+    qs = distinct_values(judged_df(spark, sf), Q)
+    stem = report_file_stem(F.col(Q))
+    return qs.select(
+        Q,
+        slug(Q).alias("slug"),
+        judge_slug(Q).alias("judge_slug"),
+        judgement_file_name(F.col(Q), stem, stem).alias("judge_file"),
+    )
+
+
+# =====================================================================================
+# 2.3  dedup, sampling, splitting
+# =====================================================================================
+
+
+@register("unique_products", "C1", O.with_(O.JUDGED, O.CATALOG_PART) + "\nselect * from catalog")
+def q_unique_products(spark, sf):
+    return catalog_df(spark, sf)
+
+
+@register(
+    "distinct_texts",
+    "C2",
+    O.with_(O.JUDGED) + "\nselect distinct product_text from judged where product_text is not null",
+)
+def q_distinct_texts(spark, sf):
+    return distinct_values(judged_df(spark, sf), "product_text")
+
+
+@register(
+    "dataset_summary",
+    "C3 D5 D6 D7",
+    O.with_(O.JUDGED)
+    + """,
+pq as (select OriginalQuery, count(*) as n, sum(relevant) as pos from judged group by OriginalQuery)
+select cast(count(*) as bigint) as num_queries_total,
+       cast(count(*) filter (where pos > 0) as bigint) as num_queries_with_positive,
+       cast(sum(n) as bigint) as total_rows,
+       round(avg(n), 6) as avg_products_per_query,
+       round(cast(sum(n) as double) / greatest(count(*) filter (where pos > 0), 1), 6) as avg_products_all_rows,
+       round(cast(sum(case when pos > 0 then n end) as double) / greatest(count(*) filter (where pos > 0), 1), 6)
+         as avg_products_selected
+from pq""",
+)
+def q_dataset_summary(spark, sf):
+    from shelfrank.operators.profile import dataset_summary
+
+    return round_doubles(dataset_summary(judged_df(spark, sf)))
+
+
+@register("split_dataset", "C4 E1 A6", O.with_(O.JUDGED, O.SPLITS_PART) + "\nselect * from judged_split")
+def q_split_dataset(spark, sf):
+    return split_df(spark, sf)
+
+
+@register(
+    "split_counts",
+    "C4 D1",
+    O.with_(O.JUDGED, O.SPLITS_PART)
+    + """
+select split, cast(count(distinct OriginalQuery) as bigint) as queries, cast(count(*) as bigint) as num_rows,
+       cast(sum(relevant) as bigint) as positives
+from judged_split group by split""",
+)
+def q_split_counts(spark, sf):
+    return split_df(spark, sf).groupBy("split").agg(
+        F.countDistinct(Q).alias("queries"),
+        F.count(F.lit(1)).alias("num_rows"),
+        F.sum("relevant").cast("bigint").alias("positives"),
+    )
+
+
+@register(
+    "first_n_queries",
+    "C6 E2",
+    O.with_(O.JUDGED)
+    + f""",
+before_q as (select distinct OriginalQuery from judged order by OriginalQuery limit {FIRST_N}),
+after_q as (select OriginalQuery from judged group by OriginalQuery having sum(relevant) > 0
+            order by OriginalQuery limit {FIRST_N})
+select 'before' as stage, OriginalQuery, product_id, relevant from judged where OriginalQuery in (select * from before_q)
+union all
+select 'after' as stage, OriginalQuery, product_id, relevant from judged where OriginalQuery in (select * from after_q)""",
+)
+def q_first_n_queries(spark, sf):
+    j = judged_df(spark, sf)
+    before = first_groups(j, Q, FIRST_N)
+    has_pos = j.groupBy(Q).agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
+    after = first_groups(has_pos, Q, FIRST_N)
+    cols = [Q, "product_id", "relevant"]
+    return restrict_to(j, before, Q).select(F.lit("before").alias("stage"), *cols).unionByName(
+        restrict_to(j, after, Q).select(F.lit("after").alias("stage"), *cols)
+    )
+
+
+@register(
+    "sampled_queries",
+    "C7 E2",
+    O.with_(O.JUDGED)
+    + f""",
+posq as (select OriginalQuery from judged group by OriginalQuery having sum(relevant) > 0
+         order by md5('42:' || OriginalQuery), OriginalQuery limit {SAMPLED_QUERIES})
+select OriginalQuery, product_id, relevant from judged where OriginalQuery in (select * from posq)""",
+)
+def q_sampled_queries(spark, sf):
+    j = judged_df(spark, sf)
+    has_pos = j.groupBy(Q).agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
+    chosen = seeded_first_groups(has_pos, Q, SAMPLED_QUERIES)
+    return restrict_to(j, chosen, Q).select(Q, "product_id", "relevant")
+
+
+@register(
+    "preview_rows",
+    "C8",
+    O.with_(O.IMPRESSIONS) + "\nselect * from impressions order by product_id, OriginalQuery nulls first limit 5",
+)
+def q_preview_rows(spark, sf):
+    return preview(impressions_df(spark, sf), ["product_id", Q], 5)
+
+
+# =====================================================================================
+# 2.4  aggregations
+# =====================================================================================
+
+
+@register(
+    "cleaning_counts",
+    "D1",
+    O.with_(O.IMPRESSIONS)
+    + f"""
+select cast(count(*) as bigint) as rows_total,
+       cast(count(*) filter (where OriginalQuery is not null) as bigint) as rows_with_query,
+       cast(count(*) filter (where PageLanguage = 'de') as bigint) as rows_de,
+       cast(count(distinct OriginalQuery) as bigint) as unique_queries,
+       cast(count(distinct {O.UKEY}) as bigint) as unique_products
+from impressions""",
+)
+def q_cleaning_counts(spark, sf):
+    from shelfrank.operators.profile import cleaning_counts
+
+    return cleaning_counts(impressions_df(spark, sf))
+
+
+@register(
+    "label_counts",
+    "D2 D3",
+    O.with_(O.JUDGED, O.SPLITS_PART)
+    + """
+select 'all' as scope, cast(case when UniqueSelects > 0 then 1 else 0 end as integer) as relevant,
+       cast(count(*) as bigint) as n
+from impressions group by 2
+union all
+select 'train' as scope, relevant, cast(count(*) as bigint) as n from judged_split where split = 'train' group by 2""",
+)
+def q_label_counts(spark, sf):
+    from shelfrank.operators.profile import label_counts
+
+    a = label_counts(with_label(impressions_df(spark, sf))).withColumn("scope", F.lit("all"))
+    t = label_counts(split_df(spark, sf).where(F.col("split") == "train")).withColumn("scope", F.lit("train"))
+    return a.unionByName(t).select("scope", "relevant", "n")
+
+
+@register(
+    "positives_per_query",
+    "D4 D6",
+    O.with_(O.JUDGED)
+    + """
+select OriginalQuery, cast(count(*) as bigint) as num_products, cast(sum(relevant) as bigint) as num_positives
+from judged group by OriginalQuery""",
+)
+def q_positives_per_query(spark, sf):
+    from shelfrank.operators.profile import positives_per_query
+
+    return positives_per_query(judged_df(spark, sf))
+
+
+@register(
+    "language_distribution",
+    "D8",
+    O.with_(O.JUDGED)
+    + """
+select PageLanguage as language, cast(count(*) as bigint) as n,
+       round(count(*) / sum(count(*)) over (), 6) as share
+from judged where PageLanguage is not null group by PageLanguage""",
+)
+def q_language_distribution(spark, sf):
+    return round_doubles(language_distribution(judged_df(spark, sf)))
+
+
+@register(
+    "keyword_hits_by_type",
+    "D9",
+    O.with_(O.JUDGED, O.CATALOG_PART)
+    + ",\nhits as (select * from catalog where "
+    + " or ".join(f"regexp_matches(lower(product_text), '{k}')" for k in REGEX_KEYWORDS)
+    + """)
+(select 'ProductType' as field, ProductType as value, cast(count(*) as bigint) as n from hits
+ where ProductType is not null group by ProductType order by n desc, value limit 20)
+union all
+(select 'Level4_ProductGroup' as field, Level4_ProductGroup as value, cast(count(*) as bigint) as n from hits
+ where Level4_ProductGroup is not null group by Level4_ProductGroup order by n desc, value limit 20)""",
+)
+def q_keyword_hits_by_type(spark, sf):
+    from shelfrank.operators.profile import top_values
+
+    hits = keyword_hits(catalog_df(spark, sf), REGEX_KEYWORDS)
+    return top_values(hits, "ProductType", 20).unionByName(top_values(hits, "Level4_ProductGroup", 20))
+
+
+def _hist_sql(src: str, value: str, cls: str | None, bins: int = HIST_BINS) -> str:
+    """Histogram SQL: per class own min/max (widened by 0.5 when equal)."""
+    c = cls or "'all'"
+    return f"""
+hv as (select {c} as cls, cast({value} as double) as v from {src}),
+hs as (select cls, case when min(v) = max(v) then min(v) - 0.5 else min(v) end as lo,
+              case when min(v) = max(v) then max(v) + 0.5 else max(v) end as hi
+       from hv group by cls),
+hb as (select hv.cls, cast(least(floor((v - lo) / (hi - lo) * {bins}), {bins - 1}) as integer) as bin, lo, hi
+       from hv join hs on hs.cls = hv.cls)
+select cls as class, bin, cast(count(*) as bigint) as n,
+       round(min(lo) + bin * (min(hi) - min(lo)) / {bins}, 6) as bin_lo,
+       round(min(lo) + (bin + 1) * (min(hi) - min(lo)) / {bins}, 6) as bin_hi
+from hb"""
+
+
+@register(
+    "similarity_histogram",
+    "D10",
+    "with "
+    + O.JUDGED_VEC
+    + """,
+posq as (select query_id from judged_vec group by query_id having sum(relevant) > 0),
+sims as (select * from judged_vec where query_id in (select query_id from posq)),"""
+    + _hist_sql("sims", "score", "case when relevant = 1 then 'positive' else 'negative' end")
+    + """
+where (select count(distinct case when relevant = 1 then 'positive' else 'negative' end) from sims) = 2
+group by cls, bin""",
+)
+def q_similarity_histogram(spark, sf):
+    from shelfrank.operators.profile import class_histogram
+
+    pv = judged_vec(spark, sf)
+    posq = pv.groupBy("query_id").agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
+    sims = restrict_to(pv, posq, "query_id")
+    cls = F.when(F.col("relevant") == 1, "positive").otherwise("negative")
+    return round_doubles(class_histogram(sims, "score", cls, HIST_BINS, require_classes=2))
+
+
+@register(
+    "group_size_histogram",
+    "D11",
+    O.with_(O.JUDGED)
+    + """,
+sizes as (select OriginalQuery, count(*) as n from judged group by OriginalQuery having sum(relevant) > 0),"""
+    + _hist_sql("sizes", "n", None)
+    + "\ngroup by cls, bin",
+)
+def q_group_size_histogram(spark, sf):
+    from shelfrank.operators.profile import class_histogram
+
+    sizes = (
+        judged_df(spark, sf)
+        .groupBy(Q)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("relevant").alias("_p"))
+        .where(F.col("_p") > 0)
+    )
+    return round_doubles(class_histogram(sizes, "n", F.lit("all"), HIST_BINS))
+
+
+@register(
+    "encoding_workload",
+    "D13",
+    O.with_(O.JUDGED)
+    + """,
+posq as (select OriginalQuery from judged group by OriginalQuery having sum(relevant) > 0),
+sel as (select * from judged where OriginalQuery in (select * from posq))
+select cast((select count(*) from posq) as bigint) as num_queries,
+       cast(2 * (select count(*) from posq) as bigint) as total_api_calls,
+       cast((select count(*) from posq) + count(*) as bigint) as total_texts_embedded,
+       cast(count(distinct 'query: ' || OriginalQuery) as bigint) as distinct_query_texts,
+       cast(count(distinct 'passage: ' || product_text) as bigint) as distinct_passage_texts
+from sel""",
+)
+def q_encoding_workload(spark, sf):
+    from shelfrank.operators.profile import encoding_workload
 
+    return encoding_workload(judged_df(spark, sf))
 
-# --- 1. minimum slice: scored vector pairs -> rank -> metrics summary --------------
+
+# =====================================================================================
+# 2.5 / 2.6  joins, encoding, scoring
+# =====================================================================================
+
+
+@register(
+    "score_pairs",
+    "E3 F1 F3",
+    O.with_(O.JUDGED, ",", O.text_scored("judged"))
+    + "\nselect OriginalQuery, product_id, relevant, round(score, 6) as score from scored",
+)
+def q_score_pairs(spark, sf):
+    s = scored_text_candidates(judged_df(spark, sf), default_encoder())
+    return round_doubles(s.select(Q, "product_id", "relevant", "score"))
+
+
+@register(
+    "encode_texts",
+    "F1 C2",
+    O.with_(O.JUDGED)
+    + r""",
+t as (select distinct 'passage: ' || product_text as text from judged where product_text is not null),
+tok as (select text, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) as tk from t),
+bk as (select text, cast(('0x' || substr(md5(tk), 1, 8))::BIGINT % 64 as integer) as b, count(*) as c
+       from tok where tk <> '' group by text, b),
+nt as (select text, count(*) filter (where tk <> '') as n from tok group by text),
+dense as (select t.text, string_agg(cast(coalesce(bk.c, 0) as varchar), ',' order by r.i) as counts
+          from t cross join range(64) r(i) left join bk on bk.text = t.text and bk.b = r.i group by t.text)
+select t.text, cast(coalesce(nt.n, 0) as integer) as n_tokens, dense.counts
+from t join dense on dense.text = t.text left join nt on nt.text = t.text""",
+)
+def q_encode_texts(spark, sf):
+    d = distinct_texts(judged_df(spark, sf), "product_text", prefix=PASSAGE_PREFIX)
+    return d.select("text", F.size(tokens("text")).alias("n_tokens"), F.array_join(hashing_counts("text", 64), ",").alias("counts"))
+
+
+@register(
+    "normalize_vectors",
+    "F2",
+    """
+with n as (select vec_id, embedding::DOUBLE[] as e,
+                  sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) as nrm from embeddings),
+u as (select vec_id, nrm, unnest(range(len(e))) as pos, unnest(e) as x from n)
+select vec_id, cast(pos as integer) as pos, round(case when nrm > 0 then x / nrm else x end, 6) as value from u""",
+)
+def q_normalize_vectors(spark, sf):
+    from shelfrank.sources.tables import read_table
+
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    n = e.select("vec_id", l2_normalize("embedding").alias("v"))
+    return round_doubles(n.select("vec_id", F.posexplode("v").alias("pos", "value")))
+
+
+@register(
+    "embedding_cache_delta",
+    "A10 F5 C2",
+    O.with_(O.JUDGED, O.CATALOG_PART)
+    + """,
+wanted as (select distinct 'passage: ' || product_text as text from judged where product_text is not null),
+cached as (select distinct 'passage: ' || product_text as text from catalog where product_text is not null),
+delta as (select text from wanted except select text from cached)"""
+    + ","
+    + O.hash_vectors("dv", "select text from delta")
+    + """
+select d.text, cast(dv_sq.sq as bigint) as sq_norm from delta d join dv_sq on dv_sq.text = d.text""",
+)
+def q_embedding_cache_delta(spark, sf):
+    from shelfrank.operators.encode import cache_delta, encode_distinct
+
+    enc = default_encoder()
+    cache = encode_distinct(catalog_df(spark, sf), "product_text", enc, prefix=PASSAGE_PREFIX)
+    wanted = distinct_texts(judged_df(spark, sf), "product_text", prefix=PASSAGE_PREFIX)
+    new = enc.encode(cache_delta(wanted, cache, "text"), "text")
+    from shelfrank.functions.vectors import squared_norm
+
+    return new.select("text", squared_norm("embedding").cast("bigint").alias("sq_norm"))
+
+
+# =====================================================================================
+# 2.7  ranking and top-k search
+# =====================================================================================
+
+
+@register(
+    "rank_candidates",
+    "G1",
+    O.with_(O.JUDGED, ",", O.text_scored("judged"), ",", O.ranked("scored", Q, "product_id"))
+    + "\nselect OriginalQuery, product_id, cast(rk as integer) as rank from ranked",
+)
+def q_rank_candidates(spark, sf):
+    s = scored_text_candidates(judged_df(spark, sf), default_encoder())
+    return rank_candidates(s, Q, "score", "product_id").select(Q, "product_id", "rank")
+
+
+@register(
+    "best_rank",
+    "G4 A9",
+    "with " + O.JUDGED_VEC + "," + O.ranked("judged_vec", "query_id", "product_id")
+    + "\nselect query_id, cast(min(rk) - 1 as integer) as best_rank from ranked where relevant = 1 group by query_id",
+)
+def q_best_rank(spark, sf):
+    return best_rank(judged_vec(spark, sf), "query_id", "score", "product_id")
+
+
+@register(
+    "ranked_relevances",
+    "G5",
+    "with " + O.JUDGED_VEC + "," + O.ranked("judged_vec", "query_id", "product_id")
+    + """
+select query_id, cast((rk - 1) // 1000 as integer) as chunk_no,
+       string_agg(cast(relevant as varchar), ',' order by rk) as relevances
+from ranked group by query_id, (rk - 1) // 1000""",
+)
+def q_ranked_relevances(spark, sf):
+    r = ranked_relevances(judged_vec(spark, sf), "query_id", "score", "product_id")
+    return r.select("query_id", "chunk_no", F.array_join("relevances", ",").alias("relevances"))
+
+
+@register(
+    "ranking_examples",
+    "G6 C6",
+    "with " + O.JUDGED_VEC + "," + O.ranked("judged_vec", "query_id", "product_id")
+    + """,
+ex_q as (select query_id from judged_vec group by query_id having sum(relevant) > 0 order by query_id limit 3)
+select query_id, cast(rk as integer) as rank, product_id, round(score, 6) as score, relevant
+from ranked where rk <= 10 and query_id in (select * from ex_q)""",
+)
+def q_ranking_examples(spark, sf):
+    ex = ranking_examples(judged_vec(spark, sf), "query_id", "score", "product_id", columns=("product_id",))
+    return round_doubles(ex)
+
+
+def _search_sql(k: int, catalog: str = "catalog") -> str:
+    return O.catalog_search(k, catalog=catalog)
+
+
+@register(
+    "catalog_topk",
+    "E4 G2 F1",
+    O.with_(O.JUDGED, O.CATALOG_PART, ",", _search_sql(SEARCH_K))
+    + "\nselect query, product_id, cast(rk as integer) as rank, round(score, 6) as score from hits",
+)
+def q_catalog_topk(spark, sf):
+    from shelfrank.plans.build import search_catalog
+
+    hits = search_catalog(judged_df(spark, sf), catalog_df(spark, sf), default_encoder(), SEARCH_K)
+    return round_doubles(hits.select("query", "product_id", "rank", "score"))
+
+
+def _safe_sql(text_kws, type_kws, k: int) -> str:
+    return (
+        O.with_(O.JUDGED, O.CATALOG_PART)
+        + f""",
+flags as (select *, {_blocked_sql(text_kws, type_kws)} as blocked from catalog),
+safe_cat as (select * from flags where not blocked or (select count(*) filter (where not blocked) from flags) = 0),"""
+        + _search_sql(k, "safe_cat")
+    )
+
+
+def _safe_hits(spark, sf, text_kws, type_kws, k: int) -> DataFrame:
+    from shelfrank.operators.search import catalog_topk
+
+    enc = default_encoder()
+    judged = judged_df(spark, sf)
+    cat = with_block_flags(catalog_df(spark, sf), text_kws, type_kws)
+    allowed = safe_catalog(cat)
+    return catalog_topk(
+        query_vectors(judged, enc), catalog_vectors(allowed, enc), k, "query", "product_id", normalized=enc.normalized
+    )
+
+
+@register(
+    "safe_topk",
+    "G3 B9 B10",
+    _safe_sql(BLOCK_TEXT, BLOCK_TYPE, SAFE_K)
+    + "\nselect query, product_id, cast(rk as integer) as rank, round(score, 6) as score from hits",
+)
+def q_safe_topk(spark, sf):
+    return round_doubles(_safe_hits(spark, sf, BLOCK_TEXT, BLOCK_TYPE, SAFE_K).select("query", "product_id", "rank", "score"))
+
+
+@register(
+    "safe_topk_all_blocked",
+    "G3",
+    _safe_sql(BLOCK_ALL, [], SAFE_K)
+    + "\nselect query, product_id, cast(rk as integer) as rank, round(score, 6) as score from hits",
+)
+def q_safe_topk_all_blocked(spark, sf):
+    return round_doubles(_safe_hits(spark, sf, BLOCK_ALL, [], SAFE_K).select("query", "product_id", "rank", "score"))
+
+
+def _report_sql(model: str, safe: bool, hits: str = "hits", catalog: str = "catalog", tkw=(), ykw=()) -> str:
+    nl = "chr(10)"
+    name = "coalesce(c.ProductName, c.product_text)"
+    line = (
+        f"'#' || cast(h.rk as varchar) || ' (score=' || printf('%.4f', h.score) || ')' || {nl} || "
+        f"case when coalesce(c.BrandName, '') <> '' then '  Name: ' || {name} || ' [' || c.BrandName || ']' || {nl} "
+        f"else '  Name: ' || {name} || {nl} end"
+    )
+    if safe:
+        line += (
+            f" || case when coalesce(c.ProductType, '') <> '' or coalesce(c.Level4_ProductGroup, '') <> '' "
+            f"then '  Type: ' || coalesce(c.ProductType, '') || ' | Group: ' || coalesce(c.Level4_ProductGroup, '') || {nl} else '' end"
+        )
+    line += f" || '  Text: ' || coalesce(c.product_text, '') || {nl} || {nl}"
+    if safe:
+        tk = repr(list(tkw)).replace("'", "''")
+        yk = repr(list(ykw)).replace("'", "''")
+        head = (
+            f"'Query: ' || query || {nl} || 'Model: {model}' || {nl} || 'Top ' || cast(count(*) as varchar) || ' results' || {nl}"
+            f" || 'Blocked text keywords: {tk}' || {nl} || 'Blocked type keywords: {yk}' || {nl} || {nl}"
+        )
+    else:
+        head = f"'Query: ' || query || {nl} || 'Model: {model}' || {nl} || 'Top ' || cast(count(*) as varchar) || ' results:' || {nl} || {nl}"
+    return f"""
+{hits}_lines as (select h.query, h.rk, {line} as line from {hits} h join {catalog} c on c.product_id = h.product_id),
+{hits}_rep as (select '{model}' as model, query, cast(count(*) as bigint) as n_hits,
+       {head} || string_agg(line, '' order by rk) as report
+from {hits}_lines group by query)"""
+
+
+def _reports(spark, sf, hits: DataFrame, model: str, safe: bool, tkw=(), ykw=()) -> DataFrame:
+    cat = catalog_df(spark, sf).select(
+        "product_id", "product_text", "ProductName", "BrandName", "ProductType", "Level4_ProductGroup"
+    )
+    h = hits.join(cat, "product_id").withColumn("model", F.lit(model))
+    return search_report(h, "query", "model", safe=safe, text_keywords=tkw, type_keywords=ykw)
+
+
+@register(
+    "search_report_text",
+    "A11 B13 G3",
+    _safe_sql(BLOCK_TEXT, BLOCK_TYPE, REPORT_K)
+    + ","
+    + _report_sql("hashing-64", True, tkw=BLOCK_TEXT, ykw=BLOCK_TYPE)
+    + "\nselect * from hits_rep",
+)
+def q_search_report_text(spark, sf):
+    hits = _safe_hits(spark, sf, BLOCK_TEXT, BLOCK_TYPE, REPORT_K)
+    return _reports(spark, sf, hits, "hashing-64", True, BLOCK_TEXT, BLOCK_TYPE)
+
+
+def _prompt_sql() -> str:
+    from shelfrank.operators.judge import NO_QUERY_TEXT, template_pieces
+
+    cols = {
+        "query": f"coalesce(a.query, '{NO_QUERY_TEXT}')",
+        "label_a": "a.model",
+        "text_a": "a.report",
+        "label_b": "b.model",
+        "text_b": "b.report",
+    }
+    parts = []
+    for lit, field in template_pieces():
+        if lit:
+            parts.append("'" + lit.replace("'", "''") + "'")
+        if field:
+            parts.append(cols[field])
+    return " || ".join(parts)
+
+
+@register(
+    "judge_prompts",
+    "E7 K1 A11",
+    O.with_(O.JUDGED, O.CATALOG_PART, ",", O.catalog_search(REPORT_K, dim=64, name="h64"), ",",
+            O.catalog_search(REPORT_K, dim=32, name="h32"), ",",
+            _report_sql("hashing-64", False, hits="h64"), ",", _report_sql("hashing-32", False, hits="h32"))
+    + """,
+reps as (select * from h64_rep union all select * from h32_rep)
+select a.query, a.model as model_a, b.model as model_b, """
+    + _prompt_sql()
+    + """ as prompt
+from reps a join reps b on a.query = b.query and a.model < b.model""",
+)
+def q_judge_prompts(spark, sf):
+    from shelfrank.operators.encode import HashingEncoder
+    from shelfrank.operators.judge import judge_prompts, pair_reports
+    from shelfrank.plans.build import search_catalog
+
+    j, c = judged_df(spark, sf), catalog_df(spark, sf)
+    reps = None
+    for dim in (64, 32):
+        hits = search_catalog(j, c, HashingEncoder(dim), REPORT_K)
+        r = _reports(spark, sf, hits, f"hashing-{dim}", False)
+        reps = r if reps is None else reps.unionByName(r)
+    return judge_prompts(pair_reports(reps))
+
+
+# =====================================================================================
+# 2.8  ranking metrics
+# =====================================================================================
 
 
 @register(
     "ranking_metrics",
-    ops="F3 G1 H1 H2 H3 H6 D12",
-    oracle="with " + O.JUDGED_VEC + "," + O.per_query_cte("judged_vec", "query_id", "product_id") + O.summary_sql(),
+    "F3 G1 H1 H2 H3 H6 D12",
+    "with " + O.JUDGED_VEC + "," + O.per_query_cte("judged_vec", "query_id", "product_id") + O.summary_sql(),
 )
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = judged_vec(spark, sf_dir)
     return round_doubles(evaluate(pairs, "query_id", "product_id", ks=KS, gain="linear"))
+
+
+def _pq_select(prefix: str = "") -> str:
+    names = [f"hit@{k}" for k in KS] + [f"mrr@{k}" for k in KS] + [f"ndcg@{k}" for k in KS]
+    cols = []
+    for n in names:
+        cols.append(f'"{n}"' if n.startswith("hit") else f'round("{n}", 6) as "{n}"')
+    return ", ".join(cols)
+
+
+@register(
+    "per_query_metrics",
+    "H1 H2 H3 H5",
+    "with " + O.JUDGED_VEC + "," + O.per_query_cte("judged_vec", "query_id", "product_id")
+    + f"\nselect query_id as query, {_pq_select()}, num_products, num_positives from pq where num_positives > 0",
+)
+def q_per_query_metrics(spark, sf):
+    return round_doubles(per_query_metrics(judged_vec(spark, sf), "query_id", "product_id"))
+
+
+@register(
+    "graded_metrics",
+    "H3 H4 H1 H2",
+    "with " + O.JUDGED_VEC_GRADED + "," + O.per_query_cte("judged_vec", "query_id", "product_id", gain="linear", p="l_")
+    + "," + O.per_query_cte("judged_vec", "query_id", "product_id", gain="exponential", p="e_")
+    + """
+select l.query_id as query, l."hit@10", round(l."mrr@10", 6) as "mrr@10",
+       round(l."ndcg@5", 6) as ndcg_linear_5, round(l."ndcg@10", 6) as ndcg_linear_10,
+       round(e."ndcg@5", 6) as ndcg_exp_5, round(e."ndcg@10", 6) as ndcg_exp_10, l.num_positives
+from l_pq l join e_pq e on e.query_id = l.query_id where l.num_positives > 0""",
+)
+def q_graded_metrics(spark, sf):
+    g = judged_vec(spark, sf, graded=True)
+    lin = query_stats(g, "query_id", "product_id", gain="linear")
+    exp = query_stats(g, "query_id", "product_id", gain="exponential").select(
+        "query_id", F.col("`ndcg@5`").alias("ndcg_exp_5"), F.col("`ndcg@10`").alias("ndcg_exp_10")
+    )
+    out = lin.join(exp, "query_id").where(F.col("num_positives") > 0).select(
+        F.col("query_id").alias("query"),
+        F.col("`hit@10`"),
+        F.col("`mrr@10`"),
+        F.col("`ndcg@5`").alias("ndcg_linear_5"),
+        F.col("`ndcg@10`").alias("ndcg_linear_10"),
+        "ndcg_exp_5",
+        "ndcg_exp_10",
+        "num_positives",
+    )
+    return round_doubles(out)
+
+
+@register(
+    "metrics_long",
+    "A7",
+    "with " + O.JUDGED_VEC + "," + O.per_query_cte("judged_vec", "query_id", "product_id")
+    + ", s as (" + O.summary_sql() + ")\n"
+    + "\nunion all\n".join(f"select '{m}' as metric, \"{m}\" as value from s" for m in ("hit@1", "hit@5", "hit@10", "mrr@10", "ndcg@10")),
+)
+def q_metrics_long(spark, sf):
+    return metrics_long(ranking_metrics(spark, sf))
+
+
+@register(
+    "end_to_end_eval",
+    "A1 B1 B2 B4 C4 E1 F1 E3 F3 G1 H1 H2 H3 H6",
+    O.with_(O.JUDGED, O.SPLITS_PART, ",\ntest_rows as (select * from judged_split where split = 'test'),", O.text_scored("test_rows"), ",")
+    + O.per_query_cte("scored", "OriginalQuery", "product_id")
+    + O.summary_sql(),
+)
+def q_end_to_end_eval(spark, sf):
+    test = split_df(spark, sf).where(F.col("split") == "test")
+    s = scored_text_candidates(test, default_encoder())
+    return round_doubles(evaluate(s, Q, "product_id", ks=KS, gain="linear"))
+
+
+# =====================================================================================
+# 2.9  training-set preparation
+# =====================================================================================
+
+
+@register(
+    "training_batches",
+    "I2",
+    O.with_(O.JUDGED, O.SPLITS_PART)
+    + f""",
+tp as (select OriginalQuery || ':' || cast(product_id as varchar) as k,
+              'query: ' || OriginalQuery as query_text, 'passage: ' || product_text as product_text
+       from judged_split where split = 'train' and relevant = 1),
+ep as (select cast(e as integer) as epoch, tp.* from tp cross join (select unnest(range(1, {TRAIN_EPOCHS + 1})) as e) x),
+r as (select epoch, query_text, product_text,
+             row_number() over (partition by epoch order by md5('42:' || cast(epoch as varchar) || ':' || k), k) as position
+      from ep)
+select epoch, cast((position - 1) // {TRAIN_BATCH} as bigint) as batch_id, cast(position as bigint) as position,
+       query_text, product_text from r""",
+)
+def q_training_batches(spark, sf):
+    from shelfrank.operators.training import training_batches, training_pairs
+
+    pairs = training_pairs(split_df(spark, sf), keep_key=True)
+    return training_batches(pairs, TRAIN_BATCH, TRAIN_EPOCHS).select(
+        "epoch", "batch_id", "position", "query_text", "product_text"
+    )
+
+
+@register(
+    "training_plan",
+    "I3",
+    O.with_(O.JUDGED, O.SPLITS_PART)
+    + f""",
+n as (select count(*) as n from judged_split where split = 'train' and relevant = 1),
+s as (select n, cast(ceil(n::DOUBLE / {TRAIN_BATCH}::DOUBLE) as bigint) as spe from n)
+select cast(n as bigint) as num_examples, cast({TRAIN_BATCH} as integer) as batch_size,
+       cast({TRAIN_EPOCHS} as integer) as epochs, spe as steps_per_epoch,
+       cast(spe * {TRAIN_EPOCHS} as bigint) as num_training_steps,
+       cast(ceil((spe * {TRAIN_EPOCHS})::DOUBLE * 0.1::DOUBLE) as bigint) as warmup_steps
+from s""",
+)
+def q_training_plan(spark, sf):
+    from shelfrank.operators.training import training_pairs, training_plan
+
+    return training_plan(training_pairs(split_df(spark, sf)), TRAIN_BATCH, TRAIN_EPOCHS)
+
+
+# =====================================================================================
+# 2.11  pairwise judging (parsing side)
+# =====================================================================================
+
+_RESPONSES_SQL = r"""
+judge_responses as (
+  select c_custkey as pair_id,
+    case c_custkey % 5
+      when 0 then '```json' || chr(10) || '{"scores":{"model_a":{"relevance":' || cast(c_custkey % 11 as varchar(5))
+               || '},"model_b":{"relevance":5}},"overall_better":"model_a"}' || chr(10) || '```'
+      when 1 then '{"scores":{"model_a":{"relevance":' || cast(c_custkey % 11 as varchar(5))
+               || '},"model_b":{"relevance":4}},"overall_better":"tie"}'
+      when 2 then '  ```' || chr(10) || '{"scores":{}}' || chr(10) || '```  '
+      when 3 then '```json {"scores":'
+      else 'I prefer model B' end as raw_text
+  from customer
+),
+st as (select pair_id, raw_text, regexp_replace(raw_text, '^\s+|\s+$', '', 'g') as t from judge_responses),
+cl as (select pair_id, raw_text,
+              case when starts_with(t, '```') and regexp_matches(t, '(?is)```(?:json)?\s*(.*)```')
+                   then regexp_replace(regexp_extract(t, '(?is)```(?:json)?\s*(.*)```', 1), '^\s+|\s+$', '', 'g')
+                   else t end as cleaned
+       from st),
+pj as (select *, coalesce(json_valid(cleaned), false) as parsed_ok from cl)"""
+
+
+@register("judge_strip_fences", "K3", "with " + _RESPONSES_SQL + "\nselect pair_id, cleaned from cl")
+def q_judge_strip_fences(spark, sf):
+    from shelfrank.functions.text import strip_code_fences
+
+    r = judge_responses(spark, sf)
+    return r.select("pair_id", strip_code_fences("raw_text").alias("cleaned"))
+
+
+@register(
+    "judge_parse",
+    "K4",
+    "with " + _RESPONSES_SQL
+    + "\nselect pair_id, parsed_ok, case when parsed_ok then cleaned else raw_text end as payload from pj",
+)
+def q_judge_parse(spark, sf):
+    from shelfrank.operators.judge import parse_verdicts
+
+    return parse_verdicts(judge_responses(spark, sf)).select("pair_id", "parsed_ok", "payload")
+
+
+@register(
+    "judge_scores",
+    "K5",
+    "with " + _RESPONSES_SQL
+    + """
+select pair_id, parsed_ok,
+       case when parsed_ok then cast(json_extract(cleaned, '$.scores.model_a.relevance') as double) end as a_relevance,
+       case when parsed_ok then cast(json_extract(cleaned, '$.scores.model_b.relevance') as double) end as b_relevance,
+       case when parsed_ok then coalesce(json_extract_string(cleaned, '$.overall_better'), 'unknown') end as overall_better
+from pj""",
+)
+def q_judge_scores(spark, sf):
+    from shelfrank.operators.judge import parse_verdicts
+
+    v = parse_verdicts(judge_responses(spark, sf))
+    return v.select(
+        "pair_id",
+        "parsed_ok",
+        F.col("scores_a.relevance").alias("a_relevance"),
+        F.col("scores_b.relevance").alias("b_relevance"),
+        "overall_better",
+    )
