@@ -26,8 +26,8 @@ def texts_throughput(texts: Column, total_time: Column) -> tuple[Column, Column]
 
 
 def leaderboard(experiments: DataFrame, metrics: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
-    """One row per experiment, in manifest order (column ``order`` if
-    present), with the 20 leaderboard columns.
+    """One row per experiment with the 20 leaderboard columns, plus
+    ``manifest_order`` (taken from the manifest when present).
 
     * E5: every experiment needs a metrics row — a missing one fails the job
       (``raise_error``) naming the experiment.
@@ -35,8 +35,8 @@ def leaderboard(experiments: DataFrame, metrics: DataFrame, attributes: DataFram
       only; null when unknown.
     """
     exp = experiments
-    if "order" not in exp.columns:
-        exp = exp.withColumn("order", F.monotonically_increasing_id())
+    if "manifest_order" not in exp.columns:
+        exp = exp.withColumn("manifest_order", F.monotonically_increasing_id())
     m = metrics.select(
         "exp_name",
         *[F.col(f"`{c}`") for c in ("hit@1", "hit@5", "hit@10", "mrr@10", "ndcg@10")],
@@ -66,7 +66,7 @@ def leaderboard(experiments: DataFrame, metrics: DataFrame, attributes: DataFram
     qps, qpm = throughput(nq, tt)
     tps, tpm = texts_throughput(F.col("total_texts_embedded"), tt)
     out = checked.select(
-        "order",
+        "manifest_order",
         "_check",
         "exp_name",
         "kind",
@@ -90,4 +90,4 @@ def leaderboard(experiments: DataFrame, metrics: DataFrame, attributes: DataFram
         "num_layers",
     )
     # _check is null for good rows; keeping it in the plan forces evaluation.
-    return out.where(F.col("_check").isNull()).select("order", *[F.col(f"`{c}`") for c in LEADERBOARD_COLUMNS])
+    return out.where(F.col("_check").isNull()).select("manifest_order", *[F.col(f"`{c}`") for c in LEADERBOARD_COLUMNS])

@@ -982,3 +982,128 @@ def q_judge_scores(spark, sf):
         F.col("scores_b.relevance").alias("b_relevance"),
         "overall_better",
     )
+
+
+# =====================================================================================
+# 2.10  model comparison
+# =====================================================================================
+
+# Manifest of the registered leaderboard: three experiments whose metrics Spark
+# computes from the tables (two encoders on the test split, stored vectors on
+# the vector pairs); the attribute table leaves one model unknown on purpose.
+EXPERIMENT_ROWS = [
+    (1, "hash64_test", "hf", "hashing-64", None, "hashing encoder, 64 buckets"),
+    (2, "hash32_test", "hf", "hashing-32", None, "hashing encoder, 32 buckets"),
+    (3, "vectors_table", "api", "embeddings", "table", "stored vectors"),
+]
+ATTRIBUTE_ROWS = [("hashing-64", 0.0, 64, 0)]
+_LB_METRICS = ("hit@1", "hit@5", "hit@10", "mrr@10", "ndcg@10")
+
+
+def _lb_metric_sql(pq: str, exp: str, texts: str = "cast(null as bigint)") -> str:
+    means = ", ".join(
+        f'avg(case when num_positives > 0 then cast("{m}" as double) end) as "{m}"' for m in _LB_METRICS
+    )
+    return (
+        f"select '{exp}' as exp_name, {means}, cast(count(*) filter (where num_positives > 0) as bigint) as num_queries, "
+        f"{texts} as total_texts_embedded from {pq}"
+    )
+
+
+def _lb_sql() -> str:
+    exps = ", ".join(
+        f"({o}, '{e}', '{k}', '{m}', {('NULL' if p is None else repr(p))}, '{n}')" for o, e, k, m, p, n in EXPERIMENT_ROWS
+    )
+    attrs = ", ".join(f"('{m}', {pm}::DOUBLE, {d}, {nl})" for m, pm, d, nl in ATTRIBUTE_ROWS)
+    metric_cols = ", ".join(f'round(m."{c}", 6) as "{c}"' for c in _LB_METRICS)
+    return (
+        O.with_(
+            O.JUDGED,
+            O.SPLITS_PART,
+            ",\ntest_rows as (select * from judged_split where split = 'test'),",
+            O.text_scored("test_rows", 64, "s64"),
+            ",",
+            O.text_scored("test_rows", 32, "s32"),
+            ",",
+            O.per_query_cte("s64", Q, "product_id", p="a_"),
+            ",",
+            O.per_query_cte("s32", Q, "product_id", p="b_"),
+            ",",
+            O.JUDGED_VEC,
+            ",",
+            O.per_query_cte("judged_vec", "query_id", "product_id", p="c_"),
+        )
+        + f""",
+vt as (select count(*) filter (where num_positives > 0) + sum(case when num_positives > 0 then num_products else 0 end) as texts from c_pq),
+mets as ({_lb_metric_sql('a_pq', 'hash64_test')}
+  union all {_lb_metric_sql('b_pq', 'hash32_test')}
+  union all {_lb_metric_sql('c_pq', 'vectors_table', 'cast((select texts from vt) as bigint)')}),
+exps as (select * from (values {exps}) e(manifest_order, exp_name, kind, model_id, provider, note)),
+attrs as (select * from (values {attrs}) a(model_id, params_millions, embedding_dim, num_layers))
+select cast(e.manifest_order as bigint) as manifest_order, e.exp_name, e.kind,
+       coalesce(nullif(e.provider, ''), 'local') as provider, e.model_id, e.note, {metric_cols},
+       m.num_queries, cast(null as double) as total_time_sec, cast(null as double) as queries_per_sec,
+       cast(null as double) as queries_per_min, m.total_texts_embedded, cast(null as double) as texts_per_sec,
+       cast(null as double) as texts_per_min, round(a.params_millions, 6) as params_millions,
+       cast(a.embedding_dim as integer) as embedding_dim, cast(a.num_layers as integer) as num_layers
+from exps e join mets m on m.exp_name = e.exp_name
+left join attrs a on e.kind = 'hf' and a.model_id = e.model_id"""
+    )
+
+
+def _metrics_doc(summary: DataFrame, exp: str, texts=None) -> DataFrame:
+    return summary.select(
+        F.lit(exp).alias("exp_name"),
+        *[F.col(f"`{m}`") for m in _LB_METRICS],
+        F.col("queries_evaluated").cast("bigint").alias("num_queries"),
+        F.lit(None).cast("double").alias("total_time_sec"),
+        (texts if texts is not None else F.lit(None)).cast("bigint").alias("total_texts_embedded"),
+    )
+
+
+@register("leaderboard", "J1 J2 E5 E6 A4 A13", _lb_sql())
+def q_leaderboard(spark, sf):
+    from shelfrank.operators.compare import leaderboard
+    from shelfrank.operators.encode import HashingEncoder
+    from shelfrank.schema import EXPERIMENTS, MODEL_ATTRIBUTES
+
+    from pyspark.sql import types as T
+
+    test = split_df(spark, sf).where(F.col("split") == "test")
+    docs = []
+    for dim, exp in ((64, "hash64_test"), (32, "hash32_test")):
+        s = evaluate(scored_text_candidates(test, HashingEncoder(dim)), Q, "product_id", ks=KS)
+        docs.append(_metrics_doc(s, exp))
+    vec = judged_vec(spark, sf)
+    st = query_stats(vec, "query_id", "product_id", ks=KS)
+    from shelfrank.operators.metrics import summarize
+
+    texts = (
+        st.agg((F.count_if(F.col("num_positives") > 0) + F.sum(F.when(F.col("num_positives") > 0, F.col("num_products")).otherwise(0))).alias("t"))
+        .scalar()
+    )
+    docs.append(_metrics_doc(summarize(st, KS), "vectors_table", texts))
+    metrics = docs[0].unionByName(docs[1]).unionByName(docs[2])
+    exp_schema = T.StructType([T.StructField("manifest_order", T.LongType())] + EXPERIMENTS.fields)
+    experiments = spark.createDataFrame(EXPERIMENT_ROWS, exp_schema)
+    attributes = spark.createDataFrame(ATTRIBUTE_ROWS, MODEL_ATTRIBUTES)
+    return round_doubles(leaderboard(experiments, metrics, attributes))
+
+
+# =====================================================================================
+# 2.13  streaming
+# =====================================================================================
+
+
+@register("streaming_search", "M1")
+def q_streaming_search(spark, sf):
+    from shelfrank.session import scratch_path
+    from shelfrank.streaming.search_stream import run_stream_search
+
+    enc = default_encoder()
+    cat = catalog_vectors(catalog_df(spark, sf), enc)
+    base = scratch_path(spark, "stream-search")
+    run_stream_search(
+        spark, sf, "conversations.parquet", cat, enc, REPORT_K, f"{base}/out", f"{base}/ckpt", f"{base}/catalog"
+    )
+    return round_doubles(spark.read.parquet(f"{base}/out").select("batch_id", "conv_id", "turn", "query", "rank", "product_id", "score"))
