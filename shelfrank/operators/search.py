@@ -130,7 +130,13 @@ def catalog_topk(
 
     def per_block(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or pdf.empty:
-            return pd.DataFrame({query_key: [], product_key: [], "score": []})
+            return pd.DataFrame(
+                {
+                    query_key: qdf[query_key].iloc[:0].reset_index(drop=True) if query_key in qdf else pd.Series([], dtype=object),
+                    product_key: pdf[product_key].iloc[:0].reset_index(drop=True) if product_key in pdf else pd.Series([], dtype=object),
+                    "score": pd.Series([], dtype="float64"),
+                }
+            )
         qv = np.stack(qdf[q_vec].to_numpy()).astype(np.float64)
         pv = np.stack(pdf[p_vec].to_numpy()).astype(np.float64)
         qs = None if normalized else qdf[q_sq].to_numpy(dtype=np.float64)
