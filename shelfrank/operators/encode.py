@@ -32,6 +32,9 @@ class HashingEncoder:
     """
 
     normalized = False
+    # Encoding a row costs less than the shuffle + join that distinct-before-
+    # encode needs, so callers encode rows in place with this encoder.
+    per_row = True
 
     def __init__(self, dim: int = 64, model_id: str | None = None):
         if dim < 1:
@@ -53,6 +56,8 @@ class BatchEncoder:
     scoring is a plain dot product).
     """
 
+    per_row = False  # model inference: encode each distinct text once
+
     def __init__(
         self,
         make_fn: Callable[[], Callable],
@@ -89,6 +94,9 @@ class BatchEncoder:
         return self._udf()(text)
 
     def encode(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+        from shelfrank.session import ship_package
+
+        ship_package(df.sparkSession)
         return df.withColumn(out_col, self.column(F.col(text_col)))
 
 

@@ -96,6 +96,9 @@ def judge_prompts(pairs: DataFrame, query: str = "query") -> DataFrame:
 
 def ask_judge(prompts: DataFrame, judge_fn: Callable[[list[str]], list[str]], prompt_col: str = "prompt") -> DataFrame:
     """K2: run a user judge batch-wise (``mapInPandas``); adds ``raw_text``."""
+    from shelfrank.session import ship_package
+
+    ship_package(prompts.sparkSession)
     schema = T.StructType(prompts.schema.fields + [T.StructField("raw_text", T.StringType(), True)])
 
     def run(batches):

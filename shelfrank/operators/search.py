@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from shelfrank.functions.text import _blank
 from shelfrank.operators.ranking import top_k
+from shelfrank.session import ship_package
 
 DEFAULT_QUERY_BLOCK_ROWS = 1024
 DEFAULT_CATALOG_BLOCK_ROWS = 8192
@@ -106,6 +107,7 @@ def catalog_topk(
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    ship_package(queries.sparkSession)
     qcols = [query_key, q_vec] + ([] if normalized else [q_sq])
     pcols = [product_key, p_vec] + ([] if normalized else [p_sq])
     q = queries.select(*qcols)

@@ -10,42 +10,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, with_prefix
+from shelfrank.functions.vectors import squared_norm
 from shelfrank.operators.dedup import unique_products
 from shelfrank.operators.encode import HashingEncoder, encode_distinct
 from shelfrank.operators.labels import judged_table
 from shelfrank.operators.ranking import attach_vectors, score_pairs
 from shelfrank.operators.search import catalog_topk
 from shelfrank.operators.splits import assign_splits
+from shelfrank.session import materialize
 from shelfrank.sources.adapters import impressions
 
 
-def impressions_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impressions(spark, sf_dir)
+def impressions_df(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    """The impressions adapter; ``materialized`` checkpoints it once so that
+    every branch of a multi-branch plan reads the written copy."""
+    df = impressions(spark, sf_dir)
+    return materialize(df) if materialized else df
 
 
-def judged_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged_table(impressions_df(spark, sf_dir))
+def judged_df(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    return judged_table(impressions_df(spark, sf_dir, materialized))
 
 
-def catalog_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unique_products(impressions_df(spark, sf_dir))
+def catalog_df(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    return unique_products(impressions_df(spark, sf_dir, materialized))
 
 
-def split_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_splits(judged_df(spark, sf_dir))
+def judged_and_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both inputs of a search from **one** materialized impressions table."""
+    imp = impressions_df(spark, sf_dir, materialized=True)
+    return judged_table(imp), unique_products(imp)
+
+
+def split_df(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """Judged rows with their split. The judged rows feed both the per-query
+    split table and the join back, so they are materialized by default."""
+    return assign_splits(judged_df(spark, sf_dir, materialized))
 
 
 def scored_text_candidates(judged: DataFrame, encoder) -> DataFrame:
     """E3 + F1 + F3: each (query, product text) row scored with ``encoder``.
 
-    Distinct query texts and distinct product texts are encoded once each and
-    joined back on the text.
+    Model encoders (``per_row`` False) see each distinct query text and each
+    distinct product text once; the vectors are joined back on the text. A
+    cheap expression encoder is evaluated in place, which saves two shuffles
+    and two joins.
     """
-    qv = encode_distinct(judged, "OriginalQuery", encoder, prefix=QUERY_PREFIX)
-    pv = encode_distinct(judged, "product_text", encoder, prefix=PASSAGE_PREFIX)
-    c = attach_vectors(
-        judged, qv, pv, with_prefix(QUERY_PREFIX, "OriginalQuery"), with_prefix(PASSAGE_PREFIX, "product_text")
-    )
+    q_text = with_prefix(QUERY_PREFIX, "OriginalQuery")
+    p_text = with_prefix(PASSAGE_PREFIX, "product_text")
+    if getattr(encoder, "per_row", False):
+        c = judged.withColumn("q_emb", encoder.column(q_text)).withColumn("p_emb", encoder.column(p_text))
+        c = c.withColumn("q_sq", squared_norm("q_emb")).withColumn("p_sq", squared_norm("p_emb"))
+    else:
+        qv = encode_distinct(judged, "OriginalQuery", encoder, prefix=QUERY_PREFIX)
+        pv = encode_distinct(judged, "product_text", encoder, prefix=PASSAGE_PREFIX)
+        c = attach_vectors(judged, qv, pv, q_text, p_text)
     scored = score_pairs(c, "q_emb", "p_emb", normalized=encoder.normalized, q_sq="q_sq", p_sq="p_sq")
     return scored.drop("q_emb", "p_emb", "q_sq", "p_sq")
 
@@ -54,15 +73,18 @@ def query_vectors(judged: DataFrame, encoder) -> DataFrame:
     """One row per distinct query: ``query, q_emb, q_sq``."""
     qs = judged.where(F.col("OriginalQuery").isNotNull()).select(F.col("OriginalQuery").alias("query")).distinct()
     enc = encoder.encode(qs.withColumn("_t", with_prefix(QUERY_PREFIX, "query")), "_t", "q_emb")
-    from shelfrank.functions.vectors import squared_norm
-
     return enc.select("query", "q_emb", squared_norm("q_emb").alias("q_sq"))
 
 
 def catalog_vectors(catalog: DataFrame, encoder) -> DataFrame:
-    """Catalog rows with ``p_emb, p_sq`` (distinct texts encoded once)."""
+    """Catalog rows with ``p_emb, p_sq`` (distinct texts encoded once for model
+    encoders; in place for a cheap expression encoder)."""
+    p_text = with_prefix(PASSAGE_PREFIX, "product_text")
+    if getattr(encoder, "per_row", False):
+        c = catalog.withColumn("p_emb", encoder.column(p_text))
+        return c.withColumn("p_sq", squared_norm("p_emb"))
     pv = encode_distinct(catalog, "product_text", encoder, prefix=PASSAGE_PREFIX)
-    c = catalog.withColumn("_pt", with_prefix(PASSAGE_PREFIX, "product_text"))
+    c = catalog.withColumn("_pt", p_text)
     return c.join(
         pv.select(F.col("text").alias("_pt"), F.col("embedding").alias("p_emb"), F.col("sq_norm").alias("p_sq")), "_pt"
     ).drop("_pt")

@@ -28,12 +28,14 @@ from shelfrank.plans.build import (
     catalog_vectors,
     default_encoder,
     impressions_df,
+    judged_and_catalog,
     judged_df,
     query_vectors,
     scored_text_candidates,
     split_df,
 )
 from shelfrank.plans.registry import register, round_doubles
+from shelfrank.session import materialize
 from shelfrank.sources.adapters import judge_responses, judged_vec
 
 KS = (1, 5, 10)
@@ -287,7 +289,7 @@ union all
 select 'after' as stage, OriginalQuery, product_id, relevant from judged where OriginalQuery in (select * from after_q)""",
 )
 def q_first_n_queries(spark, sf):
-    j = judged_df(spark, sf)
+    j = judged_df(spark, sf, materialized=True)
     before = first_groups(j, Q, FIRST_N)
     has_pos = j.groupBy(Q).agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
     after = first_groups(has_pos, Q, FIRST_N)
@@ -307,7 +309,7 @@ posq as (select OriginalQuery from judged group by OriginalQuery having sum(rele
 select OriginalQuery, product_id, relevant from judged where OriginalQuery in (select * from posq)""",
 )
 def q_sampled_queries(spark, sf):
-    j = judged_df(spark, sf)
+    j = judged_df(spark, sf, materialized=True)
     has_pos = j.groupBy(Q).agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
     chosen = seeded_first_groups(has_pos, Q, SAMPLED_QUERIES)
     return restrict_to(j, chosen, Q).select(Q, "product_id", "relevant")
@@ -359,8 +361,12 @@ select 'train' as scope, relevant, cast(count(*) as bigint) as n from judged_spl
 def q_label_counts(spark, sf):
     from shelfrank.operators.profile import label_counts
 
-    a = label_counts(with_label(impressions_df(spark, sf))).withColumn("scope", F.lit("all"))
-    t = label_counts(split_df(spark, sf).where(F.col("split") == "train")).withColumn("scope", F.lit("train"))
+    from shelfrank.operators.labels import judged_table
+    from shelfrank.operators.splits import assign_splits
+
+    imp = impressions_df(spark, sf, materialized=True)
+    a = label_counts(with_label(imp)).withColumn("scope", F.lit("all"))
+    t = label_counts(assign_splits(judged_table(imp)).where(F.col("split") == "train")).withColumn("scope", F.lit("train"))
     return a.unionByName(t).select("scope", "relevant", "n")
 
 
@@ -407,7 +413,7 @@ union all
 def q_keyword_hits_by_type(spark, sf):
     from shelfrank.operators.profile import top_values
 
-    hits = keyword_hits(catalog_df(spark, sf), REGEX_KEYWORDS)
+    hits = keyword_hits(catalog_df(spark, sf, materialized=True), REGEX_KEYWORDS)
     return top_values(hits, "ProductType", 20).unionByName(top_values(hits, "Level4_ProductGroup", 20))
 
 
@@ -488,7 +494,7 @@ from sel""",
 def q_encoding_workload(spark, sf):
     from shelfrank.operators.profile import encoding_workload
 
-    return encoding_workload(judged_df(spark, sf))
+    return encoding_workload(judged_df(spark, sf, materialized=True))
 
 
 # =====================================================================================
@@ -503,7 +509,7 @@ def q_encoding_workload(spark, sf):
     + "\nselect OriginalQuery, product_id, relevant, round(score, 6) as score from scored",
 )
 def q_score_pairs(spark, sf):
-    s = scored_text_candidates(judged_df(spark, sf), default_encoder())
+    s = scored_text_candidates(judged_df(spark, sf, materialized=True), default_encoder())
     return round_doubles(s.select(Q, "product_id", "relevant", "score"))
 
 
@@ -561,8 +567,9 @@ def q_embedding_cache_delta(spark, sf):
     from shelfrank.operators.encode import cache_delta, encode_distinct
 
     enc = default_encoder()
-    cache = encode_distinct(catalog_df(spark, sf), "product_text", enc, prefix=PASSAGE_PREFIX)
-    wanted = distinct_texts(judged_df(spark, sf), "product_text", prefix=PASSAGE_PREFIX)
+    judged, catalog = judged_and_catalog(spark, sf)
+    cache = encode_distinct(catalog, "product_text", enc, prefix=PASSAGE_PREFIX)
+    wanted = distinct_texts(judged, "product_text", prefix=PASSAGE_PREFIX)
     new = enc.encode(cache_delta(wanted, cache, "text"), "text")
     from shelfrank.functions.vectors import squared_norm
 
@@ -581,7 +588,7 @@ def q_embedding_cache_delta(spark, sf):
     + "\nselect OriginalQuery, product_id, cast(rk as integer) as rank from ranked",
 )
 def q_rank_candidates(spark, sf):
-    s = scored_text_candidates(judged_df(spark, sf), default_encoder())
+    s = scored_text_candidates(judged_df(spark, sf, materialized=True), default_encoder())
     return rank_candidates(s, Q, "score", "product_id").select(Q, "product_id", "rank")
 
 
@@ -636,7 +643,8 @@ def _search_sql(k: int, catalog: str = "catalog") -> str:
 def q_catalog_topk(spark, sf):
     from shelfrank.plans.build import search_catalog
 
-    hits = search_catalog(judged_df(spark, sf), catalog_df(spark, sf), default_encoder(), SEARCH_K)
+    judged, catalog = judged_and_catalog(spark, sf)
+    hits = search_catalog(judged, catalog, default_encoder(), SEARCH_K)
     return round_doubles(hits.select("query", "product_id", "rank", "score"))
 
 
@@ -650,12 +658,11 @@ safe_cat as (select * from flags where not blocked or (select count(*) filter (w
     )
 
 
-def _safe_hits(spark, sf, text_kws, type_kws, k: int) -> DataFrame:
+def _safe_hits(judged: DataFrame, catalog: DataFrame, text_kws, type_kws, k: int) -> DataFrame:
     from shelfrank.operators.search import catalog_topk
 
     enc = default_encoder()
-    judged = judged_df(spark, sf)
-    cat = with_block_flags(catalog_df(spark, sf), text_kws, type_kws)
+    cat = with_block_flags(catalog, text_kws, type_kws)
     allowed = safe_catalog(cat)
     return catalog_topk(
         query_vectors(judged, enc), catalog_vectors(allowed, enc), k, "query", "product_id", normalized=enc.normalized
@@ -669,7 +676,7 @@ def _safe_hits(spark, sf, text_kws, type_kws, k: int) -> DataFrame:
     + "\nselect query, product_id, cast(rk as integer) as rank, round(score, 6) as score from hits",
 )
 def q_safe_topk(spark, sf):
-    return round_doubles(_safe_hits(spark, sf, BLOCK_TEXT, BLOCK_TYPE, SAFE_K).select("query", "product_id", "rank", "score"))
+    return round_doubles(_safe_hits(*judged_and_catalog(spark, sf), BLOCK_TEXT, BLOCK_TYPE, SAFE_K).select("query", "product_id", "rank", "score"))
 
 
 @register(
@@ -679,7 +686,7 @@ def q_safe_topk(spark, sf):
     + "\nselect query, product_id, cast(rk as integer) as rank, round(score, 6) as score from hits",
 )
 def q_safe_topk_all_blocked(spark, sf):
-    return round_doubles(_safe_hits(spark, sf, BLOCK_ALL, [], SAFE_K).select("query", "product_id", "rank", "score"))
+    return round_doubles(_safe_hits(*judged_and_catalog(spark, sf), BLOCK_ALL, [], SAFE_K).select("query", "product_id", "rank", "score"))
 
 
 def _report_sql(model: str, safe: bool, hits: str = "hits", catalog: str = "catalog", tkw=(), ykw=()) -> str:
@@ -712,8 +719,8 @@ def _report_sql(model: str, safe: bool, hits: str = "hits", catalog: str = "cata
 from {hits}_lines group by query)"""
 
 
-def _reports(spark, sf, hits: DataFrame, model: str, safe: bool, tkw=(), ykw=()) -> DataFrame:
-    cat = catalog_df(spark, sf).select(
+def _reports(catalog: DataFrame, hits: DataFrame, model: str, safe: bool, tkw=(), ykw=()) -> DataFrame:
+    cat = catalog.select(
         "product_id", "product_text", "ProductName", "BrandName", "ProductType", "Level4_ProductGroup"
     )
     h = hits.join(cat, "product_id").withColumn("model", F.lit(model))
@@ -729,8 +736,9 @@ def _reports(spark, sf, hits: DataFrame, model: str, safe: bool, tkw=(), ykw=())
     + "\nselect * from hits_rep",
 )
 def q_search_report_text(spark, sf):
-    hits = _safe_hits(spark, sf, BLOCK_TEXT, BLOCK_TYPE, REPORT_K)
-    return _reports(spark, sf, hits, "hashing-64", True, BLOCK_TEXT, BLOCK_TYPE)
+    judged, catalog = judged_and_catalog(spark, sf)
+    hits = _safe_hits(judged, catalog, BLOCK_TEXT, BLOCK_TYPE, REPORT_K)
+    return _reports(catalog, hits, "hashing-64", True, BLOCK_TEXT, BLOCK_TYPE)
 
 
 def _prompt_sql() -> str:
@@ -770,11 +778,11 @@ def q_judge_prompts(spark, sf):
     from shelfrank.operators.judge import judge_prompts, pair_reports
     from shelfrank.plans.build import search_catalog
 
-    j, c = judged_df(spark, sf), catalog_df(spark, sf)
+    j, c = judged_and_catalog(spark, sf)
     reps = None
     for dim in (64, 32):
         hits = search_catalog(j, c, HashingEncoder(dim), REPORT_K)
-        r = _reports(spark, sf, hits, f"hashing-{dim}", False)
+        r = _reports(c, hits, f"hashing-{dim}", False)
         reps = r if reps is None else reps.unionByName(r)
     return judge_prompts(pair_reports(reps))
 
@@ -861,7 +869,7 @@ def q_metrics_long(spark, sf):
     + O.summary_sql(),
 )
 def q_end_to_end_eval(spark, sf):
-    test = split_df(spark, sf).where(F.col("split") == "test")
+    test = materialize(split_df(spark, sf).where(F.col("split") == "test"))
     s = scored_text_candidates(test, default_encoder())
     return round_doubles(evaluate(s, Q, "product_id", ks=KS, gain="linear"))
 
@@ -889,7 +897,7 @@ select epoch, cast((position - 1) // {TRAIN_BATCH} as bigint) as batch_id, cast(
 def q_training_batches(spark, sf):
     from shelfrank.operators.training import training_batches, training_pairs
 
-    pairs = training_pairs(split_df(spark, sf), keep_key=True)
+    pairs = materialize(training_pairs(split_df(spark, sf), keep_key=True))
     return training_batches(pairs, TRAIN_BATCH, TRAIN_EPOCHS).select(
         "epoch", "batch_id", "position", "query_text", "product_text"
     )
@@ -1069,7 +1077,7 @@ def q_leaderboard(spark, sf):
 
     from pyspark.sql import types as T
 
-    test = split_df(spark, sf).where(F.col("split") == "test")
+    test = materialize(split_df(spark, sf).where(F.col("split") == "test"))
     docs = []
     for dim, exp in ((64, "hash64_test"), (32, "hash32_test")):
         s = evaluate(scored_text_candidates(test, HashingEncoder(dim)), Q, "product_id", ks=KS)

@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SHELFRANK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,6 +56,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shelfrank`` importable in executor Python workers (once per
+    context): operators that run Python on workers (grouped pandas functions,
+    batch encoders, judges) reference module-level helpers."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfrank_shipped", False):
+        return
+    import zipfile
+
+    import shelfrank
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(shelfrank.__file__)))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="shelfrank-pkg-"), "shelfrank.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "shelfrank")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._shelfrank_shipped = True
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from the
+    written copy (reliable ``checkpoint``, never a local one).
+
+    Used where one intermediate feeds several branches of a plan: Catalyst
+    prunes columns differently per branch, so without this the upstream joins
+    would run once per branch. It also cuts the lineage, so a lost executor
+    re-reads the checkpoint instead of recomputing the joins.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -46,8 +46,13 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     order_seg = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_mktsegment")
+    # lineitem⋈orders joins two fact tables that both grow with the data: a
+    # sort-merge join at any scale (or a co-bucketed one). The hint keeps small
+    # local files from being planned as a broadcast of the lineitem side, which
+    # would probe the whole table in one task.
     per_part_seg = (
-        li.join(order_seg, li.l_orderkey == order_seg.o_orderkey)
+        li.hint("merge")
+        .join(order_seg, li.l_orderkey == order_seg.o_orderkey)
         .groupBy("l_partkey", "c_mktsegment")
         .agg(F.sum("sel").alias("sel"))
     )
