@@ -70,11 +70,47 @@ def attach_vectors(
 
 
 def rank_candidates(df: DataFrame, group: str, score: str, key: str, out: str = "rank") -> DataFrame:
-    """G1: 1-based rank of every candidate within its group."""
+    """G1: 1-based rank of every candidate within its group (window form:
+    one task sorts each whole group; see :func:`rank_candidates_sorted` for
+    groups that may hold a large share of all rows)."""
     w = Window.partitionBy(group).orderBy(*order_columns(score, key))
     return df.withColumn(out, F.row_number().over(w))
 
 
+def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out: str = "rank") -> DataFrame:
+    """G1, skew-proof: exact rank without sorting any group in one task.
+
+    1. A global sort on (group, order) is range-partitioned from a sample of
+       the full sort key, so a hot group is spread over many partitions.
+    2. Each row's global position = rows in earlier partitions (a running sum
+       over one count per partition, broadcast — bounded by the partition
+       count) + its index inside its partition.
+    3. rank = position - first position of its group + 1, the first position
+       being a partially aggregated ``min`` per group.
+
+    The sorted rows are checkpointed once (reliable checkpoint in the shared
+    folder) so that every branch sees the same partition assignment.
+    """
+    from shelfrank.session import materialize
+
+    flag = _flag(score)
+    s = df.withColumn("_f", flag).withColumn("_s", F.when(flag, F.lit(0.0)).otherwise(-F.col(score).cast("double")))
+    keys = [group, "_f", "_s", key]
+    srt = s.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    pos = materialize(
+        srt.withColumn("_pid", F.spark_partition_id().cast("long")).withColumn("_mono", F.monotonically_increasing_id())
+    )
+    counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_pid", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
+    g = pos.join(F.broadcast(offsets), "_pid").withColumn(
+        "_gpos", F.col("_off") + (F.col("_mono") - F.shiftleft(F.col("_pid"), 33))
+    )
+    starts = g.groupBy(group).agg(F.min("_gpos").alias("_start"))
+    ranked = g.join(starts, group).withColumn(out, (F.col("_gpos") - F.col("_start") + 1).cast("int"))
+    return ranked.drop("_f", "_s", "_pid", "_mono", "_off", "_gpos", "_start")
+
+
 def top_k(df: DataFrame, group: str, score: str, key: str, k: int, out: str = "rank") -> DataFrame:
     """First ``k`` candidates per group. ``row_number() <= k`` is planned as a
     partial WindowGroupLimit before the shuffle and a final one after it, so a
@@ -111,8 +147,9 @@ def ranked_relevances(
     df: DataFrame, group: str, score: str, key: str, rel: str = "relevant", chunk: int = 1000
 ) -> DataFrame:
     """Labels in rank order per group, as bounded chunks of ``chunk`` ranks
-    (``group, chunk_no, relevances``). No group is ever collected whole."""
-    r = rank_candidates(df, group, score, key, "_rk")
+    (``group, chunk_no, relevances``). No group is ever collected whole, and
+    the ranking itself is the skew-proof sorted form."""
+    r = rank_candidates_sorted(df, group, score, key, "_rk")
     return (
         r.withColumn("chunk_no", ((F.col("_rk") - 1) / F.lit(chunk)).cast("long").cast("int"))
         .groupBy(group, "chunk_no")

@@ -18,7 +18,13 @@ from shelfrank.operators.dedup import distinct_values
 from shelfrank.operators.encode import distinct_texts
 from shelfrank.operators.labels import keyword_hits, language_rows, positives, with_block_flags, with_label, with_product_text
 from shelfrank.operators.metrics import evaluate, language_distribution, metrics_long, per_query_metrics, query_stats
-from shelfrank.operators.ranking import best_rank, first_groups, rank_candidates, ranked_relevances, ranking_examples
+from shelfrank.operators.ranking import (
+    best_rank,
+    first_groups,
+    rank_candidates_sorted,
+    ranked_relevances,
+    ranking_examples,
+)
 from shelfrank.operators.sampling import exact_sample, global_rank, preview, seeded_first_groups
 from shelfrank.operators.search import safe_catalog, search_report
 from shelfrank.operators.splits import restrict_to
@@ -589,7 +595,7 @@ def q_embedding_cache_delta(spark, sf):
 )
 def q_rank_candidates(spark, sf):
     s = scored_text_candidates(judged_df(spark, sf, materialized=True), default_encoder())
-    return rank_candidates(s, Q, "score", "product_id").select(Q, "product_id", "rank")
+    return rank_candidates_sorted(s, Q, "score", "product_id").select(Q, "product_id", "rank")
 
 
 @register(

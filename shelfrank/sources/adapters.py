@@ -82,12 +82,15 @@ _PAIR_MOD = 23
 _PAIR_MULT = 8
 
 
-def judged_vec(spark: SparkSession, sf_dir: str, graded: bool = False) -> DataFrame:
+def judged_vec(spark: SparkSession, sf_dir: str, graded: bool = False, salts: int = 16) -> DataFrame:
     """Scored pairs: every 10th vector is a query; candidates pair by a modular rule.
 
     Columns: query_id, product_id, score (ordered double dot), relevant (0/1,
     or 0/1/2 when ``graded``). Expressed as an equi-join on the residue, so Spark
-    plans a hash join instead of a nested loop over all vector pairs.
+    plans a hash join instead of a nested loop over all vector pairs. The
+    residue has only 23 values, so each would be one huge join task at scale:
+    candidates are salted into ``salts`` groups and the (smaller) query side is
+    replicated once per salt, giving 23 × salts balanced join keys.
     """
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     q = e.where(F.col("vec_id") % 10 == 0).select(
@@ -95,14 +98,15 @@ def judged_vec(spark: SparkSession, sf_dir: str, graded: bool = False) -> DataFr
         F.col("embedding").alias("q_emb"),
         F.col("label").alias("q_label"),
         F.pmod(F.col("vec_id") * _PAIR_MULT, F.lit(_PAIR_MOD)).alias("jk"),
-    )
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     c = e.where(F.col("vec_id") % 10 != 0).select(
         F.col("vec_id").alias("product_id"),
         F.col("embedding").alias("c_emb"),
         F.col("label").alias("c_label"),
         F.pmod(F.col("vec_id"), F.lit(_PAIR_MOD)).alias("jk"),
+        F.pmod(F.xxhash64(F.col("vec_id")), F.lit(salts)).cast("int").alias("salt"),
     )
-    pairs = q.join(c, "jk")
+    pairs = q.join(c, ["jk", "salt"])
     if graded:
         rel = (
             F.when(F.col("q_label") == F.col("c_label"), 2)

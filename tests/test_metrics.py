@@ -125,3 +125,14 @@ def test_metric_bounds_and_order(spark):
         assert r["hit@1"] <= r["hit@5"] <= r["hit@10"]
         for m in ("mrr@10", "ndcg@10", "ndcg@5"):
             assert 0.0 <= r[m] <= 1.0 + 1e-12
+
+
+def test_sorted_rank_equals_window_rank_with_hot_group(spark):
+    from shelfrank.operators.ranking import rank_candidates_sorted
+
+    rows = [("hot", i, float(i % 7), i % 2) for i in range(3000)]  # many ties, one hot group
+    rows += [(f"q{j}", i, float(i), 0) for j in range(20) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(13)
+    a = rank_candidates(df, "q", "score", "pid").select("q", "pid", "rank")
+    b = rank_candidates_sorted(df, "q", "score", "pid").select("q", "pid", "rank")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
