@@ -92,3 +92,17 @@ def test_strip_code_fences(spark):
     df = spark.createDataFrame([(a,) for a, _ in cases], "t string")
     got = [r[0] for r in df.select(strip_code_fences("t")).collect()]
     assert got == [b for _, b in cases]
+
+
+def test_require_columns_lists_all_missing(spark):
+    import pytest
+
+    from shelfrank.operators.dedup import unique_products
+    from shelfrank.schema import MissingColumnsError
+
+    df = spark.createDataFrame([("n",)], "ProductName string")
+    with pytest.raises(MissingColumnsError) as e:
+        unique_products(df)
+    msg = str(e.value)
+    for c in ("BrandName", "ProductType", "Level4_ProductGroup", "PageLanguage", "product_id"):
+        assert c in msg
