@@ -71,21 +71,32 @@ def top_values(df: DataFrame, col: str, n: int = 20) -> DataFrame:
 
 
 def class_histogram(
-    df: DataFrame, value: str, cls: Column, bins: int = 50, require_classes: int | None = None
+    df: DataFrame, value: str, cls: Column | None = None, bins: int = 50, require_classes: int | None = None
 ) -> DataFrame:
     """Equal-width histogram of ``value`` per class, each class on its
     own min–max range (widened by ±0.5 when min = max, so one bin — the middle
     one — holds everything). The maximum falls in the last bin.
 
-    With ``require_classes``, rows are emitted only when that many classes exist.
+    Without ``cls`` there is one class, ``all``, whose bounds are scalar
+    subqueries; with classes, the per-class bounds (one row per class) are
+    joined on the class. With ``require_classes``, rows are emitted only when
+    that many classes exist.
     """
-    v = df.select(cls.alias("cls"), F.col(value).cast("double").alias("v"))
-    bounds = v.groupBy("cls").agg(F.min("v").alias("mn"), F.max("v").alias("mx")).select(
-        "cls",
-        F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-        F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
-    )
-    binned = v.join(bounds, "cls").withColumn(
+
+    def widen(mn: Column, mx: Column) -> tuple[Column, Column]:
+        return F.when(mn == mx, mn - 0.5).otherwise(mn), F.when(mn == mx, mx + 0.5).otherwise(mx)
+
+    if cls is None:
+        v = df.select(F.lit("all").alias("cls"), F.col(value).cast("double").alias("v"))
+        b = df.select(F.min(F.col(value).cast("double")).alias("mn"), F.max(F.col(value).cast("double")).alias("mx"))
+        lo, hi = widen(b.select("mn").scalar(), b.select("mx").scalar())
+        binned = v.withColumn("lo", lo).withColumn("hi", hi)
+    else:
+        v = df.select(cls.alias("cls"), F.col(value).cast("double").alias("v"))
+        bounds = v.groupBy("cls").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
+        lo, hi = widen(F.col("mn"), F.col("mx"))
+        binned = v.join(bounds.select("cls", lo.alias("lo"), hi.alias("hi")), "cls")
+    binned = binned.withColumn(
         "bin",
         F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)), F.lit(bins - 1)).cast("int"),
     )

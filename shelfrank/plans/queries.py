@@ -475,12 +475,12 @@ def q_group_size_histogram(spark, sf):
     from shelfrank.operators.profile import class_histogram
 
     sizes = (
-        judged_df(spark, sf)
+        judged_df(spark, sf, materialized=True)
         .groupBy(Q)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("relevant").alias("_p"))
         .where(F.col("_p") > 0)
     )
-    return round_doubles(class_histogram(sizes, "n", F.lit("all"), HIST_BINS))
+    return round_doubles(class_histogram(materialize(sizes), "n", None, HIST_BINS))
 
 
 @register(

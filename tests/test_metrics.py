@@ -136,3 +136,13 @@ def test_sorted_rank_equals_window_rank_with_hot_group(spark):
     a = rank_candidates(df, "q", "score", "pid").select("q", "pid", "rank")
     b = rank_candidates_sorted(df, "q", "score", "pid").select("q", "pid", "rank")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_constant_histogram_middle_bin(spark):
+    from shelfrank.operators.profile import class_histogram
+
+    df = spark.createDataFrame([(7.0,)] * 5, "v double")
+    r = class_histogram(df, "v", None, 50).collect()
+    assert len(r) == 1 and r[0]["bin"] == 25 and r[0]["n"] == 5
+    plan = class_histogram(df, "v", None, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
