@@ -146,3 +146,47 @@ def test_constant_histogram_middle_bin(spark):
     assert len(r) == 1 and r[0]["bin"] == 25 and r[0]["n"] == 5
     plan = class_histogram(df, "v", None, 50)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _py_metrics(rows, k_list=(1, 5, 10), gain="linear"):
+    """Plain-Python metric definitions (reference for the Spark operator)."""
+    out = {}
+    by_q = {}
+    for q, pid, score, rel in rows:
+        by_q.setdefault(q, []).append((pid, score, rel))
+    for q, items in by_q.items():
+        items.sort(key=lambda t: (math.isnan(t[1]), -t[1] if not math.isnan(t[1]) else 0.0, t[0]))
+        labels = [r for _, _, r in items]
+        first = labels.index(1) + 1 if 1 in labels else None
+        g = (lambda x: float(x)) if gain == "linear" else (lambda x: 2.0**x - 1.0)
+        m = {"num_products": len(labels), "num_positives": sum(labels)}
+        for k in k_list:
+            top = labels[:k]
+            dcg = sum(g(x) / math.log2(i + 2) for i, x in enumerate(top))
+            idcg = sum(g(x) / math.log2(i + 2) for i, x in enumerate(sorted(top, reverse=True)))
+            m[f"hit@{k}"] = int(first is not None and first <= k)
+            m[f"mrr@{k}"] = 1.0 / first if first is not None and first <= k else 0.0
+            m[f"ndcg@{k}"] = dcg / idcg if idcg > 0 else 0.0
+        out[q] = m
+    return out
+
+
+@pytest.mark.parametrize("gain", ["linear", "exponential"])
+def test_random_queries_match_python_definitions(spark, gain):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for qi in range(300):
+        n = int(rng.integers(1, 30))
+        for j in range(n):
+            s = float(rng.integers(0, 6)) / 5.0  # many ties
+            if rng.random() < 0.05:
+                s = float("nan")
+            rows.append((f"q{qi}", int(rng.integers(0, 10_000)) * 100 + j, s, int(rng.choice([0, 0, 0, 1, 2]))))
+    got = {r["q"]: r.asDict() for r in query_stats(spark.createDataFrame(rows, SCHEMA), "q", "pid", gain=gain).collect()}
+    want = _py_metrics(rows, gain=gain)
+    assert got.keys() == want.keys()
+    for q, m in want.items():
+        for key, v in m.items():
+            assert got[q][key] == pytest.approx(v, abs=1e-12), (q, key)
