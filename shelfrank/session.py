@@ -22,10 +22,12 @@ SCALE_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "shelfrank") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "shelfrank", extra_conf: dict | None = None
+) -> SparkSession:
     """A local session for tests and the bench (never used by operators)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
