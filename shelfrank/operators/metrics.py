@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfrank.operators.ranking import top_k
@@ -141,9 +141,26 @@ def metrics_long(summary: DataFrame, metrics: Sequence[str] = ("hit@1", "hit@5",
 
 
 def language_distribution(df: DataFrame, lang: str = "PageLanguage") -> DataFrame:
-    """Share of each language; null languages are left out of the denominator."""
+    """Share of each language; null languages are left out of the denominator.
+    (The total is a window over the per-language counts — one row per language.)"""
     counts = df.where(F.col(lang).isNotNull()).groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     total = F.sum("n").over(Window.partitionBy())
     return counts.select(F.col(lang).alias("language"), "n", (F.col("n") / total).alias("share"))
+
+
+def metrics_document(
+    summary: DataFrame, rows: DataFrame | None = None, lang: str = "PageLanguage", **fields
+) -> DataFrame:
+    """H6 as one document row: the summary, the language shares of ``rows`` as
+    ``map<string,double>`` (a scalar subquery over one row per language) and
+    literal fields such as ``exp_name``, ``model_name_or_path`` or ``timestamp``
+    (passed in, never the clock, so documents are reproducible)."""
+    doc = summary
+    if rows is not None:
+        shares = language_distribution(rows, lang).agg(
+            F.map_from_entries(F.collect_list(F.struct("language", "share"))).alias("m")
+        )
+        doc = doc.withColumn("language_distribution", shares.select("m").scalar())
+    for k, v in fields.items():
+        doc = doc.withColumn(k, F.lit(v))
+    return doc

@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.functions.keys import row_key
-from shelfrank.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, parse_keywords, product_text, relevance_label
+from shelfrank.functions.text import PASSAGE_PREFIX, parse_keywords, product_text, relevance_label
 from shelfrank.functions.vectors import hashing_counts, l2_normalize, tokens
 from shelfrank.operators.dedup import distinct_values
 from shelfrank.operators.encode import distinct_texts
-from shelfrank.operators.labels import keyword_hits, language_rows, positives, with_block_flags, with_label, with_product_text
+from shelfrank.operators.labels import keyword_hits, language_rows, with_block_flags, with_label, with_product_text
 from shelfrank.operators.metrics import evaluate, language_distribution, metrics_long, per_query_metrics, query_stats
 from shelfrank.operators.ranking import (
     best_rank,
@@ -25,7 +24,7 @@ from shelfrank.operators.ranking import (
     ranked_relevances,
     ranking_examples,
 )
-from shelfrank.operators.sampling import exact_sample, global_rank, preview, seeded_first_groups
+from shelfrank.operators.sampling import exact_sample, preview, seeded_first_groups
 from shelfrank.operators.search import safe_catalog, search_report
 from shelfrank.operators.splits import restrict_to
 from shelfrank.plans import oracle as O
@@ -63,10 +62,6 @@ TRAIN_EPOCHS = 2
 HIST_BINS = 50
 
 
-def _sql_list(items) -> str:
-    return ", ".join("'" + s.replace("'", "''") + "'" for s in items)
-
-
 # =====================================================================================
 # 2.1 / 2.2  sources, projections, filters
 # =====================================================================================

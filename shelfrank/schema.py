@@ -43,25 +43,25 @@ CATALOG = _struct(
 METRIC_NAMES = ("hit@1", "hit@5", "hit@10", "mrr@1", "mrr@5", "mrr@10", "ndcg@1", "ndcg@5", "ndcg@10")
 
 # Union of the three metrics-document variants; every key nullable.
-METRICS_DOC = _struct(
-    ("model_name_or_path", S),
-    ("model", S),
-    ("exp_name", S),
-    ("provider", S),
-    ("test_file", S),
-    ("timestamp", S),
-    ("num_queries_total", L),
-    ("num_queries_with_positive", L),
-    ("avg_products_per_query", D),
-    ("queries_evaluated", L),
-    ("num_queries", L),
-    *[(m, D) for m in METRIC_NAMES],
-    ("total_time_sec", D),
-    ("total_api_calls", L),
-    ("total_texts_embedded", L),
-)
 METRICS_DOC = T.StructType(
-    METRICS_DOC.fields + [T.StructField("language_distribution", T.MapType(S, D), True)]
+    _struct(
+        ("model_name_or_path", S),
+        ("model", S),
+        ("exp_name", S),
+        ("provider", S),
+        ("test_file", S),
+        ("timestamp", S),
+        ("num_queries_total", L),
+        ("num_queries_with_positive", L),
+        ("avg_products_per_query", D),
+        ("queries_evaluated", L),
+        ("num_queries", L),
+        *[(m, D) for m in METRIC_NAMES],
+        ("total_time_sec", D),
+        ("total_api_calls", L),
+        ("total_texts_embedded", L),
+    ).fields
+    + [T.StructField("language_distribution", T.MapType(S, D), True)]
 )
 
 EXPERIMENTS = _struct(("exp_name", S), ("kind", S), ("model_id", S), ("provider", S), ("note", S))

@@ -134,3 +134,18 @@ def test_impressions_prune_columns(spark):
 
     plan = _plan(impressions(spark, SF01))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_discount:double,l_returnflag:string>" in plan
+
+
+def test_metrics_document_with_language_map(spark, tmp_out):
+    from shelfrank.operators.metrics import metrics_document
+
+    test = split_df(spark, SF01).where("split = 'test'")
+    from shelfrank.plans.build import scored_text_candidates
+
+    s = evaluate(scored_text_candidates(test, HashingEncoder(64)), "OriginalQuery", "product_id")
+    doc = metrics_document(s, test, exp_name="e2e", model_name_or_path="hashing-64", timestamp="2026-01-01T00:00:00")
+    sinks.write_json(doc, f"{tmp_out}/results/e2e/metrics.json")
+    back = sinks.read_metrics_docs(spark, f"{tmp_out}/results/*/metrics.json/*.json").collect()[0]
+    langs = back["language_distribution"]
+    assert set(langs) <= {"de", "fr", "it", "en"} and abs(sum(langs.values()) - 1.0) < 1e-9
+    assert back["exp_name"] == "e2e" and back["queries_evaluated"] > 0
