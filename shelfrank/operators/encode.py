@@ -155,4 +155,6 @@ def cached_encode(
     encoded = encoder.encode(new, "text", "embedding").withColumn("model_id", F.lit(encoder.model_id))
     encoded.select("text", "embedding", "model_id").write.mode("append").parquet(cache_path)
     full = spark.read.schema(schema).parquet(cache_path).where(F.col("model_id") == encoder.model_id)
-    return wanted.join(full.select("text", "embedding"), "text")
+    # a repeated append can only add equal vectors for a text: keep one
+    full = full.groupBy("text").agg(F.first("embedding").alias("embedding"))
+    return wanted.join(full, "text")

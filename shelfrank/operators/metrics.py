@@ -133,6 +133,39 @@ def evaluate(
     return summarize(query_stats(cands, query, key, score, rel, ks, gain), ks)
 
 
+def select_queries(
+    cands: DataFrame,
+    query: str,
+    max_queries: int | None = None,
+    limit_stage: str = "after",
+    seed: int | None = None,
+    rel: str = "relevant",
+) -> DataFrame:
+    """Restrict candidates to the evaluated queries.
+
+    ``limit_stage="before"``: the first ``max_queries`` queries in key order,
+    then the positive filter applies inside the metrics (queries without a
+    positive still use up the limit). ``"after"``: the first ``max_queries``
+    queries that have a positive. With ``seed``: a seeded shuffle of the
+    queries having a positive, first ``max_queries`` (``None`` or <= 0: all).
+    """
+    from shelfrank.operators.ranking import first_groups
+    from shelfrank.operators.sampling import seeded_first_groups
+
+    if limit_stage not in ("before", "after"):
+        raise ValueError("limit_stage must be 'before' or 'after'")
+    pos = cands.groupBy(query).agg(F.sum(rel).alias("_p")).where(F.col("_p") > 0).select(query)
+    if seed is not None:
+        keys = seeded_first_groups(pos, query, max_queries, seed)
+    elif max_queries is None:
+        return cands
+    elif limit_stage == "before":
+        keys = first_groups(cands, query, max_queries)
+    else:
+        keys = first_groups(pos, query, max_queries)
+    return cands.join(keys, query, "left_semi")
+
+
 def metrics_long(summary: DataFrame, metrics: Sequence[str] = ("hit@1", "hit@5", "hit@10", "mrr@10", "ndcg@10")) -> DataFrame:
     """The summary as ``metric, value`` rows (unpivot)."""
     return summary.select(*[F.col(f"`{m}`").alias(m) for m in metrics]).unpivot(

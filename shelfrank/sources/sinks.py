@@ -76,6 +76,18 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.select("model", "query", "report").write.mode("overwrite").partitionBy("model").json(path)
 
 
+def write_training_batches(batches: DataFrame, path: str) -> None:
+    """One folder per epoch; rows of a batch together and in position
+    order, so a trainer streams batches in sequence."""
+    (
+        batches.repartition("epoch", "batch_id")
+        .sortWithinPartitions("epoch", "batch_id", "position")
+        .write.mode("overwrite")
+        .partitionBy("epoch")
+        .parquet(path)
+    )
+
+
 def write_ranks(per_query: DataFrame, path: str) -> None:
     """Best ranks as an int column of the per-query parquet."""
     per_query.write.mode("overwrite").parquet(path)

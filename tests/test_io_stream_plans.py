@@ -149,3 +149,12 @@ def test_metrics_document_with_language_map(spark, tmp_out):
     langs = back["language_distribution"]
     assert set(langs) <= {"de", "fr", "it", "en"} and abs(sum(langs.values()) - 1.0) < 1e-9
     assert back["exp_name"] == "e2e" and back["queries_evaluated"] > 0
+
+
+def test_training_batches_sink(spark, tmp_out):
+    from shelfrank.operators.training import training_batches
+
+    pairs = spark.range(600).select(F.col("id").cast("string").alias("pair_key"), F.lit("q").alias("query_text"), F.lit("p").alias("product_text"))
+    sinks.write_training_batches(training_batches(pairs, 256, 2), f"{tmp_out}/batches")
+    back = spark.read.parquet(f"{tmp_out}/batches")
+    assert back.count() == 1200 and back.where("epoch = 2").select("batch_id").distinct().count() == 3

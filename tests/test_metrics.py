@@ -190,3 +190,15 @@ def test_random_queries_match_python_definitions(spark, gain):
     for q, m in want.items():
         for key, v in m.items():
             assert got[q][key] == pytest.approx(v, abs=1e-12), (q, key)
+
+
+def test_select_queries_stages(spark):
+    from shelfrank.operators.metrics import select_queries
+
+    df = cands(spark, [0, 0], "a").unionByName(cands(spark, [1, 0], "b")).unionByName(cands(spark, [0, 1], "c"))
+    before = {r["q"] for r in select_queries(df, "q", 2, "before").select("q").distinct().collect()}
+    after = {r["q"] for r in select_queries(df, "q", 2, "after").select("q").distinct().collect()}
+    assert before == {"a", "b"} and after == {"b", "c"}
+    assert evaluate(select_queries(df, "q", 2, "before"), "q", "pid").collect()[0]["queries_evaluated"] == 1
+    sampled = {r["q"] for r in select_queries(df, "q", 0, seed=42).select("q").distinct().collect()}
+    assert sampled == {"b", "c"}
