@@ -158,3 +158,36 @@ def test_training_batches_sink(spark, tmp_out):
     sinks.write_training_batches(training_batches(pairs, 256, 2), f"{tmp_out}/batches")
     back = spark.read.parquet(f"{tmp_out}/batches")
     assert back.count() == 1200 and back.where("epoch = 2").select("batch_id").distinct().count() == 3
+
+
+def _py_hashing_model(dim):
+    """Stub 'model': the hashing encoder written in Python (regex + md5)."""
+
+    def make():
+        import hashlib
+
+        import numpy as np
+        import regex
+
+        def fn(texts):
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for i, t in enumerate(texts):
+                for tok in regex.split(r"[^\p{L}\p{N}]+", t.lower()):
+                    if tok:
+                        out[i, int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim] += 1
+            return out
+
+        return fn
+
+    return make
+
+
+def test_model_encoder_path_matches_expression_encoder(spark):
+    from shelfrank.plans.build import scored_text_candidates
+
+    judged = judged_df(spark, "/root/testdata/sf0.001", materialized=True)
+    a = scored_text_candidates(judged, HashingEncoder(32)).select("OriginalQuery", "product_id", "score")
+    model = BatchEncoder(_py_hashing_model(32), dim=32, model_id="py-hash", batch_size=128, normalized=False)
+    b = scored_text_candidates(judged, model).select("OriginalQuery", "product_id", "score")
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0
