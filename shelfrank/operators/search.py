@@ -10,9 +10,10 @@ Plan (no nested-loop join, nothing broadcast that grows with the data):
    once per query block; the two sides are cogrouped on ``(qb, cb)`` — a
    blocked matrix product, so every task holds at most one query block and
    one catalog block.
-3. Per block pair NumPy scores the block and keeps, per query, the best
-   ``k`` candidates in the total order (score desc, NaN last, key asc) —
-   only ``k`` rows per query and block leave the task.
+3. Per block pair NumPy scores the block in fixed-size tiles (bounded
+   memory whatever the block size) and keeps, per query, the best ``k``
+   candidates in the total order (score desc, NaN last, key asc) — only ``k``
+   rows per query and block leave the task.
 4. A final ``row_number() <= k`` per query (WindowGroupLimit) merges the
    partial lists: exact, because every block's list is a prefix of the
    block's total order.
@@ -36,13 +37,46 @@ from shelfrank.functions.text import _blank
 from shelfrank.operators.ranking import top_k
 from shelfrank.session import ship_package
 
-DEFAULT_QUERY_BLOCK_ROWS = 1024
-DEFAULT_CATALOG_BLOCK_ROWS = 8192
+# Rows per block. A task holds one query block and one catalog block (vectors
+# of dim 64 take 256 bytes as float32) and scores them tile by tile, so the
+# blocks can be large: fewer blocks means less replication in the shuffle
+# (each query row is copied once per catalog block and vice versa). Lower
+# them for much larger dimensions.
+DEFAULT_QUERY_BLOCK_ROWS = 65_536
+DEFAULT_CATALOG_BLOCK_ROWS = 262_144
+# Score tile inside a task: 1,024 x 8,192 doubles = 64 MiB.
+TILE_QUERIES = 1024
+TILE_PRODUCTS = 8192
 
 
-def _block_count(df: DataFrame, rows_per_block: int):
+def _block_count(df: DataFrame, rows_per_block: int, min_blocks: int = 1):
+    """ceil(rows / rows_per_block), at least ``min_blocks`` — an in-plan scalar subquery."""
     n = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows_per_block)))).cast("int")
+    return F.greatest(F.lit(max(1, min_blocks)), F.ceil(n / F.lit(float(rows_per_block)))).cast("int")
+
+
+def _first_k_per_row(rows, cols, scores, codes, k):
+    """Sort candidates by (row, NaN last, score desc, key) and keep k per row."""
+    nan = np.isnan(scores)
+    filled = np.where(nan, -np.inf, scores)
+    order = np.lexsort((codes[cols], -filled, nan, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    if rows.size == 0:
+        return rows, cols, scores
+    starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+    pos = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
+    keep = pos < k
+    return rows[keep], cols[keep], scores[keep]
+
+
+def _tile_candidates(s, k):
+    """Per row of a score tile, every entry at least as good as the k-th best
+    (ties included), as (row, col) index arrays."""
+    filled = np.where(np.isnan(s), -np.inf, s)
+    if s.shape[1] > k:
+        kth = -np.partition(-filled, k - 1, axis=1)[:, k - 1]
+        return np.nonzero(filled >= kth[:, None])
+    return np.nonzero(np.ones_like(filled, dtype=bool))
 
 
 def block_topk_numpy(
@@ -53,35 +87,40 @@ def block_topk_numpy(
     p_vecs: np.ndarray,
     p_sq: np.ndarray | None,
     k: int,
+    tile_queries: int = TILE_QUERIES,
+    tile_products: int = TILE_PRODUCTS,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best ``k`` products per query of one block pair.
+    """Best ``k`` products per query of one block pair, scored tile by tile.
 
-    Returns parallel arrays (query index, product index, score).
+    Returns parallel arrays (query index, product index, score). Each tile
+    keeps its per-row top k (plus ties); candidates of all tiles of a query
+    chunk are merged in the total order.
     """
-    s = q_vecs @ p_vecs.T
-    if q_sq is not None:
-        den = np.sqrt(q_sq)[:, None] * np.sqrt(p_sq)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(den > 0, s / np.where(den > 0, den, 1.0), 0.0)
-    nq, npr = s.shape
-    nan = np.isnan(s)
-    filled = np.where(nan, -np.inf, s)
-    if npr > k:
-        kth = -np.partition(-filled, k - 1, axis=1)[:, k - 1]
-        mask = filled >= kth[:, None]
-    else:
-        mask = np.ones_like(filled, dtype=bool)
-    rows, cols = np.nonzero(mask)
-    # key order codes (works for numeric and string keys)
-    _, key_code = np.unique(p_keys, return_inverse=True)
-    order = np.lexsort((key_code[cols], -filled[rows, cols], nan[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    # position within each query row
-    starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-    pos = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
-    keep = pos < k
-    rows, cols = rows[keep], cols[keep]
-    return rows, cols, s[rows, cols]
+    _, codes = np.unique(p_keys, return_inverse=True)  # key order (numeric or string keys)
+    nq, npr = q_vecs.shape[0], p_vecs.shape[0]
+    out_r, out_c, out_s = [], [], []
+    for q0 in range(0, nq, tile_queries):
+        q1 = min(nq, q0 + tile_queries)
+        cand_r, cand_c, cand_s = [], [], []
+        for p0 in range(0, npr, tile_products):
+            p1 = min(npr, p0 + tile_products)
+            s = q_vecs[q0:q1] @ p_vecs[p0:p1].T
+            if q_sq is not None:
+                den = np.sqrt(q_sq[q0:q1])[:, None] * np.sqrt(p_sq[p0:p1])[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = np.where(den > 0, s / np.where(den > 0, den, 1.0), 0.0)
+            r, c = _tile_candidates(s, k)
+            cand_r.append(r)
+            cand_c.append(c + p0)
+            cand_s.append(s[r, c])
+        r, c, sc = _first_k_per_row(np.concatenate(cand_r), np.concatenate(cand_c), np.concatenate(cand_s), codes, k)
+        out_r.append(r + q0)
+        out_c.append(c)
+        out_s.append(sc)
+    if not out_r:
+        empty = np.array([], dtype=np.int64)
+        return empty, empty, np.array([], dtype=np.float64)
+    return np.concatenate(out_r), np.concatenate(out_c), np.concatenate(out_s)
 
 
 def catalog_topk(
@@ -97,6 +136,7 @@ def catalog_topk(
     p_sq: str = "p_sq",
     query_block_rows: int = DEFAULT_QUERY_BLOCK_ROWS,
     catalog_block_rows: int = DEFAULT_CATALOG_BLOCK_ROWS,
+    min_query_blocks: int | None = None,
 ) -> DataFrame:
     """Top ``k`` products of the whole catalog per query.
 
@@ -112,7 +152,12 @@ def catalog_topk(
     pcols = [product_key, p_vec] + ([] if normalized else [p_sq])
     q = queries.select(*qcols)
     p = catalog.select(*pcols)
-    n_qb = _block_count(q, query_block_rows)
+    # At least one query block per task slot, so small inputs still use every
+    # core. Splitting queries (not products) keeps the partial output at
+    # queries x k x catalog blocks.
+    if min_query_blocks is None:
+        min_query_blocks = queries.sparkSession.sparkContext.defaultParallelism
+    n_qb = _block_count(q, query_block_rows, min_query_blocks)
     n_cb = _block_count(p, catalog_block_rows)
     qx = q.withColumn("qb", F.pmod(F.xxhash64(F.col(query_key)), n_qb).cast("int")).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), n_cb - 1))

@@ -94,3 +94,17 @@ def test_safe_topk_two_allowed(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0], 1.0)], "query string, q_emb array<float>, q_sq double")
     hits = catalog_topk(q, allowed, 5, "query", "product_id", normalized=False)
     assert hits.count() == 2
+
+
+def test_tiled_block_topk_equals_untiled():
+    rng = np.random.default_rng(3)
+    q = rng.integers(0, 3, size=(37, 5)).astype(float)
+    p = rng.integers(0, 3, size=(301, 5)).astype(float)
+    p[7] = np.nan
+    keys = rng.permutation(10_000)[:301]
+    qs, ps = np.sum(q * q, axis=1), np.sum(np.nan_to_num(p) * np.nan_to_num(p), axis=1)
+    ref = block_topk_numpy(np.arange(37), q, qs, keys, p, ps, 9, tile_queries=10_000, tile_products=10_000)
+    got = block_topk_numpy(np.arange(37), q, qs, keys, p, ps, 9, tile_queries=4, tile_products=17)
+    for a, b in zip(ref, got):
+        np.testing.assert_array_equal(a, b)
+    assert len(ref[0]) == 37 * 9
