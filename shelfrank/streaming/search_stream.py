@@ -38,6 +38,19 @@ def search_batch(batch: DataFrame, catalog_vecs: DataFrame, encoder, k: int) ->
     return batch.join(hits, "query")
 
 
+def write_batch(batch_df: DataFrame, batch_id: int, catalog_path: str, encoder, k: int, sink_path: str) -> None:
+    """One micro-batch: search its queries and overwrite only the partition
+    ``batch_id=<id>`` of the sink (a replay of the same batch replaces it)."""
+    cat = batch_df.sparkSession.read.parquet(catalog_path)
+    out = search_batch(batch_df, cat, encoder, k).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    (
+        out.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(sink_path)
+    )
+
+
 def run_stream_search(
     spark: SparkSession,
     source_dir: str,
@@ -63,14 +76,7 @@ def run_stream_search(
     queries = conversation_queries(src)
 
     def per_batch(batch_df: DataFrame, batch_id: int) -> None:
-        cat = batch_df.sparkSession.read.parquet(catalog_path)
-        out = search_batch(batch_df, cat, encoder, k).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (
-            out.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(sink_path)
-        )
+        write_batch(batch_df, batch_id, catalog_path, encoder, k, sink_path)
 
     writer = queries.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -191,3 +191,18 @@ def test_model_encoder_path_matches_expression_encoder(spark):
     b = scored_text_candidates(judged, model).select("OriginalQuery", "product_id", "score")
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_stream_batch_replay_is_idempotent(spark, tmp_out):
+    from shelfrank.sources.tables import read_table
+    from shelfrank.streaming.search_stream import conversation_queries, write_batch
+
+    sf = "/root/testdata/sf0.001"
+    enc = HashingEncoder(64)
+    catalog_vectors(catalog_df(spark, sf), enc).select("product_id", "p_emb", "p_sq").write.parquet(f"{tmp_out}/cat")
+    batch = conversation_queries(read_table(spark, sf, "conversations")).limit(7)
+    for replay in range(2):  # the same micro-batch delivered twice
+        write_batch(batch, 0, f"{tmp_out}/cat", enc, 3, f"{tmp_out}/sink")
+    write_batch(batch, 1, f"{tmp_out}/cat", enc, 3, f"{tmp_out}/sink")
+    out = spark.read.parquet(f"{tmp_out}/sink")
+    assert out.where("batch_id = 0").count() == out.where("batch_id = 1").count() == 7 * 3
