@@ -202,3 +202,19 @@ def test_select_queries_stages(spark):
     assert evaluate(select_queries(df, "q", 2, "before"), "q", "pid").collect()[0]["queries_evaluated"] == 1
     sampled = {r["q"] for r in select_queries(df, "q", 0, seed=42).select("q").distinct().collect()}
     assert sampled == {"b", "c"}
+
+
+def test_ranking_examples_nested(spark):
+    from shelfrank.operators.ranking import ranking_examples
+
+    df = (
+        cands(spark, [0] * 12 + [1], "a")
+        .unionByName(cands(spark, [0, 0], "b"))
+        .unionByName(cands(spark, [1, 0, 1], "c"))
+        .unionByName(cands(spark, [1], "d"))
+        .unionByName(cands(spark, [1], "e"))
+    )
+    rows = ranking_examples(df, "q", "score", "pid", columns=("pid",), nested=True).orderBy("q").collect()
+    assert [r["q"] for r in rows] == ["a", "c", "d"]  # first three queries having a positive
+    assert [p["rank"] for p in rows[0]["products"]] == list(range(1, 11))  # top 10, in rank order
+    assert [p["relevant"] for p in rows[1]["products"]] == [1, 0, 1]
