@@ -59,26 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``shelfrank`` importable in executor Python workers (once per
-    context): operators that run Python on workers (grouped pandas functions,
-    batch encoders, judges) reference module-level helpers."""
-    sc = spark.sparkContext
-    if getattr(sc, "_shelfrank_shipped", False):
-        return
-    import zipfile
+    """Make ``shelfrank`` code usable in executor Python workers.
 
+    Operators that run Python on workers (grouped pandas functions, batch
+    encoders, judges) reference module-level helpers. They are registered to
+    be pickled *by value*, so workers need no copy of the package and nothing
+    is written to a machine-local folder. (``spark`` is kept for the API.)"""
     import shelfrank
+    from pyspark import cloudpickle
 
-    root = os.path.dirname(os.path.dirname(os.path.abspath(shelfrank.__file__)))
-    zpath = os.path.join(tempfile.mkdtemp(prefix="shelfrank-pkg-"), "shelfrank.zip")
-    with zipfile.ZipFile(zpath, "w") as z:
-        for folder, _, files in os.walk(os.path.join(root, "shelfrank")):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
-    sc._shelfrank_shipped = True
+    cloudpickle.register_pickle_by_value(shelfrank)
 
 
 def materialize(df):
