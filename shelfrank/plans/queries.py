@@ -1104,7 +1104,35 @@ def q_leaderboard(spark, sf):
 # =====================================================================================
 
 
-@register("streaming_search", "M1")
+def _stream_sql() -> str:
+    """The stream over one file is one micro-batch (id 0): user turns, stripped,
+    non-blank, searched against the whole catalog."""
+    return (
+        O.with_(O.JUDGED, O.CATALOG_PART)
+        + """,
+turns as (select conv_id, turn, """
+        + O.strip("text")
+        + """ as query from conversations where role = 'user'),
+uq as (select * from turns where query is not null and query <> ''),
+sq as (select distinct query, 'query: ' || query as qt from uq),
+sc as (select *, 'passage: ' || product_text as pt from catalog),
+sp as (select q.query, q.qt, c.product_id, c.pt from sq q cross join sc c),"""
+        + O.hash_vectors("sqv", "select qt as text from sq")
+        + ","
+        + O.hash_vectors("spv", "select pt as text from sc")
+        + ","
+        + O.cosine_scores("ss", "sp", "sqv", "spv")
+        + f""",
+st as (select query, product_id, score,
+              row_number() over (partition by query order by (score is null or isnan(score)), score desc, product_id) as rk
+       from ss)
+select cast(0 as bigint) as batch_id, u.conv_id, u.turn, u.query, cast(st.rk as integer) as rank, st.product_id,
+       round(st.score, 6) as score
+from uq u join st on st.query = u.query and st.rk <= {REPORT_K}"""
+    )
+
+
+@register("streaming_search", "M1", _stream_sql())
 def q_streaming_search(spark, sf):
     from shelfrank.session import scratch_path
     from shelfrank.streaming.search_stream import run_stream_search

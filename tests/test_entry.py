@@ -21,10 +21,9 @@ def test_expected_summary_sf001(spark):
     assert r["ndcg@10"] == pytest.approx(0.391975, abs=1e-6)
 
 
-def test_every_query_has_an_oracle_or_is_streaming():
+def test_every_query_has_an_oracle():
     qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"streaming_search"}
+    assert set(sql) == set(qs)
 
 
 def test_pairing_rule_is_an_equi_join():
