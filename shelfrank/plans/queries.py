@@ -1007,6 +1007,7 @@ EXPERIMENT_ROWS = [
 ]
 ATTRIBUTE_ROWS = [("hashing-64", 0.0, 64, 0)]
 _LB_METRICS = ("hit@1", "hit@5", "hit@10", "mrr@10", "ndcg@10")
+_LB_NULLABLE_INTS = ("total_texts_embedded", "embedding_dim", "num_layers")
 
 
 def _lb_metric_sql(pq: str, exp: str, texts: str = "cast(null as bigint)") -> str:
@@ -1052,9 +1053,10 @@ attrs as (select * from (values {attrs}) a(model_id, params_millions, embedding_
 select cast(e.manifest_order as bigint) as manifest_order, e.exp_name, e.kind,
        coalesce(nullif(e.provider, ''), 'local') as provider, e.model_id, e.note, {metric_cols},
        m.num_queries, cast(null as double) as total_time_sec, cast(null as double) as queries_per_sec,
-       cast(null as double) as queries_per_min, m.total_texts_embedded, cast(null as double) as texts_per_sec,
-       cast(null as double) as texts_per_min, round(a.params_millions, 6) as params_millions,
-       cast(a.embedding_dim as integer) as embedding_dim, cast(a.num_layers as integer) as num_layers
+       cast(null as double) as queries_per_min, cast(m.total_texts_embedded as double) as total_texts_embedded,
+       cast(null as double) as texts_per_sec, cast(null as double) as texts_per_min,
+       round(a.params_millions, 6) as params_millions,
+       cast(a.embedding_dim as double) as embedding_dim, cast(a.num_layers as double) as num_layers
 from exps e join mets m on m.exp_name = e.exp_name
 left join attrs a on e.kind = 'hf' and a.model_id = e.model_id"""
     )
@@ -1096,7 +1098,12 @@ def q_leaderboard(spark, sf):
     exp_schema = T.StructType([T.StructField("manifest_order", T.LongType())] + EXPERIMENTS.fields)
     experiments = spark.createDataFrame(EXPERIMENT_ROWS, exp_schema)
     attributes = spark.createDataFrame(ATTRIBUTE_ROWS, MODEL_ATTRIBUTES)
-    return round_doubles(leaderboard(experiments, metrics, attributes))
+    lb = leaderboard(experiments, metrics, attributes)
+    # integer columns that can be null are returned as double (as in the SQL),
+    # so both engines hand them to pandas alike
+    for c in _LB_NULLABLE_INTS:
+        lb = lb.withColumn(c, F.col(c).cast("double"))
+    return round_doubles(lb)
 
 
 # =====================================================================================
