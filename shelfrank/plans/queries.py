@@ -10,13 +10,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from shelfrank.functions.text import PASSAGE_PREFIX, parse_keywords, product_text, relevance_label
-from shelfrank.functions.vectors import hashing_counts, l2_normalize, tokens
+from pyspark.sql import types as T
+
+from shelfrank.functions.text import (
+    PASSAGE_PREFIX,
+    judge_slug,
+    parse_keywords,
+    product_text,
+    relevance_label,
+    slug,
+    strip_code_fences,
+)
+from shelfrank.functions.vectors import hashing_counts, l2_normalize, squared_norm, tokens
+from shelfrank.operators.compare import leaderboard
 from shelfrank.operators.dedup import distinct_values
-from shelfrank.operators.encode import distinct_texts
-from shelfrank.operators.labels import keyword_hits, language_rows, with_block_flags, with_label, with_product_text
-from shelfrank.operators.metrics import evaluate, language_distribution, metrics_long, per_query_metrics, query_stats
+from shelfrank.operators.encode import HashingEncoder, cache_delta, distinct_texts, encode_distinct
+from shelfrank.operators.judge import (
+    NO_QUERY_TEXT,
+    judge_prompts,
+    judgement_file_name,
+    pair_reports,
+    parse_verdicts,
+    report_file_stem,
+    template_pieces,
+)
+from shelfrank.operators.labels import (
+    judged_table,
+    keyword_hits,
+    language_rows,
+    with_block_flags,
+    with_label,
+    with_product_text,
+)
+from shelfrank.operators.metrics import (
+    evaluate,
+    language_distribution,
+    metrics_long,
+    per_query_metrics,
+    query_stats,
+    summarize,
+)
+from shelfrank.operators.profile import (
+    class_histogram,
+    cleaning_counts,
+    dataset_summary,
+    encoding_workload,
+    label_counts,
+    positives_per_query,
+    top_values,
+)
 from shelfrank.operators.ranking import (
     best_rank,
     first_groups,
@@ -25,8 +67,9 @@ from shelfrank.operators.ranking import (
     ranking_examples,
 )
 from shelfrank.operators.sampling import exact_sample, preview, seeded_first_groups
-from shelfrank.operators.search import safe_catalog, search_report
-from shelfrank.operators.splits import restrict_to
+from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
+from shelfrank.operators.splits import assign_splits, restrict_to
+from shelfrank.operators.training import training_batches, training_pairs, training_plan
 from shelfrank.plans import oracle as O
 from shelfrank.plans.build import (
     catalog_df,
@@ -37,11 +80,15 @@ from shelfrank.plans.build import (
     judged_df,
     query_vectors,
     scored_text_candidates,
+    search_catalog,
     split_df,
 )
 from shelfrank.plans.registry import register, round_doubles
-from shelfrank.session import materialize
+from shelfrank.schema import EXPERIMENTS, MODEL_ATTRIBUTES
+from shelfrank.session import materialize, scratch_path
 from shelfrank.sources.adapters import judge_responses, judged_vec
+from shelfrank.sources.tables import read_table
+from shelfrank.streaming.search_stream import run_stream_search
 
 KS = (1, 5, 10)
 Q = "OriginalQuery"
@@ -123,8 +170,6 @@ select 'query: ' || OriginalQuery as query_text, 'passage: ' || product_text as
 from judged_split where split = 'train' and relevant = 1""",
 )
 def q_training_pairs(spark, sf):
-    from shelfrank.operators.training import training_pairs
-
     return training_pairs(split_df(spark, sf)).select("query_text", "product_text")
 
 
@@ -202,9 +247,6 @@ from (select OriginalQuery,
       from (select distinct OriginalQuery from judged) d) s""",
 )
 def q_query_slug(spark, sf):
-    from shelfrank.functions.text import judge_slug, slug
-    from shelfrank.operators.judge import judgement_file_name, report_file_stem
-
     qs = distinct_values(judged_df(spark, sf), Q)
     stem = report_file_stem(F.col(Q))
     return qs.select(
@@ -250,8 +292,6 @@ select cast(count(*) as bigint) as num_queries_total,
 from pq""",
 )
 def q_dataset_summary(spark, sf):
-    from shelfrank.operators.profile import dataset_summary
-
     return round_doubles(dataset_summary(judged_df(spark, sf)))
 
 
@@ -343,8 +383,6 @@ select cast(count(*) as bigint) as rows_total,
 from impressions""",
 )
 def q_cleaning_counts(spark, sf):
-    from shelfrank.operators.profile import cleaning_counts
-
     return cleaning_counts(impressions_df(spark, sf))
 
 
@@ -360,11 +398,6 @@ union all
 select 'train' as scope, relevant, cast(count(*) as bigint) as n from judged_split where split = 'train' group by 2""",
 )
 def q_label_counts(spark, sf):
-    from shelfrank.operators.profile import label_counts
-
-    from shelfrank.operators.labels import judged_table
-    from shelfrank.operators.splits import assign_splits
-
     imp = impressions_df(spark, sf, materialized=True)
     a = label_counts(with_label(imp)).withColumn("scope", F.lit("all"))
     t = label_counts(assign_splits(judged_table(imp)).where(F.col("split") == "train")).withColumn("scope", F.lit("train"))
@@ -380,8 +413,6 @@ select OriginalQuery, cast(count(*) as bigint) as num_products, cast(sum(relevan
 from judged group by OriginalQuery""",
 )
 def q_positives_per_query(spark, sf):
-    from shelfrank.operators.profile import positives_per_query
-
     return positives_per_query(judged_df(spark, sf))
 
 
@@ -412,8 +443,6 @@ union all
  where Level4_ProductGroup is not null group by Level4_ProductGroup order by n desc, value limit 20)""",
 )
 def q_keyword_hits_by_type(spark, sf):
-    from shelfrank.operators.profile import top_values
-
     hits = keyword_hits(catalog_df(spark, sf, materialized=True), REGEX_KEYWORDS)
     return top_values(hits, "ProductType", 20).unionByName(top_values(hits, "Level4_ProductGroup", 20))
 
@@ -448,8 +477,6 @@ where (select count(distinct case when relevant = 1 then 'positive' else 'negati
 group by cls, bin""",
 )
 def q_similarity_histogram(spark, sf):
-    from shelfrank.operators.profile import class_histogram
-
     pv = judged_vec(spark, sf)
     posq = pv.groupBy("query_id").agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
     sims = restrict_to(pv, posq, "query_id")
@@ -467,8 +494,6 @@ sizes as (select OriginalQuery, count(*) as n from judged group by OriginalQuery
     + "\ngroup by cls, bin",
 )
 def q_group_size_histogram(spark, sf):
-    from shelfrank.operators.profile import class_histogram
-
     sizes = (
         judged_df(spark, sf, materialized=True)
         .groupBy(Q)
@@ -493,8 +518,6 @@ select cast((select count(*) from posq) as bigint) as num_queries,
 from sel""",
 )
 def q_encoding_workload(spark, sf):
-    from shelfrank.operators.profile import encoding_workload
-
     return encoding_workload(judged_df(spark, sf, materialized=True))
 
 
@@ -544,8 +567,6 @@ u as (select vec_id, nrm, unnest(range(len(e))) as pos, unnest(e) as x from n)
 select vec_id, cast(pos as integer) as pos, round(case when nrm > 0 then x / nrm else x end, 6) as value from u""",
 )
 def q_normalize_vectors(spark, sf):
-    from shelfrank.sources.tables import read_table
-
     e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
     n = e.select("vec_id", l2_normalize("embedding").alias("v"))
     return round_doubles(n.select("vec_id", F.posexplode("v").alias("pos", "value")))
@@ -565,14 +586,11 @@ delta as (select text from wanted except select text from cached)"""
 select d.text, cast(dv_sq.sq as bigint) as sq_norm from delta d join dv_sq on dv_sq.text = d.text""",
 )
 def q_embedding_cache_delta(spark, sf):
-    from shelfrank.operators.encode import cache_delta, encode_distinct
-
     enc = default_encoder()
     judged, catalog = judged_and_catalog(spark, sf)
     cache = encode_distinct(catalog, "product_text", enc, prefix=PASSAGE_PREFIX)
     wanted = distinct_texts(judged, "product_text", prefix=PASSAGE_PREFIX)
     new = enc.encode(cache_delta(wanted, cache, "text"), "text")
-    from shelfrank.functions.vectors import squared_norm
 
     return new.select("text", squared_norm("embedding").cast("bigint").alias("sq_norm"))
 
@@ -642,8 +660,6 @@ def _search_sql(k: int, catalog: str = "catalog") -> str:
     + "\nselect query, product_id, cast(rk as integer) as rank, round(score, 6) as score from hits",
 )
 def q_catalog_topk(spark, sf):
-    from shelfrank.plans.build import search_catalog
-
     judged, catalog = judged_and_catalog(spark, sf)
     hits = search_catalog(judged, catalog, default_encoder(), SEARCH_K)
     return round_doubles(hits.select("query", "product_id", "rank", "score"))
@@ -660,8 +676,6 @@ safe_cat as (select * from flags where not blocked or (select count(*) filter (w
 
 
 def _safe_hits(judged: DataFrame, catalog: DataFrame, text_kws, type_kws, k: int) -> DataFrame:
-    from shelfrank.operators.search import catalog_topk
-
     enc = default_encoder()
     cat = with_block_flags(catalog, text_kws, type_kws)
     allowed = safe_catalog(cat)
@@ -743,8 +757,6 @@ def q_search_report_text(spark, sf):
 
 
 def _prompt_sql() -> str:
-    from shelfrank.operators.judge import NO_QUERY_TEXT, template_pieces
-
     cols = {
         "query": f"coalesce(a.query, '{NO_QUERY_TEXT}')",
         "label_a": "a.model",
@@ -775,10 +787,6 @@ select a.query, a.model as model_a, b.model as model_b, """
 from reps a join reps b on a.query = b.query and a.model < b.model""",
 )
 def q_judge_prompts(spark, sf):
-    from shelfrank.operators.encode import HashingEncoder
-    from shelfrank.operators.judge import judge_prompts, pair_reports
-    from shelfrank.plans.build import search_catalog
-
     j, c = judged_and_catalog(spark, sf)
     reps = None
     for dim in (64, 32):
@@ -896,8 +904,6 @@ select epoch, cast((position - 1) // {TRAIN_BATCH} as bigint) as batch_id, cast(
        query_text, product_text from r""",
 )
 def q_training_batches(spark, sf):
-    from shelfrank.operators.training import training_batches, training_pairs
-
     pairs = materialize(training_pairs(split_df(spark, sf), keep_key=True))
     return training_batches(pairs, TRAIN_BATCH, TRAIN_EPOCHS).select(
         "epoch", "batch_id", "position", "query_text", "product_text"
@@ -918,8 +924,6 @@ select cast(n as bigint) as num_examples, cast({TRAIN_BATCH} as integer) as batc
 from s""",
 )
 def q_training_plan(spark, sf):
-    from shelfrank.operators.training import training_pairs, training_plan
-
     return training_plan(training_pairs(split_df(spark, sf)), TRAIN_BATCH, TRAIN_EPOCHS)
 
 
@@ -951,8 +955,6 @@ pj as (select *, coalesce(json_valid(cleaned), false) as parsed_ok from cl)"""
 
 @register("judge_strip_fences", "K3", "with " + _RESPONSES_SQL + "\nselect pair_id, cleaned from cl")
 def q_judge_strip_fences(spark, sf):
-    from shelfrank.functions.text import strip_code_fences
-
     r = judge_responses(spark, sf)
     return r.select("pair_id", strip_code_fences("raw_text").alias("cleaned"))
 
@@ -964,8 +966,6 @@ def q_judge_strip_fences(spark, sf):
     + "\nselect pair_id, parsed_ok, case when parsed_ok then cleaned else raw_text end as payload from pj",
 )
 def q_judge_parse(spark, sf):
-    from shelfrank.operators.judge import parse_verdicts
-
     return parse_verdicts(judge_responses(spark, sf)).select("pair_id", "parsed_ok", "payload")
 
 
@@ -981,8 +981,6 @@ select pair_id, parsed_ok,
 from pj""",
 )
 def q_judge_scores(spark, sf):
-    from shelfrank.operators.judge import parse_verdicts
-
     v = parse_verdicts(judge_responses(spark, sf))
     return v.select(
         "pair_id",
@@ -1074,12 +1072,6 @@ def _metrics_doc(summary: DataFrame, exp: str, texts=None) -> DataFrame:
 
 @register("leaderboard", "J1 J2 E5 E6 A4 A13", _lb_sql())
 def q_leaderboard(spark, sf):
-    from shelfrank.operators.compare import leaderboard
-    from shelfrank.operators.encode import HashingEncoder
-    from shelfrank.schema import EXPERIMENTS, MODEL_ATTRIBUTES
-
-    from pyspark.sql import types as T
-
     test = materialize(split_df(spark, sf).where(F.col("split") == "test"))
     docs = []
     for dim, exp in ((64, "hash64_test"), (32, "hash32_test")):
@@ -1087,7 +1079,6 @@ def q_leaderboard(spark, sf):
         docs.append(_metrics_doc(s, exp))
     vec = judged_vec(spark, sf)
     st = query_stats(vec, "query_id", "product_id", ks=KS)
-    from shelfrank.operators.metrics import summarize
 
     texts = (
         st.agg((F.count_if(F.col("num_positives") > 0) + F.sum(F.when(F.col("num_positives") > 0, F.col("num_products")).otherwise(0))).alias("t"))
@@ -1141,9 +1132,6 @@ from uq u join st on st.query = u.query and st.rk <= {REPORT_K}"""
 
 @register("streaming_search", "M1", _stream_sql())
 def q_streaming_search(spark, sf):
-    from shelfrank.session import scratch_path
-    from shelfrank.streaming.search_stream import run_stream_search
-
     enc = default_encoder()
     cat = catalog_vectors(catalog_df(spark, sf), enc)
     base = scratch_path(spark, "stream-search")
