@@ -77,3 +77,22 @@ def test_warmup_is_a_tenth_rounded_up(spark):
         pairs = spark.range(batches * 256).select(F.lit("q").alias("query_text"))
         plan = training_plan(pairs, 256, 1).collect()[0]
         assert plan["num_training_steps"] == batches and plan["warmup_steps"] == warm
+
+
+def test_global_rank_property_unicode_keys(spark):
+    """Seeded order = Python md5 order for arbitrary Unicode keys (hypothesis)."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(
+        keys=st.lists(st.text(min_size=0, max_size=12), min_size=1, max_size=40, unique=True),
+        seed=st.integers(min_value=0, max_value=10_000),
+    )
+    def check(keys, seed):
+        df = spark.createDataFrame([(k,) for k in keys], "key string")
+        got = {r["key"]: r["r"] for r in global_rank(df, "key", seed, "r", hex_digits=1).collect()}
+        want = sorted(keys, key=lambda k: (hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k.encode()))
+        assert [got[k] for k in want] == list(range(1, len(keys) + 1))
+
+    check()
