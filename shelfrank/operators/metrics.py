@@ -195,5 +195,5 @@ def metrics_document(
         )
         doc = doc.withColumn("language_distribution", shares.select("m").scalar())
     for k, v in fields.items():
-        doc = doc.withColumn(k, F.lit(v))
+        doc = doc.withColumn(k, F.lit(v) if v is not None else F.lit(None).cast("string"))
     return doc

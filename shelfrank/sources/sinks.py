@@ -23,9 +23,13 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A6 generic parquet sink (catalog, samples, keyword hits, hits tables)."""
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, replace_partitions_only: bool = False) -> None:
+    """A6 generic parquet sink (catalog, samples, keyword hits, hits tables).
+    ``replace_partitions_only`` overwrites just the partitions being written
+    (e.g. one model's hits next to another's)."""
     w = df.write.mode("overwrite")
+    if replace_partitions_only:
+        w = w.option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -72,8 +76,15 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Report texts, one folder per model (``model=...``)."""
-    reports.select("model", "query", "report").write.mode("overwrite").partitionBy("model").json(path)
+    """Report texts, one folder per model (``model=...``); writing one
+    model's reports leaves the other models' folders in place."""
+    (
+        reports.select("model", "query", "report")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("model")
+        .json(path)
+    )
 
 
 def write_training_batches(batches: DataFrame, path: str) -> None:
