@@ -31,7 +31,7 @@ from shelfrank.operators.dedup import unique_products
 from shelfrank.operators.judge import ask_judge, judge_prompts, pair_reports, parse_verdicts
 from shelfrank.operators.labels import judged_table, keyword_hits, language_rows, with_block_flags, with_label, with_product_text
 from shelfrank.operators.metrics import metrics_document, query_stats, select_queries, summarize
-from shelfrank.operators.profile import label_counts, top_values
+from shelfrank.operators.profile import encoding_workload, label_counts, top_values
 from shelfrank.operators.ranking import best_rank, ranked_relevances, ranking_examples
 from shelfrank.operators.sampling import exact_sample
 from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
@@ -101,6 +101,7 @@ def evaluate_model(
     limit_stage: str = "after",
     sample_seed: int | None = None,
     timestamp: str | None = None,
+    count_api_work: bool = False,
 ) -> dict:
     """H1–H6 + A7 + A8 + A9 + G4–G6: evaluate one encoder on one split.
 
@@ -109,6 +110,8 @@ def evaluate_model(
     queries with a positive, top 10), ``ranks`` parquet (best rank per query)
     and ``relevances`` JSON (labels in rank order, in chunks). Returns the
     summary as a dict. ``total_time_sec`` is the wall-clock time of the job.
+    With ``count_api_work`` the document also carries the per-query embedding
+    work counters (``total_api_calls``, ``total_texts_embedded``).
     """
     t0 = time.perf_counter()
     rows = sinks.read_split(spark, split_path, split)
@@ -134,6 +137,11 @@ def evaluate_model(
         timestamp=timestamp,
         total_time_sec=elapsed,
     )
+    if count_api_work:
+        work = encoding_workload(rows)
+        doc = doc.withColumn("total_api_calls", work.select("total_api_calls").scalar()).withColumn(
+            "total_texts_embedded", work.select("total_texts_embedded").scalar()
+        )
     sinks.write_json(doc.coalesce(1), f"{out_dir}/{exp_name}/metrics.json")
     return spark.read.json(f"{out_dir}/{exp_name}/metrics.json").collect()[0].asDict()
 

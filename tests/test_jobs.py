@@ -31,8 +31,10 @@ def test_user_workflow(spark, tmp_out):
     ts = "2026-01-01T00:00:00"
     m64 = jobs.evaluate_model(spark, f"{tmp_out}/splits", HashingEncoder(64), f"{tmp_out}/results", "hash64", timestamp=ts)
     m32 = jobs.evaluate_model(
-        spark, f"{tmp_out}/splits", HashingEncoder(32), f"{tmp_out}/results", "hash32", max_queries=10, limit_stage="before"
+        spark, f"{tmp_out}/splits", HashingEncoder(32), f"{tmp_out}/results", "hash32", max_queries=10, limit_stage="before",
+        count_api_work=True,
     )
+    assert m32["total_api_calls"] == 2 * m32["num_queries_with_positive"]
     assert m64["total_time_sec"] > 0 and m64["queries_evaluated"] > m32["queries_evaluated"]
     assert m32["num_queries_total"] == 10
     assert abs(sum(m64["language_distribution"].asDict().values()) - 1.0) < 1e-9
@@ -47,6 +49,7 @@ def test_user_workflow(spark, tmp_out):
     lb = jobs.leaderboard_report(spark, exps, f"{tmp_out}/results", f"{tmp_out}/leaderboard", attrs).collect()
     assert [r["exp_name"] for r in lb] == ["hash64", "hash32"]
     assert all(float(r["queries_per_sec"]) > 0 for r in lb) and lb[0]["embedding_dim"] == "64" and lb[1]["embedding_dim"] is None
+    assert lb[0]["texts_per_sec"] is None and float(lb[1]["texts_per_sec"]) > 0
 
     queries = spark.read.parquet(f"{tmp_out}/splits").where("split = 'test'").select(F.col("OriginalQuery").alias("query")).distinct()
     for dim in (64, 32):
