@@ -30,3 +30,34 @@ def test_pairing_rule_is_an_equi_join():
     for q in range(0, 400, 10):
         for c in range(1, 400):
             assert ((c * 7 + q * 13) % 23 == 0) == (c % 23 == (8 * q) % 23)
+
+
+def test_adapters_match_published_fixture_statistics(spark):
+    """Figures stated in FIXTURES.md for sf0.01 (computed there independently)."""
+    from pyspark.sql import functions as F
+
+    from shelfrank.operators.dedup import unique_products
+    from shelfrank.operators.judge import parse_verdicts
+    from shelfrank.operators.labels import with_block_flags
+    from shelfrank.sources.adapters import impressions, judge_responses, judged_vec
+
+    sf = "/root/testdata/sf0.01"
+    imp = impressions(spark, sf).cache()
+    q = imp.where("OriginalQuery is not null")
+    pq = q.groupBy("OriginalQuery").agg(F.count("*").alias("n"), F.sum("UniqueSelects").alias("s"))
+    assert (imp.count(), q.count(), pq.count(), pq.where("s = 0").count()) == (9821, 9781, 1910, 88)
+    stats = pq.agg(F.round(F.avg("n"), 1).alias("mean"), F.max("n").alias("mx")).first()
+    assert (stats["mean"], stats["mx"]) == (5.1, 11)
+    nulls = imp.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("BrandName", "Level4_ProductGroup", "ProductType")]).first()
+    assert tuple(nulls) == (322, 1408, 821) and imp.where("UniqueSelects > 0").count() == 5791
+    cat = unique_products(imp)
+    assert cat.count() == 1812
+    assert with_block_flags(cat, list("aeiou"), []).where("not blocked").count() == 0  # vowels block everything
+    jv = judged_vec(spark, sf)
+    pp = jv.groupBy("query_id").agg(F.sum("relevant").alias("p"))
+    assert (pp.count(), jv.count(), pp.where("p = 0").count()) == (50, 977, 7)
+    v = parse_verdicts(judge_responses(spark, sf)).withColumn("kind", F.col("pair_id") % 5)
+    kinds = {r["kind"]: (r["ok"], r["w"]) for r in v.groupBy("kind").agg(
+        F.sum(F.col("parsed_ok").cast("int")).alias("ok"), F.first("overall_better").alias("w")).collect()}
+    assert kinds == {0: (300, "model_a"), 1: (300, "tie"), 2: (300, "unknown"), 3: (0, None), 4: (0, None)}
+    imp.unpersist()
