@@ -29,6 +29,10 @@ DEFAULT_JUDGE_SLUG = "no_query"
 JUDGE_SLUG_MAX = 40
 UNKNOWN_WINNER = "unknown"
 UNIQUE_KEY_SEPARATOR = " / "
+# Default keywords of the category-tagging report (matched as regular expressions).
+DEFAULT_TAG_KEYWORDS = ("vibrator", "dildo", "erotik", "sextoy", "penispumpe", "buttplug")
+# Catalog sample size the interactive search used by default (ours: opt-in).
+REFERENCE_SEARCH_MAX_PRODUCTS = 100_000
 # ---------------------------------------------------------------------------
 
 # Unicode-aware strip: Python's str.strip() removes every Unicode blank, Spark's

@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.functions.text import parse_keywords
+from shelfrank.functions.text import DEFAULT_TAG_KEYWORDS, parse_keywords
 from shelfrank.operators.compare import leaderboard
 from shelfrank.operators.dedup import unique_products
 from shelfrank.operators.judge import ask_judge, judge_prompts, pair_reports, parse_verdicts
@@ -80,7 +80,9 @@ def explore_language(
     return counts
 
 
-def keyword_report(spark: SparkSession, catalog_path: str, keywords: Sequence[str], out_path: str) -> DataFrame:
+def keyword_report(
+    spark: SparkSession, catalog_path: str, out_path: str, keywords: Sequence[str] = DEFAULT_TAG_KEYWORDS
+) -> DataFrame:
     """B8 + D9: products matching any keyword (regex), written; returns the top
     20 types and groups among them."""
     hits = materialize(keyword_hits(spark.read.parquet(catalog_path), list(keywords)))
@@ -166,13 +168,24 @@ def search_reports(
     k: int = 5,
     block_text_keywords: str | Sequence[str] | None = None,
     block_type_keywords: str | Sequence[str] | None = None,
+    max_products: int | None = None,
+    seed: int = 42,
 ) -> DataFrame:
     """G2/G3 + A11: top-k of the whole catalog for every query (column
     ``query``), with optional blocklists and the all-blocked fallback; writes
-    the hit table and one text report per query under ``model=<model_id>``."""
+    the hit table and one text report per query under ``model=<model_id>``.
+
+    ``max_products`` searches an exact-size seeded sample of the catalog
+    instead (C5; the interactive tool defaulted to
+    ``REFERENCE_SEARCH_MAX_PRODUCTS``); by default the whole catalog is searched.
+    """
+    if k < 1:
+        raise ValueError("k must be >= 1")
     tkw, ykw = parse_keywords(block_text_keywords), parse_keywords(block_type_keywords)
     safe = bool(tkw or ykw)
     catalog = spark.read.parquet(catalog_path)
+    if max_products is not None:
+        catalog = exact_sample(catalog, max_products, ["product_id"], seed)
     if safe:
         catalog = safe_catalog(with_block_flags(catalog, tkw, ykw))
     catalog = materialize(catalog)

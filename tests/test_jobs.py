@@ -25,8 +25,10 @@ def test_user_workflow(spark, tmp_out):
     labels = jobs.explore_language(spark, raw, f"{tmp_out}/de", sample_rows=100)
     assert sum(n for _, n in labels) == 9821 and spark.read.parquet(f"{tmp_out}/de").count() == 100
 
-    top = jobs.keyword_report(spark, f"{tmp_out}/catalog", ["bolt", "r.ng"], f"{tmp_out}/kw")
+    top = jobs.keyword_report(spark, f"{tmp_out}/catalog", f"{tmp_out}/kw", ["bolt", "r.ng"])
     assert top.count() > 0 and spark.read.parquet(f"{tmp_out}/kw").count() == 441
+    jobs.keyword_report(spark, f"{tmp_out}/catalog", f"{tmp_out}/kw_default")  # default list: no hits in this data
+    assert spark.read.parquet(f"{tmp_out}/kw_default").count() == 0
 
     ts = "2026-01-01T00:00:00"
     m64 = jobs.evaluate_model(spark, f"{tmp_out}/splits", HashingEncoder(64), f"{tmp_out}/results", "hash64", timestamp=ts)
@@ -55,6 +57,9 @@ def test_user_workflow(spark, tmp_out):
     for dim in (64, 32):
         jobs.search_reports(spark, f"{tmp_out}/catalog", queries, HashingEncoder(dim), f"{tmp_out}/search", k=5,
                             block_text_keywords="anvil,bolt", block_type_keywords="promo")
+    sampled = jobs.search_reports(spark, f"{tmp_out}/catalog", queries, HashingEncoder(16), f"{tmp_out}/search_sampled",
+                                  k=3, max_products=50)
+    assert spark.read.parquet(f"{tmp_out}/search_sampled/hits").select("product_id").distinct().count() <= 50
     hits = spark.read.parquet(f"{tmp_out}/search/hits")
     assert hits.select("model").distinct().count() == 2
     assert hits.where(F.lower("product_text").contains("bolt")).count() == 0
