@@ -33,6 +33,10 @@ UNIQUE_KEY_SEPARATOR = " / "
 DEFAULT_TAG_KEYWORDS = ("vibrator", "dildo", "erotik", "sextoy", "penispumpe", "buttplug")
 # Catalog sample size the interactive search used by default (ours: opt-in).
 REFERENCE_SEARCH_MAX_PRODUCTS = 100_000
+# A judge answer fenced in three backticks (optional "json" tag), case-insensitive,
+# dot matching newlines; group 1 runs greedily to the last closing fence.
+CODE_FENCE_PATTERN = r"(?is)```(?:json)?\s*(.*)```"
+CODE_FENCE = "```"
 # ---------------------------------------------------------------------------
 
 # Unicode-aware strip: Python's str.strip() removes every Unicode blank, Spark's
@@ -166,13 +170,10 @@ def short_model_name(model: ColumnOrName) -> Column:
     return F.substring_index(F.regexp_replace(F.rtrim(_c(model)), r"\\", "/"), "/", -1)
 
 
-_FENCE = r"(?is)```(?:json)?\s*(.*)```"
-
-
 def strip_code_fences(raw: ColumnOrName) -> Column:
     """Strip a fenced block: only when the stripped text starts with three
     backticks; the capture runs greedily to the last fence; unchanged when no
     closing fence exists."""
     t = ustrip(raw)
-    fenced = t.startswith("```") & t.rlike(_FENCE)
-    return F.when(fenced, ustrip(F.regexp_extract(t, _FENCE, 1))).otherwise(t)
+    fenced = t.startswith(CODE_FENCE) & t.rlike(CODE_FENCE_PATTERN)
+    return F.when(fenced, ustrip(F.regexp_extract(t, CODE_FENCE_PATTERN, 1))).otherwise(t)

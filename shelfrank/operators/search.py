@@ -25,11 +25,12 @@ path, so with integer count vectors the results are exact.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,8 +214,53 @@ def safe_catalog(catalog: DataFrame, blocked: str = "blocked") -> DataFrame:
 
 # --- A11: text form of a hit list ------------------------------------------------
 
+# --- fixed values: lines of a search result text (format templates) -------------
+REPORT_QUERY_LINE = "Query: {query}\n"
+REPORT_MODEL_LINE = "Model: {model}\n"
+REPORT_TOP_LINE = "Top {n} results:\n\n"
+REPORT_TOP_LINE_SAFE = "Top {n} results\n"
+REPORT_BLOCKED_TEXT_LINE = "Blocked text keywords: {keywords}\n"
+REPORT_BLOCKED_TYPE_LINE = "Blocked type keywords: {keywords}\n\n"
+HIT_RANK_LINE = "#{rank} (score={score:.4f})\n"
+HIT_NAME_BRAND_LINE = "  Name: {name} [{brand}]\n"
+HIT_NAME_LINE = "  Name: {name}\n"
+HIT_TYPE_LINE = "  Type: {ptype} | Group: {group}\n"
+HIT_TEXT_LINE = "  Text: {text}\n\n"
+# Keyword lists print as Python list literals, e.g. ['anvil', 'bolt'].
+# ---------------------------------------------------------------------------------
 
-def _py_list_repr(items: Sequence[str]) -> str:
+
+def _template_parts(template: str):
+    """(literal, field, format spec) pieces of a format template."""
+    return [(lit, field, spec) for lit, field, spec, _ in string.Formatter().parse(template)]
+
+
+def template_col(template: str, fields: dict) -> Column:
+    """A format template as one ``concat`` of literals and columns; a field
+    with a ``.Nf`` spec is formatted with ``format_string``."""
+    parts = []
+    for lit, field, spec in _template_parts(template):
+        if lit:
+            parts.append(F.lit(lit))
+        if field is not None:
+            c = fields[field]
+            parts.append(F.format_string(f"%{spec}", c) if spec else c.cast("string"))
+    return F.concat(*parts)
+
+
+def template_sql(template: str, fields: dict) -> str:
+    """The same template as a SQL string expression (``printf`` for specs)."""
+    parts = []
+    for lit, field, spec in _template_parts(template):
+        if lit:
+            parts.append("'" + lit.replace("'", "''") + "'")
+        if field is not None:
+            e = fields[field]
+            parts.append(f"printf('%{spec}', {e})" if spec else f"cast({e} as varchar)")
+    return " || ".join(parts)
+
+
+def keyword_list_text(items: Sequence[str]) -> str:
     return repr(list(items))
 
 
@@ -236,32 +282,31 @@ def search_report(
     name = F.coalesce(F.col("ProductName"), F.col("product_text"))
     brand = _blank("BrandName")
     line = F.concat(
-        F.lit("#"), F.col("rank").cast("string"), F.lit(" (score="), F.format_string("%.4f", F.col("score")), F.lit(")\n"),
-        F.when(brand != "", F.concat(F.lit("  Name: "), name, F.lit(" ["), brand, F.lit("]\n"))).otherwise(
-            F.concat(F.lit("  Name: "), name, F.lit("\n"))
+        template_col(HIT_RANK_LINE, {"rank": F.col("rank"), "score": F.col("score")}),
+        F.when(brand != "", template_col(HIT_NAME_BRAND_LINE, {"name": name, "brand": brand})).otherwise(
+            template_col(HIT_NAME_LINE, {"name": name})
         ),
     )
     if safe:
         ptype, group = _blank("ProductType"), _blank("Level4_ProductGroup")
-        line = F.concat(
-            line,
-            F.when((ptype != "") | (group != ""), F.concat(F.lit("  Type: "), ptype, F.lit(" | Group: "), group, F.lit("\n"))).otherwise(F.lit("")),
-        )
-    line = F.concat(line, F.lit("  Text: "), _blank("product_text"), F.lit("\n\n"))
+        type_line = template_col(HIT_TYPE_LINE, {"ptype": ptype, "group": group})
+        line = F.concat(line, F.when((ptype != "") | (group != ""), type_line).otherwise(F.lit("")))
+    line = F.concat(line, template_col(HIT_TEXT_LINE, {"text": _blank("product_text")}))
     g = hits.groupBy(model, query).agg(
         F.count(F.lit(1)).alias("n_hits"),
         F.array_sort(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("_l"),
     )
     body = F.array_join(F.transform("_l", lambda x: x["line"]), "")
+    head = [
+        template_col(REPORT_QUERY_LINE, {"query": F.col(query)}),
+        template_col(REPORT_MODEL_LINE, {"model": F.col(model)}),
+    ]
     if safe:
-        header = F.concat(
-            F.lit("Query: "), F.col(query), F.lit("\nModel: "), F.col(model), F.lit("\nTop "), F.col("n_hits").cast("string"),
-            F.lit(" results\nBlocked text keywords: " + _py_list_repr(text_keywords)
-                  + "\nBlocked type keywords: " + _py_list_repr(type_keywords) + "\n\n"),
-        )
+        head += [
+            template_col(REPORT_TOP_LINE_SAFE, {"n": F.col("n_hits")}),
+            template_col(REPORT_BLOCKED_TEXT_LINE, {"keywords": F.lit(keyword_list_text(text_keywords))}),
+            template_col(REPORT_BLOCKED_TYPE_LINE, {"keywords": F.lit(keyword_list_text(type_keywords))}),
+        ]
     else:
-        header = F.concat(
-            F.lit("Query: "), F.col(query), F.lit("\nModel: "), F.col(model), F.lit("\nTop "), F.col("n_hits").cast("string"),
-            F.lit(" results:\n\n"),
-        )
-    return g.select(model, query, "n_hits", F.concat(header, body).alias("report"))
+        head.append(template_col(REPORT_TOP_LINE, {"n": F.col("n_hits")}))
+    return g.select(model, query, "n_hits", F.concat(*head, body).alias("report"))

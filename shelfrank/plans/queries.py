@@ -70,6 +70,7 @@ from shelfrank.operators.sampling import exact_sample, preview, seeded_first_gro
 from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
 from shelfrank.operators.splits import assign_splits, restrict_to
 from shelfrank.operators.training import training_batches, training_pairs, training_plan
+from shelfrank.operators import search as S
 from shelfrank.plans import oracle as O
 from shelfrank.plans.build import (
     catalog_df,
@@ -705,32 +706,37 @@ def q_safe_topk_all_blocked(spark, sf):
 
 
 def _report_sql(model: str, safe: bool, hits: str = "hits", catalog: str = "catalog", tkw=(), ykw=()) -> str:
-    nl = "chr(10)"
     name = "coalesce(c.ProductName, c.product_text)"
+    brand = "coalesce(c.BrandName, '')"
+    ptype, group = "coalesce(c.ProductType, '')", "coalesce(c.Level4_ProductGroup, '')"
     line = (
-        f"'#' || cast(h.rk as varchar) || ' (score=' || printf('%.4f', h.score) || ')' || {nl} || "
-        f"case when coalesce(c.BrandName, '') <> '' then '  Name: ' || {name} || ' [' || c.BrandName || ']' || {nl} "
-        f"else '  Name: ' || {name} || {nl} end"
+        S.template_sql(S.HIT_RANK_LINE, {"rank": "h.rk", "score": "h.score"})
+        + f" || case when {brand} <> '' then "
+        + S.template_sql(S.HIT_NAME_BRAND_LINE, {"name": name, "brand": brand})
+        + " else "
+        + S.template_sql(S.HIT_NAME_LINE, {"name": name})
+        + " end"
     )
     if safe:
         line += (
-            f" || case when coalesce(c.ProductType, '') <> '' or coalesce(c.Level4_ProductGroup, '') <> '' "
-            f"then '  Type: ' || coalesce(c.ProductType, '') || ' | Group: ' || coalesce(c.Level4_ProductGroup, '') || {nl} else '' end"
+            f" || case when {ptype} <> '' or {group} <> '' then "
+            + S.template_sql(S.HIT_TYPE_LINE, {"ptype": ptype, "group": group})
+            + " else '' end"
         )
-    line += f" || '  Text: ' || coalesce(c.product_text, '') || {nl} || {nl}"
+    line += " || " + S.template_sql(S.HIT_TEXT_LINE, {"text": "coalesce(c.product_text, '')"})
+    head = [S.template_sql(S.REPORT_QUERY_LINE, {"query": "query"}), S.template_sql(S.REPORT_MODEL_LINE, {"model": f"'{model}'"})]
     if safe:
-        tk = repr(list(tkw)).replace("'", "''")
-        yk = repr(list(ykw)).replace("'", "''")
-        head = (
-            f"'Query: ' || query || {nl} || 'Model: {model}' || {nl} || 'Top ' || cast(count(*) as varchar) || ' results' || {nl}"
-            f" || 'Blocked text keywords: {tk}' || {nl} || 'Blocked type keywords: {yk}' || {nl} || {nl}"
-        )
+        head += [
+            S.template_sql(S.REPORT_TOP_LINE_SAFE, {"n": "count(*)"}),
+            S.template_sql(S.REPORT_BLOCKED_TEXT_LINE, {"keywords": "'" + S.keyword_list_text(tkw).replace("'", "''") + "'"}),
+            S.template_sql(S.REPORT_BLOCKED_TYPE_LINE, {"keywords": "'" + S.keyword_list_text(ykw).replace("'", "''") + "'"}),
+        ]
     else:
-        head = f"'Query: ' || query || {nl} || 'Model: {model}' || {nl} || 'Top ' || cast(count(*) as varchar) || ' results:' || {nl} || {nl}"
+        head.append(S.template_sql(S.REPORT_TOP_LINE, {"n": "count(*)"}))
     return f"""
 {hits}_lines as (select h.query, h.rk, {line} as line from {hits} h join {catalog} c on c.product_id = h.product_id),
 {hits}_rep as (select '{model}' as model, query, cast(count(*) as bigint) as n_hits,
-       {head} || string_agg(line, '' order by rk) as report
+       {" || ".join(head)} || string_agg(line, '' order by rk) as report
 from {hits}_lines group by query)"""
 
 
