@@ -1,0 +1 @@
+"""Inputs and outputs: declared-schema scans, fixture adapters, artifact sinks."""

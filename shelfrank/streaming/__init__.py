@@ -1,0 +1 @@
+"""Structured Streaming: arriving queries searched against a static catalog (M1)."""

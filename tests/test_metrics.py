@@ -218,3 +218,22 @@ def test_ranking_examples_nested(spark):
     assert [r["q"] for r in rows] == ["a", "c", "d"]  # first three queries having a positive
     assert [p["rank"] for p in rows[0]["products"]] == list(range(1, 11))  # top 10, in rank order
     assert [p["relevant"] for p in rows[1]["products"]] == [1, 0, 1]
+
+
+def test_hot_query_spreads_over_range_partitions(spark):
+    """A query with a third of all rows lands in several partitions of the
+    range sort behind rank_candidates_sorted (not in one task)."""
+    from shelfrank.operators.ranking import _flag
+
+    rows = [("hot", i, float(i % 97), 0) for i in range(6000)]
+    rows += [(f"q{j}", i, float(i), 0) for j in range(1200) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    s = df.withColumn("_f", _flag("score")).withColumn("_s", -F.col("score"))
+    parts = (
+        s.repartitionByRange(8, "q", "_f", "_s", "pid")
+        .where("q = 'hot'")
+        .select(F.spark_partition_id().alias("p"))
+        .distinct()
+        .count()
+    )
+    assert parts >= 2
