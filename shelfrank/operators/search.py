@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from shelfrank.functions.text import _blank
 from shelfrank.operators.ranking import top_k
-from shelfrank.session import ship_package
+from shelfrank.session import default_parallelism, ship_package
 
 # Rows per block. A task holds one query block and one catalog block (vectors
 # of dim 64 take 256 bytes as float32) and scores them tile by tile, so the
@@ -157,7 +157,7 @@ def catalog_topk(
     # core. Splitting queries (not products) keeps the partial output at
     # queries x k x catalog blocks.
     if min_query_blocks is None:
-        min_query_blocks = queries.sparkSession.sparkContext.defaultParallelism
+        min_query_blocks = default_parallelism(queries.sparkSession)
     n_qb = _block_count(q, query_block_rows, min_query_blocks)
     n_cb = _block_count(p, catalog_block_rows)
     qx = q.withColumn("qb", F.pmod(F.xxhash64(F.col(query_key)), n_qb).cast("int")).withColumn(

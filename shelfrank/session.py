@@ -41,13 +41,24 @@ def local_session(
     return spark
 
 
+def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
+    """Task slots of the session (a config read; also works without a SparkContext)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        return int(spark.conf.get("spark.default.parallelism", str(fallback)) or fallback)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is used as is. Only when
     it is unset (local tests) a private folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -86,5 +97,5 @@ def materialize(df):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = (ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="shelfrank-scratch-")).rstrip("/")
     return f"{base}/shelfrank/{name}-{uuid.uuid4().hex[:12]}"
