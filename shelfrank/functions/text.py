@@ -165,9 +165,19 @@ def file_stem(path: ColumnOrName) -> Column:
     return F.when(last.rlike(r"^.+\.[^.]*$"), F.regexp_extract(last, r"^(.*)\.[^.]*$", 1)).otherwise(last)
 
 
-def short_model_name(model: ColumnOrName) -> Column:
-    """Last path segment of a model id (``org/name`` -> ``name``), backslashes as slashes."""
-    return F.substring_index(F.regexp_replace(F.rtrim(_c(model)), r"\\", "/"), "/", -1)
+def short_model_name(model: ColumnOrName, variant: str = "eval") -> Column:
+    """Last path segment of a model id (``org/name`` -> ``name``).
+
+    ``eval`` (experiment names): trailing slashes removed first.
+    ``search`` (output folders): backslashes read as slashes, nothing removed,
+    so a trailing slash gives "".
+    """
+    m = _c(model)
+    if variant == "eval":
+        return F.substring_index(F.regexp_replace(m, "/+$", ""), "/", -1)
+    if variant == "search":
+        return F.substring_index(F.regexp_replace(m, r"\\", "/"), "/", -1)
+    raise ValueError("variant must be 'eval' or 'search'")
 
 
 def strip_code_fences(raw: ColumnOrName) -> Column:

@@ -106,3 +106,23 @@ def test_require_columns_lists_all_missing(spark):
     msg = str(e.value)
     for c in ("BrandName", "ProductType", "Level4_ProductGroup", "PageLanguage", "product_id"):
         assert c in msg
+
+
+def test_path_and_model_name_helpers(spark):
+    import os
+
+    from shelfrank.functions.text import file_stem, parse_keywords_col, short_model_name
+
+    paths = ["interactive_outputs/e5/blackdress.txt", "runs/model/a.b.json", "plain"]
+    models = ["intfloat/multilingual-e5-base", "models" + chr(92) + "e5_finetuned/", "name"]
+    df = spark.createDataFrame(list(zip(paths, models, [" Anvil, ,BOLT,", "x", ""])), "path string, model string, kws string")
+    r = df.select(
+        file_stem("path").alias("stem"),
+        short_model_name("model").alias("m"),
+        short_model_name("model", "search").alias("ms"),
+        parse_keywords_col("kws").alias("k"),
+    ).collect()
+    assert [x["stem"] for x in r] == [os.path.splitext(os.path.basename(p))[0] for p in paths]
+    assert [x["m"] for x in r] == [m.rstrip("/").split("/")[-1] for m in models]
+    assert [x["ms"] for x in r] == [m.replace(chr(92), "/").split("/")[-1] for m in models]
+    assert [x["k"] for x in r] == [["anvil", "bolt"], ["x"], []]
