@@ -57,6 +57,29 @@ def global_rank(
     return ranked.drop("_k", "_h", "_b", "_r", "_off", "_tot")
 
 
+def kth_smallest_key(keys: DataFrame, k: Column, key: str = "_key", hex_digits: int = 4) -> Column:
+    """Exact k-th smallest value (1-based) of the seeded order key ``key``
+    (a struct ``(md5 hex, raw key)``) as a scalar-subquery Column; null when
+    k < 1.
+
+    Selection without sorting everything: rows are counted per md5-prefix
+    bucket (partial aggregation), the running count over the ≤ 16**hex_digits
+    buckets finds the bucket holding the k-th key, and only that bucket's rows
+    (uniform hashing keeps it small) are ordered to pick it.
+    """
+    b = keys.select(F.col(key), hash_bucket(F.col(key)["h"], hex_digits).alias("_b"))
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.select("_b", "_n", F.sum("_n").over(running).alias("_cum"))
+    bucket = cum.where(F.col("_cum") >= k).agg(F.min("_b").alias("b")).scalar()
+    before = cum.where(F.col("_b") < bucket).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("c")).scalar()
+    ranked = b.where(F.col("_b") == bucket).select(
+        F.col(key), F.row_number().over(Window.orderBy(F.col(key))).alias("_r")
+    )
+    kth = ranked.where(F.col("_r") == k - before).select(F.col(key)).scalar()
+    return F.when(k >= 1, kth)
+
+
 def exact_sample(
     df: DataFrame,
     n: int,

@@ -96,3 +96,25 @@ def test_global_rank_property_unicode_keys(spark):
         assert [got[k] for k in want] == list(range(1, len(keys) + 1))
 
     check()
+
+
+def test_threshold_split_equals_join_split(spark):
+    from shelfrank.operators.splits import assign_splits_by_join
+
+    for n in (1, 2, 9, 10, 11, 19, 257):
+        df = qdf(spark, n, 2)
+        a = assign_splits(df, broadcast_max_queries=0).select("OriginalQuery", "j", "split")  # threshold path
+        b = assign_splits_by_join(df).select("OriginalQuery", "j", "split")
+        c = assign_splits(df).select("OriginalQuery", "j", "split")  # broadcast path
+        assert a.count() == b.count() == c.count() == 2 * n
+        assert a.exceptAll(b).count() == 0 and c.exceptAll(b).count() == 0, n
+
+
+def test_split_paths_do_not_shuffle_rows(spark):
+    df = qdf(spark, 50, 3)
+    plan = assign_splits(df, broadcast_max_queries=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    small = assign_splits(df)
+    small.count()
+    phys = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in phys and "SortMergeJoin" not in phys
