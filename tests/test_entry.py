@@ -61,3 +61,14 @@ def test_adapters_match_published_fixture_statistics(spark):
         F.sum(F.col("parsed_ok").cast("int")).alias("ok"), F.first("overall_better").alias("w")).collect()}
     assert kinds == {0: (300, "model_a"), 1: (300, "tie"), 2: (300, "unknown"), 3: (0, None), 4: (0, None)}
     imp.unpersist()
+
+
+def test_no_registered_query_plans_a_cross_join(spark):
+    """Regression guard over all registered queries (plans only, sf0.001)."""
+    bad = {}
+    for name, fn in E.queries().items():
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
