@@ -68,3 +68,23 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfrank.llm.mixing import mix_copies
 
     return mix_copies(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@_register("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from shelfrank.llm.byte_bpe import decode, encode
+
+    ranks = tokenizer_bytes("byte_bpe_multi_50k.tiktoken")
+    coded = decode(encode(_table(spark, sf_dir, "documents"), ranks, PATTERN), ranks)
+    return bpe_digest(coded)
+
+
+def bpe_digest(coded: DataFrame, *extra: str) -> DataFrame:
+    """Digest columns of encoded and decoded rows."""
+    return coded.select(
+        "doc_id", *extra, F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
