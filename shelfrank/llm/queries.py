@@ -95,3 +95,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfrank.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_register("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.html_extract import extract_text
+
+    texts = extract_text(_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
