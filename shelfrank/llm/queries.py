@@ -103,3 +103,17 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts = extract_text(_table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_register("op4_multi_index")
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.near_vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op5_masked_lm")
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.masked_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
