@@ -331,3 +331,17 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     comps = links.components()
     out = member.join(comps, member["rep"] == comps["node"], "left")
     return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is its component's smallest, with their columns.
+
+    Of rows that share an id one stays; rows with a null id all stay, as no link
+    names them."""
+    found = jaccard_components(docs, key=key, text=text)
+    found = written(found.select(F.col(key).alias("j_key"), (F.col(key) == F.col("component_id")).alias("j_first")), "jaccard-kept")
+    # one row an id; ``n`` is over 1 where several rows share it
+    first = found.where("j_first").groupBy("j_key").agg(F.count("*").alias("n"))
+    once = docs.join(first.where("n = 1"), docs[key] == F.col("j_key"), "left_semi")
+    shared = docs.join(first.where("n > 1"), docs[key] == F.col("j_key"), "left_semi").dropDuplicates([key])
+    return once.unionByName(shared).unionByName(docs.where(docs[key].isNull()))

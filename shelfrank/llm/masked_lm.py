@@ -40,7 +40,6 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@functools.cache
 def _letters() -> np.ndarray:
     """A random number for each place in a word (modulo 64) and byte; A-Z as a-z."""
     t = mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(64, 256)
@@ -48,6 +47,9 @@ def _letters() -> np.ndarray:
     return t.ravel()
 
 
+_LETTERS = _letters()
+
+
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each begins and the last one ends."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -71,7 +73,7 @@ def _hash_chunk(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     letters = data[black]
     at = np.cumsum(black)[starts] - 1
     place = np.arange(len(letters)) - np.repeat(at, np.diff(np.append(at, len(letters))))
-    return mix64(np.add.reduceat(_letters()[(place & 63) * 256 + letters], at)), starts
+    return mix64(np.add.reduceat(_LETTERS[(place & 63) * 256 + letters], at)), starts
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
