@@ -27,7 +27,7 @@ from shelfrank.session import scratch_path
 SHARD_BYTES, FILE_BYTES = 16 << 20, 4 << 20
 #: Buckets of the byte histogram over the ids (the broadcast table's bound).
 RANGES = 1 << 14
-#: One payload's writers are spread over so many parts of its shard.
+#: A shard's pages are spread over so many parts, each with files of its own.
 SPREAD = 4
 
 _DATE = "2024-01-01T00:00:00Z"  # fixed: reruns write the same bytes
@@ -140,7 +140,9 @@ def write_warc(pages: DataFrame, path: str, *, shard_bytes: int = SHARD_BYTES, f
     Null html is an empty payload. Payloads of at least ``min_revisit_bytes`` that
     occur again become revisits of the row with the smallest page_id (null ids
     last; equal ids by url). Rows repeated whole are records of their own, the
-    first one the response. An empty table writes an empty manifest. Extra
+    first one the response; rows that share id and url follow each other in one file,
+    in the order read. Where ids and urls are unique the files hold the same bytes
+    however the input is partitioned. An empty table writes an empty manifest. Extra
     columns are not read.
     """
     spark = pages.sparkSession
@@ -153,15 +155,15 @@ def write_warc(pages: DataFrame, path: str, *, shard_bytes: int = SHARD_BYTES, f
     slim = written(rows.select("page_id", "url", "w_range", "w_row", (F.octet_length("w_payload") + 500).alias("w_bytes"), F.octet_length("w_payload").alias("w_len"), F.sha1("w_payload").alias("w_sha")), "warc-slim")
     first = slim.groupBy("w_sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.col("url").isNull().alias("u"), "url", "w_row")).alias("w_first"), F.count("*").alias("w_n")).where("w_n > 1")
     again = slim.where(F.col("w_len") >= min_revisit_bytes).join(first, "w_sha").where(F.col("w_row") != F.col("w_first.w_row"))
-    decisions = again.select("page_id", "w_range", "w_row", F.col("w_first.page_id").alias("w_refers"))
+    decisions = again.select("page_id", "url", "w_range", "w_row", F.col("w_first.page_id").alias("w_refers"))
     shards = F.broadcast(_shards(slim, shard_bytes))  # at most RANGES + 1 rows
     # decisions ride in the same shuffle as the pages and sort before them: the payloads move once
     both = rows.select("page_id", "w_row", F.lit(1).alias("w_kind"), "url", "w_payload", F.lit(None).cast("long").alias("w_refers"), "w_range").unionByName(
-        decisions.select("page_id", "w_row", F.lit(0).alias("w_kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("w_payload"), "w_refers", "w_range")
+        decisions.select("page_id", "w_row", F.lit(0).alias("w_kind"), "url", F.lit(None).cast("binary").alias("w_payload"), "w_refers", "w_range")
     )
-    both = both.join(shards, "w_range").withColumn("w_part", F.pmod(F.xxhash64("page_id", "w_row"), F.lit(SPREAD)).cast("int"))
+    both = both.join(shards, "w_range").withColumn("w_part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int"))
     both = both.select("w_shard", "w_part", "page_id", "w_row", "w_kind", "url", "w_payload", "w_refers")
-    dealt = python_ready(both.repartition("w_shard", "w_part").sortWithinPartitions("w_shard", "w_part", F.col("page_id").asc_nulls_last(), "w_row", "w_kind"))
+    dealt = python_ready(both.repartition("w_shard", "w_part").sortWithinPartitions("w_shard", "w_part", F.col("page_id").asc_nulls_last(), "url", "w_row", "w_kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, at, decided = None, None, None
