@@ -16,6 +16,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,15 +76,11 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i] : end[i]]] for i in range(n) if live[i]]
 
 
-def _bucketed(spark: SparkSession, keys: list, values: list, buckets: list[int], n: int, key_type, value_type) -> DataFrame:
+def _bucketed(spark: SparkSession, keys: pa.Array, values: pa.Array, buckets: np.ndarray, n: int) -> DataFrame:
     """One row, one column: an array of ``n`` small maps, a key in its bucket's map."""
-    order = sorted(range(len(keys)), key=buckets.__getitem__)
-    sizes = [0] * (n + 1)
-    for b in buckets:
-        sizes[b + 1] += 1
-    for i in range(n):
-        sizes[i + 1] += sizes[i]
-    maps = pa.MapArray.from_arrays(pa.array(sizes, pa.int32()), pa.array([keys[i] for i in order], key_type), pa.array([values[i] for i in order], value_type))
+    order = pa.array(np.argsort(buckets, kind="stable"))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(buckets, minlength=n))]).astype(np.int32)
+    maps = pa.MapArray.from_arrays(pa.array(starts), keys.take(order), values.take(order))
     return spark.createDataFrame(pa.table({"t": pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), maps)})).coalesce(1)
 
 
@@ -91,17 +88,20 @@ class Tables:
     """The tokenizer's lookup tables as one-row DataFrames (all of fixed size)."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        pairs = merge_pairs(ranks)
-        keys = [a * _SHIFT + b for a, b in pairs]
-        self.ranks = ranks
-        self.pairs = _bucketed(spark, keys, list(pairs.values()), [(a * 40503 + b) % PAIR_BUCKETS for a, b in pairs], PAIR_BUCKETS, pa.int64(), pa.int32())
-        tokens = list(ranks)
-        self.tokens = _bucketed(spark, tokens, [ranks[t] for t in tokens], [zlib.crc32(t) % VOCABULARY_BUCKETS for t in tokens], VOCABULARY_BUCKETS, pa.binary(), pa.int32())
+        merges = merge_pairs(ranks)
+        left, right = np.array(list(merges), np.int64).reshape(-1, 2).T
+        self.pairs = _bucketed(spark, pa.array(left * _SHIFT + right), pa.array(list(merges.values()), pa.int32()), (left * 40503 + right) % PAIR_BUCKETS, PAIR_BUCKETS)
+        tokens = pa.array(list(ranks), pa.binary())
+        self.tokens = _bucketed(spark, tokens, pa.array(list(ranks.values()), pa.int32()), np.array([zlib.crc32(t) % VOCABULARY_BUCKETS for t in ranks]), VOCABULARY_BUCKETS)
         self.bytes = spark.createDataFrame(pa.table({"t": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int32()))})).coalesce(1)
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            by_id[r] = t
-        self.pieces = spark.createDataFrame(pa.table({"t": pa.array([[t.hex() for t in by_id]], pa.list_(pa.string()))})).coalesce(1)
+
+
+def pieces_of(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row: every id's bytes, as hexadecimal strings."""
+    by_id = [b""] * (max(ranks.values()) + 1)
+    for t, r in ranks.items():
+        by_id[r] = t
+    return spark.createDataFrame(pa.table({"t": pa.array([[t.hex() for t in by_id]], pa.list_(pa.string()))})).coalesce(1)
 
 
 def _at(table: Column, i: Column) -> Column:
@@ -193,9 +193,10 @@ def dictionary(docs: DataFrame, tables: Tables, *, text: str, pattern: str, limi
     words = frequent_words(docs, text, pattern, limit)
     bound = _with_tables(words, pairs=tables.pairs, tokens=tables.tokens, bytes=tables.bytes)
     folded = bound.select("word", F.get(F.transform(_tables("pairs", "tokens", "bytes"), lambda t: fold_word(F.col("word").cast("binary"), t)), F.lit(0)).alias("ids"))
-    rows = folded.toArrow()  # at most ``limit`` short words
-    keys = rows.column("word").to_pylist()
-    return _bucketed(spark, keys, rows.column("ids").to_pylist(), [zlib.crc32(k.encode()) % WORD_BUCKETS for k in keys], WORD_BUCKETS, pa.string(), pa.list_(pa.int32()))
+    rows = folded.withColumn("bucket", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WORD_BUCKETS)).cast("int")).toArrow().combine_chunks()
+    if not rows.num_rows:  # at most ``limit`` short words
+        return _bucketed(spark, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, np.int64), WORD_BUCKETS)
+    return _bucketed(spark, rows["word"].chunk(0), rows["ids"].chunk(0), rows["bucket"].to_numpy(), WORD_BUCKETS)
 
 
 def _long_words(ranks_bytes, pattern: str):
@@ -250,7 +251,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, *, key: str = "doc_i
 def decode(encoded: DataFrame, rank_file: bytes, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of ``ids``: each id's piece, concatenated. Null gives null."""
     spark = encoded.sparkSession
-    pieces = Tables(spark, parse_ranks(rank_file)).pieces
+    pieces = pieces_of(spark, parse_ranks(rank_file))
     columns = encoded.columns
     bound = encoded.withColumn("b_pieces", pieces.scalar())
     joined = F.get(F.transform(F.array(F.col("b_pieces")), lambda p: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(p, i)), ""))), F.lit(0))
