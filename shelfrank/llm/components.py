@@ -44,19 +44,21 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp``: the smallest id reachable, for nodes with edges ``a, b`` (longs).
 
-    Every task joins the nodes of its own edges, so only a forest goes on. Then,
-    until nothing changes, a node keeps its smallest parent, hands its other
+    Every task joins the nodes of its own edges, so only a forest goes on, which
+    is written once a round. It is done when each node has one parent that has
+    none itself. Until then a node keeps its smallest parent, hands its other
     parents to that one, and moves up to its parent's parent. Nulls and loops
     are dropped; an empty table gives an empty result.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     while True:
         e = written(python_ready(e.repartition("a")).mapInArrow(_contract, "a long, b long"), "components")
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x"))
         ups = least.select(F.col("a").alias("u_a"), F.col("m").alias("u_m"))
-        kept = least.join(ups, F.col("m") == F.col("u_a"), "left").select("a", F.coalesce("u_m", "m").alias("b"), F.col("u_a").isNotNull().alias("moved"))
-        other = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
-        step = written(kept.unionByName(other), "components-step")
-        if step.where("moved").limit(1).count() == 0:
-            return step.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(step.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
-        e = step.select("a", "b").where("a <> b").distinct()
+        linked = least.join(ups, F.col("m") == F.col("u_a"), "left")
+        if linked.where("m < x or u_a is not null").isEmpty():
+            break
+        kept = linked.select("a", F.coalesce("u_m", "m").alias("b"))
+        other = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = kept.unionByName(other).where("a <> b").distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
