@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfrank.functions.text import UNKNOWN_WINNER, judge_slug, slug, strip_code_fences
-from shelfrank.schema import VERDICT
+from shelfrank.schema import JUDGE_SCORES, VERDICT
 
 # --- fixed values -------------------------------------------------------------------
 NO_QUERY_TEXT = "UNKNOWN (no explicit query provided)."
@@ -111,27 +111,54 @@ def ask_judge(prompts: DataFrame, judge_fn: Callable[[list[str]], list[str]], pr
     return prompts.mapInPandas(run, schema)
 
 
+def _as_text(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), True) for f in t.fields])
+    return T.StringType()
+
+
+#: The verdict with every leaf as text, so that quoted numbers are not lost.
+AS_TEXT = _as_text(VERDICT)
+
+
+def _scores(s: Column) -> Column:
+    """A model's scores in their own types."""
+    return F.when(s.isNotNull(), F.struct(*[s[f.name].try_cast(f.dataType).alias(f.name) for f in JUDGE_SCORES.fields]))
+
+
+def one_json_value(text: Column) -> Column:
+    """Whether all of ``text`` is one JSON value. The parser stops behind the
+    first value, so the text is put where anything left over makes it fail: as
+    the only item of an array, and as the value of a key."""
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.variant_get(item, "$[0]", "variant").isNotNull() & F.variant_get(item, "$[1]", "variant").isNull()
+    return F.coalesce(one & value.isNotNull(), F.lit(False))
+
+
 def parse_verdicts(responses: DataFrame, raw: str = "raw_text") -> DataFrame:
     """K3 + K4 + K5: strip fences, parse, extract scores and the winner.
 
-    ``parsed_ok`` is whether the stripped text is valid JSON (``from_json``
-    alone cannot tell: bad input gives a struct of nulls). Unparsed rows keep
-    the raw text as ``payload`` and get no winner; parsed rows without one get
-    ``unknown``.
+    ``parsed_ok`` is whether the whole stripped text is one JSON value
+    (``from_json`` cannot tell: bad input gives a struct of nulls, and text after
+    the value is not looked at). Scores may be numbers or strings of numbers;
+    other strings give null. Duplicate keys and the non-standard ``NaN`` and
+    ``Infinity`` count as not parsed. Unparsed rows keep the raw text as
+    ``payload`` and get no winner; parsed rows without one get ``unknown``.
     """
     cleaned = strip_code_fences(F.col(raw))
     d = responses.withColumn("cleaned", cleaned).withColumn(
-        "parsed_ok", F.try_parse_json(F.col("cleaned")).isNotNull()
+        "parsed_ok", one_json_value(F.col("cleaned"))
     )
-    v = F.from_json(F.col("cleaned"), VERDICT)
+    v = F.from_json(F.col("cleaned"), AS_TEXT)
     d = d.withColumn("_v", F.when(F.col("parsed_ok"), v))
     return d.select(
         *[c for c in responses.columns],
         "cleaned",
         "parsed_ok",
         F.when(F.col("parsed_ok"), F.col("cleaned")).otherwise(F.col(raw)).alias("payload"),
-        F.col("_v.scores.model_a").alias("scores_a"),
-        F.col("_v.scores.model_b").alias("scores_b"),
+        _scores(F.col("_v.scores.model_a")).alias("scores_a"),
+        _scores(F.col("_v.scores.model_b")).alias("scores_b"),
         F.when(F.col("parsed_ok"), F.coalesce(F.col("_v.overall_better"), F.lit(UNKNOWN_WINNER))).alias("overall_better"),
     )
 

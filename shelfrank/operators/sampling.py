@@ -4,7 +4,7 @@
 order without a single-partition window: rows are bucketed by the leading hex
 digits of their md5 (uniform), ranked inside their bucket, and shifted by the
 running count of the smaller buckets. The offsets table has at most
-``16**hex_digits`` rows per partition value, so it is broadcast safely.
+``16**hex_digits`` rows per partition value; no broadcast of it is forced.
 """
 
 from __future__ import annotations
@@ -14,14 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfrank.functions.keys import DEFAULT_SEED, hash_bucket, row_key, seeded_hash
+from shelfrank.functions.keys import DEFAULT_SEED, hash_bucket, row_key
 from shelfrank.functions.text import ColumnOrName, _c
 
-# Above this many rows a sample is taken with global_rank instead of a
-# single-task top-n merge.
-TAKE_ORDERED_MAX = 100_000
-
-
 def global_rank(
     df: DataFrame,
     key: ColumnOrName,
@@ -50,7 +45,7 @@ def global_rank(
         F.sum("_n").over(Window.partitionBy(*parts)).alias("_tot"),
     )
     w = Window.partitionBy(*parts, "_b").orderBy("_h", "_k")
-    ranked = d.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), [*parts, "_b"])
+    ranked = d.withColumn("_r", F.row_number().over(w)).join(offsets, [*parts, "_b"])
     ranked = ranked.withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
     if with_total:
         ranked = ranked.withColumn(f"{out}_total", F.col("_tot").cast("bigint"))
@@ -88,18 +83,10 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, chosen by the
     seeded order of ``key_cols`` (never ``DataFrame.sample``, whose size is
-    inexact). Small ``n`` uses a top-n merge; large ``n`` the global rank."""
+    inexact), by the global rank at every ``n``: no top-n merge in one task."""
     if n < 0:
         raise ValueError("n must be >= 0")
     k = row_key(key_cols)
-    if n <= TAKE_ORDERED_MAX:
-        return (
-            df.withColumn("_k", k)
-            .withColumn("_h", seeded_hash("_k", seed))
-            .orderBy("_h", "_k")
-            .limit(n)
-            .drop("_h", "_k")
-        )
     return global_rank(df, k, seed, "_gr", with_total=False).where(F.col("_gr") <= n).drop("_gr")
 
 

@@ -80,6 +80,11 @@ def _tile_candidates(s, k):
     return np.nonzero(np.ones_like(filled, dtype=bool))
 
 
+def _stacked(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Vectors as rows; a null vector is a row of NaN."""
+    return np.stack([np.full(dim, np.nan) if v is None else np.asarray(v, np.float64) for v in vectors])
+
+
 def block_topk_numpy(
     q_keys: np.ndarray,
     q_vecs: np.ndarray,
@@ -93,28 +98,27 @@ def block_topk_numpy(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best ``k`` products per query of one block pair, scored tile by tile.
 
-    Returns parallel arrays (query index, product index, score). Each tile
-    keeps its per-row top k (plus ties); candidates of all tiles of a query
-    chunk are merged in the total order.
+    Returns parallel arrays (query index, product index, score). A tile's
+    per-row top k (plus ties) is merged at once into the best k so far, so a
+    query chunk never holds more than k plus one tile's entries a query, however
+    many scores tie. Null vectors come as NaN and rank last.
     """
     _, codes = np.unique(p_keys, return_inverse=True)  # key order (numeric or string keys)
     nq, npr = q_vecs.shape[0], p_vecs.shape[0]
     out_r, out_c, out_s = [], [], []
     for q0 in range(0, nq, tile_queries):
         q1 = min(nq, q0 + tile_queries)
-        cand_r, cand_c, cand_s = [], [], []
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for p0 in range(0, npr, tile_products):
             p1 = min(npr, p0 + tile_products)
             s = q_vecs[q0:q1] @ p_vecs[p0:p1].T
             if q_sq is not None:
                 den = np.sqrt(q_sq[q0:q1])[:, None] * np.sqrt(p_sq[p0:p1])[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.where(den > 0, s / np.where(den > 0, den, 1.0), 0.0)
+                    s = np.where(den > 0, s / np.where(den > 0, den, 1.0), np.where(np.isnan(den), np.nan, 0.0))
             r, c = _tile_candidates(s, k)
-            cand_r.append(r)
-            cand_c.append(c + p0)
-            cand_s.append(s[r, c])
-        r, c, sc = _first_k_per_row(np.concatenate(cand_r), np.concatenate(cand_c), np.concatenate(cand_s), codes, k)
+            best = _first_k_per_row(np.r_[best[0], r], np.r_[best[1], c + p0], np.r_[best[2], s[r, c]], codes, k)
+        r, c, sc = best
         out_r.append(r + q0)
         out_c.append(c)
         out_s.append(sc)
@@ -185,8 +189,8 @@ def catalog_topk(
                     "score": pd.Series([], dtype="float64"),
                 }
             )
-        qv = np.stack(qdf[q_vec].to_numpy()).astype(np.float64)
-        pv = np.stack(pdf[p_vec].to_numpy()).astype(np.float64)
+        dim = max((len(v) for side in (qdf[q_vec], pdf[p_vec]) for v in side if v is not None), default=0)
+        qv, pv = _stacked(qdf[q_vec], dim), _stacked(pdf[p_vec], dim)
         qs = None if normalized else qdf[q_sq].to_numpy(dtype=np.float64)
         ps = None if normalized else pdf[p_sq].to_numpy(dtype=np.float64)
         rows, cols, sc = block_topk_numpy(

@@ -35,38 +35,27 @@ def query_splits(
     return r.select(query, split.alias("split"))
 
 
-# Above this many distinct queries the per-query split table is not broadcast.
-BROADCAST_MAX_QUERIES = 500_000
-
-
 def assign_splits(
     df: DataFrame,
     query: str = "OriginalQuery",
     seed: int = DEFAULT_SEED,
     train: float = 0.8,
     val: float = 0.1,
-    broadcast_max_queries: int = BROADCAST_MAX_QUERIES,
 ) -> DataFrame:
     """C4 + E1: every row gets the split of its query (all rows of a query share it).
 
-    The distinct queries are written once (one small row per query) and
-    counted. Up to ``broadcast_max_queries`` of them, the per-query split table
-    (exact global rank) is broadcast to the rows — a size-checked broadcast,
-    no shuffle of the rows. Beyond that, a query's split is decided row by row
-    from two threshold keys: train when its seeded key is at most the
+    The distinct queries are written once (one small row per query). A query's
+    split is decided row by row from two threshold keys, at every size: train
+    when its seeded key is at most the
     ``floor(train·n)``-th smallest, val up to the ``floor(train·n) +
     floor(val·n)``-th, test after. The thresholds are exact scalar subqueries
-    (:func:`kth_smallest_key`) over the written keys, so again no per-query
-    table is joined and the rows are never shuffled. Rows with a null query are
+    (:func:`kth_smallest_key`) over the written keys, so no per-query table is
+    broadcast or joined and the rows are never shuffled. Rows with a null query are
     dropped (they have no split).
     """
     key = F.struct(seeded_hash(F.col(query), seed).alias("h"), F.col(query).cast("string").alias("q"))
     rows = df.where(F.col(query).isNotNull())
-    keys = materialize(rows.select(F.col(query), key.alias("_key")).distinct())
-    if keys.count() <= broadcast_max_queries:
-        table = query_splits(keys.select(query), query, seed, train, val)
-        return rows.join(F.broadcast(table), query)
-    keys = keys.select("_key")
+    keys = materialize(rows.select(key.alias("_key")).distinct())
     n = keys.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     k_train = F.floor(n * F.lit(float(train)))
     k_val = k_train + F.floor(n * F.lit(float(val)))

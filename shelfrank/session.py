@@ -64,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="shelfrank-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -97,5 +99,7 @@ def materialize(df):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
-    base = (ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="shelfrank-scratch-")).rstrip("/")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base}/shelfrank/{name}-{uuid.uuid4().hex[:12]}"

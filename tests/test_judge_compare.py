@@ -67,3 +67,30 @@ def test_leaderboard_missing_metrics_fails(spark):
     mets = _metrics(spark, [("e1", 0.1, 0.2, 0.3, 0.4, 0.5, 10, 1.0, None)])
     with pytest.raises(Exception, match="metrics not found for experiment missing"):
         leaderboard(exps, mets).collect()
+
+
+def test_only_whole_json_documents_count_as_parsed(spark):
+    from shelfrank.operators.judge import parse_verdicts
+
+    texts = {
+        '{"a":1}': True, '{"a":1} trailing': False, "1, 2": False, '{"a":1}] x': False, '1} x': False, "": False, "[]": True, '"x"': True, "null": True, "```json\n{}\n```": True,
+        '{"scores":{"model_a":{"relevance":"7","safety":3},"model_b":{"relevance":"high"}}}': True,
+    }
+    rows = {r["raw_text"]: r for r in parse_verdicts(spark.createDataFrame([(t,) for t in texts], "raw_text string")).collect()}
+    assert {t: r["parsed_ok"] for t, r in rows.items()} == texts
+    r = rows['{"scores":{"model_a":{"relevance":"7","safety":3},"model_b":{"relevance":"high"}}}']
+    assert (r["scores_a"]["relevance"], r["scores_a"]["safety"], r["scores_b"]["relevance"], r["overall_better"]) == (7, 3, None, "unknown")
+    assert rows['{"a":1} trailing']["payload"] == '{"a":1} trailing'
+
+
+def test_null_vectors_and_ties_in_a_block():
+    import numpy as np
+
+    from shelfrank.operators.search import block_topk_numpy
+
+    p = np.ones((50, 2))
+    p[3] = np.nan
+    rows, cols, scores = block_topk_numpy(np.arange(2), np.ones((2, 2)), None, np.arange(50), p, None, 50, tile_products=7)
+    assert cols[:50].tolist() == [i for i in range(50) if i != 3] + [3] and np.isnan(scores[49])
+    rows, cols, _ = block_topk_numpy(np.arange(2), np.ones((2, 2)), None, np.arange(50), p, None, 4, tile_products=7)
+    assert cols.tolist() == [0, 1, 2, 4] * 2

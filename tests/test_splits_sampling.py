@@ -49,14 +49,12 @@ def test_exact_sample_size_and_order(spark):
     assert exact_sample(df, 1000, ["k"]).count() == 300
 
 
-def test_exact_sample_large_path(spark, monkeypatch):
-    import shelfrank.operators.sampling as S
+def test_exact_sample_is_the_first_in_md5_order(spark):
+    import hashlib
 
     df = spark.range(300).select(F.col("id").alias("k"))
-    small = {r["k"] for r in exact_sample(df, 40, ["k"]).collect()}
-    monkeypatch.setattr(S, "TAKE_ORDERED_MAX", 10)
-    large = {r["k"] for r in S.exact_sample(df, 40, ["k"]).collect()}
-    assert small == large
+    order = sorted(range(300), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    assert {r["k"] for r in exact_sample(df, 40, ["k"], 42).collect()} == set(order[:40])
 
 
 def test_batch_count(spark):
@@ -103,18 +101,13 @@ def test_threshold_split_equals_join_split(spark):
 
     for n in (1, 2, 9, 10, 11, 19, 257):
         df = qdf(spark, n, 2)
-        a = assign_splits(df, broadcast_max_queries=0).select("OriginalQuery", "j", "split")  # threshold path
+        a = assign_splits(df).select("OriginalQuery", "j", "split")
         b = assign_splits_by_join(df).select("OriginalQuery", "j", "split")
-        c = assign_splits(df).select("OriginalQuery", "j", "split")  # broadcast path
-        assert a.count() == b.count() == c.count() == 2 * n
-        assert a.exceptAll(b).count() == 0 and c.exceptAll(b).count() == 0, n
+        assert a.count() == b.count() == 2 * n
+        assert a.exceptAll(b).count() == 0, n
 
 
 def test_split_paths_do_not_shuffle_rows(spark):
     df = qdf(spark, 50, 3)
-    plan = assign_splits(df, broadcast_max_queries=0)._jdf.queryExecution().optimizedPlan().toString()
+    plan = assign_splits(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
-    small = assign_splits(df)
-    small.count()
-    phys = small._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in phys and "SortMergeJoin" not in phys
