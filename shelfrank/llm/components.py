@@ -42,23 +42,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, comp``: the smallest id reachable, for nodes with edges ``a, b`` (longs).
+    """``node, comp``: the smallest id reachable, for nodes with edges ``a, b`` (longs);
+    a component's smallest node itself has no row.
 
-    Every task joins the nodes of its own edges, so only a forest goes on, which
-    is written once a round. It is done when each node has one parent that has
-    none itself. Until then a node keeps its smallest parent, hands its other
-    parents to that one, and moves up to its parent's parent. Nulls and loops
-    are dropped; an empty table gives an empty result.
+    In a round every task first joins the nodes of its own edges, so a node has
+    at most one parent a task. Then a node keeps its smallest parent, hands its
+    other parents to that one, and moves up to its parent's parent. One write a
+    round cuts the lineage and says what is left to do: it is done when each node
+    has one parent that has none itself. Nulls and loops are dropped; an empty
+    table gives an empty result.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     while True:
-        e = written(python_ready(e.repartition("a")).mapInArrow(_contract, "a long, b long"), "components")
-        least = e.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x"))
-        ups = least.select(F.col("a").alias("u_a"), F.col("m").alias("u_m"))
-        linked = least.join(ups, F.col("m") == F.col("u_a"), "left")
-        if linked.where("m < x or u_a is not null").isEmpty():
+        forest = python_ready(e).mapInArrow(_contract, "a long, b long")
+        up = forest.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("all"))  # at most one a task
+        above = up.select(F.col("a").alias("u_a"), F.get("all", F.lit(0)).alias("u_m"))
+        up = up.withColumn("m", F.get("all", F.lit(0)))
+        rows = up.join(above, F.col("m") == F.col("u_a"), "left").select(
+            "a", F.coalesce("u_m", "m").alias("b"), F.col("m").alias("top"), F.slice("all", 2, F.size("all")).alias("other"), F.col("u_a").isNotNull().alias("moved")
+        )
+        rows = written(rows, "components")
+        if rows.where("moved or size(other) > 0").isEmpty():
             break
-        kept = linked.select("a", F.coalesce("u_m", "m").alias("b"))
-        other = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = kept.unionByName(other).where("a <> b").distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+        handed = rows.select(F.explode("other").alias("a"), F.col("top").alias("b"))
+        e = rows.select("a", "b").unionByName(handed)
+    return rows.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -38,7 +38,7 @@ LOCAL_COUNT, LOCAL_RUN = 4, 1 << 22
 #: Lists of at least so many known members are spread over several tasks.
 LONG_LIST, SPREAD = 4096, 16
 #: Rounds of comparing with one member of a list before all are compared.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Largest boundary that is tried.
 MOST_SMALL = 64
 
@@ -258,24 +258,25 @@ def _may_link(prefix_a: str, prefix_b: str):
 
 
 class _Links:
-    """Verified links so far."""
+    """Components of the verified links so far (``comps``; none before the first ``add``)."""
 
     def __init__(self, texts: DataFrame, edges: DataFrame):
-        self.texts, self.edges = texts, written(edges.distinct(), "jaccard-edges")
+        self.texts, self.edges, self.comps = texts, edges, None
 
     def add(self, pairs: DataFrame) -> None:
-        p = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = p.join(self.texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(self.texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-        found = python_ready(both.select("a", "b", "ta", "tb")).mapInArrow(_verify, "a long, b long")
-        self.edges = written(self.edges.unionByName(found), "jaccard-edges")
+        found = written(python_ready(both.select("a", "b", "ta", "tb")).mapInArrow(_verify, "a long, b long"), "jaccard-edges")
+        self.comps = components(self.edges.unionByName(found))
+        self.edges = self.comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
-    def components(self) -> DataFrame:
-        return components(self.edges)
 
-
-def _with_component(lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _open_rows(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Members of lists that hold several components, with their component."""
-    rows = lists.join(comps, lists["k"] == comps["node"], "left").select("key", "k", "n", "pos", F.coalesce("comp", "k").alias("comp"))
+    if comps is None:
+        rows = lists.withColumn("comp", F.col("k"))
+    else:
+        rows = lists.join(comps, lists["k"] == comps["node"], "left").select("key", "k", "n", "pos", F.coalesce("comp", "k").alias("comp"))
     open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return written(rows.join(open_keys, "key"), "jaccard-open")
 
@@ -324,11 +325,13 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     texts = written(slim.join(wanted, "k", "left_semi"), "jaccard-texts")
     same_id = nodes.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = _Links(texts, same_id)
-    for r in range(PIVOT_ROUNDS):
-        left = _with_component(lists, links.components())
-        links.add(_pivot_pairs(left, F.col("k") if r == 0 else F.xxhash64("key", "k", F.lit(r))))
-    links.add(_all_pairs(_with_component(lists, links.components())))
-    comps = links.components()
+    for r in range(PIVOT_ROUNDS + 1):
+        lists = _open_rows(lists.select("key", "k", "n", "pos"), links.comps)  # a closed list stays closed
+        if r == PIVOT_ROUNDS:
+            links.add(_all_pairs(lists))
+        else:
+            links.add(_pivot_pairs(lists, F.col("k") if r == 0 else F.xxhash64("key", "k", F.lit(r))))
+    comps = links.comps
     out = member.join(comps, member["rep"] == comps["node"], "left")
     return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
 
