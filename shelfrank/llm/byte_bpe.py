@@ -29,7 +29,9 @@ DICTIONARY_WORDS, DICTIONARY_BYTES = 1 << 19, 64
 #: A fold's steps grow with the square of the word; longer words are merged with a heap.
 FOLD_BYTES = 256
 PAIR_BUCKETS, WORD_BUCKETS, VOCABULARY_BUCKETS = 1 << 16, 1 << 18, 1 << 14
-_SHIFT = 1 << 21  # above any token id
+_SHIFT_BITS = 21
+_SHIFT = 1 << _SHIFT_BITS  # above any token id
+_NO_PAIR = 1 << 24  # above any rank
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -121,37 +123,38 @@ def _let(value: Column, body) -> Column:
 def fold_word(word: Column, t: Column) -> Column:
     """Token ids of a word (binary column) by folded merges; ``t``: struct of tables.
 
-    The state holds the ids and the rank of each adjacent pair; a step merges the
-    first pair of lowest rank and looks up the two pairs that it touches.
+    The state is one array: each token's id, and above it the rank of the pair
+    that it makes with the next token. A step merges the first pair of lowest
+    rank and looks up the two pairs that it touches.
     """
-    hexed = F.hex(word)
     n = F.octet_length(word)
-    first = F.transform(F.sequence(F.lit(1), n), lambda i: _at(t["bytes"], F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10)))
-    none = F.lit(None).cast("int")
+    latin = F.split(F.decode(word, "ISO-8859-1"), "")  # a character for each byte
+    first = F.transform(latin, lambda c: _at(t["bytes"], F.ascii(c)))
 
-    def ranks_of(ids):
-        return F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), lambda a, b: _pair_rank(t["pairs"], a, b))
+    def packed(a, b):
+        rank = F.coalesce(_pair_rank(t["pairs"], a, b).cast("long"), F.lit(_NO_PAIR))
+        return rank * F.lit(_SHIFT) + a
 
     def step(state):
-        ids, ranks = state["ids"], state["ranks"]
+        def token(i):
+            return F.get(state, i).bitwiseAND(_SHIFT - 1)
 
         def merge(m):
             def at(p):
                 p = p.cast("int")
-                left, right = F.get(ids, p - 2), F.get(ids, p + 1)
-                new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, F.size(ids)))
-                before = F.when(p > 1, F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(_pair_rank(t["pairs"], left, m)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(p < F.size(ranks), F.concat(F.array(_pair_rank(t["pairs"], m, right)), F.slice(ranks, p + 2, F.size(ranks)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(new_ids.alias("ids"), F.concat(before, after).alias("ranks"))
+                joined = packed(m, token(p + 1))
+                head = F.when(p > 1, F.concat(F.slice(state, F.lit(1), p - 2), F.array(packed(token(p - 2), m), joined))).otherwise(F.array(joined))
+                return F.concat(head, F.slice(state, p + 2, F.size(state)))
 
-            return F.when(m.isNull(), state).otherwise(_let(F.array_position(ranks, m), at))
+            ranks = F.transform(state, lambda x: F.shiftright(x, _SHIFT_BITS))
+            return F.when(m >= _NO_PAIR, state).otherwise(_let(F.array_position(ranks, m), at))
 
-        return _let(F.array_min(ranks), merge)
+        return _let(F.shiftright(F.array_min(state), _SHIFT_BITS), merge)
 
-    start = _let(first, lambda ids: F.struct(ids.alias("ids"), ranks_of(ids).alias("ranks")))
-    merged = F.aggregate(F.sequence(F.lit(2), n), start, lambda s, _: step(s), lambda s: s["ids"])
+    start = _let(first, lambda ids: F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: packed(a.cast("long"), b)))
+    merged = F.aggregate(F.sequence(F.lit(2), n), start, lambda s, _: step(s), lambda s: F.transform(s, lambda x: x.bitwiseAND(_SHIFT - 1).cast("int")))
     whole = F.try_element_at(_at(t["tokens"], F.pmod(F.crc32(word), F.lit(VOCABULARY_BUCKETS))), word)
-    return F.when(n < 1, F.array(none)).otherwise(F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -228,9 +231,9 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, *, key: str = "doc_i
     tables = Tables(spark, parse_ranks(rank_file))
     slim = docs.select(F.col(key).alias("b_key"), F.coalesce(F.col(text), F.lit("")).alias("b_text"))
     known = dictionary(slim, tables, text="b_text", pattern=pattern, limit=dictionary_words)
-    # a word of over FOLD_BYTES bytes has a quarter as many characters in a row without ASCII white space, or of it
+    # a word of over FOLD_BYTES bytes has a quarter as many characters in a row without ASCII white space, or of Unicode white space
     run = FOLD_BYTES // 4
-    suspect = F.col("b_text").rlike(rf"\S{{{run}}}|\s{{{run}}}")
+    suspect = F.col("b_text").rlike(rf"(?<!\S)\S{{{run}}}|(?U:(?<!\s)\s{{{run}}})")
     long_words = F.when(suspect, F.array_distinct(F.filter(words_of(F.col("b_text"), pattern), lambda w: F.octet_length(w) > FOLD_BYTES)))
     udf = _long_words(spark.sparkContext.broadcast(rank_file), pattern)
     rows = slim.withColumn("b_long", udf(long_words))

@@ -43,6 +43,13 @@ def test_bpe_equals_tiktoken_and_round_trips(docs):
     assert sorted(((r[0], list(r[1])) for r in few.collect()), key=repr) == [w[:2] for w in want]
 
 
+def test_bpe_words_around_the_longest_fold(spark):
+    texts = [" \u3000" * 200, "\u3000 " * 129 + "x", "\t\u2003\n" * 120, *[c * n for c in ("a", "\u00e9", "\U0001f600", "=") for n in (1, 2, 3, 5, 8, 63, 64, 65, 127, 128, 255, 256, 257)], " " + "\U0001f600" * 64]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, byte_bpe.encode(rows, RANKS, P.PATTERN).collect()))
+    assert {i: list(v) for i, v in got.items()} == {i: tiktoken_ids(t) for i, t in enumerate(texts)}
+
+
 def test_bpe_empty_table_and_query(spark, no_docs):
     assert byte_bpe.decode(byte_bpe.encode(no_docs, RANKS, P.PATTERN), RANKS).count() == 0
     import hashlib
