@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from shelfrank.llm.common import python_ready, written
 
 #: Words in the dictionary, at most, and the longest of them in bytes.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 1 << 19, 64
+DICTIONARY_WORDS, DICTIONARY_BYTES = 1 << 18, 64
 #: A fold's steps grow with the square of the word; longer words are merged with a heap.
 FOLD_BYTES = 256
-PAIR_BUCKETS, WORD_BUCKETS, VOCABULARY_BUCKETS = 1 << 16, 1 << 18, 1 << 14
+PAIR_BUCKETS, WORD_BUCKETS, VOCABULARY_BUCKETS = 1 << 16, 1 << 17, 1 << 14
 _SHIFT_BITS = 21
 _SHIFT = 1 << _SHIFT_BITS  # above any token id
 _NO_PAIR = 1 << 24  # above any rank
