@@ -7,13 +7,16 @@ layer, and a softmax over word classes and over the words of a class) is trained
 in numpy on the whole table: in each round every task trains a copy on its own
 rows, at every ``STRIDE``-th word of every document, and the copies are averaged
 by the number of words that they learned from. Words are counted over all
-documents; the frequent ones have numbers of their own, the rest share
-``SHARED`` numbers by hash.
+documents; the frequent ones have numbers of their own, the rest share the last
+class of numbers by hash, and both grow with the distinct words. A word that
+shares its number scores log P(number | context) + log P(word | number), the
+second from the smoothed counts of all words, which stay a Spark table.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,13 @@ from pyspark.sql import functions as F
 
 from shelfrank.llm.common import mix64, python_ready, written
 
-#: Classes, words of a class, and the last numbers, which rare words share.
+#: Fewest classes, words of a class, and last numbers, which rare words share.
 CLASSES, MEMBERS, SHARED = 64, 64, 64
 VOCABULARY = CLASSES * MEMBERS
+#: The three are the distinct words to this power when that is more: ten times the words, twice the classes.
+GROWTH = 0.3
+#: What is added to the count of each word of a shared number, and given to all its unseen words together.
+SMOOTH = 0.5
 #: Words that are seen on each side, and the width of the vectors and the hidden layer.
 SIDE, WIDTH = 2, 16
 #: Rounds of training, each on another one of ``STRIDE`` parts of every document's words.
@@ -123,51 +130,110 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words (sorted), their numbers, and the count of every number.
+def count_words(texts: DataFrame) -> DataFrame:
+    """``h, n``: the hash of every word and its count over all texts."""
+    return written(python_ready(texts).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
 
-    Ties in count are broken by hash; numbers go by falling count, so a class
-    holds words of like frequency."""
-    counts = written(python_ready(texts).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
-    own = VOCABULARY - SHARED
+
+def side_for(distinct: int) -> int:
+    """Classes, words of a class and shared numbers for so many distinct words."""
+    return max(CLASSES, math.ceil(distinct**GROWTH))
+
+
+def _choose(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``vocabulary``, and the distinct words of every shared number."""
+    side = side_for(counts.count())
+    own = side * side - side
     top = counts.orderBy(F.desc("n"), "h").limit(own).toPandas()  # one row a frequent word
-    other = counts.groupBy(F.pmod("h", F.lit(SHARED)).alias("s")).agg(F.sum("n").alias("n")).toPandas()
+    other = counts.groupBy(F.pmod("h", F.lit(side)).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).toPandas()
     h, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    count = np.zeros(VOCABULARY, np.int64)
+    count, distinct = np.zeros(side * side, np.int64), np.zeros(side, np.int64)
     count[: len(n)] = n
     count[own + other["s"].to_numpy(np.int64)] = other["n"].to_numpy(np.int64)
-    np.subtract.at(count, own + h % SHARED, n)
+    distinct[other["s"].to_numpy(np.int64)] = other["d"].to_numpy(np.int64)
+    np.subtract.at(count, own + h % side, n)
+    np.subtract.at(distinct, h % side, 1)
     order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], order, count
+    return h.view(np.uint64)[order], order, count, distinct
+
+
+def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words (sorted), their numbers, and the count of every number.
+
+    Ties in count are broken by hash; numbers go by falling count, so a class
+    holds words of like frequency."""
+    return _choose(count_words(texts))[:3]
 
 
-def numbers(hashes: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Words' numbers (uint16)."""
-    rest = VOCABULARY - SHARED + (hashes.view(np.int64) % SHARED)
+def numbers(hashes: np.ndarray, known: np.ndarray, number: np.ndarray, size: int = VOCABULARY) -> np.ndarray:
+    """Words' numbers (uint32) of ``size``."""
+    shared = math.isqrt(size)
+    rest = size - shared + (hashes.view(np.int64) % shared)
     if not len(known):
-        return rest.astype(np.uint16)
+        return rest.astype(np.uint32)
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, number[at], rest).astype(np.uint16)
+    return np.where(known[at] == hashes, number[at], rest).astype(np.uint32)
+
+
+def log_totals(count: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Log of each shared number's smoothed count, its unseen words included."""
+    return np.log(count[-len(distinct) :] + SMOOTH * (distinct + 1))
+
+
+def log_unseen(shared: int) -> float:
+    """Log of the smoothed count of one unseen word: the hashes of a shared number have equal parts."""
+    return math.log(SMOOTH) - 64 * math.log(2) + math.log(shared)
+
+
+def _rare(h: np.ndarray, doc: np.ndarray, docs: int) -> pa.Array:
+    """Each document's words of shared numbers, and how often it has each."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    pairs = pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h))))], names=["h", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(docs + 1)).astype(np.int32)), pairs)
+
+
+_IDS = "ids binary, totals double, rare array<struct<h: bigint, times: bigint>>"
 
 
 def _encode(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, number = shared.value
+    known, number, size, totals = shared.value
+    own = size - len(totals)
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            h, n = word_hashes(part.column(1))
-            raw, ends = numbers(h, known, number).tobytes(), np.concatenate([[0], np.cumsum(n)]) * 2
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["k", "ids"])
+            h, n = word_hashes(part.column(2))
+            num, ends = numbers(h, known, number, size), np.concatenate([[0], np.cumsum(n)]) * 4
+            raw, rest = num.tobytes(), np.flatnonzero(num >= own)
+            doc = np.repeat(np.arange(len(n)), n)[rest]
+            ids = pa.array([raw[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            sums = np.bincount(doc, totals[num[rest] - own], len(n))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, pa.array(sums, pa.float64()), _rare(h[rest], doc, len(n))], names=["row", "k", "ids", "totals", "rare"])
 
 
 class Network:
     """The window network; all its numbers lie in one vector."""
 
-    SHAPES = {"words": (VOCABULARY + 1, WIDTH), "window": (2 * SIDE * WIDTH, WIDTH), "hidden": (WIDTH,), "classes": (CLASSES, WIDTH), "class_bias": (CLASSES,), "members": (VOCABULARY, WIDTH), "member_bias": (VOCABULARY,)}
+    @staticmethod
+    def shapes(side: int) -> dict[str, tuple[int, ...]]:
+        """Of a network with ``side`` classes of ``side`` words."""
+        size = side * side
+        return {"words": (size + 1, WIDTH), "window": (2 * SIDE * WIDTH, WIDTH), "hidden": (WIDTH,), "classes": (side, WIDTH), "class_bias": (side,), "members": (size, WIDTH), "member_bias": (size,)}
+
+    @classmethod
+    def length(cls, side: int) -> int:
+        return sum(math.prod(s) for s in cls.shapes(side).values())
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
-        for name, shape in self.SHAPES.items():
+        self.side = math.isqrt(len(flat) // (2 * WIDTH + 1))  # less the places that don't grow with the square
+        while self.length(self.side) > len(flat):
+            self.side -= 1
+        self.size = self.side * self.side
+        for name, shape in self.shapes(self.side).items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
@@ -176,10 +242,10 @@ class Network:
     def start(cls, count: np.ndarray, seed: int) -> Network:
         """Random vectors; the biases give the words' frequencies."""
         rng = np.random.default_rng(seed)
-        net = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES.values()), np.float32))
+        net = cls(np.zeros(cls.length(math.isqrt(len(count))), np.float32))
         net.words[:] = rng.normal(0, 0.3, net.words.shape)
         net.window[:] = rng.normal(0, 1 / np.sqrt(net.window.shape[0]), net.window.shape)
-        by_class = (count + 0.5).reshape(CLASSES, MEMBERS)
+        by_class = (count + 0.5).reshape(net.side, net.side)
         net.class_bias[:] = np.log(by_class.sum(1) / by_class.sum())
         net.member_bias[:] = np.log(by_class / by_class.sum(1, keepdims=True)).ravel()
         return net
@@ -192,10 +258,11 @@ class Network:
         """Log-probability of each word by the words around it."""
         _, h = self.hide(around)
         logits = h @ self.classes.T + self.class_bias
-        kind, member = np.divmod(target.astype(np.int64), MEMBERS)
+        kind, member = np.divmod(target.astype(np.int64), self.side)
         out = (logits[np.arange(len(h)), kind] - np.log(np.exp(logits).sum(1))).astype(np.float64)
-        for c, at in _by_class(kind):
-            logits = h[at] @ self.members[c * MEMBERS : (c + 1) * MEMBERS].T + self.member_bias[c * MEMBERS : (c + 1) * MEMBERS]
+        for c, at in _by_class(kind, self.side):
+            rows = slice(c * self.side, (c + 1) * self.side)
+            logits = h[at] @ self.members[rows].T + self.member_bias[rows]
             out[at] += logits[np.arange(len(at)), member[at]] - np.log(np.exp(logits).sum(1))
         return out
 
@@ -203,15 +270,15 @@ class Network:
         """One step of Adagrad; ``past`` holds the sums of squared gradients."""
         n = len(target)
         seen, h = self.hide(around)
-        kind, member = np.divmod(target.astype(np.int64), MEMBERS)
+        kind, member = np.divmod(target.astype(np.int64), self.side)
         g = np.exp(h @ self.classes.T + self.class_bias)
         g /= g.sum(1, keepdims=True)
         g[np.arange(n), kind] -= 1
         to_hidden = g @ self.classes
         self._move("classes", slice(None), g.T @ h, past)
         self._move("class_bias", slice(None), g.sum(0), past)
-        for c, at in _by_class(kind):
-            rows = slice(c * MEMBERS, (c + 1) * MEMBERS)
+        for c, at in _by_class(kind, self.side):
+            rows = slice(c * self.side, (c + 1) * self.side)
             hc = h[at]
             g = np.exp(hc @ self.members[rows].T + self.member_bias[rows])
             g /= g.sum(1, keepdims=True)
@@ -234,23 +301,23 @@ class Network:
         values[rows] -= RATE * g / (np.sqrt(squares[rows]) + 1e-4)
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(kind: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    ends = np.searchsorted(kind[order], np.arange(classes + 1))
+    for c in range(classes):
         if ends[c] < ends[c + 1]:
             yield c, order[ends[c] : ends[c + 1]]
 
 
-def windows(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words of some documents with ``SIDE`` blanks around each document: the
+def windows(ids: list[bytes], blank: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of some documents with ``SIDE`` blanks (the number after the last) around each document: the
     padded row, the words' places in it, their document and their place in that."""
-    n = np.array([len(x) // 2 for x in ids], np.int64)
+    n = np.array([len(x) // 4 for x in ids], np.int64)
     doc = np.repeat(np.arange(len(ids)), n)
     inside = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     at = np.arange(len(doc)) + SIDE * (doc + 1)
-    row = np.full(len(doc) + SIDE * (len(ids) + 1), VOCABULARY, np.int64)
-    row[at] = np.frombuffer(b"".join(ids), np.uint16)
+    row = np.full(len(doc) + SIDE * (len(ids) + 1), blank, np.int64)
+    row[at] = np.frombuffer(b"".join(ids), np.uint32)
     return row, at, doc, inside
 
 
@@ -262,7 +329,7 @@ def _groups(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
     held, size, first = [], 0, 0
     for i, x in enumerate(column.to_pylist()):
         held.append(x)
-        size += len(x) // 2
+        size += len(x) // 4
         if size >= limit:
             yield first, held
             held, size, first = [], 0, i + 1
@@ -285,7 +352,7 @@ def _train(shared, turn: int, seed: int, batches: Iterator[pa.RecordBatch]) -> I
 
     for b in batches:
         for _, ids in _groups(b.column(0), MIX_WORDS):
-            row, at, doc, inside = windows(ids)
+            row, at, doc, inside = windows(ids, net.size)
             n = np.bincount(doc, minlength=len(ids))
             at = at[(inside + n[doc] + turn * (STRIDE // ROUNDS)) % STRIDE == 0]
             for i in range(0, len(at), MIX_WORDS):
@@ -344,23 +411,37 @@ def train(ids: DataFrame, count: np.ndarray, *, rounds: int = ROUNDS, seed: int
 def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     net = Network(shared.value)
     for b in batches:
-        total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-        for first, ids in _groups(b.column(1), MIX_WORDS):
-            row, at, doc, _ = windows(ids)
+        total, n = -b.column(3).to_numpy(), np.zeros(b.num_rows, np.int64)
+        for first, ids in _groups(b.column(2), MIX_WORDS):
+            row, at, doc, _ = windows(ids, net.size)
             for i in range(0, len(at), SCORE_WORDS):
                 some = at[i : i + SCORE_WORDS]
                 total[first : first + len(ids)] += np.bincount(doc[i : i + SCORE_WORDS], net.log_prob(row[some], row[some[:, None] + _AROUND]), len(ids))
             n[first : first + len(ids)] = np.bincount(doc, minlength=len(ids))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total)], names=["k", "n_words", "log_likelihood"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total)], names=["row", "k", "n_words", "score"])
 
 
-def encode_words(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """``k, ids`` (binary of uint16) of every row, and the count of every number."""
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    known, number, count = vocabulary(texts.select("t"))
-    shared = docs.sparkSession.sparkContext.broadcast((known, number))  # at most VOCABULARY words
+def encode_words(docs: DataFrame, key: str, text: str, counts: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
+    """``row, k, ids, totals, rare`` of every row, and the count of every number: the
+    words' numbers (binary of uint32), the sum of ``log_totals`` over the words of
+    shared numbers, and those words with their counts in the row."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    known, number, count, distinct = _choose(counts if counts is not None else count_words(texts.select("t")))
+    shared = docs.sparkSession.sparkContext.broadcast((known, number, len(count), log_totals(count, distinct)))  # at most one row a number
     kind = texts.schema["k"].dataType.simpleString()
-    return written(python_ready(texts).mapInArrow(functools.partial(_encode, shared), f"k {kind}, ids binary"), "lm-ids"), count
+    return written(python_ready(texts).mapInArrow(functools.partial(_encode, shared), f"row long, k {kind}, {_IDS}"), "lm-ids"), count
+
+
+def rare_worth(ids: DataFrame, counts: DataFrame, shared: int) -> DataFrame:
+    """``row, worth``: the log smoothed counts of a row's words of shared numbers, summed.
+
+    A pair of row and word comes once, and no word here is among the frequent
+    ones, so none has more than one in ``VOCABULARY - SHARED`` of all words: the
+    join needs no salt."""
+    pairs = ids.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.times")
+    known = counts.select("h", F.log(F.col("n") + F.lit(SMOOTH)).alias("each"))
+    worth = F.sum(F.col("times") * F.coalesce("each", F.lit(log_unseen(shared))))
+    return pairs.join(known, "h", "left").groupBy("row").agg(worth.alias("worth"))
 
 
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
@@ -371,9 +452,13 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     by the words' hashes; an empty table gives an empty result; extra columns
     are not read.
     """
-    ids, count = encode_words(docs, key, text)
+    counts = count_words(docs.select(text))
+    ids, count = encode_words(docs, key, text, counts)
     shared = docs.sparkSession.sparkContext.broadcast(train(ids, count, rounds=rounds, seed=seed).flat)  # one network
     kind = ids.schema["k"].dataType.simpleString()
-    scored = python_ready(ids).mapInArrow(functools.partial(_score, shared), f"k {kind}, n_words long, log_likelihood double")
+    slim = python_ready(ids.select("row", "k", "ids", "totals"))
+    scored = slim.mapInArrow(functools.partial(_score, shared), f"row long, k {kind}, n_words long, score double")
+    both = scored.join(rare_worth(ids, counts, math.isqrt(len(count))), "row", "left")
+    both = both.withColumn("log_likelihood", F.col("score") + F.coalesce("worth", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
-    return scored.select(F.col("k").alias(key), "n_words", "log_likelihood", mean.alias("mean_log_prob"))
+    return both.select(F.col("k").alias(key), "n_words", "log_likelihood", mean.alias("mean_log_prob"))

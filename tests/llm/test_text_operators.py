@@ -212,3 +212,57 @@ def test_lm_scores_every_row(docs, no_docs):
     bad = out.where("(n_words = 0 and (log_likelihood <> 0 or mean_log_prob is not null)) or (n_words > 0 and not log_likelihood < 0)")
     assert bad.count() == 0 and masked_lm.score_documents(no_docs).count() == 0
     assert out.select(F.sum("log_likelihood")).first()[0] < 0
+
+
+def _clean_and_gibberish():
+    """2,000 texts of 5,000 ordinary words, and 400 of words of random letters that occur once."""
+    rng = random.Random(6)
+    names = [f"{a}{b}" for a in words(rng, 50) for b in range(100)]
+    rows = [(i, " ".join(rng.choices(names, k=50))) for i in range(2000)]
+    return rows + [(2000 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(50))) for i in range(400)]
+
+
+def test_lm_scores_gibberish_below_clean_text(spark):
+    out = masked_lm.score_documents(spark.createDataFrame(_clean_and_gibberish(), "doc_id long, text string"))
+    mean = {r["doc_id"]: r["mean_log_prob"] for r in out.collect()}
+    assert len(mean) == 2400 and max(mean[i] for i in range(2000, 2400)) < min(mean[i] for i in range(2000)) - 1
+
+
+def test_lm_divides_a_shared_number_among_its_words(spark):
+    rows = [*_clean_and_gibberish(), (2400, None), (2401, "one two one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = masked_lm.count_words(docs.select("text"))
+    ids, count = masked_lm.encode_words(docs, "doc_id", "text", counts)
+    side = int(len(count) ** 0.5)
+    each = {i: masked_lm.word_hashes(pa.array([t]))[0].view(np.int64).tolist() for i, t in rows}
+    n = {}
+    for h in each.values():
+        for x in h:
+            n[x] = n.get(x, 0) + 1
+    frequent = set(sorted(n, key=lambda x: (-n[x], x))[: side * side - side])
+    total, seen = [0.5] * side, [0.0] * side
+    for x in set(n) - frequent:
+        total[x % side] += n[x] + 0.5
+        seen[x % side] += n[x] + 0.5
+    share = {x: (n[x] + 0.5) / total[x % side] for x in set(n) - frequent}
+    unseen = np.exp(masked_lm.log_unseen(side)) * 2**64 / side
+    assert [a + unseen for a in seen] == pytest.approx(total)
+    got = ids.join(masked_lm.rare_worth(ids, counts, side), "row", "left").select("k", (F.coalesce("worth", F.lit(0.0)) - F.col("totals")).alias("x"))
+    got = {r["k"]: r["x"] for r in got.collect()}
+    assert got == pytest.approx({i: sum(np.log(share[x]) for x in h if x in share) for i, h in each.items()})
+    assert got[2400] == 0 and len(share) > 20000
+    lost = masked_lm.rare_worth(ids, counts.where(F.lit(False)), side).agg(F.max("worth")).first()[0]
+    assert lost < -30  # words without a count have the unseen words' share
+
+
+def test_lm_numbers_grow_with_the_distinct_words(monkeypatch, spark):
+    assert masked_lm.side_for(10) == 64 and masked_lm.side_for(10**9) > 2 * masked_lm.side_for(10**7) * 0.99 > 4 * 60
+    monkeypatch.setattr(masked_lm, "GROWTH", 0.5)
+    rows = spark.createDataFrame(_clean_and_gibberish(), "doc_id long, text string")
+    known, number, count = masked_lm.vocabulary(rows.select("text"))
+    assert len(count) == 158**2 and len(known) == len(set(number.tolist())) > 24000 and count.sum() == 120000  # every word has its own
+    for side in (64, 65, 100, 158):
+        net = masked_lm.Network.start(np.ones(side * side, np.int64), 1)
+        assert net.side == side and net.members.shape == (side * side, masked_lm.WIDTH)
+    out = masked_lm.score_documents(rows)
+    assert out.where("log_likelihood < 0").count() == 2400
