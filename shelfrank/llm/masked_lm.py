@@ -5,8 +5,8 @@ predicts it; a document's score is the sum of the log-probabilities of all its
 words. The network (word vectors, one matrix per place of the window, a hidden
 layer, and a softmax over word classes and over the words of a class) is trained
 in numpy on the whole table: in each round every task trains a copy on its own
-rows, at every ``STRIDE``-th word of every document, and the copies are averaged
-by the number of words that they learned from. Words are counted over all
+rows, and the copies are averaged by the number of words that they learned from.
+The rounds share out the words of every document, so that each is learned from. Words are counted over all
 documents; the frequent ones have numbers of their own, the rest share the last
 class of numbers by hash, and both grow with the distinct words. A word that
 shares its number scores log P(number | context) + log P(word | number), the
@@ -35,8 +35,8 @@ GROWTH = 0.3
 SMOOTH = 0.5
 #: Words that are seen on each side, and the width of the vectors and the hidden layer.
 SIDE, WIDTH = 2, 16
-#: Rounds of training, each on another one of ``STRIDE`` parts of every document's words.
-ROUNDS, STRIDE = 2, 8
+#: Rounds of training, and parts of every document's words: round after round takes the next part.
+ROUNDS, PARTS = 2, 2
 RATE, STEP_WORDS, MIX_WORDS = 0.15, 1024, 1 << 16
 #: Words that are scored at once, text bytes that are cut into words at once, and counts that a task holds.
 SCORE_WORDS, CHUNK, HELD = 1 << 15, 1 << 20, 1 << 21
@@ -268,24 +268,32 @@ class Network:
 
     def learn(self, target: np.ndarray, around: np.ndarray, past: Network) -> None:
         """One step of Adagrad; ``past`` holds the sums of squared gradients."""
-        n = len(target)
+        n, side = len(target), self.side
+        order = np.argsort(target // side, kind="stable")  # words of a class side by side
+        target, around = target[order], around[order]
         seen, h = self.hide(around)
-        kind, member = np.divmod(target.astype(np.int64), self.side)
+        kind, member = np.divmod(target.astype(np.int64), side)
+        first = np.flatnonzero(np.diff(kind, prepend=-1))
+        runs = [(slice(c * side, (c + 1) * side), slice(a, z)) for c, a, z in zip(kind[first], first, np.append(first[1:], n), strict=True)]
         g = np.exp(h @ self.classes.T + self.class_bias)
         g /= g.sum(1, keepdims=True)
         g[np.arange(n), kind] -= 1
         to_hidden = g @ self.classes
         self._move("classes", slice(None), g.T @ h, past)
         self._move("class_bias", slice(None), g.sum(0), past)
-        for c, at in _by_class(kind, self.side):
-            rows = slice(c * self.side, (c + 1) * self.side)
-            hc = h[at]
-            g = np.exp(hc @ self.members[rows].T + self.member_bias[rows])
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(at)), member[at]] -= 1
-            to_hidden[at] += g @ self.members[rows]
-            self._move("members", rows, g.T @ hc, past)
-            self._move("member_bias", rows, g.sum(0), past)
+        g = np.empty((n, side), h.dtype)
+        for rows, at in runs:
+            np.matmul(h[at], self.members[rows].T, out=g[at])
+        g = np.exp(g + self.member_bias.reshape(side, side)[kind])
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(n), member] -= 1
+        members, bias = np.zeros_like(self.members), np.zeros((side, side), g.dtype)
+        for rows, at in runs:
+            to_hidden[at] += g[at] @ self.members[rows]
+            np.matmul(g[at].T, h[at], out=members[rows])
+        bias[kind[first]] = np.add.reduceat(g, first)
+        self._move("members", slice(None), members, past)
+        self._move("member_bias", slice(None), bias.ravel(), past)
         to_hidden *= 1 - h * h
         to_seen = (to_hidden @ self.window.T).reshape(-1, WIDTH)
         self._move("window", slice(None), seen.T @ to_hidden, past)
@@ -337,7 +345,12 @@ def _groups(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _train(shared, turn: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def of_round(inside: np.ndarray, turn: int, parts: int) -> np.ndarray:
+    """Whether round ``turn`` learns from a document's word ``inside``."""
+    return (inside + turn) % parts == 0
+
+
+def _train(shared, turn: int, parts: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     net = Network(shared.value.copy())
     past = Network(np.zeros_like(net.flat))
     rng = np.random.default_rng([seed, turn])
@@ -352,9 +365,8 @@ def _train(shared, turn: int, seed: int, batches: Iterator[pa.RecordBatch]) -> I
 
     for b in batches:
         for _, ids in _groups(b.column(0), MIX_WORDS):
-            row, at, doc, inside = windows(ids, net.size)
-            n = np.bincount(doc, minlength=len(ids))
-            at = at[(inside + n[doc] + turn * (STRIDE // ROUNDS)) % STRIDE == 0]
+            row, at, _, inside = windows(ids, net.size)
+            at = at[of_round(inside, turn, parts)]
             for i in range(0, len(at), MIX_WORDS):
                 some = at[i : i + MIX_WORDS]
                 held.append((row[some], row[some[:, None] + _AROUND]))
@@ -399,11 +411,12 @@ def _average(copies: DataFrame, before: np.ndarray) -> np.ndarray:
 
 
 def train(ids: DataFrame, count: np.ndarray, *, rounds: int = ROUNDS, seed: int = 5) -> Network:
-    """The network after ``rounds`` over the documents' numbers (``ids``, binary)."""
+    """The network after ``rounds`` over the documents' numbers (``ids``, binary);
+    ``PARTS`` rounds, or one if there is no other, learn from every word once."""
     net = Network.start(count, seed)
     for turn in range(rounds):
         shared = ids.sparkSession.sparkContext.broadcast(net.flat)  # one network
-        copies = python_ready(ids.select("ids")).mapInArrow(functools.partial(_train, shared, turn, seed), _SUMS)
+        copies = python_ready(ids.select("ids")).mapInArrow(functools.partial(_train, shared, turn, max(1, min(rounds, PARTS)), seed), _SUMS)
         net = Network(_average(copies, net.flat))
     return net
 

@@ -266,3 +266,22 @@ def test_lm_numbers_grow_with_the_distinct_words(monkeypatch, spark):
         assert net.side == side and net.members.shape == (side * side, masked_lm.WIDTH)
     out = masked_lm.score_documents(rows)
     assert out.where("log_likelihood < 0").count() == 2400
+
+
+def test_lm_learns_from_every_word_once(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i + j) % 40}" for j in range(i % 12))) for i in range(400)]
+    ids, count = masked_lm.encode_words(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    learned, average = [], masked_lm._average
+
+    def recorded(copies, before):
+        learned.append(copies.where("part = 0").agg(F.sum("weight")).first()[0] or 0)
+        return average(copies, before)
+
+    monkeypatch.setattr(masked_lm, "_average", recorded)
+    for rounds in (masked_lm.ROUNDS, 1):
+        learned.clear()
+        masked_lm.train(ids, count, rounds=rounds)
+        assert len(learned) == rounds and sum(learned) == count.sum() == sum(i % 12 for i in range(400))
+    for parts in (1, 2):
+        taken = sum(masked_lm.of_round(np.arange(9), turn, parts).astype(int) for turn in range(parts))
+        assert taken.tolist() == [1] * 9
