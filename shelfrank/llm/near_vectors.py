@@ -212,7 +212,8 @@ def near_vectors(
     v = F.col(vector).cast("array<double>")
     ok = F.col(label).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     slim = vectors.select(F.col(key).cast("long").alias("k"), F.col(label).cast("string").alias("lab"), F.coalesce(ok, F.lit(False)).alias("ok"), v.alias("v"))
-    hashed = slim.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(seed)))
+    # the seed comes first: Spark chains the columns, so after the vector it would make h2 a function of h1
+    hashed = slim.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(seed), "v"))
     same = ["lab", "h1", "h2"]
     classes = hashed.where("ok").groupBy(*same).agg(F.min("k").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors-classes")

@@ -284,3 +284,51 @@ def test_pipeline_stages(spark):
     assert Counter(r["doc_id"] for r in out) == want
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in out)
+
+
+def _xx(word, seed, back=False):
+    """XXH64 of a long, as Spark chains it; ``back``: the long whose hash with ``seed`` is ``word``."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    m = (1 << 64) - 1
+
+    def turn(x, n):
+        return ((x << n) | (x >> (64 - n))) & m
+
+    def inv(p):
+        return pow(p, -1, 1 << 64)
+
+    def unshift(x, n):
+        y = x
+        for _ in range(64 // n + 1):
+            y = x ^ (y >> n)
+        return y
+
+    start = (seed + p5 + 8) & m
+    if not back:
+        h = start ^ (turn(word * p2 & m, 31) * p1 & m)
+        h = (turn(h, 27) * p1 + p4) & m
+        h = (h ^ (h >> 33)) * p2 & m
+        h = (h ^ (h >> 29)) * p3 & m
+        return h ^ (h >> 32)
+    h = unshift(word, 32) * inv(p3) & m
+    h = unshift(h, 29) * inv(p2) & m
+    h = unshift(h, 33)
+    h = turn((h - p4) * inv(p1) & m, 64 - 27) ^ start
+    return turn(h * inv(p1) & m, 64 - 31) * inv(p2) & m
+
+
+def test_vectors_of_one_hash_are_not_equal(spark):
+    """Two vectors of one xxhash64 link only if they are near."""
+    bits = lambda x: int(np.float64(x).view(np.uint64))
+    goal = _xx(bits(2.0), _xx(bits(1.0), 42))
+    for i in range(1, 1000):
+        a = i * 1e-3
+        b = float(np.uint64(_xx(goal, _xx(bits(a), 42), back=True)).view(np.float64))
+        if 1e-3 < abs(b) < 1e3 and abs(a + 2 * b) / np.hypot(a, b) / np.sqrt(5) < 0.9:
+            break
+        if 1e-30 < abs(b) < 1e-4 or 1e4 < -b < 1e30:
+            break
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [a, b], 0), (3, [1.0, 2.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert rows.select(F.xxhash64("embedding")).distinct().count() == 1
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(rows).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
