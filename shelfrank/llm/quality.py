@@ -27,8 +27,8 @@ MAX_TRAIN_ROWS = 20_000
 MAX_FALSE, ERROR = 0.02, 0.05
 #: Good held-out rows that a stratum needs to be tested; the others reject nothing.
 MIN_GOOD = 50
-#: Scores are cut into so many steps; cutoffs below ``LOWEST`` steps are not tried.
-STEPS, LOWEST = 1000, 500
+#: Scores are cut into so many steps; every one is a cutoff that may be tried.
+STEPS = 1000
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -156,7 +156,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1 - front * fraction(b, a, 1 - x) / b
 
 
-def choose_cutoff(counts: np.ndarray, max_false: float, level: float, lowest: int = LOWEST) -> int:
+def choose_cutoff(counts: np.ndarray, max_false: float, level: float, lowest: int = 0) -> int:
     """The strictest cutoff (reject steps at or above it) whose tests all pass.
 
     ``counts[s]`` good held-out rows have step ``s``; ``len(counts)`` rejects nothing."""

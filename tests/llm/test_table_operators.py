@@ -332,3 +332,13 @@ def test_vectors_of_one_hash_are_not_equal(spark):
     assert rows.select(F.xxhash64("embedding")).distinct().count() == 1
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(rows).collect()}
     assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+
+
+def test_cutoffs_are_tried_below_half():
+    """With good texts at low scores only, the cutoff is the last one whose exact test passes."""
+    counts = np.zeros(quality.STEPS, np.int64)
+    counts[:40], counts[200], counts[700] = 50, 3, 4
+    n = int(counts.sum())
+    passed = [quality.binomial_tail(int(counts[c:].sum()), n, 0.02) <= 0.05 for c in range(quality.STEPS)]
+    want = max(c for c in range(quality.STEPS) if not passed[c]) + 1
+    assert want < 100 and quality.choose_cutoff(counts, 0.02, 0.05) == want
