@@ -117,3 +117,28 @@ def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfrank.llm.masked_lm import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.spelling import group_variants
+
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
+@_register("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@_register("op13_importance")
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
