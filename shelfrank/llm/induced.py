@@ -25,25 +25,51 @@ import numpy as np
 CHUNK = 1 << 16
 
 
+#: Bytes of one array that stay in memory before it moves to its file.
+ROOM = 1 << 22
+
+
 class Store:
-    """An append-only array in a temporary file, readable in both directions."""
+    """An append-only array in a temporary file (or in memory, while it is short), readable in both directions."""
 
-    def __init__(self, dtype):
-        self.file, self.dtype, self.n = tempfile.TemporaryFile(), np.dtype(dtype), 0
+    def __init__(self, dtype, room: int = ROOM):
+        self.file, self.dtype, self.n, self.room = None, np.dtype(dtype), 0, room
+        self.parts: list[np.ndarray] = []
 
     def add(self, values: np.ndarray) -> None:
-        if len(values):
-            self.file.seek(self.n * self.dtype.itemsize)
-            self.file.write(np.ascontiguousarray(values, dtype=self.dtype).tobytes())
-            self.n += len(values)
+        if not len(values):
+            return
+        self.n += len(values)
+        if self.file is None:
+            self.parts.append(np.array(values, dtype=self.dtype))
+            if self.n * self.dtype.itemsize > self.room:
+                self.file = tempfile.TemporaryFile()
+                for p in self.parts:
+                    self.file.write(p.tobytes())
+                self.parts = []
+            return
+        self.file.seek((self.n - len(values)) * self.dtype.itemsize)
+        self.file.write(np.ascontiguousarray(values, dtype=self.dtype).tobytes())
 
     def part(self, at: int, to: int) -> np.ndarray:
+        if self.file is None:
+            return self.mapped()[at:to]
         self.file.seek(at * self.dtype.itemsize)
         return np.frombuffer(self.file.read((to - at) * self.dtype.itemsize), dtype=self.dtype)
 
     def mapped(self) -> np.ndarray:
+        """The whole array, writable in place; nothing may be added afterwards but by :meth:`add`."""
+        if self.file is None:
+            if len(self.parts) != 1:
+                self.parts = [np.concatenate(self.parts) if self.parts else np.zeros(0, dtype=self.dtype)]
+            return self.parts[0]
         self.file.flush()
-        return np.memmap(self.file, dtype=self.dtype, mode="r+", shape=(self.n,)) if self.n else np.zeros(0, dtype=self.dtype)
+        return np.memmap(self.file, dtype=self.dtype, mode="r+", shape=(self.n,))
+
+
+def places(n: int) -> type:
+    """Type that holds positions of a text of ``n`` characters."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def _order(keys: np.ndarray) -> np.ndarray:
@@ -84,7 +110,7 @@ class Queue:
             self._spill()
 
     def _spill(self) -> None:
-        where, pos, lcp = {}, Store(np.int64), Store(np.uint8)
+        where, pos, lcp = {}, Store(np.int64, 0), Store(np.uint8, 0)
         for k in sorted(self.parts):
             at = pos.n
             for p, c in self.parts[k]:
@@ -229,7 +255,7 @@ def _induce(text, n: int, seeds: Iterator, bound: int, limit: int, stars_only: b
         queue.push(c[at] if up else -c[at], left[at], carry.step(lcp, at, c[at]) if carry else np.zeros(len(at), dtype=np.uint8))
 
     queue, carry = Queue(limit), _Carry(bound) if bound else None
-    falling, falling_lcp, chars = Store(np.int64), Store(np.uint8), []  # L suffixes in order
+    falling, falling_lcp, chars = Store(places(n)), Store(np.uint8), []  # L suffixes in order
     queue.push(text[n - 1 : n].astype(np.int64), np.array([n - 1]), np.zeros(1, dtype=np.uint8))
     if carry:
         carry.low[text[n - 1]] = 0  # the end of the text, before all suffixes, put it there
@@ -296,7 +322,7 @@ def _stars(text, n: int) -> Store:
 
     for k in range(len(cuts) - 1, -1, -1):
         rising[k] = bool(types(k)[2][0])
-    out, left = Store(np.int64), False
+    out, left = Store(places(n)), False
     for k in range(len(cuts)):
         a, here, up = types(k)
         out.add(np.flatnonzero(up & ~np.concatenate([[True if a == 0 else left], up[:-1]])) + a)
@@ -345,8 +371,9 @@ def _sorted_stars(text, n: int, stars: Store, deep: int, memory: int) -> tuple[S
             while (got := queue.pop(char)) is not None:
                 yield char, *got
 
-    falling, number = Store(np.int64), Store(np.int64)
-    number.add(np.zeros(m, dtype=np.int64)) if m <= CHUNK else [number.add(np.zeros(min(CHUNK, m - i), dtype=np.int64)) for i in range(0, m, CHUNK)]
+    falling, number = Store(places(n)), Store(places(m))
+    for at in range(0, m, CHUNK):
+        number.add(np.zeros(min(CHUNK, m - at), dtype=number.dtype))
     names, count, before = number.mapped(), 0, None
     for pos, _ in _induce(text, n, by_first(), 0, limit, True):
         j = np.searchsorted(where, pos)
@@ -368,11 +395,11 @@ def _sorted_stars(text, n: int, stars: Store, deep: int, memory: int) -> tuple[S
         return falling, True
     for at in range(0, m, CHUNK):
         names[at : at + CHUNK] += count
-    out = Store(np.int64)
+    out = Store(places(n))
     if m * 64 <= memory:
         out.add(np.asarray(where)[_doubled(np.asarray(names), deep)])
         return out, False
-    back = Store(np.int64)
+    back = Store(places(n))
     for pos, _ in suffixes(names, m, 0, memory, deep):
         back.add(np.asarray(where[pos]))
     return back, True

@@ -27,8 +27,8 @@ from shelfrank.llm.induced import Store, suffixes
 LENGTH = 100
 #: Bytes scanned at once, and segments of a batch that are joined at once.
 BLOCK_BYTES, BATCH_SEGMENTS = 1 << 18, 1 << 19
-#: Bytes of a shard that are aimed at, and memory of its sorter (larger shards go on on disk).
-SHARD_BYTES, MEMORY = 12 << 20, 256 << 20
+#: Bytes of a shard that are aimed at, shards at most, and memory of a shard's sorter. Beyond so many shards they grow, and the sorter works on disk.
+SHARD_BYTES, MOST_SHARDS, MEMORY = 4 << 20, 1 << 16, 128 << 20
 #: An anchor with so many different segments in one of SAMPLE documents is dealt window by window, at most MOST_HOT anchors.
 HOT_SEEN, SAMPLE, MOST_HOT = 16, 16, 1 << 18
 #: Between the segments of a shard; no byte of UTF-8.
@@ -162,13 +162,13 @@ def mark_repeats(segments: Iterator[tuple], length: int, memory: int = MEMORY) -
     """
     import pickle
 
-    text, valid, ends, starts, names = Store(np.uint8), Store(np.uint8), Store(np.int64), Store(np.int64), []
-    lots, piece, flags, size = [], [], [], 0
+    text, marks, ends, starts, names = Store(np.uint8), Store(np.uint8), Store(np.int64), Store(np.int64), []
+    lots, piece, flags, size = [], [], [], 0  # marks: 0 a window starts here, 1 it repeats, 2 no window
 
     def spill():
         nonlocal piece, flags, size
         text.add(np.frombuffer(b"".join(piece), dtype=np.uint8))
-        valid.add(np.frombuffer(b"".join(flags), dtype=np.uint8))
+        marks.add(np.frombuffer(b"".join(flags), dtype=np.uint8))
         raw = Store(np.uint8)
         raw.add(np.frombuffer(pickle.dumps(names), dtype=np.uint8))
         lots.append((ends.n, raw))
@@ -188,7 +188,7 @@ def mark_repeats(segments: Iterator[tuple], length: int, memory: int = MEMORY) -
             continue
         before = (name, start)
         piece += [raw, bytes([_END])]
-        flags += [b"\1" * (len(raw) - length + 1), bytes(length)]
+        flags += [bytes(len(raw) - length + 1), b"\2" * length]
         total += len(raw) + 1
         size += len(raw) + 1
         names.append(name)
@@ -202,10 +202,7 @@ def mark_repeats(segments: Iterator[tuple], length: int, memory: int = MEMORY) -
         spill()
     if not total:
         return
-    marks = Store(np.uint8)
-    for at in range(0, total, 1 << 22):
-        marks.add(np.zeros(min(1 << 22, total - at), dtype=np.uint8))
-    marked, ok, t = marks.mapped(), valid.mapped(), text.mapped()
+    marked, t = marks.mapped(), text.mapped()
     least = None  # first place of the group that is open at a chunk's end
     held = None  # the last suffix of the chunk before
     for pos, lcp in suffixes(t, total, length, memory, max(1, (length + 1) // 2)):
@@ -219,7 +216,7 @@ def mark_repeats(segments: Iterator[tuple], length: int, memory: int = MEMORY) -
         many[1:] |= group[1:] == group[:-1]
         many[-1] = many[-1] or (least is not None and open_group == 0)
         p, g = pos[many], group[many]
-        inside = ok[p] == 1
+        inside = marked[p] != 2
         p, g = p[inside], g[inside]
         if least is not None:
             p, g = np.append(least, p), np.append(0, g)
@@ -238,7 +235,7 @@ def mark_repeats(segments: Iterator[tuple], length: int, memory: int = MEMORY) -
             continue
         ids = pickle.loads(raw.part(0, raw.n).tobytes())
         e, s = ends.part(done, upto), starts.part(done, upto)
-        m = np.concatenate([[0], np.asarray(marked[at : e[-1]]), [0]]).astype(np.int8)
+        m = np.concatenate([[0], np.asarray(marked[at : e[-1]]) == 1, [0]]).astype(np.int8)
         d = np.diff(m)
         a, b = np.flatnonzero(d == 1) + at, np.flatnonzero(d == -1) + at
         seg = np.searchsorted(e, a, "right")
@@ -311,7 +308,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     asked = reps.groupBy(F.col("key").alias("r_key"), F.col("tie").alias("r_tie")).agg(F.collect_list(F.struct("anchor", "start", "n")).alias("parts"))  # bounded by its text
     joined = slim.join(asked, F.col("key").eqNullSafe(F.col("r_key")) & (F.col("tie") == F.col("r_tie")))
     raw = python_ready(joined.select("key", "tie", "text", "parts")).mapInArrow(pieces, "anchor long, key long, tie int, start long, raw binary")
-    shards = raw.repartition(max(1, -(-total // shard_bytes)), "anchor").select("key", "tie", "start", "raw").sortWithinPartitions("key", "tie", "start")
+    shards = raw.repartition(min(MOST_SHARDS, max(1, -(-total // shard_bytes))), "anchor").select("key", "tie", "start", "raw").sortWithinPartitions("key", "tie", "start")
     sorted_out = shards.mapInArrow(shard, "key long, tie int, start long, n long")
 
     spans = found.where("kind = 1").select("key", "tie", "start", "n").unionByName(sorted_out)
