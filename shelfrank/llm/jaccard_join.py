@@ -34,7 +34,9 @@ WORDS = 5
 #: Frequent shingles whose order is kept, at most (a broadcast of 8 bytes each).
 FREQUENT = 1 << 18
 #: A shingle counts as frequent where it occurs so often in a run of shingles of one task.
-LOCAL_COUNT, LOCAL_RUN = 4, 1 << 22
+LOCAL_COUNT, LOCAL_RUN = 3, 1 << 19
+#: Sets that a task remembers, to count copies once (20 MB).
+MOST_SEEN = 1 << 17
 #: Lists of at least so many known members are spread over several tasks.
 LONG_LIST, SPREAD = 4096, 16
 #: Rounds of comparing with one member of a list before all are compared.
@@ -46,9 +48,9 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """Sorted 64-bit shingle sets of texts; word codes are remembered, up to a limit."""
+    """Sorted 64-bit shingle sets of texts; codes of shorter words are remembered, up to a limit (64 MB at most)."""
 
-    LIMIT = 500_000
+    LIMIT, LONGEST = 100_000, 256
 
     def __init__(self):
         self.codes: dict[bytes, int] = {}
@@ -62,9 +64,9 @@ class Shingler:
         codes = self.codes
         if len(codes) > self.LIMIT:
             codes.clear()
-        for w in set(words).difference(codes):
-            codes[w] = xxhash.xxh3_64_intdigest(w)
-        c = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+        fresh = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(codes)}
+        c = np.fromiter((codes[w] if w in codes else fresh[w] for w in words) if fresh else map(codes.__getitem__, words), np.uint64, len(words))
+        codes.update((w, x) for w, x in fresh.items() if len(w) <= self.LONGEST)
         if len(c) < WORDS:
             h = np.full(1, len(c), np.uint64)
             for v in c:
@@ -129,10 +131,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingles(text.as_py())
             i = set_id(s)
             out.append((len(s), *i))
-            if len(s) and i not in seen:  # copies in a task count once
-                if len(seen) > 1_000_000:
+            if len(s) and i[0] not in seen:  # copies in a task count once
+                if len(seen) > MOST_SEEN:
                     seen.clear()
-                seen.add(i)
+                seen.add(i[0])
                 run.append(s)
                 size += len(s)
                 if size >= LOCAL_RUN:
@@ -199,7 +201,7 @@ def _postings(small: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator
             n = len(s)
             if doc is None or not n or (i := set_id(s)) in seen:
                 continue
-            if len(seen) > 1_000_000:
+            if len(seen) > MOST_SEEN:
                 seen.clear()
             seen.add(i)
             p = n - needed(n) + 1

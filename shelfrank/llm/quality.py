@@ -6,7 +6,8 @@ each stratum comes from the labelled rows that the model did not see. Cutoffs
 are tested from the most lenient to stricter ones with an exact binomial test
 of "more than ``max_false`` of the good texts are rejected"; the last one before
 the first test that is not passed is taken (a fixed sequence needs no correction
-inside a stratum), and the error level is divided by the number of strata.
+inside a stratum), and the error level is divided by the number of strata that
+have good rows enough to pass any test.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from shelfrank.llm.common import mix64, python_ready, written
 MAX_TRAIN_ROWS = 20_000
 #: Share of good texts that may be rejected, and the chance that the bound fails.
 MAX_FALSE, ERROR = 0.02, 0.05
-#: Good held-out rows that a stratum needs to be tested; the others reject nothing.
-MIN_GOOD = 50
 #: Scores are cut into so many steps; every one is a cutoff that may be tried.
 STEPS = 1000
 
@@ -62,9 +61,9 @@ def _repeat_words(codes: np.ndarray) -> int:
 
 
 class _Measure:
-    """Measures texts; remembers the codes of words it has seen (emptied when full)."""
+    """Measures texts; remembers the codes of words it has seen (emptied when full: 64 MB at most)."""
 
-    LIMIT = 500_000
+    LIMIT, LONGEST = 100_000, 256
 
     def __init__(self):
         self.codes: dict[bytes, int] = {}
@@ -84,9 +83,9 @@ class _Measure:
         codes = self.codes
         if len(codes) > self.LIMIT:
             codes.clear()
-        for w in set(words).difference(codes):
-            codes[w] = xxhash.xxh3_64_intdigest(w)
-        n_repeat = _repeat_words(np.fromiter(map(codes.__getitem__, words), np.uint64, n))
+        fresh = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(codes)}
+        n_repeat = _repeat_words(np.fromiter((codes[w] if w in codes else fresh[w] for w in words) if fresh else map(codes.__getitem__, words), np.uint64, n))
+        codes.update((w, c) for w, c in fresh.items() if len(w) <= self.LONGEST)
         raw = np.frombuffer(data, np.uint8)
         count = np.bincount(raw, minlength=256)
         d = max(1, n)
@@ -170,6 +169,19 @@ def choose_cutoff(counts: np.ndarray, max_false: float, level: float, lowest: in
     return best
 
 
+def with_power(strata: list, good, max_false: float, error: float) -> list:
+    """Strata that could pass a test at all, with the error level shared among just these.
+
+    The choice looks at the numbers of good rows only, not at what is rejected, so the level holds.
+    """
+    left = strata
+    while True:
+        able = [r for r in left if binomial_tail(0, good(r), max_false) <= error / len(left)]
+        if len(able) == len(left):
+            return able
+        left = able
+
+
 class Verdict:
     """The fitted model and the cutoffs of the strata."""
 
@@ -215,8 +227,8 @@ def fit_verdict(
         return Verdict(np.zeros(len(_INPUTS) + 1), {})
     verdict = Verdict(fit_logistic(sample[[f"f_{x}" for x in _INPUTS]].to_numpy(float), bad), {})
     held = rows.where("l_half = 1 and l_good <> 0").groupBy("q_stratum", verdict.step().alias("step")).agg(F.count("*").alias("n"))
-    per = held.groupBy("q_stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("step", "n")).alias("steps")).where(F.col("n") >= MIN_GOOD)
-    tested = per.collect()  # strata with enough labelled rows, at most STEPS numbers each
+    per = held.groupBy("q_stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("step", "n")).alias("steps"))
+    tested = with_power(per.collect(), lambda r: r["n"], max_false, error)  # at most STEPS numbers a stratum
     for r in tested:
         counts = np.zeros(STEPS, np.int64)
         for s in r["steps"]:
@@ -248,9 +260,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", **params) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns, in place (no
-    shuffle of texts): one pass fits, a second one measures again and filters."""
-    v = fit_verdict(_measured_rows(docs, key, text, stratum), labels, **params)
-    rows = python_ready(docs).select(*[docs[c] for c in docs.columns], measures(docs[text]).alias("q__m"))
+    shuffle of texts): texts are measured once and written with their measures;
+    the fit reads the measures, then rows are filtered. Nulls, empty texts and
+    tables as in :func:`quality_rules`; repeated rows are judged alike."""
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    judged = rows.select(F.struct(*docs.columns).alias("q__row"), F.col(stratum).alias("q__stratum"), *[F.col(f"q__m.{x}").alias(x) for x in names])
-    return judged.where(v.kept(F.col("q__stratum"))).select("q__row.*")
+    rows = python_ready(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("q__row"), docs[key].alias("q_key"), docs[stratum].alias("q_stratum"), measures(docs[text]).alias("q__m"))
+    rows = written(rows.select("q__row", "q_key", "q_stratum", *[F.col(f"q__m.{x}").alias(x) for x in names]), "quality-measured")
+    v = fit_verdict(rows.drop("q__row"), labels, **params)
+    return rows.where(v.kept(F.col("q_stratum"))).select("q__row.*")
