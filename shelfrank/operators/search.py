@@ -1,22 +1,17 @@
 """Exact top-k search of a whole catalog for many queries.
 
-Plan (no nested-loop join, nothing broadcast that grows with the data):
-
-1. Queries are hashed into ``QB`` blocks and products into ``CB`` blocks,
-   with ``QB = ceil(#queries / query_block_rows)`` and
-   ``CB = ceil(#products / catalog_block_rows)`` computed **inside the plan**
-   as scalar subqueries (no driver round trip).
-2. Each query row is replicated once per catalog block and each product row
-   once per query block; the two sides are cogrouped on ``(qb, cb)`` — a
-   blocked matrix product, so every task holds at most one query block and
-   one catalog block.
-3. Per block pair NumPy scores the block in fixed-size tiles (bounded
-   memory whatever the block size) and keeps, per query, the best ``k``
-   candidates in the total order (score desc, NaN last, key asc) — only ``k``
-   rows per query and block leave the task.
-4. A final ``row_number() <= k`` per query (WindowGroupLimit) merges the
-   partial lists: exact, because every block's list is a prefix of the
-   block's total order.
+Plan (no nested-loop join, nothing broadcast):
+
+1. The larger side is dealt once to cells, by a hash of its key; every row of
+   the smaller side is copied to every cell. Which side is smaller and how many cells there
+   are is computed **inside the plan** from counts (scalar subqueries). So the larger side is
+   shuffled once, whatever the parallelism.
+2. A task reads a cell's dealt rows first and keeps them; the copied rows stream by in
+   Arrow batches, so memory is bounded by the cell's size. Products stand in an index of
+   inverted lists per vector slot with block bounds (:mod:`shelfrank.operators.slot_index`):
+   a query scores only blocks whose bound reaches its k-th best score so far.
+3. A final ``row_number() <= k`` per query (WindowGroupLimit) merges the lists of the cells: exact,
+   because each is a prefix of its cell's total order (score desc, NaN last, key asc).
 
 Scores: dot products (normalized encoders) or cosines from raw vectors and
 their squared norms — the same IEEE operations as the row-wise expression
@@ -26,106 +21,144 @@ path, so with integer count vectors the results are exact.
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfrank.functions.text import _blank
 from shelfrank.operators.ranking import top_k
+from shelfrank.operators.slot_index import SlotIndex
 from shelfrank.session import default_parallelism, ship_package
 
-# Rows per block. A task holds one query block and one catalog block (vectors
-# of dim 64 take 256 bytes as float32) and scores them tile by tile, so the
-# blocks can be large: fewer blocks means less replication in the shuffle
-# (each query row is copied once per catalog block and vice versa). Lower
-# them for much larger dimensions.
+# Rows of a cell at most: a task keeps one cell's rows of the larger side (vectors of
+# dim 64 take 1 KB a product in the index). Lower them for much larger dimensions.
 DEFAULT_QUERY_BLOCK_ROWS = 65_536
-DEFAULT_CATALOG_BLOCK_ROWS = 262_144
-# Score tile inside a task: 1,024 x 8,192 doubles = 64 MiB.
-TILE_QUERIES = 1024
-TILE_PRODUCTS = 8192
-
-
-def _block_count(df: DataFrame, rows_per_block: int, min_blocks: int = 1):
-    """ceil(rows / rows_per_block), at least ``min_blocks`` — an in-plan scalar subquery."""
-    n = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    return F.greatest(F.lit(max(1, min_blocks)), F.ceil(n / F.lit(float(rows_per_block)))).cast("int")
-
-
-def _first_k_per_row(rows, cols, scores, codes, k):
-    """Sort candidates by (row, NaN last, score desc, key) and keep k per row."""
-    nan = np.isnan(scores)
-    filled = np.where(nan, -np.inf, scores)
-    order = np.lexsort((codes[cols], -filled, nan, rows))
-    rows, cols, scores = rows[order], cols[order], scores[order]
-    if rows.size == 0:
-        return rows, cols, scores
-    starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-    pos = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
-    keep = pos < k
-    return rows[keep], cols[keep], scores[keep]
-
-
-def _tile_candidates(s, k):
-    """Per row of a score tile, every entry at least as good as the k-th best
-    (ties included), as (row, col) index arrays."""
-    filled = np.where(np.isnan(s), -np.inf, s)
-    if s.shape[1] > k:
-        kth = -np.partition(-filled, k - 1, axis=1)[:, k - 1]
-        return np.nonzero(filled >= kth[:, None])
-    return np.nonzero(np.ones_like(filled, dtype=bool))
-
-
-def _stacked(vectors: pd.Series, dim: int) -> np.ndarray:
-    """Vectors as rows; a null vector is a row of NaN."""
-    return np.stack([np.full(dim, np.nan) if v is None else np.asarray(v, np.float64) for v in vectors])
-
-
-def block_topk_numpy(
-    q_keys: np.ndarray,
-    q_vecs: np.ndarray,
-    q_sq: np.ndarray | None,
-    p_keys: np.ndarray,
-    p_vecs: np.ndarray,
-    p_sq: np.ndarray | None,
-    k: int,
-    tile_queries: int = TILE_QUERIES,
-    tile_products: int = TILE_PRODUCTS,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best ``k`` products per query of one block pair, scored tile by tile.
-
-    Returns parallel arrays (query index, product index, score). A tile's
-    per-row top k (plus ties) is merged at once into the best k so far, so a
-    query chunk never holds more than k plus one tile's entries a query, however
-    many scores tie. Null vectors come as NaN and rank last.
-    """
-    _, codes = np.unique(p_keys, return_inverse=True)  # key order (numeric or string keys)
-    nq, npr = q_vecs.shape[0], p_vecs.shape[0]
-    out_r, out_c, out_s = [], [], []
-    for q0 in range(0, nq, tile_queries):
-        q1 = min(nq, q0 + tile_queries)
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for p0 in range(0, npr, tile_products):
-            p1 = min(npr, p0 + tile_products)
-            s = q_vecs[q0:q1] @ p_vecs[p0:p1].T
-            if q_sq is not None:
-                den = np.sqrt(q_sq[q0:q1])[:, None] * np.sqrt(p_sq[p0:p1])[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.where(den > 0, s / np.where(den > 0, den, 1.0), np.where(np.isnan(den), np.nan, 0.0))
-            r, c = _tile_candidates(s, k)
-            best = _first_k_per_row(np.r_[best[0], r], np.r_[best[1], c + p0], np.r_[best[2], s[r, c]], codes, k)
-        r, c, sc = best
-        out_r.append(r + q0)
-        out_c.append(c)
-        out_s.append(sc)
-    if not out_r:
-        empty = np.array([], dtype=np.int64)
-        return empty, empty, np.array([], dtype=np.float64)
-    return np.concatenate(out_r), np.concatenate(out_c), np.concatenate(out_s)
+DEFAULT_CATALOG_BLOCK_ROWS = 131_072
+# Small inputs are dealt to one cell a task slot, as long as a cell has so many rows.
+LEAST_CATALOG_ROWS, LEAST_QUERY_ROWS = 2048, 64
+
+
+def _cells(n: Column, most: int, least: int, slots: int) -> Column:
+    """Cells for ``n`` rows: ``most`` rows each at most, and one a task slot if each has ``least`` rows."""
+    up = lambda rows: F.ceil(n / F.lit(float(rows)))
+    return F.greatest(F.lit(1), up(most), F.least(F.lit(slots), up(least))).cast("int")
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of doubles; a null vector (or one with a null entry) is a row of NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    if column.null_count == 0 and flat.null_count == 0 and len(flat) == dim * len(column):
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+    rows = column.to_pylist()
+    if any(v is not None and len(v) != dim for v in rows):
+        raise ValueError("vectors of different lengths")
+    return np.array([[np.nan] * dim if v is None else [np.nan if x is None else x for x in v] for v in rows], dtype=np.float64).reshape(len(rows), dim)
+
+
+def _key_codes(keys: pa.Array) -> np.ndarray:
+    """Place of each key in key order (a null key comes first)."""
+    return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+class _Cell:
+    """One cell: its dealt rows, then the copied rows that stream by."""
+
+    def __init__(self, k: int, cosine: bool):
+        self.k, self.cosine, self.kept, self.index, self.floors = k, cosine, [], None, None
+
+    def keep(self, part: pa.Table) -> None:
+        self.kept.append(part)
+
+    def _index(self, part: pa.Table, dim: int) -> SlotIndex:
+        squares = part.column("sq").to_numpy().astype(np.float64) if self.cosine else None
+        return SlotIndex(_matrix(part.column("vec"), dim), _key_codes(part.column("pk").combine_chunks()), squares)
+
+    def _dim(self, *parts: pa.Table) -> int:
+        return max((len(v) for p in parts for v in p.column("vec") if v.is_valid), default=0)
+
+    def _hits(self, queries: pa.Table, vectors: np.ndarray, index: SlotIndex, products: pa.Table) -> Iterator[pa.RecordBatch]:
+        squares = queries.column("sq").to_numpy().astype(np.float64) if self.cosine else np.zeros(len(vectors))
+        q_at, p_at, found = [], [], []
+        for i in range(len(vectors)):
+            floor = -np.inf if self.floors is None else (self.floors[i][0] if len(self.floors[i]) >= self.k else -np.inf)
+            rows, scores = index.top(vectors[i], squares[i], self.k, floor)
+            if self.floors is not None:
+                real = scores[~np.isnan(scores)]
+                self.floors[i] = np.sort(np.concatenate([self.floors[i], real]))[-self.k :]
+            q_at.append(np.full(len(rows), i))
+            p_at.append(rows)
+            found.append(scores)
+        q_at, p_at, found = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (q_at, p_at, found))
+        for at in range(0, len(q_at), OUT_ROWS):
+            sl = slice(at, at + OUT_ROWS)
+            cols = queries.column("qk").take(pa.array(q_at[sl])), products.column("pk").take(pa.array(p_at[sl])), pa.array(found[sl].astype(np.float64))
+            yield from pa.table(list(cols), names=["qk", "pk", "score"]).to_batches()
+
+    def stream(self, part: pa.Table, queries_stream: bool) -> Iterator[pa.RecordBatch]:
+        if not self.kept:
+            return
+        if queries_stream:  # the cell's products stay, queries come by
+            if self.index is None:
+                self.products = pa.concat_tables(self.kept)
+                self.dim = self._dim(self.products.slice(0, 64)) or self._dim(self.products) or self._dim(part)
+                self.index = self._index(self.products, self.dim)
+            yield from self._hits(part, _matrix(part.column("vec"), self.dim), self.index, self.products)
+        else:  # the cell's queries stay, products come by; a query's k-th best score rises from batch to batch
+            if self.floors is None:
+                self.queries = pa.concat_tables(self.kept)
+                self.floors = [np.zeros(0) for _ in range(len(self.queries))]
+            dim = self._dim(self.queries) or self._dim(part)
+            yield from self._hits(self.queries, _matrix(self.queries.column("vec"), dim), self._index(part, dim), part)
+
+
+# Rows of a result batch.
+OUT_ROWS = 100_000
+
+
+def _search_cells(k: int, cosine: bool) -> Callable:
+    """Task function over rows sorted by ``cell, ord`` (ord 0: dealt rows, 1: copied rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell = None, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            where, ords, asked = (t.column(c).to_numpy() for c in ("cell", "ord", "is_query"))
+            cuts = np.flatnonzero((np.diff(where) != 0) | (np.diff(ords) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)], strict=True):
+                if lo == hi:
+                    continue
+                if where[lo] != at:
+                    at, cell = where[lo], _Cell(k, cosine)
+                part = t.slice(lo, hi - lo)
+                if ords[lo] == 0:
+                    cell.keep(part)
+                else:
+                    yield from cell.stream(part, bool(asked[lo]))
+
+    return run
+
+
+def deal(q: DataFrame, p: DataFrame, slots: int, query_block_rows: int, catalog_block_rows: int) -> DataFrame:
+    """Rows of queries (``qk, vec, sq``) and products (``pk, vec, sq``) with their ``cell``: the larger
+    side once (``ord`` 0), the smaller one once a cell (``ord`` 1)."""
+    n_q, n_p = (x.select(F.count(F.lit(1)).alias("n")).scalar() for x in (q, p))
+    copied = n_q <= n_p
+    cells = F.when(copied, _cells(n_p, catalog_block_rows, LEAST_CATALOG_ROWS, slots)).otherwise(_cells(n_q, query_block_rows, LEAST_QUERY_ROWS, slots))
+
+    def placed(side: DataFrame, key: str, copy: Column) -> DataFrame:
+        one = F.pmod(F.xxhash64(key), cells).cast("int")
+        where = F.explode(F.when(copy, F.sequence(F.lit(0), cells - 1)).otherwise(F.array(one)))
+        return side.select("*", where.alias("cell"), copy.cast("int").alias("ord"), F.lit(key == "qk").alias("is_query"))
+
+    all_q = q.withColumn("pk", F.lit(None).cast(p.schema["pk"].dataType))
+    all_p = p.withColumn("qk", F.lit(None).cast(q.schema["qk"].dataType))
+    return placed(all_q, "qk", copied).unionByName(placed(all_p, "pk", ~copied))
 
 
 def catalog_topk(
@@ -141,71 +174,30 @@ def catalog_topk(
     p_sq: str = "p_sq",
     query_block_rows: int = DEFAULT_QUERY_BLOCK_ROWS,
     catalog_block_rows: int = DEFAULT_CATALOG_BLOCK_ROWS,
-    min_query_blocks: int | None = None,
 ) -> DataFrame:
     """Top ``k`` products of the whole catalog per query.
 
     ``queries``: one row per query (``query_key``, vector[, squared norm]);
     ``catalog``: one row per product (``product_key``, vector[, squared norm]).
     Returns ``query_key, product_key, score, rank`` (rank 1..k; fewer rows when
-    the catalog is smaller than k).
+    the catalog is smaller than k). Null vectors rank last.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    ship_package(queries.sparkSession)
-    qcols = [query_key, q_vec] + ([] if normalized else [q_sq])
-    pcols = [product_key, p_vec] + ([] if normalized else [p_sq])
-    q = queries.select(*qcols)
-    p = catalog.select(*pcols)
-    # At least one query block per task slot, so small inputs still use every
-    # core. Splitting queries (not products) keeps the partial output at
-    # queries x k x catalog blocks.
-    if min_query_blocks is None:
-        min_query_blocks = default_parallelism(queries.sparkSession)
-    n_qb = _block_count(q, query_block_rows, min_query_blocks)
-    n_cb = _block_count(p, catalog_block_rows)
-    qx = q.withColumn("qb", F.pmod(F.xxhash64(F.col(query_key)), n_qb).cast("int")).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), n_cb - 1))
-    )
-    px = p.withColumn("cb", F.pmod(F.xxhash64(F.col(product_key)), n_cb).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), n_qb - 1))
-    )
-    qk_type = q.schema[query_key].dataType
-    pk_type = p.schema[product_key].dataType
-    out_schema = T.StructType(
-        [
-            T.StructField(query_key, qk_type, True),
-            T.StructField(product_key, pk_type, True),
-            T.StructField("score", T.DoubleType(), True),
-        ]
-    )
-
-    def per_block(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or pdf.empty:
-            return pd.DataFrame(
-                {
-                    query_key: qdf[query_key].iloc[:0].reset_index(drop=True) if query_key in qdf else pd.Series([], dtype=object),
-                    product_key: pdf[product_key].iloc[:0].reset_index(drop=True) if product_key in pdf else pd.Series([], dtype=object),
-                    "score": pd.Series([], dtype="float64"),
-                }
-            )
-        dim = max((len(v) for side in (qdf[q_vec], pdf[p_vec]) for v in side if v is not None), default=0)
-        qv, pv = _stacked(qdf[q_vec], dim), _stacked(pdf[p_vec], dim)
-        qs = None if normalized else qdf[q_sq].to_numpy(dtype=np.float64)
-        ps = None if normalized else pdf[p_sq].to_numpy(dtype=np.float64)
-        rows, cols, sc = block_topk_numpy(
-            qdf[query_key].to_numpy(), qv, qs, pdf[product_key].to_numpy(), pv, ps, k
-        )
-        return pd.DataFrame(
-            {
-                query_key: qdf[query_key].to_numpy()[rows],
-                product_key: pdf[product_key].to_numpy()[cols],
-                "score": sc.astype(np.float64),
-            }
-        )
-
-    partial = qx.groupBy("qb", "cb").cogroup(px.groupBy("qb", "cb")).applyInPandas(per_block, out_schema)
-    return top_k(partial, query_key, "score", product_key, k, "rank")
+    spark = queries.sparkSession
+    ship_package(spark)
+    slots = default_parallelism(spark)
+    square = lambda c: F.lit(0.0) if normalized else F.col(c).cast("double")
+    entry = {queries.schema[q_vec].dataType.elementType.simpleString(), catalog.schema[p_vec].dataType.elementType.simpleString()}
+    kind = f"array<{entry.pop() if len(entry) == 1 else 'double'}>"
+    q = queries.select(F.col(query_key).alias("qk"), F.col(q_vec).cast(kind).alias("vec"), square(q_sq).alias("sq"))
+    p = catalog.select(F.col(product_key).alias("pk"), F.col(p_vec).cast(kind).alias("vec"), square(p_sq).alias("sq"))
+    rows = deal(q, p, slots, query_block_rows, catalog_block_rows)
+    n = max(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionById(n, F.pmod(F.col("cell"), F.lit(n))) if hasattr(rows, "repartitionById") else rows.repartition(n, "cell")
+    out = T.StructType([q.schema["qk"], p.schema["pk"], T.StructField("score", T.DoubleType())])
+    found = dealt.sortWithinPartitions("cell", "ord").mapInArrow(_search_cells(k, not normalized), out)
+    return top_k(found.withColumnsRenamed({"qk": query_key, "pk": product_key}), query_key, "score", product_key, k, "rank")
 
 
 def safe_catalog(catalog: DataFrame, blocked: str = "blocked") -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfrank.operators.labels import with_block_flags
-from shelfrank.operators.search import block_topk_numpy, catalog_topk, safe_catalog
+from shelfrank.operators.search import catalog_topk, deal, safe_catalog
+from shelfrank.operators.slot_index import SlotIndex
 
 RNG = np.random.default_rng(7)
 
@@ -60,11 +61,79 @@ def test_topk_dot_and_small_catalog(spark):
     assert collect(hits) == brute(qv, pv, 10, keys, cosine=False)
 
 
-def test_block_topk_nan_last():
-    q = np.array([[1.0, 0.0]])
-    p = np.array([[np.nan, 0.0], [0.5, 0.0], [0.9, 0.0]])
-    rows, cols, s = block_topk_numpy(np.array(["q"]), q, None, np.array([1, 2, 3]), p, None, 3)
-    assert list(cols) == [2, 1, 0]
+def test_more_queries_than_products_copies_products(spark):
+    q, p, qv, pv = frames(spark, nq=90, npr=25)
+    keys = [100 - j for j in range(len(pv))]
+    for block in (65_536, 7):
+        hits = catalog_topk(q, p, 4, "query", "product_id", normalized=False, query_block_rows=block)
+        assert collect(hits) == brute(qv, pv, 4, keys)
+
+
+def test_null_vectors_rank_last(spark):
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], "query string, q_emb array<float>")
+    p = spark.createDataFrame([(1, None), (2, [0.5, 0.0]), (3, [-0.9, 0.0]), (0, None)], "product_id long, p_emb array<float>")
+    hits = catalog_topk(q, p, 3).collect()
+    assert [r["product_id"] for r in sorted(hits, key=lambda r: r["rank"]) if r["query"] == "q"] == [2, 3, 0]
+    assert [r["product_id"] for r in sorted(hits, key=lambda r: r["rank"]) if r["query"] == "none"] == [0, 1, 2]
+
+
+def _token_vectors(n, rng, words):
+    out = np.zeros((n, 64))
+    for row in out:
+        np.add.at(row, rng.integers(0, 64, words), 1)
+        row[:2] += 1
+    return out
+
+
+@pytest.mark.parametrize("cosine", [True, False])
+def test_index_scores_under_a_fifth_of_the_pairs(cosine):
+    """Sparse count vectors as the hashing encoder makes them; results equal all scores sorted."""
+    rng = np.random.default_rng(3)
+    p, q = _token_vectors(6000, rng, 6), _token_vectors(80, rng, 3)
+    p[17] = np.nan
+    codes = rng.permutation(len(p))
+    ps, qs = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    index = SlotIndex(p, codes, ps if cosine else None)
+    for i in range(len(q)):
+        s = p @ q[i]
+        s = s / (np.sqrt(qs[i]) * np.sqrt(ps)) if cosine else s
+        order = np.lexsort((codes, -np.where(np.isnan(s), -np.inf, s), np.isnan(s)))[:10]
+        rows, scores = index.top(q[i], qs[i], 10)
+        np.testing.assert_array_equal(rows, order)
+        np.testing.assert_array_equal(scores, s[order])
+    assert index.scored < 0.2 * len(q) * len(p)
+
+
+@pytest.mark.parametrize("k", [1, 7, 400])
+def test_index_with_negative_entries_floors_and_lost_vectors(k):
+    rng = np.random.default_rng(k)
+    p, q = rng.normal(size=(301, 5)), rng.normal(size=(20, 5))
+    p[[7, 8]] = np.nan
+    p[9] = 0.0
+    codes = rng.permutation(301)
+    ps = (p * p).sum(axis=1)
+    index = SlotIndex(p, codes, ps)
+    for v in q:
+        den = np.sqrt(v @ v) * np.sqrt(ps)
+        s = np.where(den > 0, p @ v / np.where(den > 0, den, 1), np.where(np.isnan(den), np.nan, 0.0))
+        order = np.lexsort((codes, -np.where(np.isnan(s), -np.inf, s), np.isnan(s)))[:k]
+        rows, scores = index.top(v, v @ v, k)
+        np.testing.assert_array_equal(rows, order)
+        np.testing.assert_allclose(scores, s[order], rtol=1e-12, atol=1e-12)
+        some, _ = index.top(v, v @ v, k, floor=0.3)
+        assert set(some) == {r for r in order if s[r] >= 0.3}
+
+
+def test_larger_side_is_shuffled_once_whatever_the_parallelism(spark):
+    q = spark.createDataFrame([(f"q{i}", [1.0], 1.0) for i in range(5)], "qk string, vec array<double>, sq double")
+    p = spark.range(20_000).select(F.col("id").alias("pk"), F.array(F.lit(1.0)).alias("vec"), F.lit(1.0).alias("sq"))
+    for slots in (1, 8, 64):
+        rows = deal(q, p, slots, 65_536, 131_072).groupBy("is_query").count().collect()
+        assert {r["is_query"]: r["count"] for r in rows} == {False: 20_000, True: 5 * min(slots, 10)}
+    many = p.withColumnRenamed("pk", "qk").withColumn("qk", F.col("qk").cast("string"))
+    few = q.withColumn("pk", F.length("qk").cast("long")).drop("qk")
+    rows = deal(many, few, 64, 65_536, 131_072).groupBy("is_query").count().collect()
+    assert {r["is_query"]: r["count"] for r in rows} == {True: 20_000, False: 5 * 64}
 
 
 def _catalog(spark):
@@ -94,17 +163,3 @@ def test_safe_topk_two_allowed(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0], 1.0)], "query string, q_emb array<float>, q_sq double")
     hits = catalog_topk(q, allowed, 5, "query", "product_id", normalized=False)
     assert hits.count() == 2
-
-
-def test_tiled_block_topk_equals_untiled():
-    rng = np.random.default_rng(3)
-    q = rng.integers(0, 3, size=(37, 5)).astype(float)
-    p = rng.integers(0, 3, size=(301, 5)).astype(float)
-    p[7] = np.nan
-    keys = rng.permutation(10_000)[:301]
-    qs, ps = np.sum(q * q, axis=1), np.sum(np.nan_to_num(p) * np.nan_to_num(p), axis=1)
-    ref = block_topk_numpy(np.arange(37), q, qs, keys, p, ps, 9, tile_queries=10_000, tile_products=10_000)
-    got = block_topk_numpy(np.arange(37), q, qs, keys, p, ps, 9, tile_queries=4, tile_products=17)
-    for a, b in zip(ref, got):
-        np.testing.assert_array_equal(a, b)
-    assert len(ref[0]) == 37 * 9
