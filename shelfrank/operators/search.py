@@ -8,7 +8,7 @@ Plan (no nested-loop join, nothing broadcast):
    shuffled once, whatever the parallelism.
 2. A task reads a cell's dealt rows first and keeps them; the copied rows stream by in
    Arrow batches, so memory is bounded by the cell's size. Products stand in an index of
-   inverted lists per vector slot with block bounds (:mod:`shelfrank.operators.slot_index`):
+   blocks with a bound per vector slot (:mod:`shelfrank.operators.slot_index`):
    a query scores only blocks whose bound reaches its k-th best score so far.
 3. A final ``row_number() <= k`` per query (WindowGroupLimit) merges the lists of the cells: exact,
    because each is a prefix of its cell's total order (score desc, NaN last, key asc).
@@ -40,7 +40,7 @@ from shelfrank.session import default_parallelism, ship_package
 DEFAULT_QUERY_BLOCK_ROWS = 65_536
 DEFAULT_CATALOG_BLOCK_ROWS = 131_072
 # Small inputs are dealt to one cell a task slot, as long as a cell has so many rows.
-LEAST_CATALOG_ROWS, LEAST_QUERY_ROWS = 2048, 64
+LEAST_CATALOG_ROWS, LEAST_QUERY_ROWS = 1024, 64
 
 
 def _cells(n: Column, most: int, least: int, slots: int) -> Column:
@@ -84,17 +84,18 @@ class _Cell:
 
     def _hits(self, queries: pa.Table, vectors: np.ndarray, index: SlotIndex, products: pa.Table) -> Iterator[pa.RecordBatch]:
         squares = queries.column("sq").to_numpy().astype(np.float64) if self.cosine else np.zeros(len(vectors))
-        q_at, p_at, found = [], [], []
-        for i in range(len(vectors)):
-            floor = -np.inf if self.floors is None else (self.floors[i][0] if len(self.floors[i]) >= self.k else -np.inf)
-            rows, scores = index.top(vectors[i], squares[i], self.k, floor)
-            if self.floors is not None:
-                real = scores[~np.isnan(scores)]
-                self.floors[i] = np.sort(np.concatenate([self.floors[i], real]))[-self.k :]
-            q_at.append(np.full(len(rows), i))
-            p_at.append(rows)
-            found.append(scores)
-        q_at, p_at, found = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (q_at, p_at, found))
+        parts = []
+        for at in range(0, len(vectors), QUERIES):
+            sl = slice(at, at + QUERIES)
+            i, rows, scores = index.top(vectors[sl], squares[sl], self.k, None if self.floors is None else self.floors[sl, 0])
+            if self.floors is not None:  # the best k scores of each query so far, rising; the first is the k-th
+                real = ~np.isnan(scores)
+                width = np.bincount(i[real], minlength=len(vectors[sl]))
+                new = np.full((len(width), self.k), -np.inf)
+                new[i[real], np.arange(real.sum()) - np.repeat(np.cumsum(width) - width, width)] = scores[real]
+                self.floors[sl] = np.sort(np.concatenate([self.floors[sl], new], axis=1), axis=1)[:, -self.k :]
+            parts.append((i + at, rows, scores))
+        q_at, p_at, found = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 3
         for at in range(0, len(q_at), OUT_ROWS):
             sl = slice(at, at + OUT_ROWS)
             cols = queries.column("qk").take(pa.array(q_at[sl])), products.column("pk").take(pa.array(p_at[sl])), pa.array(found[sl].astype(np.float64))
@@ -112,13 +113,13 @@ class _Cell:
         else:  # the cell's queries stay, products come by; a query's k-th best score rises from batch to batch
             if self.floors is None:
                 self.queries = pa.concat_tables(self.kept)
-                self.floors = [np.zeros(0) for _ in range(len(self.queries))]
+                self.floors = np.full((len(self.queries), self.k), -np.inf)
             dim = self._dim(self.queries) or self._dim(part)
             yield from self._hits(self.queries, _matrix(self.queries.column("vec"), dim), self._index(part, dim), part)
 
 
-# Rows of a result batch.
-OUT_ROWS = 100_000
+# Rows of a result batch, and queries that are held against an index at once.
+OUT_ROWS, QUERIES = 100_000, 128
 
 
 def _search_cells(k: int, cosine: bool) -> Callable:

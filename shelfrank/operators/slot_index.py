@@ -1,12 +1,11 @@
-"""Exact top-k over inverted lists of vector slots with block bounds.
+"""Exact top-k over blocks of similar vectors with bounds per vector slot.
 
 Products are dealt to small blocks of similar vectors (split at the median of
-the slot that varies most). For every slot the index holds its entries block by block,
-and the largest and smallest entry of each block after scaling to unit length.
-A query reads the lists of its own non-zero slots only: first the bounds, then, in falling order
-of the bounds, the entries of blocks that can still hold one of the best ``k``.
-The k-th best score so far rises with every round, and blocks whose bound lies
-below it are never scored.
+the slot that varies most). For every slot the index has a list of the largest and
+the smallest entry of each block, scaled to unit length. A batch of queries reads
+these lists first; a block whose bound for a query lies below the query's k-th best score
+so far is never scored for it. That score rises from round to round: first the blocks of best bounds
+are scored, then the upper half of what may still count, then the rest.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ import numpy as np
 
 #: Products of a block.
 BLOCK = 4
+#: Pairs of a query and a block that are scored at once.
+PAIRS = 1 << 13
 #: Bounds are computed in another order of sums than scores; this much of the bound's size is added to them.
 SLACK = 1e-9
 
@@ -34,15 +35,6 @@ def _similar(unit: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def better(scores: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
-    """Places of the best ``k``: score falling, NaN last, smaller code first."""
-    filled = np.where(np.isnan(scores), -np.inf, scores)
-    at = np.arange(len(scores))
-    if len(scores) > 4 * k:
-        at = np.flatnonzero(filled >= -np.partition(-filled, k - 1)[k - 1])
-    return at[np.lexsort((codes[at], -filled[at], np.isnan(scores[at])))][:k]
-
-
 class SlotIndex:
     """Products ``vectors`` (rows; NaN rows are null vectors) with key order ``codes``; ``squares`` for cosines."""
 
@@ -56,55 +48,80 @@ class SlotIndex:
         self.blocks = -(-len(good) // block)
         pad = self.blocks * block - len(good)
         self.rows = np.concatenate([good, np.full(pad, -1)]).reshape(self.blocks, block)
-        self.lost = lost
+        self.lost, self.all = lost[np.argsort(codes[lost], kind="stable")], np.argsort(codes, kind="stable")
         dim = vectors.shape[1]
-        held = np.concatenate([vectors[good], np.zeros((pad, dim))]).reshape(self.blocks, block, dim)
-        self.entries = np.ascontiguousarray(held.transpose(2, 0, 1))  # slot, block, place
+        self.entries = np.concatenate([vectors[good], np.zeros((pad, dim))]).reshape(self.blocks, block, dim)
         self.norm = np.concatenate([norm[good], np.ones(pad)]).reshape(self.blocks, block)
         tops = np.concatenate([unit[good], np.repeat(unit[good[-1:]], pad, axis=0)]).reshape(self.blocks, block, dim)
         self.high, self.low = np.ascontiguousarray(tops.max(axis=1).T), np.ascontiguousarray(tops.min(axis=1).T)
         self.scored = 0
 
-    def _bounds(self, q: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        w = q[slots][:, None]
-        up = np.maximum(w * self.high[slots], w * self.low[slots])
-        return up.sum(axis=0) + SLACK * (1 + np.abs(up).sum(axis=0))
+    def _bounds(self, w: np.ndarray) -> np.ndarray:
+        up, down = np.maximum(w, 0), np.minimum(w, 0)
+        size = np.abs(w).sum(axis=1, keepdims=True) * max(np.abs(self.high).max(initial=0), np.abs(self.low).max(initial=0))
+        return up @ self.high + (down @ self.low if down.any() else 0) + SLACK * (1 + size)
 
-    def top(self, q: np.ndarray, square: float, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and scores of the best ``k`` for one query, best first.
-
-        ``floor``: a k-th best score already known from other products.
-        """
-        if np.isnan(q).any():  # a null query scores NaN with all: the smallest keys
-            everything = np.concatenate([self.rows[self.rows >= 0], self.lost])
-            at = np.argsort(self.codes[everything], kind="stable")[:k]
-            return everything[at], np.full(len(at), np.nan)
-        slots = np.flatnonzero(q)
-        length = np.sqrt(square) if self.cosine else 1.0
-        bound = self._bounds(q / length if length > 0 else np.zeros_like(q), slots)
-        order = np.argsort(-bound)
-        falling = -bound[order]
-        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        at, step, kth = 0, 1 + 2 * k // self.block, floor
-        while at < self.blocks:
-            to = min(at + step, int(np.searchsorted(falling, -kth, "right")))
-            if to <= at:
-                break
-            b = order[at:to]
-            s = np.tensordot(q[slots], self.entries[slots[:, None], b], axes=(0, 0)) if len(slots) else np.zeros((len(b), self.block))
+    def _score(self, q: np.ndarray, length: np.ndarray, i: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, rows and scores of the pairs (query, block)."""
+        out = []
+        for at in range(0, len(i), PAIRS):
+            qi, bi = i[at : at + PAIRS], b[at : at + PAIRS]
+            s = np.einsum("mbd,md->mb", self.entries[bi], q[qi])
             if self.cosine:
-                den = length * self.norm[b]
+                den = length[qi][:, None] * self.norm[bi]
                 s = np.where(den > 0, s / np.where(den > 0, den, 1.0), 0.0)
-            new = self.rows[b].ravel()
-            ok = (new >= 0) & (s.ravel() >= kth)
-            self.scored += len(new)
-            rows, scores = np.append(rows, new[ok]), np.append(scores, s.ravel()[ok])
-            best = better(scores, self.codes[rows], k)
-            rows, scores = rows[best], scores[best]
-            if len(rows) >= k:
-                kth = max(kth, float(scores[-1]))
-            at, step = to, step * 2
-        if len(rows) < k and len(self.lost) and floor == -np.inf:  # null vectors come last
-            lost = self.lost[np.argsort(self.codes[self.lost], kind="stable")[: k - len(rows)]]
-            rows, scores = np.append(rows, lost), np.append(scores, np.full(len(lost), np.nan))
-        return rows, scores
+            out.append((np.repeat(qi, self.block), self.rows[bi].ravel(), s.ravel()))
+        self.scored += len(i) * self.block
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+    def _best(self, i: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first ``k`` of each query: score falling, smaller code first."""
+        order = np.lexsort((self.codes[rows], -scores, i))
+        i, rows, scores = i[order], rows[order], scores[order]
+        start = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - start < k
+        return i[keep], rows[keep], scores[keep]
+
+    def top(self, q: np.ndarray, squares: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best ``k`` rows of each query of a batch: ``(query, row, score)``, best first within a query.
+
+        ``floors``: k-th best scores already known from other products; lower scores are left out.
+        """
+        n = len(q)
+        lost_q = np.isnan(q).any(axis=1)
+        q = np.where(lost_q[:, None], 0.0, q)
+        length = np.sqrt(np.where(lost_q, 1.0, squares)) if self.cosine else np.ones(n)
+        kth = np.full(n, -np.inf) if floors is None else floors.astype(np.float64).copy()
+        known = kth > -np.inf
+        bound = self._bounds(np.where((length > 0)[:, None], q / np.where(length > 0, length, 1.0)[:, None], 0.0)) if self.blocks else np.zeros((n, 0))
+        bound[lost_q] = -np.inf
+        open_ = np.isfinite(bound)
+        first = min(self.blocks, 1 + (2 * k) // self.block)
+        found = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        for turn in range(3):
+            if turn == 0:
+                at = np.argpartition(-bound, first - 1, axis=1)[:, :first] if first < self.blocks else np.tile(np.arange(self.blocks), (n, 1))
+                now = np.zeros(bound.shape, dtype=bool)
+                np.put_along_axis(now, at, True, axis=1)
+                now &= open_ & (bound >= kth[:, None])
+            else:
+                now = open_ & (bound >= kth[:, None])
+                if turn == 1 and now.any():  # the better half of what may still count
+                    top = np.where(now, bound, -np.inf).max(axis=1)
+                    middle = np.where(np.isfinite(kth) & np.isfinite(top), (np.where(np.isfinite(kth), kth, 0) + np.where(np.isfinite(top), top, 0)) / 2, -np.inf)
+                    now &= bound >= middle[:, None]
+            open_ &= ~now
+            i, rows, scores = self._score(q, length, *np.nonzero(now))
+            ok = (rows >= 0) & (scores >= kth[i])
+            found = self._best(*(np.append(x, y[ok]) for x, y in zip(found, (i, rows, scores), strict=True)), k)
+            count = np.bincount(found[0], minlength=n)
+            full = count >= k
+            kth[full] = np.maximum(kth[full], found[2][np.cumsum(count)[full] - 1])
+        short = np.flatnonzero((count < k) & ~known)  # null vectors come last; a null query scores NaN with all
+        if len(short) and (len(self.lost) or lost_q.any()):
+            extra = [(self.all if lost_q[x] else self.lost)[: k - count[x]] for x in short.tolist()]
+            more = np.concatenate(extra)
+            i = np.concatenate([found[0], np.repeat(short, [len(e) for e in extra])])
+            order = np.argsort(i, kind="stable")
+            found = i[order], np.append(found[1], more)[order], np.append(found[2], np.full(len(more), np.nan))[order]
+        return found
