@@ -133,28 +133,11 @@ def cached_encode(
     cache_path: str,
     text_col: str = "text",
 ) -> DataFrame:
-    """A10: encode only texts missing from the parquet cache at ``cache_path``
-    (rows ``text, embedding, model_id``), append them, and return the vectors of
-    all requested texts. Entries are keyed by (model_id, text)."""
-    from pyspark.errors import AnalysisException
-
-    schema = T.StructType(
-        [
-            T.StructField("text", T.StringType(), True),
-            T.StructField("embedding", T.ArrayType(T.FloatType()), True),
-            T.StructField("model_id", T.StringType(), True),
-        ]
-    )
-    try:
-        cache = spark.read.schema(schema).parquet(cache_path).where(F.col("model_id") == encoder.model_id)
-        cache.limit(0).collect()  # fails fast if the path does not exist
-    except AnalysisException:
-        cache = spark.createDataFrame([], schema)
-    wanted = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    new = cache_delta(wanted, cache, "text")
-    encoded = encoder.encode(new, "text", "embedding").withColumn("model_id", F.lit(encoder.model_id))
-    encoded.select("text", "embedding", "model_id").write.mode("append").parquet(cache_path)
-    full = spark.read.schema(schema).parquet(cache_path).where(F.col("model_id") == encoder.model_id)
-    # a repeated append can only add equal vectors for a text: keep one
-    full = full.groupBy("text").agg(F.first("embedding").alias("embedding"))
-    return wanted.join(full, "text")
+    """A10: ``text, embedding`` of all requested texts; only those without a vector in
+    the model's cache under ``cache_path`` are encoded, and committed to it
+    (:class:`shelfrank.operators.vector_cache.VectorCache`)."""
+    from shelfrank.operators.vector_cache import VectorCache
+
+    cache = VectorCache(spark, cache_path, encoder.model_id)
+    cache.append(texts, encoder, text_col)
+    return cache.lookup(texts, text_col)

@@ -8,6 +8,7 @@ responses joined on the pair key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -38,8 +39,8 @@ PROMPT_TEMPLATE = (
     "=== List from {label_b} ===\n"
     "{text_b}\n"
     "\n"
-    "Rate each list from 0 to 10 on: relevance to the query; diversity (not near-duplicates);\n"
-    "usefulness for finding the right product quickly; safety (nothing unsuitable for a general shopper).\n"
+    "Give each list a whole number from 0 (worst) to 10 (best) for each of these four:\n"
+    "relevance, diversity, usefulness, safety.\n"
     "\n"
     "Reply with JSON only, shaped exactly like this:\n"
     '{{"query": "...", "model_a_label": "{label_a}", "model_b_label": "{label_b}",\n'
@@ -94,8 +95,18 @@ def judge_prompts(pairs: DataFrame, query: str = "query") -> DataFrame:
     )
 
 
-def ask_judge(prompts: DataFrame, judge_fn: Callable[[list[str]], list[str]], prompt_col: str = "prompt") -> DataFrame:
-    """K2: run a user judge batch-wise (``mapInPandas``); adds ``raw_text``."""
+@dataclass(frozen=True)
+class JudgeSettings:
+    """What a judge is asked with, besides the prompt."""
+
+    system_message: str = JUDGE_SYSTEM_MESSAGE
+    temperature: float = JUDGE_TEMPERATURE
+
+
+def ask_judge(
+    prompts: DataFrame, judge_fn: Callable[[list[str], JudgeSettings], list[str]], prompt_col: str = "prompt", settings: JudgeSettings = JudgeSettings()
+) -> DataFrame:
+    """K2: run a user judge batch-wise (``mapInPandas``) on the prompts and the settings; adds ``raw_text``."""
     from shelfrank.session import ship_package
 
     ship_package(prompts.sparkSession)
@@ -103,7 +114,7 @@ def ask_judge(prompts: DataFrame, judge_fn: Callable[[list[str]], list[str]], pr
 
     def run(batches):
         for pdf in batches:
-            answers = judge_fn(pdf[prompt_col].tolist()) if len(pdf) else []
+            answers = judge_fn(pdf[prompt_col].tolist(), settings) if len(pdf) else []
             out = pdf.copy()
             out["raw_text"] = pd.Series([a if a is not None else "" for a in answers], index=pdf.index, dtype=object)
             yield out
@@ -173,6 +184,6 @@ def report_file_stem(query: Column) -> Column:
     return slug(query)
 
 
-def stub_judge(answer: str) -> Callable[[list[str]], list[Any]]:
+def stub_judge(answer: str) -> Callable[[list[str], JudgeSettings], list[Any]]:
     """A local stand-in judge (tests): returns the same answer for every prompt."""
-    return lambda prompts: [answer] * len(prompts)
+    return lambda prompts, settings: [answer] * len(prompts)

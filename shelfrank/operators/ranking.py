@@ -6,10 +6,15 @@ candidate key ascending — a total order, so every rank is deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfrank.functions.vectors import cosine_from_dot, dot
 
@@ -78,37 +83,56 @@ def rank_candidates(df: DataFrame, group: str, score: str, key: str, out: str =
 
 
 def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out: str = "rank") -> DataFrame:
-    """G1, skew-proof: exact rank without sorting any group in one task.
+    """G1, skew-proof: exact rank by a segmented scan, without sorting any group in one task.
 
     1. A global sort on (group, order) is range-partitioned from a sample of
        the full sort key, so a hot group is spread over many partitions.
-    2. Each row's global position = rows in earlier partitions (a running sum
-       over one count per partition, broadcast — bounded by the partition
-       count) + its index inside its partition.
-    3. rank = position - first position of its group + 1, the first position
-       being a partially aggregated ``min`` per group.
-
-    The sorted rows are checkpointed once (reliable checkpoint in the shared
-    folder) so that every branch sees the same partition assignment.
+    2. Every task numbers its sorted rows, starting anew at each group, and the rows are
+       written once with these numbers (shared folder).
+    3. Only a partition's first group may have begun before it. One row a partition says
+       which groups it begins and ends with and how many rows of the last one it holds; a
+       running sum over these rows is the carry that is added to the first group's numbers.
+       The carries are joined on the partition number (a broadcast bounded by the
+       partition count); nothing is joined on the group.
     """
-    from shelfrank.session import materialize
+    from shelfrank.session import materialize, ship_package
 
+    ship_package(df.sparkSession)
     flag = _flag(score)
     s = df.withColumn("_f", flag).withColumn("_s", F.when(flag, F.lit(0.0)).otherwise(-F.col(score).cast("double")))
     keys = [group, "_f", "_s", key]
-    srt = s.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    pos = materialize(
-        srt.withColumn("_pid", F.spark_partition_id().cast("long")).withColumn("_mono", F.monotonically_increasing_id())
-    )
-    counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_pid", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
-    g = pos.join(F.broadcast(offsets), "_pid").withColumn(
-        "_gpos", F.col("_off") + (F.col("_mono") - F.shiftleft(F.col("_pid"), 33))
-    )
-    starts = g.groupBy(group).agg(F.min("_gpos").alias("_start"))
-    ranked = g.join(starts, group).withColumn(out, (F.col("_gpos") - F.col("_start") + 1).cast("int"))
-    return ranked.drop("_f", "_s", "_pid", "_mono", "_off", "_gpos", "_start")
+    srt = s.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_f", "_s")
+    schema = T.StructType([*srt.schema.fields, T.StructField("_pid", T.LongType()), T.StructField("_local", T.LongType())])
+    rows = materialize(srt.mapInArrow(_numbered(srt.columns.index(group)), schema))
+    ends = rows.groupBy("_pid").agg(F.min(F.struct(group)).alias("_first"), F.max(F.struct(group, "_local")).alias("_last"))
+    begins = ends.select("_pid", F.lit(0).alias("_at"), F.col(f"_first.{group}").alias("_g"), F.lit(0).cast("long").alias("_n"))
+    closes = ends.select("_pid", F.lit(1).alias("_at"), F.col(f"_last.{group}").alias("_g"), (F.col("_last._local") + 1).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_pid", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    carry = begins.unionByName(closes).withColumn("_carry", F.sum("_n").over(before)).where("_at = 0 and _carry > 0")
+    carried = rows.join(F.broadcast(carry.select("_pid", "_g", "_carry")), "_pid", "left")
+    own = F.when(F.col(group).eqNullSafe(F.col("_g")), F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
+    return carried.withColumn(out, (F.col("_local") + own + 1).cast("int")).drop("_pid", "_local", "_g", "_carry")
+
+
+def _numbered(group_at: int) -> Callable:
+    """Task function: sorted rows with the partition's number and their number in the run of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, last, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(group_at)
+            codes = pc.dictionary_encode(g, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.append(True, codes[1:] != codes[:-1])
+            local = np.arange(len(codes)) - np.maximum.accumulate(np.where(starts, np.arange(len(codes)), 0))
+            if last is not None and last[0].as_py() == g[0].as_py():
+                same = len(codes) if starts.sum() == 1 else int(np.flatnonzero(starts)[1])
+                local[:same] += n
+            last, n = g.slice(len(g) - 1), int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(codes), pid)), pa.array(local)], names=[*b.schema.names, "_pid", "_local"])
+
+    return run
 
 
 def top_k(df: DataFrame, group: str, score: str, key: str, k: int, out: str = "rank") -> DataFrame:
@@ -123,24 +147,11 @@ def top_k(df: DataFrame, group: str, score: str, key: str, k: int, out: str = "r
 def best_rank(df: DataFrame, group: str, score: str, key: str, rel: str = "relevant") -> DataFrame:
     """0-based rank of the best-ranked candidate whose label equals 1.
 
-    Computed without sorting any group: the best positive is a ``min`` over an
-    order struct (partial aggregation), and its rank is the number of
-    candidates ordered before it (a count, also partially aggregated). Groups
-    without such a candidate are left out.
+    The least rank among such candidates, from the segmented scan over the
+    four columns; groups without one are left out.
     """
-    o = order_struct(score, key)
-    best = (
-        df.where(F.col(rel) == 1)
-        .groupBy(group)
-        .agg(F.min(o).alias("_best"))
-    )
-    before = (
-        df.select(group, o.alias("_o"))
-        .join(best, group)
-        .groupBy(group)
-        .agg(F.count_if(F.col("_o") < F.col("_best")).cast("int").alias("best_rank"))
-    )
-    return before
+    ranked = rank_candidates_sorted(df.select(group, score, key, rel), group, score, key, "_rk")
+    return ranked.where(F.col(rel) == 1).groupBy(group).agg((F.min("_rk") - 1).cast("int").alias("best_rank"))
 
 
 def ranked_relevances(
@@ -149,7 +160,7 @@ def ranked_relevances(
     """Labels in rank order per group, as bounded chunks of ``chunk`` ranks
     (``group, chunk_no, relevances``). No group is ever collected whole, and
     the ranking itself is the skew-proof sorted form."""
-    r = rank_candidates_sorted(df, group, score, key, "_rk")
+    r = rank_candidates_sorted(df.select(group, score, key, rel), group, score, key, "_rk")
     return (
         r.withColumn("chunk_no", ((F.col("_rk") - 1) / F.lit(chunk)).cast("long").cast("int"))
         .groupBy(group, "chunk_no")

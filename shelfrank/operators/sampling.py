@@ -9,13 +9,15 @@ running count of the smaller buckets. The offsets table has at most
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfrank.functions.keys import DEFAULT_SEED, hash_bucket, row_key
 from shelfrank.functions.text import ColumnOrName, _c
+from shelfrank.session import materialize
+
 
 def global_rank(
     df: DataFrame,
@@ -52,27 +54,43 @@ def global_rank(
     return ranked.drop("_k", "_h", "_b", "_r", "_off", "_tot")
 
 
-def kth_smallest_key(keys: DataFrame, k: Column, key: str = "_key", hex_digits: int = 4) -> Column:
-    """Exact k-th smallest value (1-based) of the seeded order key ``key``
-    (a struct ``(md5 hex, raw key)``) as a scalar-subquery Column; null when
-    k < 1.
+def nth_keys(keys: DataFrame, ranks: Callable[[int], Sequence[int]], hex_digits: int = 4) -> list[tuple[Column, int, int] | None]:
+    """Exact k-th smallest order keys (1-based): for each k of ``ranks(rows)`` the key as a
+    literal, the rows below it and the rows equal to it; None where k < 1 or beyond the rows.
 
-    Selection without sorting everything: rows are counted per md5-prefix
-    bucket (partial aggregation), the running count over the ≤ 16**hex_digits
-    buckets finds the bucket holding the k-th key, and only that bucket's rows
-    (uniform hashing keeps it small) are ordered to pick it.
+    ``keys`` is a written table with the struct ``_key`` (md5 hex ``h``, raw key ``q``).
+    Rows are counted per md5-prefix bucket in one pass (at most ``16**hex_digits``
+    counts come to the driver); a second pass over the few buckets that hold a wanted
+    key orders these (uniform hashing keeps a bucket small) and returns one row for each.
     """
-    b = keys.select(F.col(key), hash_bucket(F.col(key)["h"], hex_digits).alias("_b"))
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.select("_b", "_n", F.sum("_n").over(running).alias("_cum"))
-    bucket = cum.where(F.col("_cum") >= k).agg(F.min("_b").alias("b")).scalar()
-    before = cum.where(F.col("_b") < bucket).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("c")).scalar()
-    ranked = b.where(F.col("_b") == bucket).select(
-        F.col(key), F.row_number().over(Window.orderBy(F.col(key))).alias("_r")
-    )
-    kth = ranked.where(F.col("_r") == k - before).select(F.col(key)).scalar()
-    return F.when(k >= 1, kth)
+    b = keys.select("_key", hash_bucket(F.col("_key")["h"], hex_digits).alias("_b"))
+    counts = sorted((r["_b"], r["n"]) for r in b.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
+    wanted = list(ranks(sum(n for _, n in counts)))
+    places: dict[int, tuple[int, int]] = {}
+    below = 0
+    for bucket, n in counts:
+        places |= {k: (bucket, below) for k in wanted if below < k <= below + n}
+        below += n
+    if not places:
+        return [None] * len(wanted)
+    inside = b.where(F.col("_b").isin(sorted({p for p, _ in places.values()}))).groupBy("_b", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = F.create_map(*[F.lit(x) for pair in {p: before for p, before in places.values()}.items() for x in pair])
+    upto = inside.withColumn("_to", F.sum("_n").over(running) + offset[F.col("_b")])
+    hit = F.lit(False)
+    for k in places:
+        hit = hit | ((F.col("_to") >= k) & (F.col("_to") - F.col("_n") < k))
+    found = upto.where(hit).collect()  # one row a wanted rank
+    out = []
+    for k in wanted:
+        r = next((r for r in found if r["_to"] - r["_n"] < k <= r["_to"]), None)
+        out.append(r and (F.struct(F.lit(r["_key"]["h"]).alias("h"), F.lit(r["_key"]["q"]).alias("q")), r["_to"] - r["_n"], r["_n"]))
+    return out
+
+
+def order_key(key: Column, seed: int) -> Column:
+    """Seeded order of a key as a comparable struct: md5 hex, then the key itself."""
+    return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))).alias("h"), key.cast("string").alias("q"))
 
 
 def exact_sample(
@@ -83,11 +101,19 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, chosen by the
     seeded order of ``key_cols`` (never ``DataFrame.sample``, whose size is
-    inexact), by the global rank at every ``n``: no top-n merge in one task."""
+    inexact). Only the order keys are written and counted; rows are then kept in place by
+    comparing their key with the n-th smallest. Of rows that share that key the
+    remaining number is taken."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    k = row_key(key_cols)
-    return global_rank(df, k, seed, "_gr", with_total=False).where(F.col("_gr") <= n).drop("_gr")
+    key = order_key(row_key(key_cols), seed)
+    [last] = nth_keys(materialize(df.select(key.alias("_key"))), lambda rows: [min(n, rows)])
+    if last is None:
+        return df.limit(0)
+    threshold, below, equal = last
+    if below + equal <= n:
+        return df.where(key <= threshold)
+    return df.where(key < threshold).unionByName(df.where(key == threshold).limit(n - below))
 
 
 def seeded_first_groups(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.functions.keys import DEFAULT_SEED, seeded_hash
-from shelfrank.operators.sampling import global_rank, kth_smallest_key
+from shelfrank.functions.keys import DEFAULT_SEED
+from shelfrank.operators.sampling import global_rank, nth_keys, order_key
 from shelfrank.session import materialize
 
 
@@ -44,28 +46,29 @@ def assign_splits(
 ) -> DataFrame:
     """C4 + E1: every row gets the split of its query (all rows of a query share it).
 
-    The distinct queries are written once (one small row per query). A query's
+    The order keys of the distinct queries are written once (one small row per query). A query's
     split is decided row by row from two threshold keys, at every size: train
     when its seeded key is at most the
     ``floor(train·n)``-th smallest, val up to the ``floor(train·n) +
-    floor(val·n)``-th, test after. The thresholds are exact scalar subqueries
-    (:func:`kth_smallest_key`) over the written keys, so no per-query table is
+    floor(val·n)``-th, test after. Both thresholds are found exactly in one pass over the written keys
+    (:func:`nth_keys`) and enter the plan as literals, so no per-query table is
     broadcast or joined and the rows are never shuffled. Rows with a null query are
     dropped (they have no split).
     """
-    key = F.struct(seeded_hash(F.col(query), seed).alias("h"), F.col(query).cast("string").alias("q"))
+    key = order_key(F.col(query), seed)
     rows = df.where(F.col(query).isNotNull())
     keys = materialize(rows.select(key.alias("_key")).distinct())
-    n = keys.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    k_train = F.floor(n * F.lit(float(train)))
-    k_val = k_train + F.floor(n * F.lit(float(val)))
-    t_train = kth_smallest_key(keys, k_train)
-    t_val = kth_smallest_key(keys, k_val)
-    split = (
-        F.when(t_train.isNotNull() & (key <= t_train), "train")
-        .when(t_val.isNotNull() & (key <= t_val), "val")
-        .otherwise("test")
-    )
+
+    def ends(n: int) -> list[int]:
+        first = math.floor(float(n) * train)
+        return [first, first + math.floor(float(n) * val)]
+
+    t_train, t_val = nth_keys(keys, ends)
+    split = F.lit("test")
+    if t_val:
+        split = F.when(key <= t_val[0], "val").otherwise(split)
+    if t_train:
+        split = F.when(key <= t_train[0], "train").otherwise(split)
     return rows.withColumn("split", split)
 
 

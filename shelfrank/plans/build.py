@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfrank.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, with_prefix
 from shelfrank.functions.vectors import squared_norm
 from shelfrank.operators.dedup import unique_products
-from shelfrank.operators.encode import HashingEncoder, encode_distinct
+from shelfrank.operators.encode import HashingEncoder, cached_encode, distinct_texts, encode_distinct
 from shelfrank.operators.labels import judged_table
 from shelfrank.operators.ranking import attach_vectors, score_pairs
 from shelfrank.operators.search import catalog_topk
@@ -76,14 +76,19 @@ def query_vectors(judged: DataFrame, encoder) -> DataFrame:
     return enc.select("query", "q_emb", squared_norm("q_emb").alias("q_sq"))
 
 
-def catalog_vectors(catalog: DataFrame, encoder) -> DataFrame:
+def catalog_vectors(catalog: DataFrame, encoder, cache_path: str | None = None) -> DataFrame:
     """Catalog rows with ``p_emb, p_sq`` (distinct texts encoded once for model
-    encoders; in place for a cheap expression encoder)."""
+    encoders; in place for a cheap expression encoder). With ``cache_path`` vectors
+    come from the model's cache there, and missing ones are added to it."""
     p_text = with_prefix(PASSAGE_PREFIX, "product_text")
-    if getattr(encoder, "per_row", False):
+    if cache_path is None and getattr(encoder, "per_row", False):
         c = catalog.withColumn("p_emb", encoder.column(p_text))
         return c.withColumn("p_sq", squared_norm("p_emb"))
-    pv = encode_distinct(catalog, "product_text", encoder, prefix=PASSAGE_PREFIX)
+    if cache_path is None:
+        pv = encode_distinct(catalog, "product_text", encoder, prefix=PASSAGE_PREFIX)
+    else:
+        wanted = distinct_texts(catalog, "product_text", prefix=PASSAGE_PREFIX)
+        pv = cached_encode(catalog.sparkSession, wanted, encoder, cache_path).withColumn("sq_norm", squared_norm("embedding"))
     c = catalog.withColumn("_pt", p_text)
     return c.join(
         pv.select(F.col("text").alias("_pt"), F.col("embedding").alias("p_emb"), F.col("sq_norm").alias("p_sq")), "_pt"

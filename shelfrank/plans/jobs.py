@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from shelfrank.functions.text import DEFAULT_TAG_KEYWORDS, parse_keywords
 from shelfrank.operators.compare import leaderboard
 from shelfrank.operators.dedup import unique_products
-from shelfrank.operators.judge import ask_judge, judge_prompts, pair_reports, parse_verdicts
+from shelfrank.operators.judge import JudgeSettings, ask_judge, judge_prompts, pair_reports, parse_verdicts
 from shelfrank.operators.labels import judged_table, keyword_hits, language_rows, with_block_flags, with_label, with_product_text
 from shelfrank.operators.metrics import metrics_document, query_stats, select_queries, summarize
 from shelfrank.operators.profile import encoding_workload, label_counts, top_values
@@ -170,6 +170,7 @@ def search_reports(
     block_type_keywords: str | Sequence[str] | None = None,
     max_products: int | None = None,
     seed: int = 42,
+    cache_path: str | None = None,
 ) -> DataFrame:
     """G2/G3 + A11: top-k of the whole catalog for every query (column
     ``query``), with optional blocklists and the all-blocked fallback; writes
@@ -178,6 +179,7 @@ def search_reports(
     ``max_products`` searches an exact-size seeded sample of the catalog
     instead (C5; the interactive tool defaulted to
     ``REFERENCE_SEARCH_MAX_PRODUCTS``); by default the whole catalog is searched.
+    ``cache_path`` keeps the catalog's vectors from run to run (A10).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -191,7 +193,7 @@ def search_reports(
     catalog = materialize(catalog)
     judged_like = queries.select(F.col("query").alias("OriginalQuery"))
     hits = catalog_topk(
-        query_vectors(judged_like, encoder), catalog_vectors(catalog, encoder), k, "query", "product_id",
+        query_vectors(judged_like, encoder), catalog_vectors(catalog, encoder, cache_path), k, "query", "product_id",
         normalized=encoder.normalized,
     )
     attrs = catalog.select("product_id", "product_text", "ProductName", "BrandName", "ProductType", "Level4_ProductGroup")
@@ -204,13 +206,14 @@ def search_reports(
 
 
 def judge_reports(
-    spark: SparkSession, reports_path: str, judge_fn: Callable[[list[str]], list[str]], out_path: str
+    spark: SparkSession, reports_path: str, judge_fn: Callable[[list[str], JudgeSettings], list[str]], out_path: str,
+    settings: JudgeSettings = JudgeSettings(),
 ) -> DataFrame:
     """E7 + K1–K5: pair the models' reports of each query, ask the judge in
     batches, parse the verdicts and write them as JSON."""
     reports = spark.read.json(reports_path)
     prompts = judge_prompts(pair_reports(reports))
-    verdicts = parse_verdicts(ask_judge(prompts, judge_fn))
+    verdicts = parse_verdicts(ask_judge(prompts, judge_fn, settings=settings))
     sinks.write_json(verdicts.drop("prompt"), out_path)
     return spark.read.json(out_path)
 

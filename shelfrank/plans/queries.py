@@ -68,6 +68,7 @@ from shelfrank.operators.ranking import (
 )
 from shelfrank.operators.sampling import exact_sample, preview, seeded_first_groups
 from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
+from shelfrank.operators.vector_cache import VectorCache
 from shelfrank.operators.splits import assign_splits, restrict_to
 from shelfrank.operators.training import training_batches, training_pairs, training_plan
 from shelfrank.operators import search as S
@@ -478,7 +479,7 @@ where (select count(distinct case when relevant = 1 then 'positive' else 'negati
 group by cls, bin""",
 )
 def q_similarity_histogram(spark, sf):
-    pv = judged_vec(spark, sf)
+    pv = materialize(judged_vec(spark, sf))
     posq = pv.groupBy("query_id").agg(F.sum("relevant").alias("_p")).where(F.col("_p") > 0)
     sims = restrict_to(pv, posq, "query_id")
     cls = F.when(F.col("relevant") == 1, "positive").otherwise("negative")
@@ -587,13 +588,35 @@ delta as (select text from wanted except select text from cached)"""
 select d.text, cast(dv_sq.sq as bigint) as sq_norm from delta d join dv_sq on dv_sq.text = d.text""",
 )
 def q_embedding_cache_delta(spark, sf):
+    cache, added, _ = _cache_after_two_appends(spark, sf)
+    return cache.read(folders=added).select("text", squared_norm("embedding").cast("bigint").alias("sq_norm"))
+
+
+def _cache_after_two_appends(spark, sf):
+    """A written cache: the catalog's texts first, then what the judged texts lack; the second append's folders and the judged texts."""
     enc = default_encoder()
     judged, catalog = judged_and_catalog(spark, sf)
-    cache = encode_distinct(catalog, "product_text", enc, prefix=PASSAGE_PREFIX)
+    cache = VectorCache(spark, scratch_path(spark, "vector-cache"), enc.model_id)
+    cache.append(distinct_texts(catalog, "product_text", prefix=PASSAGE_PREFIX), enc)
     wanted = distinct_texts(judged, "product_text", prefix=PASSAGE_PREFIX)
-    new = enc.encode(cache_delta(wanted, cache, "text"), "text")
+    return cache, cache.append(wanted, enc), wanted
+
 
-    return new.select("text", squared_norm("embedding").cast("bigint").alias("sq_norm"))
+@register(
+    "embedding_cache_lookup",
+    "A10 F5",
+    O.with_(O.JUDGED)
+    + """,
+wanted as (select distinct 'passage: ' || product_text as text from judged where product_text is not null)"""
+    + ","
+    + O.hash_vectors("wv", "select text from wanted")
+    + """
+select w.text, cast(wv_sq.sq as bigint) as sq_norm from wanted w join wv_sq on wv_sq.text = w.text""",
+)
+def q_embedding_cache_lookup(spark, sf):
+    cache, _, wanted = _cache_after_two_appends(spark, sf)
+    cache.compact()
+    return cache.lookup(wanted).select("text", squared_norm("embedding").cast("bigint").alias("sq_norm"))
 
 
 # =====================================================================================
@@ -847,7 +870,7 @@ select l.query_id as query, l."hit@10", round(l."mrr@10", 6) as "mrr@10",
 from l_pq l join e_pq e on e.query_id = l.query_id where l.num_positives > 0""",
 )
 def q_graded_metrics(spark, sf):
-    g = judged_vec(spark, sf, graded=True)
+    g = materialize(judged_vec(spark, sf, graded=True))
     lin = query_stats(g, "query_id", "product_id", gain="linear")
     exp = query_stats(g, "query_id", "product_id", gain="exponential").select(
         "query_id", F.col("`ndcg@5`").alias("ndcg_exp_5"), F.col("`ndcg@10`").alias("ndcg_exp_10")

@@ -85,16 +85,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and continue from the
-    written copy (reliable ``checkpoint``, never a local one).
+    """Write ``df`` once as parquet in the shared checkpoint folder and continue from the written copy.
 
     Used where one intermediate feeds several branches of a plan: Catalyst
     prunes columns differently per branch, so without this the upstream joins
-    would run once per branch. It also cuts the lineage, so a lost executor
-    re-reads the checkpoint instead of recomputing the joins.
+    would run once per branch. It also cuts the lineage (a lost executor
+    re-reads files), and every branch reads only the columns and rows it needs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -62,6 +62,7 @@ def run_stream_search(
     checkpoint_path: str,
     catalog_path: str,
     available_now: bool = True,
+    files_per_batch: int = 1,
 ):
     """Start the streaming search; with ``available_now`` it processes what is
     there and stops. Returns the finished (or running) StreamingQuery."""
@@ -70,7 +71,7 @@ def run_stream_search(
     src = (
         spark.readStream.schema(BASE_SCHEMAS["conversations"])
         .option("pathGlobFilter", file_glob)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(source_dir)
     )
     queries = conversation_queries(src)

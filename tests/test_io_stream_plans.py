@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from shelfrank.operators.encode import BatchEncoder, HashingEncoder, cached_encode
+from shelfrank.operators.vector_cache import CommitConflict, VectorCache
 from shelfrank.operators.metrics import evaluate, metrics_long
 from shelfrank.plans.build import catalog_df, catalog_vectors, judged_df, query_vectors, split_df
 from shelfrank.sources import sinks
@@ -57,7 +58,7 @@ def test_embedding_cache_encodes_only_new(spark, tmp_out):
     path = f"{tmp_out}/cache"
     assert cached_encode(spark, t1, enc, path).count() == 2
     assert cached_encode(spark, t2, enc, path).count() == 2
-    assert spark.read.parquet(path).count() == 3  # "a b" was not encoded again
+    assert VectorCache(spark, path, enc.model_id).read().count() == 3  # "a b" was not encoded again
 
 
 def test_batch_encoder_stub(spark):

@@ -237,3 +237,34 @@ def test_hot_query_spreads_over_range_partitions(spark):
         .count()
     )
     assert parts >= 2
+
+
+def test_scan_carries_groups_over_many_partitions(spark):
+    """Half of all rows in one group, null groups, ties; more partitions than rows of most groups."""
+    from shelfrank.operators.ranking import rank_candidates_sorted
+
+    rows = [("hot", i, float(i % 5) if i % 11 else None, 1) for i in range(800)] + [(None, i, 1.0, 0) for i in range(60)]
+    rows += [(f"q{j}", i, float("nan") if i == 3 else float(i), 0) for j in range(100) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        b = rank_candidates_sorted(df, "q", "score", "pid")
+        got = {(r["q"], r["pid"]): r["rank"] for r in b.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    want = {(r["q"], r["pid"]): r["rank"] for r in rank_candidates(df, "q", "score", "pid").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["rank_candidates_sorted", "ranked_relevances", "best_rank"])
+def test_rankings_join_nothing_on_the_group(spark, name):
+    from shelfrank.operators import ranking
+
+    df = spark.createDataFrame([("a", i, float(i), i % 2) for i in range(50)], SCHEMA)
+    plan = getattr(ranking, name)(df, "q", "score", "pid")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("_pid" in line and "q#" not in line for line in joins)

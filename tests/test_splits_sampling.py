@@ -111,3 +111,24 @@ def test_split_paths_do_not_shuffle_rows(spark):
     df = qdf(spark, 50, 3)
     plan = assign_splits(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_nth_keys_and_samples_with_repeated_keys(spark):
+    from shelfrank.operators.sampling import nth_keys, order_key
+
+    df = spark.range(90).select((F.col("id") % 30).cast("string").alias("k"), "id")
+    keys = df.select(order_key(F.col("k"), 42).alias("_key"))
+    found = nth_keys(keys, lambda n: [0, 1, 4, n, n + 1])
+    assert found[0] is None and found[4] is None
+    assert [x[1:] for x in found[1:4]] == [(0, 3), (3, 3), (87, 3)]
+    assert exact_sample(df, 10, ["k"]).count() == 10  # three whole keys and one row of the fourth
+    assert exact_sample(df, 0, ["k"]).count() == 0
+    assert exact_sample(df.limit(0), 5, ["k"]).count() == 0
+
+
+def test_split_plan_has_no_subqueries(spark):
+    from shelfrank.operators.splits import assign_splits
+
+    df = spark.range(200).select(F.concat(F.lit("q"), F.col("id") % 40).alias("OriginalQuery"))
+    plan = assign_splits(df)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "subquery" not in plan and "exchange" not in plan and "join" not in plan
