@@ -108,7 +108,7 @@ def test_plan_topk_shapes(spark):
     hits.count()
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "FlatMapCoGroupsInPandas" in plan
+    assert "MapInArrow" in plan and "CoGroups" not in plan  # cells stream; nothing is cogrouped
 
 
 def test_plan_window_group_limit(spark):

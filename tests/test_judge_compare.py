@@ -86,11 +86,12 @@ def test_only_whole_json_documents_count_as_parsed(spark):
 def test_null_vectors_and_ties_in_a_block():
     import numpy as np
 
-    from shelfrank.operators.search import block_topk_numpy
+    from shelfrank.operators.slot_index import SlotIndex
 
     p = np.ones((50, 2))
     p[3] = np.nan
-    rows, cols, scores = block_topk_numpy(np.arange(2), np.ones((2, 2)), None, np.arange(50), p, None, 50, tile_products=7)
-    assert cols[:50].tolist() == [i for i in range(50) if i != 3] + [3] and np.isnan(scores[49])
-    rows, cols, _ = block_topk_numpy(np.arange(2), np.ones((2, 2)), None, np.arange(50), p, None, 4, tile_products=7)
+    index = SlotIndex(p, np.arange(50))
+    _, rows, scores = index.top(np.ones((2, 2)), np.zeros(2), 50)
+    assert rows[:50].tolist() == [i for i in range(50) if i != 3] + [3] and np.isnan(scores[49])
+    _, cols, _ = index.top(np.ones((2, 2)), np.zeros(2), 4)
     assert cols.tolist() == [0, 1, 2, 4] * 2
