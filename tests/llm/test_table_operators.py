@@ -252,6 +252,36 @@ def test_mix_meets_its_targets(spark, docs, no_docs):
     assert mixing.mix_copies(no_docs).count() == 0 and mixing.apply_mix(no_docs).count() == 0
 
 
+def test_mix_reruns_agree_on_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = ["a b c", "a b c", "one two three four five", "x"]
+    repeated = [(7, rng.choice(texts), "s0", i % 2, "c") for i in range(900)]  # one id: rows that differ, and equal ones
+    equal = [(8, "p q r s t u v", "s1", 0, "c")] * 500  # nothing parts them
+    rows = repeated + equal + [(9, None, "s2", 0, None), (10, "last words here", None, 1, "d")]
+    schema = "doc_id long, text string, source string, copies int, col string"
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(WORD.findall(r[1] or ""))
+    target = brute_targets(sizes)
+    seen, mixed = set(), set()
+    for parts in (1, 3, 7):
+        table = spark.createDataFrame(rng.sample(rows, len(rows)), schema).repartition(parts)
+        got = [tuple(r[c] for c in ("doc_id", "source", "size", "taken")) for r in mixing.mix_copies(table).collect()]
+        assert len(got) == len(rows)
+        seen.add(tuple(sorted(got, key=repr)))
+        again = mixing.apply_mix(table)
+        assert again.columns == table.columns
+        mixed.add(tuple(sorted(map(tuple, again.collect()), key=repr)))
+    assert len(seen) == len(mixed) == 1
+    taken, words = Counter(), Counter()
+    for _, s, _, n in seen.pop():
+        taken[s] += n
+    for r in mixed.pop():
+        words[r[2]] += len(WORD.findall(r[1] or ""))
+    for s, most in (("s0", 5), ("s1", 7), ("s2", 0), (None, 3)):
+        assert abs(taken[s] - target[s]) <= most and abs(words[s] - target[s]) <= most
+
+
 def test_mix_plan_is_native(docs):
     plan = mixing.mix_copies(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
