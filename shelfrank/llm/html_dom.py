@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Inside a tag: up to its end or to the value of the next attribute.
+_STEP = re.compile(r"[^>=]*(=\s*)?")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -16,6 +19,8 @@ _RAW = frozenset("script style noscript template iframe title svg math canvas ob
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: An opening tag that ends an open element of these kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+#: Elements nested deeper become siblings, as in browsers.
+MAX_DEPTH = 512
 _HOLDS = frozenset("ul ol dl table body div section article main aside td blockquote form".split())
 
 #: Tag groups (the last one: any other tag).
@@ -49,6 +54,63 @@ def attribute_groups(attributes: str) -> int:
     return bits
 
 
+def plain_text(text: str) -> str:
+    """``text`` with its character references decoded; numbers of any length."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return unescape(text)
+
+
+class Tags:
+    """The markup of a page from left to right, each character read a fixed number of times.
+
+    Quotes hold a ``>`` only around an attribute's value. Where such a quote is never
+    closed, tags end at the next ``>`` from there on, so no later tag looks for
+    a closing quote again. ``<`` that starts no markup is text; an unfinished tag
+    at the very end is dropped.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.end = html, len(html)
+        self.last_open, self.last_close = html.rfind("<"), html.rfind(">")
+        self.quotes = True
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """The next markup behind ``at``: its start and end, and for a tag its
+        name, whether it closes and its attributes (else an empty name)."""
+        html, end = self.html, self.end
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                stop = html.find("-->", at + 4)
+                return at, stop + 3 if stop >= 0 else end, "", False, ""
+            mark = html[at + 1 : at + 2]
+            closing = mark == "/"
+            if at > self.last_close:  # nothing ends any more
+                if at == self.last_open and (closing or mark in "!?" or _NAME.match(mark)) and mark:
+                    return at, end, "", False, ""
+            elif mark in "!?":
+                return at, html.find(">", at) + 1, "", False, ""
+            elif name := _NAME.match(html, at + 1 + closing):
+                stop = self._tag_end(name.end())
+                return at, stop + 1, name[0].lower(), closing, html[name.end() : stop]
+            at += 1
+        return end, end, "", False, ""
+
+    def _tag_end(self, start: int) -> int:
+        html, at = self.html, start
+        while self.quotes:
+            step = _STEP.match(html, at)
+            at = step.end()
+            if at == self.end:
+                self.quotes = False
+            elif html[at] == ">":
+                return at
+            elif step[1] and html[at] in "\"'":
+                at = html.find(html[at], at + 1) + 1
+                self.quotes = at > 0
+        return html.find(">", start)
+
+
 class Page:
     """Nodes in page order (0: the page) and its text pieces.
 
@@ -64,7 +126,7 @@ class Page:
     def _read(self, html: str) -> None:
         stack, names = [0], ["html"]
         link, block, at, end = 0, 0, 0, len(html)
-        token, pieces = _TOKEN.search, self.pieces
+        tags, pieces = Tags(html), self.pieces
 
         def close(level: int) -> None:
             now = len(self.parent) - 1
@@ -73,12 +135,11 @@ class Page:
                 names.pop()
 
         while at < end:
-            m = token(html, at)
-            stop = m.start() if m else end
-            if stop > at:
-                text = html[at:stop]
+            start, after, name, closing, attributes = tags.next(at)
+            if start > at:
+                text = html[at:start]
                 if "&" in text:
-                    text = unescape(text)
+                    text = plain_text(text)
                 node = stack[-1]
                 pieces.append((node, text, block))
                 n = len(text) - text.count(" ")
@@ -86,14 +147,10 @@ class Page:
                 if link:
                     self.links[node] += n
                 self.marks[node] += text.count(".") + text.count(",") + text.count("?") + text.count("!")
-            if not m:
-                break
-            at = m.end()
-            name = m[2]
+            at = after
             if not name:
                 continue
-            name = name.lower()
-            if m[1]:  # a closing tag
+            if closing:
                 if name == "a":
                     link = 0
                 if name in _INLINE:
@@ -122,7 +179,7 @@ class Page:
             block += 1
             if name in ("html", "body", "head"):
                 if name == "body":
-                    self.groups[0] |= attribute_groups(m[3]) if m[3] else 0
+                    self.groups[0] |= attribute_groups(attributes) if attributes else 0
                 continue
             ends = _ENDS.get(name)
             if names[-1] == "p" or (ends and names[-1] in ends):
@@ -134,16 +191,18 @@ class Page:
                         break
                     if names[i] in _HOLDS:
                         break
+            if len(stack) >= MAX_DEPTH:
+                close(MAX_DEPTH - 1)
             link = 0
             self.parent.append(stack[-1])
             self.tag.append(_TAG_OF.get(name, len(TAGS) - 1))
-            self.groups.append(attribute_groups(m[3]) if m[3] else 0)
+            self.groups.append(attribute_groups(attributes) if attributes else 0)
             self.depth.append(len(stack))
             node = len(self.parent) - 1
             self.last.append(node)
             for x in (self.own, self.links, self.marks, self.breaks):
                 x.append(0)
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 stack.append(node)
                 names.append(name)
         close(0)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfrank.llm import html_extract, mixing, near_vectors, quality, sharding, warc
+from shelfrank.llm import html_dom, html_extract, mixing, near_vectors, quality, sharding, warc
 from shelfrank.llm.queries import QUERIES
 from tests.conftest import SF01, SF001
 from tests.llm.conftest import docs_rows
@@ -36,6 +37,35 @@ def test_extraction_of_plain_layouts(spark):
     assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+M10 = 10_000_000
+BROKEN = (
+    "<" + "a" * M10, '<p "' * (M10 // 4), "<a " * (M10 // 3), "<a" * (M10 // 2), "<!" * (M10 // 2), "<" * M10, "<a '>' " * (M10 // 7), '<a b="' * (M10 // 6) + ">",
+    "<a b='>' c=" * (M10 // 11), "</x>" * (M10 // 4), "<div>" * (M10 // 5), "<li><ul>" * 50 + "<li></li>" * (M10 // 9), "<!--" * (M10 // 4), "&#" + "9" * M10,
+)
+
+
+@pytest.mark.parametrize("html", BROKEN, ids=[h[:9] for h in BROKEN])
+def test_ten_megabytes_of_broken_markup_take_seconds(html):
+    start = time.perf_counter()
+    text = html_extract.extract_pages([html], html_extract.trained_model())[0]
+    assert time.perf_counter() - start < 60 and len(text) <= len(html)
+
+
+def test_markup_reader():
+    def texts(html):
+        return "".join(t for _, t, _ in html_dom.Page(html).pieces)
+
+    assert texts("a<p title='x>y' data-a=\"b>c\">d</p >e") == "ade"
+    assert texts('<p alt="it\'s 5" tall">text</p>') == "text"  # a quote that opens no value
+    assert texts('<p a="open>text <p b=">">more') == '">more'  # closed by a later tag's quote
+    assert texts('<p a="open>text <b>more</b>') == "text more"  # never closed
+    assert texts("1 < 2 <3 </ 4 <!-- <p> --> <!doctype x> <?y?>5<br/>6") == "1 < 2 <3 </ 4   5 6"
+    assert texts("x <p class='") == "x " and texts("x < y <") == "x < y <" and texts("a<!-- b") == "a"
+    assert texts("&#65;&#0000000000066;&#x43;&#99999999999999;&amp;&unknown;") == "ABC\ufffd&&unknown;"
+    deep = html_dom.Page("<div>" * 2000 + "<p>inside</p>")
+    assert max(deep.depth) < html_dom.MAX_DEPTH and len(deep.parent) == 2002
+
+
 def test_extraction_query_covers_all_pages(spark):
     out = QUERIES["op1_html_extract"](spark, SF01)
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
