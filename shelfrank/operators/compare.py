@@ -25,6 +25,16 @@ def texts_throughput(texts: Column, total_time: Column) -> tuple[Column, Column]
     return per_sec, per_sec * F.lit(60.0)
 
 
+def throughput_rows(metrics: DataFrame) -> DataFrame:
+    """J1 for every metrics document: queries and texts a second and a minute."""
+    nq, tt, texts = F.col("num_queries"), F.col("total_time_sec"), F.col("total_texts_embedded")
+    qps, qpm = throughput(nq, tt)
+    tps, tpm = texts_throughput(texts, tt)
+    return metrics.select(
+        "exp_name", nq, tt, texts, qps.alias("queries_per_sec"), qpm.alias("queries_per_min"), tps.alias("texts_per_sec"), tpm.alias("texts_per_min")
+    )
+
+
 def leaderboard(experiments: DataFrame, metrics: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """One row per experiment with the 20 leaderboard columns, plus
     ``manifest_order`` (taken from the manifest when present).

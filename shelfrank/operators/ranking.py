@@ -82,7 +82,7 @@ def rank_candidates(df: DataFrame, group: str, score: str, key: str, out: str =
     return df.withColumn(out, F.row_number().over(w))
 
 
-def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out: str = "rank") -> DataFrame:
+def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out: str = "rank", out_type: str = "int") -> DataFrame:
     """G1, skew-proof: exact rank by a segmented scan, without sorting any group in one task.
 
     1. A global sort on (group, order) is range-partitioned from a sample of
@@ -111,7 +111,7 @@ def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out:
     carry = begins.unionByName(closes).withColumn("_carry", F.sum("_n").over(before)).where("_at = 0 and _carry > 0")
     carried = rows.join(F.broadcast(carry.select("_pid", "_g", "_carry")), "_pid", "left")
     own = F.when(F.col(group).eqNullSafe(F.col("_g")), F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
-    return carried.withColumn(out, (F.col("_local") + own + 1).cast("int")).drop("_pid", "_local", "_g", "_carry")
+    return carried.withColumn(out, (F.col("_local") + own + 1).cast(out_type)).drop("_pid", "_local", "_g", "_carry")
 
 
 def _numbered(group_at: int) -> Callable:

@@ -22,13 +22,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfrank.functions.text import DEFAULT_TAG_KEYWORDS, parse_keywords
 from shelfrank.operators.compare import leaderboard
 from shelfrank.operators.dedup import unique_products
-from shelfrank.operators.judge import JudgeSettings, ask_judge, judge_prompts, pair_reports, parse_verdicts
+from shelfrank.operators.judge import JudgeSettings, ask_judge, judge_prompts, judgement_file_name, pair_reports, parse_verdicts, report_file_stem
 from shelfrank.operators.labels import judged_table, keyword_hits, language_rows, with_block_flags, with_label, with_product_text
 from shelfrank.operators.metrics import metrics_document, query_stats, select_queries, summarize
 from shelfrank.operators.profile import encoding_workload, label_counts, top_values
@@ -36,7 +36,7 @@ from shelfrank.operators.ranking import best_rank, ranked_relevances, ranking_ex
 from shelfrank.operators.sampling import exact_sample
 from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
 from shelfrank.operators.splits import assign_splits
-from shelfrank.operators.training import training_batches, training_pairs, training_plan
+from shelfrank.operators.training import spread_batches, training_batches, training_pairs, training_plan
 from shelfrank.plans.build import catalog_vectors, query_vectors, scored_text_candidates
 from shelfrank.schema import IMPRESSIONS, require_columns
 from shelfrank.session import materialize
@@ -56,6 +56,27 @@ def read_impressions(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in IMPRESSIONS.fields])
 
 
+CATALOG_PARTS = ("ProductName", "BrandName", "ProductType", "Level4_ProductGroup")
+
+
+def read_catalog(spark: SparkSession, path: str, variant: str) -> DataFrame:
+    """A1 + B2 + B13: a catalog file. Absent name, brand, type and group columns
+    are null, an absent ``product_text`` is built as ``variant``, and an absent
+    ``product_id`` is a hash of the row's content and its number among equal rows."""
+    df = spark.read.parquet(path)
+    for c in CATALOG_PARTS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    if "product_text" not in df.columns:
+        df = with_product_text(df, variant)
+    if "product_id" not in df.columns:
+        parts = [F.col(c) for c in (*CATALOG_PARTS, "product_text")]
+        df = df.withColumn("_content", F.xxhash64(*parts, *[c.isNull() for c in parts]))
+        same = Window.partitionBy("_content").orderBy("_content")
+        df = df.withColumn("product_id", F.xxhash64("_content", F.row_number().over(same))).drop("_content")
+    return df
+
+
 def prepare_splits(spark: SparkSession, impressions_path: str, out_path: str, seed: int = 42) -> dict[str, int]:
     """C4 + A6: label, text, clean, split by query; one write, one folder per split."""
     judged = materialize(judged_table(read_impressions(spark, impressions_path)))
@@ -85,7 +106,7 @@ def keyword_report(
 ) -> DataFrame:
     """B8 + D9: products matching any keyword (regex), written; returns the top
     20 types and groups among them."""
-    hits = materialize(keyword_hits(spark.read.parquet(catalog_path), list(keywords)))
+    hits = materialize(keyword_hits(read_catalog(spark, catalog_path, "catalog"), list(keywords)))
     sinks.write_parquet(hits, out_path)
     return top_values(hits, "ProductType", 20).unionByName(top_values(hits, "Level4_ProductGroup", 20))
 
@@ -185,7 +206,7 @@ def search_reports(
         raise ValueError("k must be >= 1")
     tkw, ykw = parse_keywords(block_text_keywords), parse_keywords(block_type_keywords)
     safe = bool(tkw or ykw)
-    catalog = spark.read.parquet(catalog_path)
+    catalog = read_catalog(spark, catalog_path, "search_safe" if safe else "search")
     if max_products is not None:
         catalog = exact_sample(catalog, max_products, ["product_id"], seed)
     if safe:
@@ -210,10 +231,13 @@ def judge_reports(
     settings: JudgeSettings = JudgeSettings(),
 ) -> DataFrame:
     """E7 + K1–K5: pair the models' reports of each query, ask the judge in
-    batches, parse the verdicts and write them as JSON."""
+    batches, parse the verdicts and write them as JSON, each with the name of
+    its verdict file (K6)."""
     reports = spark.read.json(reports_path)
     prompts = judge_prompts(pair_reports(reports))
     verdicts = parse_verdicts(ask_judge(prompts, judge_fn, settings=settings))
+    stem = report_file_stem(F.col("query"))
+    verdicts = verdicts.withColumn("verdict_file", judgement_file_name(F.col("query"), stem, stem))
     sinks.write_json(verdicts.drop("prompt"), out_path)
     return spark.read.json(out_path)
 
@@ -226,11 +250,19 @@ def training_data(
     epochs: int = 1,
     max_rows: int | None = None,
     seed: int = 42,
+    spread_queries: bool = False,
 ) -> dict:
     """Positive (query, passage) pairs of the train split, shuffled
-    batches per epoch (written), and the run plan (returned and written)."""
+    batches per epoch (written), and the run plan (returned and written).
+    With ``spread_queries`` no batch holds a query twice unless its pairs
+    outnumber the batches; the texts join the finished assignment."""
     pairs = materialize(training_pairs(sinks.read_split(spark, split_path, "train"), split=None, max_rows=max_rows, seed=seed, keep_key=True))
-    sinks.write_training_batches(training_batches(pairs, batch_size, epochs, seed), f"{out_path}/batches")
+    if spread_queries:
+        places = spread_batches(pairs, batch_size, epochs, seed).drop("query_text")
+        batches = places.join(pairs, "pair_key").withColumnRenamed("slot", "position")
+    else:
+        batches = training_batches(pairs, batch_size, epochs, seed)
+    sinks.write_training_batches(batches, f"{out_path}/batches")
     plan = training_plan(pairs, batch_size, epochs)
     sinks.write_json(plan.coalesce(1), f"{out_path}/plan")
     return plan.collect()[0].asDict()

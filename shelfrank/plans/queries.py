@@ -22,7 +22,7 @@ from shelfrank.functions.text import (
     strip_code_fences,
 )
 from shelfrank.functions.vectors import hashing_counts, l2_normalize, squared_norm, tokens
-from shelfrank.operators.compare import leaderboard
+from shelfrank.operators.compare import leaderboard, throughput_rows
 from shelfrank.operators.dedup import distinct_values
 from shelfrank.operators.encode import HashingEncoder, cache_delta, distinct_texts, encode_distinct
 from shelfrank.operators.judge import (
@@ -70,7 +70,7 @@ from shelfrank.operators.sampling import exact_sample, preview, seeded_first_gro
 from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
 from shelfrank.operators.vector_cache import VectorCache
 from shelfrank.operators.splits import assign_splits, restrict_to
-from shelfrank.operators.training import training_batches, training_pairs, training_plan
+from shelfrank.operators.training import batch_conflicts, spread_batches, training_batches, training_pairs, training_plan
 from shelfrank.operators import search as S
 from shelfrank.plans import oracle as O
 from shelfrank.plans.build import (
@@ -88,7 +88,8 @@ from shelfrank.plans.build import (
 from shelfrank.plans.registry import register, round_doubles
 from shelfrank.schema import EXPERIMENTS, MODEL_ATTRIBUTES
 from shelfrank.session import materialize, scratch_path
-from shelfrank.sources.adapters import judge_responses, judged_vec
+from shelfrank.sources.adapters import judge_responses, judged_vec, run_documents
+from shelfrank.sources.sinks import read_metrics_docs, write_json
 from shelfrank.sources.tables import read_table
 from shelfrank.streaming.search_stream import run_stream_search
 
@@ -939,6 +940,49 @@ def q_training_batches(spark, sf):
     )
 
 
+_SPREAD_SQL = (
+    O.with_(O.JUDGED, O.SPLITS_PART)
+    + f""",
+tp as (select OriginalQuery || ':' || cast(product_id as varchar) as k, 'query: ' || OriginalQuery as query_text
+       from judged_split where split = 'train' and relevant = 1),
+ep as (select cast(e as integer) as epoch, tp.* from tp cross join (select unnest(range(1, {TRAIN_EPOCHS + 1})) as e) x),
+nb as (select cast(ceil(count(*)::DOUBLE / {TRAIN_BATCH}) as bigint) as n from tp),
+r as (select epoch, k, query_text,
+             row_number() over (partition by epoch order by md5('42:' || cast(epoch as varchar) || ':' || query_text), query_text,
+                                md5('42:' || cast(epoch as varchar) || ':' || k), k) - 1 as p
+      from ep),
+spread as (select epoch, cast(p % n as bigint) as batch_id, cast(p // n as bigint) as slot, k as pair_key, query_text from r cross join nb)"""
+)
+
+
+def _spread(spark, sf):
+    return spread_batches(materialize(training_pairs(split_df(spark, sf), keep_key=True)), TRAIN_BATCH, TRAIN_EPOCHS)
+
+
+@register("training_batches_spread", "I2", _SPREAD_SQL + "\nselect * from spread")
+def q_training_batches_spread(spark, sf):
+    return _spread(spark, sf)
+
+
+@register(
+    "batch_conflicts",
+    "I2",
+    _SPREAD_SQL
+    + """,
+met as (select epoch, batch_id, query_text, count(*) as n from spread group by all),
+per_query as (select m.epoch, m.query_text, max(m.n) as most, cast(ceil(sum(m.n)::DOUBLE / any_value(b.n)) as bigint) as forced
+              from met m cross join nb b group by all),
+sizes as (select epoch, batch_id, sum(n) as n from met group by all)
+select q.epoch, cast(any_value(s.n_batches) as bigint) as n_batches, cast(any_value(s.n_rows) as bigint) as n_rows,
+       cast(any_value(s.largest) as bigint) as largest_batch, max(q.most) as most_in_a_batch, max(q.forced) as forced_in_a_batch,
+       cast(0 as bigint) as unforced_queries
+from per_query q join (select epoch, count(*) as n_batches, sum(n) as n_rows, max(n) as largest from sizes group by epoch) s on s.epoch = q.epoch
+group by q.epoch""",
+)
+def q_batch_conflicts(spark, sf):
+    return batch_conflicts(_spread(spark, sf))
+
+
 @register(
     "training_plan",
     "I3",
@@ -960,18 +1004,36 @@ def q_training_plan(spark, sf):
 # 2.11  pairwise judging (parsing side)
 # =====================================================================================
 
+# The parser's rules are stated on the text alone: DuckDB's json_valid also takes NaN, a key
+# twice and a comma at the end, which count as not parsed here.
 _RESPONSES_SQL = r"""
+turns as (
+  select conv_id * 1000 + turn as pair_id, coalesce(text, '') as t, cast(to_json(coalesce(text, '')) as varchar) as said,
+         length(coalesce(text, '')) % 11 as a, turn as b
+  from conversations
+),
+scored as (
+  select *, '},"model_b":{"relevance":' || b || '}},"overall_better":"'
+            || case when a > b then 'model_a' when a < b then 'model_b' else 'tie' end || '","explanation":' as tail,
+         '{"scores":{"model_a":{"relevance":' as head
+  from turns
+),
 judge_responses as (
-  select c_custkey as pair_id,
-    case c_custkey % 5
-      when 0 then '```json' || chr(10) || '{"scores":{"model_a":{"relevance":' || cast(c_custkey % 11 as varchar(5))
-               || '},"model_b":{"relevance":5}},"overall_better":"model_a"}' || chr(10) || '```'
-      when 1 then '{"scores":{"model_a":{"relevance":' || cast(c_custkey % 11 as varchar(5))
-               || '},"model_b":{"relevance":4}},"overall_better":"tie"}'
-      when 2 then '  ```' || chr(10) || '{"scores":{}}' || chr(10) || '```  '
-      when 3 then '```json {"scores":'
-      else 'I prefer model B' end as raw_text
-  from customer
+  select pair_id,
+    case pair_id % 11
+      when 0 then '```json' || chr(10) || head || a || tail || said || '}' || chr(10) || '```'
+      when 1 then head || '"' || a || '"' || replace(tail, ':' || b || '}}', ':"' || b || '"}}') || said || '}'
+      when 2 then '  ```' || chr(10) || '{"scores":{},"explanation":' || said || '}' || chr(10) || '```  '
+      when 3 then '```json ' || head || a || tail || said || '}'
+      when 4 then t
+      when 5 then head || a || tail || said || '}' || chr(10) || t
+      when 6 then '[' || head || a || tail || said || '},' || said || ']'
+      when 7 then head || 'NaN' || tail || said || '}'
+      when 8 then head || a || ',"relevance":' || b || tail || said || '}'
+      when 9 then t || chr(10) || '```json' || chr(10) || head || a || tail || said || '}' || chr(10) || '```'
+      else '```JSON' || chr(10) || head || a || tail || '"``` ' || substr(said, 2) || '}' || chr(10) || '```' || chr(10) || t
+    end as raw_text
+  from scored
 ),
 st as (select pair_id, raw_text, regexp_replace(raw_text, '^\s+|\s+$', '', 'g') as t from judge_responses),
 cl as (select pair_id, raw_text,
@@ -979,7 +1041,9 @@ cl as (select pair_id, raw_text,
                    then regexp_replace(regexp_extract(t, '(?is)```(?:json)?\s*(.*)```', 1), '^\s+|\s+$', '', 'g')
                    else t end as cleaned
        from st),
-pj as (select *, coalesce(json_valid(cleaned), false) as parsed_ok from cl)"""
+va as (select *, coalesce(json_valid(cleaned), false) as valid from cl),
+pj as (select *, valid and not regexp_matches(cleaned, ':\s*-?(NaN|Infinity)\s*[,}]')
+                 and not regexp_matches(cleaned, '"relevance":[^,}]*,"relevance":') as parsed_ok from va)"""
 
 
 @register("judge_strip_fences", "K3", "with " + _RESPONSES_SQL + "\nselect pair_id, cleaned from cl")
@@ -1004,8 +1068,8 @@ def q_judge_parse(spark, sf):
     "with " + _RESPONSES_SQL
     + """
 select pair_id, parsed_ok,
-       case when parsed_ok then cast(json_extract(cleaned, '$.scores.model_a.relevance') as double) end as a_relevance,
-       case when parsed_ok then cast(json_extract(cleaned, '$.scores.model_b.relevance') as double) end as b_relevance,
+       case when parsed_ok then try_cast(json_extract_string(cleaned, '$.scores.model_a.relevance') as double) end as a_relevance,
+       case when parsed_ok then try_cast(json_extract_string(cleaned, '$.scores.model_b.relevance') as double) end as b_relevance,
        case when parsed_ok then coalesce(json_extract_string(cleaned, '$.overall_better'), 'unknown') end as overall_better
 from pj""",
 )
@@ -1126,6 +1190,30 @@ def q_leaderboard(spark, sf):
     return round_doubles(lb)
 
 
+@register(
+    "throughput",
+    "J1 A4 A8",
+    """
+with runs as (
+  select 'run-' || user_id || '-' || event_type as exp_name, count(distinct value) as num_queries,
+         case when user_id % 7 <> 0 then (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1000000::DOUBLE end as total_time_sec,
+         case when user_id % 5 <> 0 then count(*)::DOUBLE end as total_texts_embedded
+  from events group by user_id, event_type
+),
+r as (select *, case when total_time_sec > 0 and num_queries <> 0 then num_queries::DOUBLE / total_time_sec end as q,
+             case when total_time_sec > 0 then total_texts_embedded / total_time_sec end as x from runs)
+select exp_name, num_queries, round(total_time_sec, 6) as total_time_sec, total_texts_embedded, round(q, 6) as queries_per_sec,
+       round(q * 60::DOUBLE, 6) as queries_per_min, round(x, 6) as texts_per_sec, round(x * 60::DOUBLE, 6) as texts_per_min
+from r""",
+)
+def q_throughput(spark, sf):
+    """The runs' metrics documents are written as JSON and read back, then rated."""
+    path = scratch_path(spark, "metrics-documents")
+    write_json(run_documents(spark, sf), path)
+    rated = throughput_rows(read_metrics_docs(spark, path, multi_line=False))
+    return round_doubles(rated.withColumn("total_texts_embedded", F.col("total_texts_embedded").cast("double")))
+
+
 # =====================================================================================
 # 2.13  streaming
 # =====================================================================================

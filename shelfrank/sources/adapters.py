@@ -2,7 +2,8 @@
 
 ``impressions``     (query, product, clicks) rows from lineitem/part/orders/customer
 ``judged_vec``      scored (query vector, candidate vector) pairs from ``embeddings``
-``judge_responses`` raw judge answers of five kinds from ``customer``
+``judge_responses`` raw judge answers of eleven forms from ``conversations``
+``run_documents``   metrics documents of many runs from ``events``
 
 Each is a Spark plan over the base tables, so its work grows with them.
 """
@@ -23,6 +24,7 @@ NULL_GROUP_MOD = 7  # p_size % 7 = 0 -> null group
 NULL_TYPE_MOD = 11  # p_size % 11 = 0 -> null type
 SELECT_FLAG = "A"  # l_returnflag of a "selection"
 SELECT_MIN_DISCOUNT = 0.055  # ... with l_discount above this
+ANSWER_TURNS = 1000  # pair_id = conv_id * this + turn
 # ---------------------------------------------------------------------------
 
 
@@ -124,19 +126,63 @@ def judged_vec(spark: SparkSession, sf_dir: str, graded: bool = False, salts: in
 
 
 def judge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five kinds of raw judge answer keyed by ``pair_id`` (fenced, plain, empty
-    scores, unclosed fence, prose)."""
-    c = read_table(spark, sf_dir, "customer", ["c_custkey"])
-    k = F.col("c_custkey")
-    rel_a = (k % 11).cast("string")
-    nl = F.lit("\n")
-    raw = (
-        F.when(k % 5 == 0, F.concat(F.lit("```json"), nl, F.lit('{"scores":{"model_a":{"relevance":'), rel_a,
-                                    F.lit('},"model_b":{"relevance":5}},"overall_better":"model_a"}'), nl, F.lit("```")))
-        .when(k % 5 == 1, F.concat(F.lit('{"scores":{"model_a":{"relevance":'), rel_a,
-                                   F.lit('},"model_b":{"relevance":4}},"overall_better":"tie"}')))
-        .when(k % 5 == 2, F.concat(F.lit("  ```"), nl, F.lit('{"scores":{}}'), nl, F.lit("```  ")))
-        .when(k % 5 == 3, F.lit('```json {"scores":'))
-        .otherwise(F.lit("I prefer model B"))
+    """Raw judge answers, one for each turn of ``conversations``, keyed by ``pair_id``.
+
+    The turn's text is the answer's explanation, its prose or what surrounds the
+    JSON; the scores follow its length. Eleven forms, told by ``pair_id % 11``:
+    fenced, plain with quoted numbers, no scores, unclosed fence, prose, JSON with
+    text behind it, an array, ``NaN``, a key twice, prose around a fence, fences
+    inside the explanation.
+    """
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    pair, text = F.col("conv_id") * ANSWER_TURNS + F.col("turn"), F.coalesce("text", F.lit(""))
+    a, b = (F.length(text) % 11).cast("string"), F.col("turn").cast("string")
+    said = F.get_json_object(F.to_json(F.struct(F.array(text).alias("t"))), "$.t")  # ["the text"], escaped
+    said = F.substring(said, F.lit(2), F.length(said) - 2)
+    best = F.when(F.length(text) % 11 > F.col("turn"), "model_a").when(F.length(text) % 11 < F.col("turn"), "model_b").otherwise("tie")
+
+    def answer(left, right, explanation=said):
+        return F.concat(
+            F.lit('{"scores":{"model_a":{"relevance":'), left, F.lit('},"model_b":{"relevance":'), right,
+            F.lit('}},"overall_better":"'), best, F.lit('","explanation":'), explanation, F.lit("}"),
+        )
+
+    quoted = [F.concat(F.lit('"'), x, F.lit('"')) for x in (a, b)]
+    nl, fence = F.lit("\n"), F.lit("```")
+    forms = [
+        F.concat(F.lit("```json\n"), answer(a, b), nl, fence),
+        answer(*quoted),
+        F.concat(F.lit('  ```\n{"scores":{},"explanation":'), said, F.lit("}\n```  ")),
+        F.concat(F.lit("```json "), answer(a, b)),
+        text,
+        F.concat(answer(a, b), nl, text),
+        F.concat(F.lit("["), answer(a, b), F.lit(","), said, F.lit("]")),
+        answer(F.lit("NaN"), b),
+        answer(F.concat(a, F.lit(',"relevance":'), b), b),
+        F.concat(text, F.lit("\n```json\n"), answer(a, b), nl, fence),
+        F.concat(F.lit("```JSON\n"), answer(a, b, F.concat(F.lit('"``` '), F.substring(said, F.lit(2), F.length(said)))), nl, fence, nl, text),
+    ]
+    raw = forms[-1]
+    for i, form in list(enumerate(forms))[-2::-1]:
+        raw = F.when(pair % len(forms) == i, form).otherwise(raw)
+    return c.select(pair.alias("pair_id"), raw.alias("raw_text"))
+
+
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics documents of many runs, one a user and event type of ``events``:
+    distinct values are the queries, events the texts, and the span of their
+    times the run's seconds (0 for a single event). Every seventh user's runs
+    have no time, every fifth's no texts."""
+    e = read_table(spark, sf_dir, "events", ["user_id", "event_type", "ts", "value"])
+    runs = e.groupBy("user_id", "event_type").agg(
+        F.countDistinct("value").alias("num_queries"), F.count(F.lit(1)).alias("n"), (F.max("ts") - F.min("ts")).alias("span")
+    )
+    days, hours, minutes, rest = (F.extract(F.lit(u), F.col("span")) for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    seconds = ((days * 24 + hours) * 60 + minutes) * 60 + rest
+    runs = runs.withColumn("seconds", seconds.cast("double"))
+    return runs.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("exp_name"),
+        "num_queries",
+        F.when(F.col("user_id") % 7 != 0, F.col("seconds")).alias("total_time_sec"),
+        F.when(F.col("user_id") % 5 != 0, F.col("n")).alias("total_texts_embedded"),
     )
-    return c.select(k.alias("pair_id"), raw.alias("raw_text"))

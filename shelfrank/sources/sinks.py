@@ -59,11 +59,12 @@ def write_metrics_doc(summary: DataFrame, path: str, **fields) -> None:
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_metrics_docs(spark: SparkSession, pattern: str) -> DataFrame:
+def read_metrics_docs(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
     """A4: read metrics documents of many experiments (all three writer
     variants; absent keys are null). The experiment defaults to the name of
-    the folder holding ``metrics.json`` when the document has none."""
-    df = spark.read.schema(METRICS_DOC).option("multiLine", True).json(pattern)
+    the folder holding ``metrics.json`` when the document has none.
+    ``multi_line=False`` reads files of one document a line, which Spark can split."""
+    df = spark.read.schema(METRICS_DOC).option("multiLine", multi_line).json(pattern)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/metrics\.json(/[^/]*)?$", 1)
     return df.withColumn("exp_name", F.coalesce(F.col("exp_name"), F.nullif(folder, F.lit(""))))
 

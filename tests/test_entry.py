@@ -56,10 +56,12 @@ def test_adapters_match_published_fixture_statistics(spark):
     jv = judged_vec(spark, sf)
     pp = jv.groupBy("query_id").agg(F.sum("relevant").alias("p"))
     assert (pp.count(), jv.count(), pp.where("p = 0").count()) == (50, 977, 7)
-    v = parse_verdicts(judge_responses(spark, sf)).withColumn("kind", F.col("pair_id") % 5)
-    kinds = {r["kind"]: (r["ok"], r["w"]) for r in v.groupBy("kind").agg(
-        F.sum(F.col("parsed_ok").cast("int")).alias("ok"), F.first("overall_better").alias("w")).collect()}
-    assert kinds == {0: (300, "model_a"), 1: (300, "tie"), 2: (300, "unknown"), 3: (0, None), 4: (0, None)}
+    v = parse_verdicts(judge_responses(spark, sf)).withColumn("kind", F.col("pair_id") % 11)
+    kinds = {r["kind"]: (r["n"], r["ok"], r["scored"]) for r in v.groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_if("parsed_ok").alias("ok"), F.count("scores_a.relevance").alias("scored")).collect()}
+    assert sum(n for n, _, _ in kinds.values()) == 536 and set(kinds) == set(range(11))
+    parsed, scored = {0, 1, 2, 6, 10}, {0, 1, 10}  # the others: no JSON, or more than one value, NaN, a key twice
+    assert all(ok == n * (k in parsed) and s == n * (k in scored) for k, (n, ok, s) in kinds.items())
     imp.unpersist()
 
 

@@ -66,8 +66,36 @@ def test_user_workflow(spark, tmp_out):
     n_q = queries.count()
     answer = '{"scores":{"model_a":{"relevance":6},"model_b":{"relevance":7}},"overall_better":"model_b"}'
     verdicts = jobs.judge_reports(spark, f"{tmp_out}/search/reports", stub_judge(answer), f"{tmp_out}/verdicts")
+    assert verdicts.where("verdict_file rlike '^judge_.*__.*__vs__.*[.]json$'").count() == n_q
     assert verdicts.count() == n_q and verdicts.where("parsed_ok and overall_better = 'model_b'").count() == n_q
 
     plan = jobs.training_data(spark, f"{tmp_out}/splits", f"{tmp_out}/train", batch_size=64, epochs=2)
     assert plan["num_training_steps"] == 2 * math.ceil(plan["num_examples"] / 64)
     assert spark.read.parquet(f"{tmp_out}/train/batches").count() == 2 * plan["num_examples"]
+
+
+def test_catalog_without_text_and_ids(spark, tmp_out):
+    """A catalog of names and types alone, with equal rows: search and tagging build what is absent."""
+    rows = [("red bolt", "tool"), ("red bolt", "tool"), ("blue ring", None), (None, None)]
+    spark.createDataFrame(rows, "ProductName string, ProductType string").write.parquet(f"{tmp_out}/bare")
+    jobs.keyword_report(spark, f"{tmp_out}/bare", f"{tmp_out}/kw", ["bolt"])
+    assert [r["product_text"] for r in spark.read.parquet(f"{tmp_out}/kw").collect()] == ["red bolt  tool"] * 2
+    queries = spark.createDataFrame([("red bolt",)], "query string")
+    jobs.search_reports(spark, f"{tmp_out}/bare", queries, HashingEncoder(64), f"{tmp_out}/found", k=4)
+    hits = spark.read.parquet(f"{tmp_out}/found/hits").orderBy("rank").collect()
+    assert [r["product_text"] for r in hits[:2]] == ["red bolt tool"] * 2 and len({r["product_id"] for r in hits}) == 4
+    assert {r["product_text"] for r in hits} == {"red bolt tool", "blue ring", "UNKNOWN_PRODUCT"}
+    safe = jobs.search_reports(spark, f"{tmp_out}/bare", queries, HashingEncoder(64), f"{tmp_out}/safe", k=4, block_type_keywords="tool")
+    assert "red bolt" not in safe.collect()[0]["report"].split("Text:", 1)[1]
+
+
+def test_training_data_with_spread_queries(spark, tmp_out):
+    rows = [("hot" if i % 2 else f"q{i}", "en", f"p{i}", 1, i) for i in range(200)]
+    t = spark.createDataFrame(rows, "OriginalQuery string, PageLanguage string, product_text string, relevant int, product_id long")
+    t.withColumn("split", F.lit("train")).write.partitionBy("split").parquet(f"{tmp_out}/splits")
+    jobs.training_data(spark, f"{tmp_out}/splits", f"{tmp_out}/out", batch_size=20, epochs=2, spread_queries=True)
+    b = spark.read.parquet(f"{tmp_out}/out/batches")
+    assert b.count() == 400 and b.where("product_text like 'passage: p%'").count() == 400
+    meets = b.groupBy("epoch", "batch_id", "query_text").count()
+    assert meets.where("query_text = 'query: hot'").select("count").distinct().collect()[0][0] == 10
+    assert meets.where("query_text <> 'query: hot' and count > 1").count() == 0

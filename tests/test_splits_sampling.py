@@ -1,6 +1,7 @@
 """Splits, global rank, exact samples, training batches."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.operators.sampling import exact_sample, global_rank
 from shelfrank.operators.splits import assign_splits, query_splits
-from shelfrank.operators.training import training_batches, training_plan
+from shelfrank.operators.training import batch_conflicts, spread_batches, training_batches, training_plan
 
 
 def qdf(spark, n, rows_per_query=2):
@@ -70,6 +71,29 @@ def test_batch_count(spark):
     assert sorted(e1) == sorted(e2) and e1 != e2
 
 
+def test_spread_batches_keep_a_query_apart(spark):
+    # one query with half of all pairs, some with a few, a null query, one pair each for the rest
+    queries = ["hot"] * 300 + ["few"] * 7 + ["two"] * 2 + [None] * 3 + [f"q{i}" for i in range(288)]
+    rows = [(f"k{i}", q, "p") for i, q in enumerate(queries)]
+    pairs = spark.createDataFrame(rows, "pair_key string, query_text string, product_text string").repartition(7)
+    b = spread_batches(pairs, 64, 2)
+    got = b.collect()
+    for epoch in (1, 2):
+        mine = [r for r in got if r["epoch"] == epoch]
+        assert sorted((r["pair_key"], r["query_text"] or "") for r in mine) == sorted((k, q or "") for k, q, _ in rows)
+        sizes = Counter(r["batch_id"] for r in mine)
+        assert set(sizes) == set(range(10)) and set(sizes.values()) == {60}
+        assert all({r["slot"] for r in mine if r["batch_id"] == x} == set(range(60)) for x in sizes)
+        meets = Counter((r["batch_id"], r["query_text"]) for r in mine)
+        assert all(n == 30 if q == "hot" else n == 1 for (_, q), n in meets.items())
+    assert {(r["epoch"], r["pair_key"]): r["batch_id"] for r in got} == {(r["epoch"], r["pair_key"]): r["batch_id"] for r in spread_batches(pairs.repartition(2), 64, 2).collect()}
+    report = batch_conflicts(b).orderBy("epoch").collect()
+    assert [tuple(r) for r in report] == [(e, 10, 600, 60, 30, 30, 0) for e in (1, 2)]
+    bad = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 1, "b")], "epoch int, batch_id long, query_text string")
+    assert batch_conflicts(bad).collect()[0]["unforced_queries"] == 1
+    assert spread_batches(pairs.where("false"), 64).count() == 0
+
+
 def test_warmup_is_a_tenth_rounded_up(spark):
     for batches, warm in ((30, 3), (31, 4), (1, 1)):
         pairs = spark.range(batches * 256).select(F.lit("q").alias("query_text"))
