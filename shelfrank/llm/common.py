@@ -12,15 +12,26 @@ from shelfrank.session import scratch_path, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's switch to remove a plan's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet in the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing)
-    and keeps columns prunable for the branches that follow.
+    and keeps columns prunable for the branches that follow. What the write
+    shuffled is not read again, so Spark removes it when the write has ended;
+    otherwise a chain of writes holds all its shuffles until the driver collects garbage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def python_ready(df: DataFrame) -> DataFrame:
