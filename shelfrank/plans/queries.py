@@ -88,9 +88,10 @@ from shelfrank.plans.build import (
 from shelfrank.plans.registry import register, round_doubles
 from shelfrank.schema import EXPERIMENTS, MODEL_ATTRIBUTES
 from shelfrank.session import materialize, scratch_path
-from shelfrank.sources.adapters import judge_responses, judged_vec, run_documents
+from shelfrank.sources.adapters import catalog_events, judge_responses, judged_vec, run_documents
 from shelfrank.sources.sinks import read_metrics_docs, write_json
 from shelfrank.sources.tables import read_table
+from shelfrank.streaming.maintained import MaintainedTopK, run_maintained
 from shelfrank.streaming.search_stream import run_stream_search
 
 KS = (1, 5, 10)
@@ -1256,3 +1257,53 @@ def q_streaming_search(spark, sf):
         spark, sf, "conversations.parquet", cat, enc, REPORT_K, f"{base}/out", f"{base}/ckpt", f"{base}/catalog"
     )
     return round_doubles(spark.read.parquet(f"{base}/out").select("batch_id", "conv_id", "turn", "query", "rank", "product_id", "score"))
+
+
+def _maintained_sql() -> str:
+    """A batch search after each of the three steps, over the products and queries live then."""
+    return (
+        O.with_(O.JUDGED, O.CATALOG_PART)
+        + """,
+versions as (
+  select product_id, 'passage: ' || product_text as pt,
+         case when PageLanguage in ('en', 'de') then 0 else 1 end as born,
+         case when PageLanguage in ('en', 'de') and BrandName is null then 0 when ProductType is null then 1 else 2 end as dies
+  from catalog
+  union all
+  select product_id, 'passage: ' || coalesce(ProductName, ''), 1, case when ProductType is null then 1 else 2 end
+  from catalog where PageLanguage in ('en', 'de') and BrandName is null
+),
+turns as (select """
+        + O.strip("text")
+        + """ as query, case when turn = 0 then 0 when turn <= 2 then 1 else 2 end as step
+          from conversations where role = 'user'),
+mq as (select distinct query, 'query: ' || query as qt from turns where query <> ''),
+ml as (select distinct s.step, t.query from (values (0), (1), (2)) s(step)
+       join turns t on t.step between s.step - 1 and s.step where t.query <> ''),
+mp as (select q.query, q.qt, v.product_id, v.pt, v.born, v.dies from mq q cross join versions v),"""
+        + O.hash_vectors("mqv", "select qt as text from mq")
+        + ","
+        + O.hash_vectors("mpv", "select pt as text from versions")
+        + ","
+        + O.cosine_scores("ms", "mp", "mqv", "mpv")
+        + f""",
+mt as (select l.step, l.query, ms.product_id, ms.score,
+              row_number() over (partition by l.step, l.query order by (ms.score is null or isnan(ms.score)), ms.score desc, ms.product_id) as rk
+       from ml l join ms on ms.query = l.query and l.step between ms.born and ms.dies)
+select cast(step as integer) as step, query, product_id, round(score, 6) as score, cast(rk as integer) as rank
+from mt where rk <= {REPORT_K}"""
+    )
+
+
+@register("maintained_topk", "M1", _maintained_sql())
+def q_maintained_topk(spark, sf):
+    """Lists after each step of the feed; the stream goes on from its checkpoint with every step."""
+    catalog, turns = materialize(catalog_df(spark, sf)), read_table(spark, sf, "conversations")
+    base = scratch_path(spark, "maintained")
+    store = MaintainedTopK(f"{base}/state", default_encoder(), REPORT_K, 2 * REPORT_K, ttl=1, compact_every=2)
+    after = []
+    for step in range(3):
+        catalog_events(catalog, turns, step).write.mode("append").parquet(f"{base}/events")
+        run_maintained(spark, f"{base}/events", store, f"{base}/ckpt")
+        after.append(store.top(spark, step).select(F.lit(step).alias("step"), "query", "product_id", "score", "rank"))
+    return round_doubles(after[0].unionByName(after[1]).unionByName(after[2]))

@@ -186,3 +186,30 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 7 != 0, F.col("seconds")).alias("total_time_sec"),
         F.when(F.col("user_id") % 5 != 0, F.col("n")).alias("total_texts_embedded"),
     )
+
+
+def catalog_events(catalog: DataFrame, conversations: DataFrame, step: int) -> DataFrame:
+    """Stand-in feed of :mod:`shelfrank.streaming.maintained` in three steps.
+
+    Products: English and German ones arrive, then French and Italian ones while English and
+    German ones without a brand are renamed to their bare name, then those without a type vanish and
+    the first rows of the renamed ones come again, late. Queries: user turns 0, then 1 and 2, then the rest.
+    """
+    first = F.col("PageLanguage").isin("en", "de")
+    renamed = first & F.col("BrandName").isNull()
+    text, name = F.col("product_text"), F.coalesce("ProductName", F.lit(""))
+
+    def rows(where, seq, text, deleted=False):
+        return catalog.where(where).select(
+            F.lit(None).cast("string").alias("query"), "product_id", F.lit(seq).cast("bigint").alias("seq"),
+            F.lit(deleted).alias("deleted"), text.cast("string").alias("product_text"),
+        )
+
+    products = {
+        0: lambda: rows(first, 1, text),
+        1: lambda: rows(~first, 2, text).unionByName(rows(renamed, 2, name)),
+        2: lambda: rows(F.col("ProductType").isNull(), 3, F.lit(None), True).unionByName(rows(renamed, 1, text)),
+    }[step]()
+    turns = {0: F.col("turn") == 0, 1: F.col("turn").between(1, 2), 2: F.col("turn") > 2}[step]
+    asked = conversations.where((F.col("role") == "user") & turns).select(F.col("text").alias("query"))
+    return products.unionByName(asked, allowMissingColumns=True)
