@@ -1,16 +1,20 @@
 """Column expressions for product texts, labels, keywords, slugs and judge output.
 
 All functions return ``Column`` expressions that stay inside the JVM
-(whole-stage codegen where Spark supports it); none is a Python UDF.
+(whole-stage codegen where Spark supports it); only long keyword lists are matched
+by an Arrow function (:mod:`shelfrank.functions.keywords`).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfrank.functions.keywords import FEW_KEYWORDS, contains_any
+
 ColumnOrName = Column | str
 
 
@@ -119,12 +123,20 @@ def parse_keywords_col(spec: ColumnOrName) -> Column:
     return F.filter(F.transform(F.split(_c(spec), ","), lambda k: F.lower(F.trim(k))), lambda k: k != "")
 
 
+_SPECIAL = re.compile(r"[\\^$.|?*+()\[\]{}]")
+
+
 def any_regex(text: ColumnOrName, keywords: Sequence[str]) -> Column:
-    """Lower-cased text matches any keyword as a regular expression."""
+    """Lower-cased text matches any keyword as a regular expression. Many keywords
+    without a special character are matched together, as literals."""
     low = F.lower(_c(text))
     if not keywords:
         return F.lit(False)
     hit = None
+    plain = [kw for kw in keywords if kw and not _SPECIAL.search(kw)]
+    if len(plain) > FEW_KEYWORDS:
+        hit = contains_any(low, plain)
+        keywords = [kw for kw in keywords if not kw or _SPECIAL.search(kw)]
     for kw in keywords:
         term = low.rlike(kw)
         hit = term if hit is None else (hit | term)
@@ -137,6 +149,11 @@ def any_literal(texts: Sequence[ColumnOrName], keywords: Sequence[str]) -> Colum
         return F.lit(False)
     lows = [F.lower(_blank(t)) for t in texts]
     hit = None
+    if len(keywords) > FEW_KEYWORDS:
+        for low in lows:
+            term = contains_any(low, keywords)
+            hit = term if hit is None else (hit | term)
+        return hit
     for kw in keywords:
         for low in lows:
             term = F.instr(low, kw) > 0

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfrank.functions.keywords import contained
 from shelfrank.functions.text import (
     PASSAGE_PREFIX,
     QUERY_PREFIX,
@@ -65,6 +66,11 @@ def keyword_hits(df: DataFrame, keywords: Sequence[str], text: str = "product_te
     return df.where(any_regex(text, keywords))
 
 
+def keyword_matches(df: DataFrame, keywords: Sequence[str], text: str = "product_text", out: str = "keywords") -> DataFrame:
+    """B8 with the reason: the literal keywords found in the lower-cased text, sorted (none: empty)."""
+    return df.withColumn(out, contained(F.lower(F.col(text)), keywords))
+
+
 def with_block_flags(
     df: DataFrame,
     text_keywords: Sequence[str],

@@ -37,6 +37,7 @@ from shelfrank.operators.judge import (
 from shelfrank.operators.labels import (
     judged_table,
     keyword_hits,
+    keyword_matches,
     language_rows,
     with_block_flags,
     with_label,
@@ -234,6 +235,27 @@ def q_blocklist_filter(spark, sf):
     return c.select("product_id", "blocked_text", "blocked_type", "blocked")
 
 
+# A long keyword list: five goods with two thousand brand numbers each.
+MANY_KEYWORDS = [f"{good} brand#{i}" for good in ("ring", "widget", "bolt", "gear", "gizmo") for i in range(2000)]
+
+
+@register(
+    "keyword_matches",
+    "B8 B9",
+    O.with_(O.JUDGED, O.CATALOG_PART)
+    + """,
+kws as (select good || ' brand#' || i as kw from (values ('ring'), ('widget'), ('bolt'), ('gear'), ('gizmo')) g(good), range(2000) r(i)),
+texts as (select distinct lower(product_text) as low from catalog),
+found as (select low, string_agg(kw, ',' order by kw) as kws from texts join kws on contains(low, kw) group by low)
+select product_id, coalesce(f.kws, '') as keywords, f.kws is not null as blocked
+from catalog c left join found f on f.low = lower(c.product_text)""",
+)
+def q_keyword_matches(spark, sf):
+    """Every product's matches among ten thousand keywords, and the block flag of the same list."""
+    c = with_block_flags(keyword_matches(catalog_df(spark, sf), MANY_KEYWORDS), MANY_KEYWORDS, [])
+    return c.select("product_id", F.array_join("keywords", ",").alias("keywords"), "blocked")
+
+
 _SLUG_SQL = r"regexp_replace(OriginalQuery, '[^\p{L}\p{N}_-]', '', 'g')"
 
 

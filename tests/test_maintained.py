@@ -44,7 +44,7 @@ def _got(store, spark, n):
     return out
 
 
-@pytest.mark.parametrize("seed,compact,depth", [(1, 2, 3), (2, 3, 6)])
+@pytest.mark.parametrize("seed,compact,depth", [(2, 2, 4)])
 def test_lists_equal_a_batch_search_after_every_batch(spark, tmp_out, seed, compact, depth):
     rnd, enc, k, ttl = random.Random(seed), HashingEncoder(64), 3, 1
     store = MaintainedTopK(f"{tmp_out}/state", enc, k, depth, ttl=ttl, compact_every=compact)
