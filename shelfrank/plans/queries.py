@@ -34,6 +34,7 @@ from shelfrank.operators.judge import (
     report_file_stem,
     template_pieces,
 )
+from shelfrank.operators.judge_ledger import ask_judge_once
 from shelfrank.operators.labels import (
     judged_table,
     keyword_hits,
@@ -1111,6 +1112,33 @@ def q_judge_scores(spark, sf):
 # 2.10  model comparison
 # =====================================================================================
 
+def _measuring_judge(prompts, settings):
+    """A judge by rule: the list whose mark is longer wins, from the characters of the prompt."""
+    marks = [(len(p) % 11, p.count("e") % 11) for p in prompts]
+    return [f'{{"scores": {{"model_a": {{"relevance": {a}}}, "model_b": {{"relevance": {b}}}}}}}' for a, b in marks]
+
+
+@register(
+    "judge_ledger",
+    "K2 K4 K5",
+    """
+with t as (select conv_id, turn, text, min(turn) over (partition by text) <= 1 as reused from conversations)
+select conv_id, turn, reused,
+  case when text is not null then cast(length(text) % 11 as integer) end as relevance_a,
+  case when text is not null then cast((length(text) - length(replace(text, 'e', ''))) % 11 as integer) end as relevance_b
+from t""",
+)
+def q_judge_ledger(spark, sf):
+    """Every turn's text is a prompt. The first two turns are asked in a call of their own; the
+    second call, over all turns, finds those in the ledger and asks the rest, in waves."""
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    path = scratch_path(spark, "judge-ledger")
+    ask_judge_once(c.where(F.col("turn") <= 1), _measuring_judge, path)
+    v = parse_verdicts(ask_judge_once(c, _measuring_judge, path))
+    a, b = F.col("scores_a.relevance"), F.col("scores_b.relevance")
+    return v.select("conv_id", "turn", "reused", a.cast("int").alias("relevance_a"), b.cast("int").alias("relevance_b"))
+
+
 # Manifest of the registered leaderboard: three experiments whose metrics Spark
 # computes from the tables (two encoders on the test split, stored vectors on
 # the vector pairs); the attribute table leaves one model unknown on purpose.
