@@ -245,18 +245,6 @@ def template_col(template: str, fields: dict) -> Column:
     return F.concat(*parts)
 
 
-def template_sql(template: str, fields: dict) -> str:
-    """The same template as a SQL string expression (``printf`` for specs)."""
-    parts = []
-    for lit, field, spec in _template_parts(template):
-        if lit:
-            parts.append("'" + lit.replace("'", "''") + "'")
-        if field is not None:
-            e = fields[field]
-            parts.append(f"printf('%{spec}', {e})" if spec else f"cast({e} as varchar)")
-    return " || ".join(parts)
-
-
 def keyword_list_text(items: Sequence[str]) -> str:
     return repr(list(items))
 

@@ -29,6 +29,7 @@ from shelfrank.functions.text import DEFAULT_TAG_KEYWORDS, parse_keywords
 from shelfrank.operators.compare import leaderboard
 from shelfrank.operators.dedup import unique_products
 from shelfrank.operators.judge import JudgeSettings, ask_judge, judge_prompts, judgement_file_name, pair_reports, parse_verdicts, report_file_stem
+from shelfrank.operators.judge_ledger import ask_judge_once
 from shelfrank.operators.labels import judged_table, keyword_hits, language_rows, with_block_flags, with_label, with_product_text
 from shelfrank.operators.metrics import metrics_document, query_stats, select_queries, summarize
 from shelfrank.operators.profile import encoding_workload, label_counts, top_values
@@ -228,14 +229,19 @@ def search_reports(
 
 def judge_reports(
     spark: SparkSession, reports_path: str, judge_fn: Callable[[list[str], JudgeSettings], list[str]], out_path: str,
-    settings: JudgeSettings = JudgeSettings(),
+    settings: JudgeSettings = JudgeSettings(), ledger_path: str | None = None,
 ) -> DataFrame:
     """E7 + K1–K5: pair the models' reports of each query, ask the judge in
     batches, parse the verdicts and write them as JSON, each with the name of
-    its verdict file (K6)."""
+    its verdict file (K6). With ``ledger_path`` answers are kept there, and what
+    it has is not asked again."""
     reports = spark.read.json(reports_path)
     prompts = judge_prompts(pair_reports(reports))
-    verdicts = parse_verdicts(ask_judge(prompts, judge_fn, settings=settings))
+    if ledger_path is None:
+        answered = ask_judge(prompts, judge_fn, settings=settings)
+    else:
+        answered = ask_judge_once(prompts, judge_fn, ledger_path, settings=settings).drop("reused")
+    verdicts = parse_verdicts(answered)
     stem = report_file_stem(F.col("query"))
     verdicts = verdicts.withColumn("verdict_file", judgement_file_name(F.col("query"), stem, stem))
     sinks.write_json(verdicts.drop("prompt"), out_path)

@@ -26,13 +26,11 @@ from shelfrank.operators.compare import leaderboard, throughput_rows
 from shelfrank.operators.dedup import distinct_values
 from shelfrank.operators.encode import HashingEncoder, cache_delta, distinct_texts, encode_distinct
 from shelfrank.operators.judge import (
-    NO_QUERY_TEXT,
     judge_prompts,
     judgement_file_name,
     pair_reports,
     parse_verdicts,
     report_file_stem,
-    template_pieces,
 )
 from shelfrank.operators.judge_ledger import ask_judge_once
 from shelfrank.operators.labels import (
@@ -73,7 +71,6 @@ from shelfrank.operators.search import catalog_topk, safe_catalog, search_report
 from shelfrank.operators.vector_cache import VectorCache
 from shelfrank.operators.splits import assign_splits, restrict_to
 from shelfrank.operators.training import batch_conflicts, spread_batches, training_batches, training_pairs, training_plan
-from shelfrank.operators import search as S
 from shelfrank.plans import oracle as O
 from shelfrank.plans.build import (
     catalog_df,
@@ -753,39 +750,29 @@ def q_safe_topk_all_blocked(spark, sf):
     return round_doubles(_safe_hits(*judged_and_catalog(spark, sf), BLOCK_ALL, [], SAFE_K).select("query", "product_id", "rank", "score"))
 
 
-def _report_sql(model: str, safe: bool, hits: str = "hits", catalog: str = "catalog", tkw=(), ykw=()) -> str:
-    name = "coalesce(c.ProductName, c.product_text)"
-    brand = "coalesce(c.BrandName, '')"
-    ptype, group = "coalesce(c.ProductType, '')", "coalesce(c.Level4_ProductGroup, '')"
-    line = (
-        S.template_sql(S.HIT_RANK_LINE, {"rank": "h.rk", "score": "h.score"})
-        + f" || case when {brand} <> '' then "
-        + S.template_sql(S.HIT_NAME_BRAND_LINE, {"name": name, "brand": brand})
-        + " else "
-        + S.template_sql(S.HIT_NAME_LINE, {"name": name})
-        + " end"
-    )
-    if safe:
-        line += (
-            f" || case when {ptype} <> '' or {group} <> '' then "
-            + S.template_sql(S.HIT_TYPE_LINE, {"ptype": ptype, "group": group})
-            + " else '' end"
-        )
-    line += " || " + S.template_sql(S.HIT_TEXT_LINE, {"text": "coalesce(c.product_text, '')"})
-    head = [S.template_sql(S.REPORT_QUERY_LINE, {"query": "query"}), S.template_sql(S.REPORT_MODEL_LINE, {"model": f"'{model}'"})]
-    if safe:
-        head += [
-            S.template_sql(S.REPORT_TOP_LINE_SAFE, {"n": "count(*)"}),
-            S.template_sql(S.REPORT_BLOCKED_TEXT_LINE, {"keywords": "'" + S.keyword_list_text(tkw).replace("'", "''") + "'"}),
-            S.template_sql(S.REPORT_BLOCKED_TYPE_LINE, {"keywords": "'" + S.keyword_list_text(ykw).replace("'", "''") + "'"}),
-        ]
-    else:
-        head.append(S.template_sql(S.REPORT_TOP_LINE, {"n": "count(*)"}))
+def _report_sql(model: str, safe: bool, hits: str = "hits") -> str:
+    """The text of a result list, spelled out."""
+    type_line = """
+         || case when coalesce(c.ProductType, '') <> '' or coalesce(c.Level4_ProductGroup, '') <> ''
+                 then '  Type: ' || coalesce(c.ProductType, '') || ' | Group: ' || coalesce(c.Level4_ProductGroup, '') || chr(10)
+                 else '' end"""
+    top = """'Top ' || count(*) || ' results:' || chr(10) || chr(10)"""
+    safe_top = """'Top ' || count(*) || ' results' || chr(10)
+         || 'Blocked text keywords: [''anvil'', ''bolt'']' || chr(10)
+         || 'Blocked type keywords: [''promo'', ''group 1'']' || chr(10) || chr(10)"""
     return f"""
-{hits}_lines as (select h.query, h.rk, {line} as line from {hits} h join {catalog} c on c.product_id = h.product_id),
-{hits}_rep as (select '{model}' as model, query, cast(count(*) as bigint) as n_hits,
-       {" || ".join(head)} || string_agg(line, '' order by rk) as report
-from {hits}_lines group by query)"""
+{hits}_lines as (
+  select h.query, h.rk,
+         '#' || h.rk || ' (score=' || printf('%.4f', h.score) || ')' || chr(10)
+         || '  Name: ' || coalesce(c.ProductName, c.product_text)
+         || case when coalesce(c.BrandName, '') <> '' then ' [' || c.BrandName || ']' else '' end || chr(10){type_line if safe else ""}
+         || '  Text: ' || coalesce(c.product_text, '') || chr(10) || chr(10) as line
+  from {hits} h join catalog c on c.product_id = h.product_id),
+{hits}_rep as (
+  select '{model}' as model, query, cast(count(*) as bigint) as n_hits,
+         'Query: ' || query || chr(10) || 'Model: {model}' || chr(10) || {safe_top if safe else top}
+         || string_agg(line, '' order by rk) as report
+  from {hits}_lines group by query)"""
 
 
 def _reports(catalog: DataFrame, hits: DataFrame, model: str, safe: bool, tkw=(), ykw=()) -> DataFrame:
@@ -801,7 +788,7 @@ def _reports(catalog: DataFrame, hits: DataFrame, model: str, safe: bool, tkw=()
     "A11 B13 G3",
     _safe_sql(BLOCK_TEXT, BLOCK_TYPE, REPORT_K)
     + ","
-    + _report_sql("hashing-64", True, tkw=BLOCK_TEXT, ykw=BLOCK_TYPE)
+    + _report_sql("hashing-64", True)
     + "\nselect * from hits_rep",
 )
 def q_search_report_text(spark, sf):
@@ -810,21 +797,20 @@ def q_search_report_text(spark, sf):
     return _reports(catalog, hits, "hashing-64", True, BLOCK_TEXT, BLOCK_TYPE)
 
 
-def _prompt_sql() -> str:
-    cols = {
-        "query": f"coalesce(a.query, '{NO_QUERY_TEXT}')",
-        "label_a": "a.model",
-        "text_a": "a.report",
-        "label_b": "b.model",
-        "text_b": "b.report",
-    }
-    parts = []
-    for lit, field in template_pieces():
-        if lit:
-            parts.append("'" + lit.replace("'", "''") + "'")
-        if field:
-            parts.append(cols[field])
-    return " || ".join(parts)
+#: The judge's prompt, spelled out line by line.
+_PROMPT_SQL = '''concat_ws(chr(10),
+  'You compare two ranked lists of e-commerce search results for one shopper query.', '',
+  'Query:', '"""' || coalesce(a.query, 'UNKNOWN (no explicit query provided).') || '"""', '',
+  '=== List from ' || a.model || ' ===', a.report, '',
+  '=== List from ' || b.model || ' ===', b.report, '',
+  'Give each list a whole number from 0 (worst) to 10 (best) for each of these four:',
+  'relevance, diversity, usefulness, safety.', '',
+  'Reply with JSON only, shaped exactly like this:',
+  '{"query": "...", "model_a_label": "' || a.model || '", "model_b_label": "' || b.model || '",',
+  ' "scores": {"model_a": {"relevance": 0, "diversity": 0, "usefulness": 0, "safety": 0},',
+  '            "model_b": {"relevance": 0, "diversity": 0, "usefulness": 0, "safety": 0}},',
+  ' "overall_better": "model_a | model_b | tie",',
+  ' "explanation": "one or two sentences"}', '')'''
 
 
 @register(
@@ -836,7 +822,7 @@ def _prompt_sql() -> str:
     + """,
 reps as (select * from h64_rep union all select * from h32_rep)
 select a.query, a.model as model_a, b.model as model_b, """
-    + _prompt_sql()
+    + _PROMPT_SQL
     + """ as prompt
 from reps a join reps b on a.query = b.query and a.model < b.model""",
 )

@@ -66,6 +66,9 @@ def test_user_workflow(spark, tmp_out):
     n_q = queries.count()
     answer = '{"scores":{"model_a":{"relevance":6},"model_b":{"relevance":7}},"overall_better":"model_b"}'
     verdicts = jobs.judge_reports(spark, f"{tmp_out}/search/reports", stub_judge(answer), f"{tmp_out}/verdicts")
+    kept = [jobs.judge_reports(spark, f"{tmp_out}/search/reports", judge, f"{tmp_out}/{out}", ledger_path=f"{tmp_out}/ledger")
+            for judge, out in ((stub_judge(answer), "kept"), (stub_judge("not asked"), "kept-again"))]
+    assert sorted(map(str, kept[1].collect())) == sorted(map(str, verdicts.collect())) == sorted(map(str, kept[0].collect()))
     assert verdicts.where("verdict_file rlike '^judge_.*__.*__vs__.*[.]json$'").count() == n_q
     assert verdicts.count() == n_q and verdicts.where("parsed_ok and overall_better = 'model_b'").count() == n_q
 
