@@ -89,9 +89,9 @@ from shelfrank.schema import EXPERIMENTS, MODEL_ATTRIBUTES
 from shelfrank.session import materialize, scratch_path
 from shelfrank.sources.adapters import catalog_events, judge_responses, judged_vec, run_documents
 from shelfrank.sources.sinks import read_metrics_docs, write_json
-from shelfrank.sources.tables import read_table
+from shelfrank.sources.tables import read_table, table_glob
 from shelfrank.streaming.maintained import MaintainedTopK, run_maintained
-from shelfrank.streaming.search_stream import run_stream_search
+from shelfrank.streaming.search_stream import HITS, run_stream_search
 
 KS = (1, 5, 10)
 Q = "OriginalQuery"
@@ -1290,9 +1290,11 @@ def q_streaming_search(spark, sf):
     cat = catalog_vectors(catalog_df(spark, sf), enc)
     base = scratch_path(spark, "stream-search")
     run_stream_search(
-        spark, sf, "conversations.parquet", cat, enc, REPORT_K, f"{base}/out", f"{base}/ckpt", f"{base}/catalog"
-    )
-    return round_doubles(spark.read.parquet(f"{base}/out").select("batch_id", "conv_id", "turn", "query", "rank", "product_id", "score"))
+        spark, table_glob(sf, "conversations"), "*", cat, enc, REPORT_K, f"{base}/out", f"{base}/ckpt", f"{base}/catalog",
+        files_per_batch=None,
+    )
+    found = spark.read.schema(HITS).parquet(f"{base}/out")
+    return round_doubles(found.select("batch_id", "conv_id", "turn", "query", "rank", "product_id", "score"))
 
 
 def _maintained_sql() -> str:

@@ -40,6 +40,11 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def table_glob(sf_dir: str, name: str) -> str:
+    """The table's path as a pattern: a stream's source folder, be the table one file or a folder of files."""
+    return f"{sf_dir.rstrip('/')}/{{{name}.parquet}}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Scan one base table; ``columns`` prunes the read schema."""
     schema = BASE_SCHEMAS.get(name)

@@ -19,6 +19,10 @@ from shelfrank.operators.search import catalog_topk
 from shelfrank.sources.tables import BASE_SCHEMAS
 
 
+# Rows of the sink (``batch_id`` is its partition column); a sink without rows has no file to tell them.
+HITS = "query string, conv_id bigint, turn bigint, product_id bigint, score double, rank int, batch_id int"
+
+
 def conversation_queries(stream: DataFrame) -> DataFrame:
     """User turns as queries; blank ones are skipped."""
     return (
@@ -62,19 +66,17 @@ def run_stream_search(
     checkpoint_path: str,
     catalog_path: str,
     available_now: bool = True,
-    files_per_batch: int = 1,
+    files_per_batch: int | None = 1,
 ):
     """Start the streaming search; with ``available_now`` it processes what is
-    there and stops. Returns the finished (or running) StreamingQuery."""
+    there and stops. ``files_per_batch`` None puts all files there into one micro-batch.
+    Returns the finished (or running) StreamingQuery."""
     catalog_vecs.select("product_id", "p_emb", "p_sq").write.mode("overwrite").parquet(catalog_path)
 
-    src = (
-        spark.readStream.schema(BASE_SCHEMAS["conversations"])
-        .option("pathGlobFilter", file_glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(source_dir)
-    )
-    queries = conversation_queries(src)
+    reader = spark.readStream.schema(BASE_SCHEMAS["conversations"]).option("pathGlobFilter", file_glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    queries = conversation_queries(reader.parquet(source_dir))
 
     def per_batch(batch_df: DataFrame, batch_id: int) -> None:
         write_batch(batch_df, batch_id, catalog_path, encoder, k, sink_path)

@@ -97,6 +97,36 @@ def test_streaming_equals_batch(spark):
     assert got.exceptAll(want).count() == 0
 
 
+def _shop(spark, sf, turns, files):
+    """Base tables of a streaming search: four products, one order a segment, conversations as a folder of files."""
+    tables = {
+        "part": ([(i, f"name {i} red", f"Brand#{i}", f"TYPE {i}", i, 1.0) for i in range(1, 5)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "lineitem": ([(o, p, "A", 0.06) for o in (1, 2) for p in range(1, 5)], "l_orderkey long, l_partkey long, l_returnflag string, l_discount double"),
+        "orders": ([(1, 1), (2, 2)], "o_orderkey long, o_custkey long"),
+        "customer": ([(1, "BUILDING"), (2, "MACHINERY")], "c_custkey long, c_mktsegment string"),
+        "conversations": (turns, "conv_id long, turn long, role string, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).repartition(files if name == "conversations" else 1).write.parquet(f"{sf}/{name}.parquet")
+
+
+def test_streaming_search_reads_a_folder_of_files(spark, tmp_out):
+    """A table of many files is one micro-batch, as the SQL has it; nothing of it is left out."""
+    import __spark_entry__ as E
+
+    _shop(spark, tmp_out, [(i, 0, "user" if i % 4 else "assistant", f" red {i} ") for i in range(40)], 3)
+    got = E.queries()["streaming_search"](spark, tmp_out).collect()
+    assert {(r["batch_id"], r["conv_id"]) for r in got} == {(0, i) for i in range(40) if i % 4}
+    assert len(got) == 30 * 4 and {r["product_id"] for r in got if r["rank"] == 1} <= {1, 2, 3, 4}
+
+
+def test_streaming_search_without_user_turns(spark, tmp_out):
+    import __spark_entry__ as E
+
+    _shop(spark, tmp_out, [(1, 0, "assistant", "red"), (2, 0, "user", " ")], 1)
+    assert E.queries()["streaming_search"](spark, tmp_out).collect() == []
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
