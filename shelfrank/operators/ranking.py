@@ -35,6 +35,11 @@ def order_struct(score: str, key: str) -> Column:
     return F.struct(flag.alias("f"), neg.alias("s"), F.col(key).alias("k"))
 
 
+def _ascending(score: str) -> Column:
+    """The score as a double in rank order: negated, and NaN (which sorts last) for NaN or null."""
+    return F.when(_flag(score), F.lit(float("nan"))).otherwise(-F.col(score).cast("double"))
+
+
 def score_pairs(
     pairs: DataFrame,
     q_vec: str,
@@ -82,7 +87,9 @@ def rank_candidates(df: DataFrame, group: str, score: str, key: str, out: str =
     return df.withColumn(out, F.row_number().over(w))
 
 
-def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out: str = "rank", out_type: str = "int") -> DataFrame:
+def rank_candidates_sorted(
+    df: DataFrame, group: str, score: str, key: str, out: str = "rank", out_type: str = "int", keep: Sequence[str] | None = None
+) -> DataFrame:
     """G1, skew-proof: exact rank by a segmented scan, without sorting any group in one task.
 
     1. A global sort on (group, order) is range-partitioned from a sample of
@@ -98,10 +105,11 @@ def rank_candidates_sorted(df: DataFrame, group: str, score: str, key: str, out:
     from shelfrank.session import materialize, ship_package
 
     ship_package(df.sparkSession)
-    flag = _flag(score)
-    s = df.withColumn("_f", flag).withColumn("_s", F.when(flag, F.lit(0.0)).otherwise(-F.col(score).cast("double")))
-    keys = [group, "_f", "_s", key]
-    srt = s.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_f", "_s")
+    s = df.withColumn("_o", _ascending(score))
+    keys = [group, "_o", key]
+    if keep is not None:
+        s = s.select(*dict.fromkeys([*keep, *keys]))
+    srt = s.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*(df.columns if keep is None else keep))
     schema = T.StructType([*srt.schema.fields, T.StructField("_pid", T.LongType()), T.StructField("_local", T.LongType())])
     rows = materialize(srt.mapInArrow(_numbered(srt.columns.index(group)), schema))
     ends = rows.groupBy("_pid").agg(F.min(F.struct(group)).alias("_first"), F.max(F.struct(group, "_local")).alias("_last"))
@@ -148,19 +156,41 @@ def best_rank(df: DataFrame, group: str, score: str, key: str, rel: str = "relev
     """0-based rank of the best-ranked candidate whose label equals 1.
 
     The least rank among such candidates, from the segmented scan over the
-    four columns; groups without one are left out.
+    four columns; groups without one are left out. Only rows that may stand before a
+    group's best one are sorted: a batch's rows behind its own best one are dropped first,
+    and what is left is written once.
     """
-    ranked = rank_candidates_sorted(df.select(group, score, key, rel), group, score, key, "_rk")
+    from shelfrank.session import materialize, ship_package
+
+    ship_package(df.sparkSession)
+    rows = df.select(group, score, key, rel)
+    marked = rows.select("*", _ascending(score).alias("_o"), F.coalesce(F.col(rel) == 1, F.lit(False)).alias("_hit"))
+    ahead = materialize(marked.mapInArrow(_ahead_of_best, rows.schema))  # the sort's sampling would run the input twice
+    ranked = rank_candidates_sorted(ahead, group, score, key, "_rk", keep=[group, rel])
     return ranked.where(F.col(rel) == 1).groupBy(group).agg((F.min("_rk") - 1).cast("int").alias("best_rank"))
 
 
+def _ahead_of_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function over group, score, key, label, ``_o``, ``_hit``: without the rows whose score is below that of
+    a hit of their group in the same batch. All that rank before the group's best hit stay, and it itself."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        group = pc.dictionary_encode(b.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        place = np.nan_to_num(b.column(4).to_numpy(), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        hit = b.column(5).to_numpy(zero_copy_only=False)
+        best = np.full(int(group.max()) + 1, np.inf)
+        np.minimum.at(best, group[hit], place[hit])
+        yield b.select(range(4)).filter(pa.array(place <= best[group]))
+
+
 def ranked_relevances(
     df: DataFrame, group: str, score: str, key: str, rel: str = "relevant", chunk: int = 1000
 ) -> DataFrame:
     """Labels in rank order per group, as bounded chunks of ``chunk`` ranks
     (``group, chunk_no, relevances``). No group is ever collected whole, and
     the ranking itself is the skew-proof sorted form."""
-    r = rank_candidates_sorted(df.select(group, score, key, rel), group, score, key, "_rk")
+    r = rank_candidates_sorted(df.select(group, score, key, rel), group, score, key, "_rk", keep=[group, rel])
     return (
         r.withColumn("chunk_no", ((F.col("_rk") - 1) / F.lit(chunk)).cast("long").cast("int"))
         .groupBy(group, "chunk_no")

@@ -270,6 +270,35 @@ def test_rankings_join_nothing_on_the_group(spark, name):
     assert joins and all("_pid" in line and "q#" not in line for line in joins)
 
 
+def test_best_rank_sorts_only_rows_ahead_of_a_hit(spark):
+    """One query, every third candidate relevant: of 3000 rows a batch keeps those down to its first hit."""
+    import pyarrow as pa
+
+    from shelfrank.operators.ranking import _ahead_of_best
+
+    rows = [("q", -o, i, int(i % 3 == 2), o, i % 3 == 2) for i, o in enumerate(map(float, range(3000)))]
+    batch = pa.RecordBatch.from_pylist([dict(zip("gskroh", r, strict=True)) for r in rows])
+    [kept] = _ahead_of_best([batch])
+    assert kept.column(2).to_pylist() == [0, 1, 2] and kept.schema.names == list("gskr")
+
+
+def test_best_rank_equals_the_windows_least_rank(spark):
+    """Null and NaN scores, infinities, null groups and labels, ties; batches of 7 rows."""
+    scores = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.5, 2.0]
+    rows = [(("a", "b", None, "c")[i % 4], i, scores[(i * 7) % 8], (0, 0, 1, None, 0)[i % 5] if i % 4 < 3 else 0) for i in range(400)]
+    rows += [("late", i, float("nan") if i < 5 else None, int(i == 8)) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    ranked = rank_candidates(df, "q", "score", "pid").where("relevant = 1").collect()
+    want = {r["q"]: min(x["rank"] for x in ranked if x["q"] == r["q"]) - 1 for r in ranked}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = {r["q"]: r["best_rank"] for r in best_rank(df, "q", "score", "pid").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want and set(got) == {"a", "b", None, "late"}
+
+
 @pytest.mark.parametrize("graded", [False, True])
 def test_judged_pairs_are_the_ordered_sums_of_all_pairs(spark, tmp_out, graded):
     """Odd vectors and labels, ids twice; scores equal the row-wise dot bit for bit, and no pair carries vectors."""
