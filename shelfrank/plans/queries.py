@@ -1207,8 +1207,7 @@ def q_leaderboard(spark, sf):
     for dim, exp in ((64, "hash64_test"), (32, "hash32_test")):
         s = evaluate(scored_text_candidates(test, HashingEncoder(dim)), Q, "product_id", ks=KS)
         docs.append(_metrics_doc(s, exp))
-    vec = judged_vec(spark, sf)
-    st = query_stats(vec, "query_id", "product_id", ks=KS)
+    st = materialize(query_stats(judged_vec(spark, sf), "query_id", "product_id", ks=KS))  # one row a query, read twice
 
     texts = (
         st.agg((F.count_if(F.col("num_positives") > 0) + F.sum(F.when(F.col("num_positives") > 0, F.col("num_products")).otherwise(0))).alias("t"))
