@@ -15,12 +15,16 @@ The boundary is the size up to which listing subsets costs less than scanning.
 Equal sets are one class. A list isn't turned into all its pairs: first its
 members are held against one of them, the links make components, and only
 members of different components go on, the last time all of them.
+
+A pair that shares a key is first held against the two sets' parity bits, one
+for each hash bucket: buckets of odd difference are shingles that only one of
+the two has, so too many of them rule the link out. Texts are read for the rest.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,36 +51,51 @@ MOST_SMALL = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Sorted 64-bit shingle sets of texts; codes of shorter words are remembered, up to a limit (64 MB at most)."""
-
-    LIMIT, LONGEST = 100_000, 256
-
-    def __init__(self):
-        self.codes: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted 64-bit shingles of a text."""
+    import xxhash
 
-        words = (text or "").encode().lower().split()  # bytes: only A-Z and the six white space characters
-        if not words:
-            return np.empty(0, np.uint64)
-        codes = self.codes
-        if len(codes) > self.LIMIT:
-            codes.clear()
-        fresh = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(codes)}
-        c = np.fromiter((codes[w] if w in codes else fresh[w] for w in words) if fresh else map(codes.__getitem__, words), np.uint64, len(words))
-        codes.update((w, x) for w, x in fresh.items() if len(w) <= self.LONGEST)
-        if len(c) < WORDS:
-            h = np.full(1, len(c), np.uint64)
-            for v in c:
-                h = mix64(h * _MUL + v)
-            return h
-        k = len(c) - WORDS + 1
-        h = c[:k].copy()
-        for j in range(1, WORDS):
-            h = h * _MUL + c[j : j + k]
-        return np.unique(mix64(h))
+    words = (text or "").encode().lower().split()  # bytes: only A-Z and the six white space characters
+    if not words:
+        return np.empty(0, np.uint64)
+    c = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
+    if len(c) < WORDS:
+        h = np.full(1, len(c), np.uint64)
+        for v in c:
+            h = mix64(h * _MUL + v)
+        return h
+    k = len(c) - WORDS + 1
+    h = c[:k].copy()
+    for j in range(1, WORDS):
+        h = h * _MUL + c[j : j + k]
+    return distinct(mix64(h))[0]
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of a non-empty array, and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each hash bucket, set where the bucket holds an odd number of the
+    set's shingles. The buckets are the next power of two from the set's size on."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_linked(n_a: int, p_a: bytes, n_b: int, p_b: bytes) -> bool:
+    """False if the parities rule a link out: two sets that link differ in a seventh
+    of their shingles at most, and each bucket of odd difference takes one of these."""
+    if len(p_a) > len(p_b):
+        p_a, p_b = p_b, p_a
+    a, b, bits = int.from_bytes(p_a, "little"), int.from_bytes(p_b, "little"), 8 * len(p_b)
+    while bits > 8 * len(p_a):  # half the buckets: each is the sum of two
+        bits //= 2
+        b = (b >> bits) ^ (b & ((1 << bits) - 1))
+    return 7 * (a ^ b).bit_count() <= n_a + n_b
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
@@ -96,9 +115,9 @@ def linked(overlap: int, n_a: int, n_b: int) -> bool:
     return 100 * overlap >= 75 * (n_a + n_b - overlap)
 
 
-def in_order(s: np.ndarray, frequent: np.ndarray, place: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+def in_order(s: np.ndarray, frequent: np.ndarray, place: np.ndarray, by_place: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``take`` of a set in the global order: shingles that aren't frequent
-    by hash, then frequent ones by count; and the place among the frequent, or -1."""
+    by hash, then frequent ones by count (``by_place``); and the place among the frequent, or -1."""
     at = np.searchsorted(frequent, s) if len(frequent) else np.zeros(len(s), np.int64)
     at[at == len(frequent)] = 0
     known = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
@@ -106,8 +125,6 @@ def in_order(s: np.ndarray, frequent: np.ndarray, place: np.ndarray, take: int)
     if len(rare) >= take:
         return rare[:take], np.full(take, -1)
     places = np.sort(place[at[known]])[: take - len(rare)]
-    by_place = np.empty(len(frequent), np.uint64)
-    by_place[place] = frequent
     return np.concatenate([rare, by_place[places]]), np.concatenate([np.full(len(rare), -1), places])
 
 
@@ -116,21 +133,21 @@ def _signed(a) -> pa.Array:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: id, set size and set id. Kind 1: shingles frequent in a run and their counts."""
-    shingles, seen, run, size = Shingler(), set(), [], 0
+    """Rows of kind 0: id, set size, set id and parities. Kind 1: shingles frequent in a run and their counts."""
+    seen, run, size = set(), [], 0
 
     def counted():
-        u, c = np.unique(np.concatenate(run), return_counts=True)
+        u, c = distinct(np.concatenate(run))
         u, c = u[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32()), _signed(u), pa.array(c.astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32()), _signed(u), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.binary())], names=names)
 
-    names = ["kind", "k", "n", "h1", "h2"]
+    names = ["kind", "k", "n", "h1", "h2", "odd"]
     for b in batches:
         out = []
         for text in b.column(1):
-            s = shingles(text.as_py())
+            s = shingle_set(text.as_py())
             i = set_id(s)
-            out.append((len(s), *i))
+            out.append((len(s), *i, parities(s) if len(s) else None))
             if len(s) and i[0] not in seen:  # copies in a task count once
                 if len(seen) > MOST_SEEN:
                     seen.clear()
@@ -140,8 +157,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= LOCAL_RUN:
                     yield counted()
                     run, size = [], 0
-        n, h1, h2 = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(out), np.int32)), b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=names)
+        n, h1, h2, odd = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(out), np.int32)), b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(odd, pa.binary())], names=names)
     if run:
         yield counted()
 
@@ -180,12 +197,18 @@ def boundary(sizes: dict[int, int], counts: np.ndarray, total: int) -> int:
     return best + 1
 
 
+@functools.cache
+def _twos(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both places of every 2-subset of ``n`` (at most ``MOST_SMALL``)."""
+    return np.triu_indices(n, 1)
+
+
 def _postings(small: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of each set: subsets of small ones, single shingles of large ones."""
     frequent, place, counts = shared.value
-    count_at = np.empty(len(counts), np.int64)
-    count_at[place] = counts
-    shingles, seen = Shingler(), set()
+    count_at, by_place = np.empty(len(counts), np.int64), np.empty(len(frequent), np.uint64)
+    count_at[place], by_place[place] = counts, frequent
+    seen = set()
     for b in batches:
         keys, salts, ids, ns, poss = [], [], [], [], []
 
@@ -197,7 +220,7 @@ def _postings(small: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator
             poss.append(pos)
 
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            s = shingles(text.as_py())
+            s = shingle_set(text.as_py())
             n = len(s)
             if doc is None or not n or (i := set_id(s)) in seen:
                 continue
@@ -205,10 +228,10 @@ def _postings(small: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator
                 seen.clear()
             seen.add(i)
             p = n - needed(n) + 1
-            first, where = in_order(s, frequent, place, min(n, p + 1))
+            first, where = in_order(s, frequent, place, by_place, min(n, p + 1))
             if n < small and len(first) > 1:
-                two = np.array(list(combinations(range(len(first)), 2)))
-                k = mix64(mix64(first[two[:, 0]]) * _MUL + first[two[:, 1]])
+                one, two = _twos(len(first))
+                k = mix64(mix64(first[one]) * _MUL + first[two])
                 put(k, np.zeros(len(k), np.int32), doc, n, np.zeros(len(k), np.int32))
             if 4 * n >= 3 * small:
                 k, w = first[:p], where[:p]
@@ -239,14 +262,21 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, given = b.slice(b.num_rows - 1), bool(keep[-1])
 
 
+def _compare_parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [may_be_linked(*x) for x in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles, held = Shingler(), {}
+    held = {}
     for b in batches:
         out = []
         for a, c, ta, tc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            if a not in held or held[a][0] != (text := ta.as_py()):
-                held = {a: (ta.as_py(), shingles(ta.as_py()))}
-            x, y = held[a][1], shingles(tc.as_py())
+            text = ta.as_py()
+            if a not in held or held[a][0] != text:
+                held = {a: (text, shingle_set(text))}
+            x, y = held[a][1], shingle_set(tc.as_py())
             if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                 out.append((a, c))
         cols = list(zip(*out, strict=True)) or [[], []]
@@ -262,12 +292,17 @@ def _may_link(prefix_a: str, prefix_b: str):
 class _Links:
     """Components of the verified links so far (``comps``; none before the first ``add``)."""
 
-    def __init__(self, texts: DataFrame, edges: DataFrame):
-        self.texts, self.edges, self.comps = texts, edges, None
+    def __init__(self, docs: DataFrame, odds: DataFrame, edges: DataFrame):
+        self.docs, self.odds, self.edges, self.comps = docs, odds, edges, None
 
     def add(self, pairs: DataFrame) -> None:
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = p.join(self.texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(self.texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        sets = [self.odds.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"o_{x}")) for x in "ab"]
+        near = python_ready(p.join(sets[0], "a").join(sets[1], "b").select("a", "b", "n_a", "o_a", "n_b", "o_b"))
+        p = written(near.mapInArrow(_compare_parities, "a long, b long").distinct(), "jaccard-near")  # ids may repeat
+        ids = p.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        texts = written(self.docs.join(ids, "k", "left_semi"), "jaccard-texts")  # of these pairs only
+        both = p.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
         found = written(python_ready(both.select("a", "b", "ta", "tb")).mapInArrow(_verify, "a long, b long"), "jaccard-edges")
         self.comps = components(self.edges.unionByName(found))
         self.edges = self.comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
@@ -303,11 +338,9 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     one node with the links of all its texts; rows with a null id get a null
     component. An empty table gives an empty result; extra columns are not read.
     """
-    import functools
-
     spark = docs.sparkSession
     slim = python_ready(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")))
-    profile = written(slim.mapInArrow(_profile, "kind int, k long, n int, h1 long, h2 long"), "jaccard-profile")
+    profile = written(slim.mapInArrow(_profile, "kind int, k long, n int, h1 long, h2 long, odd binary"), "jaccard-profile")
     rows = profile.where("kind = 0")
     classes = rows.where("n > 0 and k is not null").groupBy("h1", "h2").agg(F.min("k").alias("rep"))
     member = written(rows.join(classes, ["h1", "h2"], "left").select("k", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("k")).alias("rep")), "jaccard-members")
@@ -324,9 +357,9 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     nodes = member.where("n > 0 and k is not null").select("k", "rep").distinct()
     lists = written(lists.join(nodes, "k").select("key", F.col("rep").alias("k"), "n", "pos").distinct(), "jaccard-class-lists")
     wanted = written(lists.select("k").distinct(), "jaccard-wanted")
-    texts = written(slim.join(wanted, "k", "left_semi"), "jaccard-texts")
+    odds = written(rows.where("n > 0").select("k", "n", "odd").join(wanted, "k", "left_semi"), "jaccard-odds")
     same_id = nodes.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links = _Links(texts, same_id)
+    links = _Links(slim, odds, same_id)
     for r in range(PIVOT_ROUNDS + 1):
         lists = _open_rows(lists.select("key", "k", "n", "pos"), links.comps)  # a closed list stays closed
         if r == PIVOT_ROUNDS:

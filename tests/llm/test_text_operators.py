@@ -134,6 +134,51 @@ def test_jaccard_on_families_of_copies(spark, seed):
 PARTS_LIKE = ["zeta", "eta", "theta", "iota"]
 
 
+def test_jaccard_parities_rule_out_no_link():
+    """Sets of all sizes up to a bucket's step and over it: what links passes, and sets far apart don't, so few texts are read."""
+    rng = np.random.default_rng(3)
+    passed = 0
+    for n in [1, 2, 3, 7, 40, 63, 64, 65, 300, 512, 513, 700, 1025, 5000]:
+        for share in (0.0, 0.5, 0.74, 0.8, 0.9, 1.0):
+            for m in {n, max(1, round(n * 0.76)), round(n * 1.3)}:
+                both = rng.integers(0, 1 << 64, max(n, m) * 2, np.uint64)
+                common = round(share * min(n, m))
+                a, b = both[:n], np.concatenate([both[:common], both[n : n + m - common]])
+                near = jaccard_join.may_be_linked(n, jaccard_join.parities(a), m, jaccard_join.parities(b))
+                if jaccard_join.linked(common, n, m):
+                    assert near
+                elif share <= 0.5 and n >= 40:
+                    passed += near
+    assert passed == 0
+
+
+def test_jaccard_texts_are_read_for_near_pairs_only(spark, monkeypatch):
+    """Texts that share a rare passage meet in the lists; their parities keep them from the join with the texts."""
+    rng = random.Random(9)
+
+    def fresh(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    rows = []
+    for i in range(0, 60, 2):
+        passage = fresh(20)
+        rows += [(i, f"{fresh(60)} {passage}"), (i + 1, f"{fresh(60)} {passage}")]
+    base = fresh(80)
+    rows += [(100, f"{base} end"), (101, f"{base} fin")]
+    counted, plain = [], jaccard_join.written
+
+    def count(df, name):
+        out = plain(df, name)
+        counted.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", count)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(60)}, 100: 100, 101: 100}
+    assert sum(n for name, n in counted if name == "jaccard-open") > 10
+    assert sum(n for name, n in counted if name == "jaccard-texts") == 2
+
+
 def test_one_of_each_group_stays(docs, no_docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns and jaccard_join.keep_one(no_docs).count() == 0
