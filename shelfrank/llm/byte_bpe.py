@@ -191,15 +191,17 @@ def _tables(*names: str) -> Column:
 
 
 def dictionary(docs: DataFrame, tables: Tables, *, text: str, pattern: str, limit: int) -> DataFrame:
-    """One row: the frequent words' ids in hashed buckets."""
-    spark = docs.sparkSession
+    """One row: the frequent words' ids in hashed buckets. Tasks fold the words and
+    one of them puts the row together, so the driver only passes it on."""
     words = frequent_words(docs, text, pattern, limit)
     bound = _with_tables(words, pairs=tables.pairs, tokens=tables.tokens, bytes=tables.bytes)
-    folded = bound.select("word", F.get(F.transform(_tables("pairs", "tokens", "bytes"), lambda t: fold_word(F.col("word").cast("binary"), t)), F.lit(0)).alias("ids"))
-    rows = folded.withColumn("bucket", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WORD_BUCKETS)).cast("int")).toArrow().combine_chunks()
-    if not rows.num_rows:  # at most ``limit`` short words
-        return _bucketed(spark, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, np.int64), WORD_BUCKETS)
-    return _bucketed(spark, rows["word"].chunk(0), rows["ids"].chunk(0), rows["bucket"].to_numpy(), WORD_BUCKETS)
+    ids = F.get(F.transform(_tables("pairs", "tokens", "bytes"), lambda t: fold_word(F.col("word").cast("binary"), t)), F.lit(0))
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WORD_BUCKETS)).cast("int")
+    folded = written(bound.select(bucket.alias("bucket"), F.struct("word", ids.alias("ids")).alias("entry")), "bpe-dictionary")
+    none = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast(folded.schema["entry"].dataType).alias("entry"))
+    buckets = folded.unionAll(none).groupBy("bucket").agg(F.collect_list("entry").alias("entries"))  # without the nulls
+    row = F.sort_array(F.collect_list(F.struct("bucket", "entries")))  # at most ``limit`` short words
+    return buckets.agg(F.transform(row, lambda b: F.map_from_entries(b["entries"])).alias("t"))
 
 
 def _long_words(ranks_bytes, pattern: str):

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -43,6 +44,26 @@ def test_bpe_equals_tiktoken_and_round_trips(docs):
     assert sorted(((r[0], list(r[1])) for r in few.collect()), key=repr) == [w[:2] for w in want]
 
 
+def test_bpe_dictionary_is_put_together_by_tasks(spark, monkeypatch):
+    """The words' ids lie in their buckets, and no word passes through the driver's Python."""
+    rows = spark.createDataFrame([(0, "some words come twice, others <|x|> once"), (1, "some words come twice \u00e9t\u00e9"), (2, " \u00e9t\u00e9 words"), (3, None)], "doc_id long, text string")
+    tables = byte_bpe.Tables(spark, byte_bpe.parse_ranks(RANKS))
+
+    def refuse(*_):
+        raise AssertionError("words on the driver")
+
+    monkeypatch.setattr(type(rows), "toArrow", refuse)
+    monkeypatch.setattr(type(rows), "toPandas", refuse)
+    one = byte_bpe.dictionary(rows, tables, text="text", pattern=P.PATTERN, limit=100)
+    buckets = one.select(F.size("t").alias("n"), F.filter(F.transform("t", lambda m, i: F.struct(i.alias("i"), m.alias("m"))), lambda x: F.size(x["m"]) > 0).alias("full")).collect()
+    assert len(buckets) == 1 and buckets[0]["n"] == byte_bpe.WORD_BUCKETS
+    got = {w: (x["i"], list(ids)) for x in buckets[0]["full"] for w, ids in x["m"].items()}
+    twice = ["some", " words", " come", " twice", " \u00e9t\u00e9"]
+    assert got == {w: (zlib.crc32(w.encode()) % byte_bpe.WORD_BUCKETS, tiktoken_ids(w)) for w in twice}
+    none = byte_bpe.dictionary(rows, tables, text="text", pattern=P.PATTERN, limit=0)
+    assert none.select(F.size("t"), F.size(F.filter("t", lambda m: F.size(m) > 0))).first()[:] == (byte_bpe.WORD_BUCKETS, 0)
+
+
 def test_bpe_words_around_the_longest_fold(spark):
     texts = [" \u3000" * 200, "\u3000 " * 129 + "x", "\t\u2003\n" * 120, *[c * n for c in ("a", "\u00e9", "\U0001f600", "=") for n in (1, 2, 3, 5, 8, 63, 64, 65, 127, 128, 255, 256, 257)], " " + "\U0001f600" * 64]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
