@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.session import scratch_path, ship_package
@@ -52,3 +52,26 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def uniform_bits(*cols, bits: int, seed: int = 0):
     """The top ``bits`` of a 64-bit hash of ``cols``, as a long column."""
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 64 - bits)
+
+
+#: Bits that stand for one id, and the most longs that hold such bits (2 MB).
+ID_BITS, MOST_LONGS = 16, 1 << 18
+
+
+def maybe_among(key: Column, ids: DataFrame, name: str = "k") -> Column:
+    """True for every ``key`` (long) that ``ids`` holds, and for few others: a look-up in
+    hashed bits. Their number follows the ids up to a bound, beyond which more
+    others pass. It spares a join's shuffle, but a join must still decide."""
+    longs = min(MOST_LONGS, 1 << max(0, ids.count() * ID_BITS // 64).bit_length())
+
+    def at(c):
+        h = F.pmod(F.xxhash64(c), F.lit(64 * longs))
+        return F.shiftright(h, 6).cast("int"), h.bitwiseAND(63).cast("int")
+
+    place, bit = at(F.col(name).cast("long"))
+    there = ids.select(place.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    none = ids.sparkSession.range(longs).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = there.unionAll(none).groupBy("w").agg(F.bit_or("b").alias("b"))
+    row = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("t"))  # at most MOST_LONGS
+    place, bit = at(key)
+    return F.bit_get(F.get(row.scalar(), place), bit) == 1

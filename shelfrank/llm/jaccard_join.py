@@ -18,7 +18,9 @@ members of different components go on, the last time all of them.
 
 A pair that shares a key is first held against the two sets' parity bits, one
 for each hash bucket: buckets of odd difference are shingles that only one of
-the two has, so too many of them rule the link out. Texts are read for the rest.
+the two has, so too many of them rule the link out. Texts are read for the rest;
+bits of fixed number that stand for the ids asked for keep nearly all other texts
+out of the shuffles.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import mix64, python_ready, written
+from shelfrank.llm.common import maybe_among, mix64, python_ready, written
 from shelfrank.llm.components import components
 
 WORDS = 5
@@ -300,28 +302,29 @@ class _Links:
         sets = [self.odds.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"o_{x}")) for x in "ab"]
         near = python_ready(p.join(sets[0], "a").join(sets[1], "b").select("a", "b", "n_a", "o_a", "n_b", "o_b"))
         p = written(near.mapInArrow(_compare_parities, "a long, b long").distinct(), "jaccard-near")  # ids may repeat
-        ids = p.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        texts = written(self.docs.join(ids, "k", "left_semi"), "jaccard-texts")  # of these pairs only
+        ids = written(p.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "jaccard-ids")
+        texts = written(self.docs.where(maybe_among(F.col("k"), ids)).join(ids, "k", "left_semi"), "jaccard-texts")  # of these pairs only
         both = p.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
         found = written(python_ready(both.select("a", "b", "ta", "tb")).mapInArrow(_verify, "a long, b long"), "jaccard-edges")
         self.comps = components(self.edges.unionByName(found))
         self.edges = self.comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
 
-def _open_rows(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members of lists that hold several components, with their component."""
+def _open_rows(lists: DataFrame, comps: DataFrame | None, order: Column | None = None) -> DataFrame:
+    """Members of lists that hold several components, with their component, and
+    with the member of the list that is first by ``order``, if given (``v_``)."""
     if comps is None:
         rows = lists.withColumn("comp", F.col("k"))
     else:
         rows = lists.join(comps, lists["k"] == comps["node"], "left").select("key", "k", "n", "pos", F.coalesce("comp", "k").alias("comp"))
-    open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    pivot = [] if order is None else [F.min(F.struct(order.alias("o"), "k", "n", "pos", "comp")).alias("v")]
+    open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *pivot).where("lo < hi")
+    open_keys = open_keys.select("key", *[F.col(f"v.{c}").alias(f"v_{c}") for c in ("k", "n", "pos", "comp") if pivot])
     return written(rows.join(open_keys, "key"), "jaccard-open")
 
 
-def _pivot_pairs(rows: DataFrame, order) -> DataFrame:
-    pivot = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "k", "n", "pos", "comp")).alias("v"))
-    pivot = pivot.select("key", F.col("v.k").alias("v_k"), F.col("v.n").alias("v_n"), F.col("v.pos").alias("v_pos"), F.col("v.comp").alias("v_comp"))
-    return rows.join(pivot, "key").where((F.col("comp") != F.col("v_comp")) & _may_link("", "v_")).select(F.col("k").alias("a"), F.col("v_k").alias("b"))
+def _pivot_pairs(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("comp") != F.col("v_comp")) & _may_link("", "v_")).select(F.col("k").alias("a"), F.col("v_k").alias("b"))
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
@@ -360,12 +363,10 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     odds = written(rows.where("n > 0").select("k", "n", "odd").join(wanted, "k", "left_semi"), "jaccard-odds")
     same_id = nodes.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = _Links(slim, odds, same_id)
-    for r in range(PIVOT_ROUNDS + 1):
-        lists = _open_rows(lists.select("key", "k", "n", "pos"), links.comps)  # a closed list stays closed
-        if r == PIVOT_ROUNDS:
-            links.add(_all_pairs(lists))
-        else:
-            links.add(_pivot_pairs(lists, F.col("k") if r == 0 else F.xxhash64("key", "k", F.lit(r))))
+    for r in range(PIVOT_ROUNDS):
+        lists = _open_rows(lists.select("key", "k", "n", "pos"), links.comps, F.col("k") if r == 0 else F.xxhash64("key", "k", F.lit(r)))  # a closed list stays closed
+        links.add(_pivot_pairs(lists))
+    links.add(_all_pairs(_open_rows(lists.select("key", "k", "n", "pos"), links.comps)))
     comps = links.comps
     out = member.join(comps, member["rep"] == comps["node"], "left")
     return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
@@ -380,6 +381,11 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     found = written(found.select(F.col(key).alias("j_key"), (F.col(key) == F.col("component_id")).alias("j_first")), "jaccard-kept")
     # one row an id; ``n`` is over 1 where several rows share it
     first = found.where("j_first").groupBy("j_key").agg(F.count("*").alias("n"))
-    once = docs.join(first.where("n = 1"), docs[key] == F.col("j_key"), "left_semi")
-    shared = docs.join(first.where("n > 1"), docs[key] == F.col("j_key"), "left_semi").dropDuplicates([key])
-    return once.unionByName(shared).unionByName(docs.where(docs[key].isNull()))
+    # an id with one row only, the first of its component, isn't asked about: its row stays where it is
+    asked = found.where("j_key is not null").groupBy(F.col("j_key").alias("k")).agg(F.every("j_first").alias("first"), F.count("*").alias("n"))
+    asked = written(asked.where("not first or n > 1").select(F.col("k").cast("long").alias("k")), "jaccard-asked")
+    maybe = maybe_among(docs[key].cast("long"), asked)
+    some = docs.where(docs[key].isNotNull() & maybe)
+    once = some.join(first.where("n = 1"), some[key] == F.col("j_key"), "left_semi")
+    shared = some.join(first.where("n > 1"), some[key] == F.col("j_key"), "left_semi").dropDuplicates([key])
+    return docs.where(docs[key].isNotNull() & ~maybe).unionByName(once).unionByName(shared).unionByName(docs.where(docs[key].isNull()))

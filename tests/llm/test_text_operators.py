@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfrank.llm import byte_bpe, jaccard_join, masked_lm, token_counts
+from shelfrank.llm.common import maybe_among
 from shelfrank.llm.queries import QUERIES, tokenizer_bytes
 from tests.conftest import SF001
 from tests.llm.conftest import docs_rows, words
@@ -200,6 +201,48 @@ def test_jaccard_texts_are_read_for_near_pairs_only(spark, monkeypatch):
     assert sum(n for name, n in counted if name == "jaccard-texts") == 2
 
 
+def test_ids_in_hashed_bits(spark):
+    """Every id asked for passes, few others do, with any number of bits."""
+    rng = random.Random(5)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    rows = spark.createDataFrame([(i,) for i in ids + list(range(20000))] + [(None,)], "k long")
+    asked = spark.createDataFrame([(i,) for i in ids], "k long")
+    passed = {r["k"] for r in rows.where(maybe_among(F.col("k"), asked)).collect()}
+    assert set(ids) <= passed and len(passed) < 3000 + 4000 and None not in passed
+    assert rows.where(maybe_among(F.col("k"), asked.where("false"))).count() == 0
+
+
+def test_jaccard_shuffles_no_texts_of_other_documents(spark, monkeypatch):
+    """Where ids are too many for a broadcast, texts that no pair asks for stay out of the joins' shuffles."""
+    rng = random.Random(11)
+
+    def fresh(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    base, twin = fresh(80), fresh(40)
+    rows = [(i, fresh(40)) for i in range(300)] + [(1000, base), (1001, f"{base} end"), (1002, twin), (1002, twin), (1003, twin), (None, base), (None, base)]
+    joined, plain = {}, jaccard_join.written
+
+    def filters(df):
+        """Filters of a plan that look up the hashed bits."""
+        return sum("bit_get" in line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line)
+
+    def see(df, name):
+        joined.setdefault(name, []).append(filters(df))
+        return plain(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", see)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+        assert got == [(False, i) for i in [*range(300), 1000, 1002]] + [(True, 0)] * 2
+        assert all(joined["jaccard-texts"]) and filters(kept) >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_of_each_group_stays(docs, no_docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns and jaccard_join.keep_one(no_docs).count() == 0
