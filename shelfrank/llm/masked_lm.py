@@ -251,70 +251,103 @@ class Network:
         return net
 
     def hide(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = self.words[around].reshape(len(around), -1)
-        return seen, np.tanh(seen @ self.window + self.hidden)
+        seen = self.words.take(around, 0).reshape(len(around), -1)
+        h = seen @ self.window
+        h += self.hidden
+        return seen, np.tanh(h, out=h)
 
     def log_prob(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Log-probability of each word by the words around it."""
-        _, h = self.hide(around)
-        logits = h @ self.classes.T + self.class_bias
+        h = self.hide(around)[1]
         kind, member = np.divmod(target.astype(np.int64), self.side)
-        out = (logits[np.arange(len(h)), kind] - np.log(np.exp(logits).sum(1))).astype(np.float64)
-        for c, at in _by_class(kind, self.side):
+        out = _log_softmax(h @ self.classes.T, self.class_bias, kind).astype(np.float64)
+        order = _order(kind, self.side)  # words of a class side by side
+        h, member, inside = h.take(order, 0), member[order], np.empty(len(h), h.dtype)
+        for c, at in _runs(kind[order]):
             rows = slice(c * self.side, (c + 1) * self.side)
-            logits = h[at] @ self.members[rows].T + self.member_bias[rows]
-            out[at] += logits[np.arange(len(at)), member[at]] - np.log(np.exp(logits).sum(1))
+            inside[at] = _log_softmax(h[at] @ self.members[rows].T, self.member_bias[rows], member[at])
+        out[order] += inside
         return out
 
     def learn(self, target: np.ndarray, around: np.ndarray, past: Network) -> None:
-        """One step of Adagrad; ``past`` holds the sums of squared gradients."""
+        """One step of Adagrad; ``past`` holds the sums of squared gradients.
+
+        Arrays are worked on in place: new ones of this size cost more than the sums."""
         n, side = len(target), self.side
-        order = np.argsort(target // side, kind="stable")  # words of a class side by side
-        target, around = target[order], around[order]
+        kind = target // side
+        order = _order(kind, side)  # words of a class side by side
+        target, around, kind = target[order].astype(np.int64), around[order], kind[order].astype(np.int64)
         seen, h = self.hide(around)
-        kind, member = np.divmod(target.astype(np.int64), side)
-        first = np.flatnonzero(np.diff(kind, prepend=-1))
-        runs = [(slice(c * side, (c + 1) * side), slice(a, z)) for c, a, z in zip(kind[first], first, np.append(first[1:], n), strict=True)]
-        g = np.exp(h @ self.classes.T + self.class_bias)
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(n), kind] -= 1
+        runs = list(_runs(kind))
+        first = np.array([at.start for _, at in runs])
+        g = _softmax_error(h @ self.classes.T + self.class_bias, kind)
         to_hidden = g @ self.classes
         self._move("classes", slice(None), g.T @ h, past)
         self._move("class_bias", slice(None), g.sum(0), past)
+        words, biases = self.members.reshape(side, side, WIDTH), self.member_bias.reshape(side, side)
         g = np.empty((n, side), h.dtype)
-        for rows, at in runs:
-            np.matmul(h[at], self.members[rows].T, out=g[at])
-        g = np.exp(g + self.member_bias.reshape(side, side)[kind])
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(n), member] -= 1
-        members, bias = np.zeros_like(self.members), np.zeros((side, side), g.dtype)
-        for rows, at in runs:
-            to_hidden[at] += g[at] @ self.members[rows]
-            np.matmul(g[at].T, h[at], out=members[rows])
-        bias[kind[first]] = np.add.reduceat(g, first)
-        self._move("members", slice(None), members, past)
-        self._move("member_bias", slice(None), bias.ravel(), past)
+        for c, at in runs:
+            x = np.matmul(h[at], words[c].T, out=g[at])
+            x += biases[c]
+        _softmax_error(g, target - kind * side)
+        members, back = np.empty((len(runs), side, WIDTH), h.dtype), np.empty_like(to_hidden)
+        for i, (c, at) in enumerate(runs):
+            np.matmul(g[at], words[c], out=back[at])
+            np.matmul(g[at].T, h[at], out=members[i])
+        to_hidden += back
+        bias = np.add.reduceat(g, first)
+        self._move("members", kind[first], members, past)  # classes without a word here don't move
+        self._move("member_bias", kind[first], bias, past)
         to_hidden *= 1 - h * h
         to_seen = (to_hidden @ self.window.T).reshape(-1, WIDTH)
         self._move("window", slice(None), seen.T @ to_hidden, past)
         self._move("hidden", slice(None), to_hidden.sum(0), past)
         ids = around.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        self._move("words", ids[order][first], np.add.reduceat(to_seen[order], first), past)
+        order = _order(ids, self.size + 1)
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        self._move("words", ids[first], np.add.reduceat(to_seen.take(order, 0), first), past)
 
     def _move(self, name: str, rows, g: np.ndarray, past: Network) -> None:
+        """Moves some rows (of ``members`` and their biases: some classes) against their gradient, which is used up."""
         squares, values = getattr(past, name), getattr(self, name)
-        squares[rows] += g * g
-        values[rows] -= RATE * g / (np.sqrt(squares[rows]) + 1e-4)
-
-
-def _by_class(kind: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(classes + 1))
-    for c in range(classes):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+        if name.startswith("member"):
+            squares, values = (x.reshape(self.side, *g.shape[1:]) for x in (squares, values))
+        s = g * g
+        s += squares[rows]
+        squares[rows] = s
+        np.sqrt(s, out=s)
+        s += 1e-4
+        g *= RATE
+        g /= s
+        values[rows] -= g
+
+
+def _order(x: np.ndarray, top: int) -> np.ndarray:
+    """Stable order of numbers below ``top``; short ones are sorted by their bytes, in linear time."""
+    return np.argsort(x.astype(np.uint16) if top <= 1 << 16 else x, kind="stable")
+
+
+def _runs(kind: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each class of sorted ``kind`` and its words."""
+    first = np.flatnonzero(np.diff(kind, prepend=-1)).tolist()
+    for a, z in zip(first, [*first[1:], len(kind)], strict=True):
+        yield int(kind[a]), slice(a, z)
+
+
+def _softmax_error(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """In place: probabilities, less 1 at the target."""
+    g = np.exp(logits, out=logits)
+    g /= g.sum(1, keepdims=True)
+    g[np.arange(len(g)), target] -= 1
+    return g
+
+
+def _log_softmax(logits: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each row's target; the logits are used up."""
+    logits += bias
+    own = logits[np.arange(len(logits)), target]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def windows(ids: list[bytes], blank: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -286,6 +286,35 @@ def test_network_gradient_and_probabilities():
     assert net.log_prob(target, many).mean() > before + 0.5
 
 
+def test_network_works_in_place():
+    """A step equals the plain sums, and neither it nor scoring makes its arrays anew."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    side, n = 96, 8192
+    net = masked_lm.Network.start(rng.integers(0, 50, side * side), 1)
+    net.members[:], net.classes[:] = rng.normal(0, 0.3, net.members.shape), rng.normal(0, 0.3, net.classes.shape)
+    target, around = rng.integers(0, side * side // 2, n), rng.integers(0, side * side + 1, (n, 4))
+    tracemalloc.start()
+    net.log_prob(target, around)
+    assert tracemalloc.get_traced_memory()[1] < 1.9 * 4 * n * side  # logits once, not their exponentials too
+    tracemalloc.stop()
+    # the words of half of the classes: their gradient by plain sums, and the others as they were
+    old, past = masked_lm.Network(net.flat.copy()), masked_lm.Network(np.zeros_like(net.flat))
+    kind, member = np.divmod(target, side)
+    _, h = old.hide(around)
+    h = h.astype(np.float64)
+    bias = np.zeros((side, side))
+    for c, x, m in zip(kind, h, member, strict=True):
+        p = np.exp(old.members[c * side : (c + 1) * side] @ x + old.member_bias[c * side : (c + 1) * side])
+        bias[c] += p / p.sum()
+        bias[c, m] -= 1
+    net.learn(target, around, past)
+    assert np.allclose(past.member_bias, (bias**2).ravel(), rtol=1e-2, atol=1e-3)
+    assert np.allclose(net.member_bias, old.member_bias - masked_lm.RATE * bias.ravel() / (np.abs(bias.ravel()) + 1e-4), atol=1e-2)
+    assert (net.members[side * side // 2 :] == old.members[side * side // 2 :]).all()
+
+
 def test_lm_learns_word_order(spark, no_docs):
     """Held-out texts score higher than by word counts alone, and than with their words mixed."""
     rng = random.Random(4)
